@@ -64,12 +64,12 @@ def chunks(at: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (A-Z lower-cased, split at ASCII white space) of consecutive texts, and the n + 1 offsets of the texts' words."""
+def word_hashes(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (A-Z lower-cased, split at the bytes marked in breaks) of consecutive texts, and the n + 1 offsets of the texts' words."""
     n = len(data)
     if not n:
         return np.zeros(0, U), np.zeros(len(at), np.int64)
-    blank = SPACE[data]
+    blank = breaks[data]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     prior = np.empty(n, bool)

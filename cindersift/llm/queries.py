@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cindersift.llm import bpe, chat, decontaminate, lines, near, neighbours, quality, urls
+from cindersift.llm import bpe, chat, decontaminate, licences, lines, near, neighbours, private, quality, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and positions of personal data in every document."""
+    return private.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line occurrence that goes, and the occurrence that stays for it."""
     return lines.duplicate_lines(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "line", F.col("first_id").alias("kept_doc_id"), F.col("first_line").alias("kept_line"))
@@ -36,6 +41,20 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+def document_files(docs: DataFrame) -> DataFrame:
+    """Documents as files of a tree: source/thousands/hundreds/id.txt, where some ids are their directory's licence file."""
+    k = F.floor(F.col("doc_id") / 20)
+    parent = F.concat_ws("/", F.col("source"), F.floor(k / 50).cast("string"))
+    inner = F.concat_ws("/", parent, F.floor(k / 5).cast("string"))
+    path = F.when(k % 50 == 0, F.concat(parent, F.lit("/LICENSE"))).when(k % 5 == 0, F.concat(inner, F.lit("/LICENSE"))).otherwise(F.concat(inner, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    return docs.select(path.alias("path"), "text")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The own and the inherited licence of every document, as a file of a tree made from source and id."""
+    return licences.scanned(document_files(table(spark, sf_dir, "documents")))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, formatted and read back."""
     said = "</s>[INST] ok [/INST]"
@@ -59,5 +78,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op3_line_dedup, op4_minhash_near_dedup, op5_quality_classifier, op7_chat_formatting, op8_url_filters, op9_decontamination, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_private_data, op3_line_dedup, op4_minhash_near_dedup, op5_quality_classifier, op6_license_scan, op7_chat_formatting, op8_url_filters, op9_decontamination, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}

@@ -1,8 +1,9 @@
 """From band keys to true links, without all pairs of a bucket and without gathering a bucket in one task.
 
-A first pass links every member of a bucket to the bucket's smallest node; true links give components. A
-second pass looks only at buckets that still hold several components, and only at pairs across them.
-Buckets that are large even then are split by a second band (a pair over the threshold shares many), and so on.
+A first pass compares every member of a bucket with one hub; true links give components. A second pass looks only at
+buckets that still hold several components, only at members whose own shingles leave room for a link, and only at
+pairs across components. Buckets that are large even then are split by a second band (a pair over the threshold
+shares many), and so on; what is left at the last depth is compared directly, so no bucket is dropped.
 """
 
 from __future__ import annotations
@@ -15,14 +16,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from cindersift.llm.graph import components
 from cindersift.llm.hashing import mixed
-from cindersift.storage import dropped, written
+from cindersift.storage import written
 
 BANDS = "key long, node long, center long"
 #: From so many members of a bucket in one batch, they are linked where they are and only the smallest goes on.
 LOCAL = 48
 #: Members up to which a bucket's pairs across components are compared directly.
-DIRECT = 400
+DIRECT = 1000
 DEPTH = 3
+CLASSES = 128
 
 
 def rows(keys: np.ndarray, nodes: np.ndarray, local: int = LOCAL) -> pa.RecordBatch:
@@ -45,6 +47,9 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key and node, to the members of keys with several nodes and their smallest. Holds one batch, however long a run is."""
     key0, center0, told = None, None, True
     for b in batches:
+        if b.column(2).null_count < b.num_rows:
+            yield b.filter(b.column(2).is_valid())
+            b = b.filter(b.column(2).is_null())
         if not b.num_rows:
             continue
         key, node = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -70,13 +75,11 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((k, key[other]), (c, node[other]), (c, center[other]))], ["key", "node", "center"])
 
 
-def shared(bands: DataFrame) -> DataFrame:
-    """The members of all buckets that hold several nodes."""
-    bands = written(bands, "bands")
-    runs = bands.where("center is null").select("key", "node").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_runs, BANDS)
-    out = written(runs.union(bands.where("center is not null")), "shared")
-    dropped(bands)
-    return out
+def _members(bands: DataFrame) -> DataFrame:
+    """(key, node), each once, of all buckets that hold several nodes. Rows that have their center already are spread evenly."""
+    dealt = bands.repartition(F.col("key"), F.when(F.col("center").isNotNull(), F.col("node")).otherwise(F.lit(0)))
+    found = dealt.sortWithinPartitions("key", "node").mapInArrow(_runs, BANDS)
+    return written(found.select("key", F.explode(F.array("node", "center")).alias("node")).distinct(), "members")
 
 
 def _split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,30 +92,94 @@ def _split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(mixed(mixed(sub[ok]) + key[ok].view(np.uint64)).view(np.int64), np.repeat(node, n)[ok])
 
 
-def linked(bands: DataFrame, keyed: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All links needed for the components of the graph whose edges are true links sharing a band.
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")), end)
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
-    bands: (key, node, center) of :func:`rows`. keyed: (node) to (node, keys), all band keys of these nodes.
-    verified: (a, b), a < b, to those that are true links.
+
+def _profiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of shingles of each node in each of CLASSES hash classes."""
+    for b in batches:
+        own = b.column(1)
+        row = np.repeat(np.arange(b.num_rows), np.diff(own.offsets.to_numpy()))
+        h = own.flatten().to_numpy(zero_copy_only=False)
+        for lo in range(0, b.num_rows, 1024):
+            i, j = np.searchsorted(row, [lo, lo + 1024])
+            n = min(1024, b.num_rows - lo)
+            counts = np.bincount((row[i:j] - lo) * CLASSES + (h[i:j] & (CLASSES - 1)), minlength=n * CLASSES)
+            own_counts = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * CLASSES), pa.array(counts.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + n], own_counts], ["node", "profile"])
+
+
+def _spread(named: DataFrame, least: int) -> DataFrame:
+    """The rows of buckets that hold several components and at least so many nodes, and the number of nodes as size."""
+    sizes = named.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    return named.join(sizes.where((F.col("size") >= least) & (F.col("c0") < F.col("c1"))).select("key", "size"), "key")
+
+
+def _may_link(percent: int):
+    common = F.least(F.col("x.n") - F.col("x.u"), F.col("y.n") - F.col("y.u"))
+    return 100 * common >= percent * (F.col("x.n") + F.col("y.n") - common)
+
+
+def linked(bands: DataFrame, percent: int, keyed: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], likely: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All links needed for the components of the graph whose edges are the true links that share a band.
+
+    bands: (key, node, center) of :func:`rows`. keyed: (node) to (node, keys), all band keys of these nodes. sets: (node)
+    to (node, s), their distinct shingles. likely: (a, b) without pairs that a sketch rules out.
+    A link is true where 100 * intersection >= percent * union.
     """
-    members = shared(bands)
-    pairs = written(members.where("node <> center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct(), "pairs")
-    links = written(verified(pairs), "links")
+    members = _members(bands)
+    own = written(sets(members.select("node").distinct()).withColumn("n", F.size("s")), "sets")
+    links = tested = None
     for depth in range(DEPTH + 1):
+        # Every member against its bucket's hub, the one with most company in all its buckets: a copy with few changes.
+        sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+        company = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("company"))
+        hubs = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("hub"))).alias("h")).select("key", (-F.col("h.hub")).alias("hub"))
+        stars = members.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        stars = written(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"), "stars")
+        found = _confirmed(likely(stars), own, percent)
+        links = written(found if links is None else links.union(found), "links")
+        tested = stars if tested is None else tested.union(stars)
+        # What is left: buckets with several components. A member can only have a link there if its shingles that no
+        # other such member holds are few enough, which rules out texts that share a passage and no more.
         label = components(links)
-        named = members.select("key", "node").distinct().join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        sizes = named.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("size > 2 and c0 < c1")
-        left = written(named.join(sizes.select("key", "size"), "key"), "left")
-        direct = left if depth == DEPTH else left.where(F.col("size") <= DIRECT)
+        named = written(members.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "named")
+        open_ = written(_spread(named, 3), "open")
+        nodes = open_.select("node").distinct()
+        held = own.join(nodes, "node", "left_semi")
+        single = held.select("node", F.explode("s").alias("g")).groupBy("g").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("u"))
+        able = held.select("node", "n").join(single, "node", "left").select("node", "n", F.coalesce("u", F.lit(0)).alias("u")).where(f"100 * (n - u) >= {percent} * n")
+        able = _spread(open_.select("key", "node", "component").join(able, "node"), 2).drop("size")
+        # A pair's shingles in common are at most the fewer of those that each of the two doesn't hold alone. Most
+        # buckets hold few different (n, u), so the pairs of these say who can have a partner in another component.
+        able = written(able, "able")
+        alike = able.groupBy("key", "n", "u").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+        x, y = alike.alias("x"), alike.alias("y")
+        several = F.least("x.c0", "y.c0") < F.greatest("x.c1", "y.c1")
+        alike = x.join(y, (F.col("x.key") == F.col("y.key")) & _may_link(percent) & several, "left_semi").select("key", "n", "u")
+        able = written(_spread(able.join(alike, ["key", "n", "u"], "left_semi"), 2), "able")
+        near = F.lit(True) if depth == DEPTH else F.col("size") <= DIRECT
+        keys = able.where(near).groupBy("node").agg(F.collect_set("key").alias("near"))  # at most one for each band
+        profiles = own.join(able.select("node").distinct(), "node", "left_semi").select("node", "s").mapInArrow(_profiles, "node long, profile array<int>")
+        direct = able.where(near).join(keys.join(profiles, "node"), "node")
         x, y = direct.alias("x"), direct.alias("y")
-        more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")))
-        more = written(more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+        # Each pair once, at the first bucket that it shares. Two texts have at most as many shingles in common as the
+        # lesser counts of each hash class add up to, which rules out all but pairs close to the threshold.
+        once = F.array_min(F.array_intersect("x.near", "y.near")) == F.col("x.key")
+        most = F.aggregate(F.zip_with("x.profile", "y.profile", lambda a, b: F.least(a, b)), F.lit(0), lambda t, c: t + c)
+        enough = 100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)
+        more = x.join(y, apart & _may_link(percent) & once & enough).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        more = written(likely(more.join(tested, ["a", "b"], "left_anti")), "pairs")
         if not more.isEmpty():
-            links = written(links.union(verified(more)), "links")
-            pairs = pairs.union(more)
-        large = left.where(F.col("size") > DIRECT).select("key", "node")
+            links = written(links.union(_confirmed(more, own, percent)), "links")
+            tested = tested.union(more)
+        large = able.where(F.col("size") > DIRECT).select("key", "node")
         if depth == DEPTH or large.isEmpty():
             return links
-        keys = keyed(large.select("node").distinct())
-        members = shared(large.join(keys, "node").select("key", "node", "keys").mapInArrow(_split, BANDS))
+        members = _members(large.join(keyed(large.select("node").distinct()), "node").select("key", "node", "keys").mapInArrow(_split, BANDS))
     return links

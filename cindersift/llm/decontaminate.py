@@ -70,7 +70,7 @@ class Index:
         n = len(self.units)
         self.size = max((len(u[1]) for u in self.units), default=1)
         self.vocabulary, back = np.unique(np.concatenate([u[1] for u in self.units]) if n else np.zeros(0, U), return_inverse=True)
-        lengths = np.array([len(u[1]) for u in self.units])
+        lengths = np.array([len(u[1]) for u in self.units], np.int64)
         tf = np.zeros((len(self.vocabulary), n), np.float32)
         np.add.at(tf, (back, np.repeat(np.arange(n), lengths)), 1)
         df = (tf > 0).sum(axis=1, keepdims=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cindersift.llm import bpe, chat, decontaminate, licences, lines, near, neighbours, private, quality, urls
+from cindersift.llm import bpe, chat, decontaminate, licences, lines, near, neighbours, oracles, private, quality, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,4 +79,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_private_data, op3_line_dedup, op4_minhash_near_dedup, op5_quality_classifier, op6_license_scan, op7_chat_formatting, op8_url_filters, op9_decontamination, op10_byte_bpe)}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES

@@ -14,7 +14,7 @@ LATE = "10 minutes"
 def events(spark: SparkSession, sf_dir: str, *, stream: bool = False) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     if stream:
-        rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 16).parquet(path)
+        rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may name a file or a folder
     else:
         rows = spark.read.parquet(path)
     return rows.selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id AS key", "event_type AS kind", "value")

@@ -7,7 +7,7 @@ a line's matches are exploded, and the first line of each file and rule is a gro
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,7 +25,9 @@ class Rule:
     issue: str = ""
     cwe: str | None = None
     absent: str | None = None  # for whole contents: a pattern that must not be there
-    extensions: tuple[str, ...] = field(default=())
+    confidence: float | None = None  # of the pack; else from the match's length
+    exploitability: float | None = None  # else from the severity
+    blast: int | None = None  # else from the id
 
 
 #: Patterns of this library for common secrets and unsafe calls, by severity.
@@ -77,7 +79,8 @@ def _hit(rule: Rule, matched: Column) -> Column:
         F.rlike("code", F.lit(rule.pattern)),
         F.struct(
             F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(rule.issue).alias("issue"), F.lit(rule.cwe).cast("string").alias("cwe_id"), matched.alias("matched"),
-            F.lit(EXPLOITABILITY[rule.severity]).alias("exploitability"), F.lit(blast_radius(rule.rule_id)).alias("blast_radius"),
+            F.lit(rule.exploitability if rule.exploitability is not None else EXPLOITABILITY[rule.severity]).alias("exploitability"),
+            F.lit(rule.blast if rule.blast is not None else blast_radius(rule.rule_id)).alias("blast_radius"), F.lit(rule.confidence).cast("double").alias("own"),
         ),
     )
 
@@ -91,7 +94,7 @@ def matches(line_rows: DataFrame, rules: Sequence[Rule] = SURFACE, *, starts: tu
         hits = F.array_compact(F.array(*[_hit(r, F.regexp_extract("code", r.pattern, 0)) for r in chosen[lo : lo + GROUP]]))
         part = rows.select("*", F.inline(hits))
         out = part if out is None else out.unionByName(part)
-    return out.withColumn("confidence", F.round(F.least(F.lit(0.95), 0.6 + 0.005 * F.length("matched")), 2))
+    return out.withColumn("confidence", F.coalesce("own", F.round(F.least(F.lit(0.95), 0.6 + 0.005 * F.length("matched")), 2))).drop("own")
 
 
 def first_matches(hits: DataFrame, *keys: str) -> DataFrame:

@@ -22,9 +22,11 @@ BANDS = "key long, node long, center long"
 #: From so many members of a bucket in one batch, they are linked where they are and only the smallest goes on.
 LOCAL = 48
 #: Members up to which a bucket's pairs across components are compared directly.
-DIRECT = 1000
+DIRECT = 4000
 DEPTH = 3
 CLASSES = 128
+#: Words of 64 bits in a node's map of occupied hash classes.
+MAP = 32
 
 
 def rows(keys: np.ndarray, nodes: np.ndarray, local: int = LOCAL) -> pa.RecordBatch:
@@ -92,15 +94,8 @@ def _split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(mixed(mixed(sub[ok]) + key[ok].view(np.uint64)).view(np.int64), np.repeat(node, n)[ok])
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    for end in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")), end)
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
-
-
 def _profiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The number of shingles of each node in each of CLASSES hash classes."""
+    """The number of shingles of each node in each of CLASSES hash classes, and a map of the MAP * 64 finer classes it occupies."""
     for b in batches:
         own = b.column(1)
         row = np.repeat(np.arange(b.num_rows), np.diff(own.offsets.to_numpy()))
@@ -109,8 +104,11 @@ def _profiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = np.searchsorted(row, [lo, lo + 1024])
             n = min(1024, b.num_rows - lo)
             counts = np.bincount((row[i:j] - lo) * CLASSES + (h[i:j] & (CLASSES - 1)), minlength=n * CLASSES)
-            own_counts = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * CLASSES), pa.array(counts.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + n], own_counts], ["node", "profile"])
+            bits = np.zeros(n * MAP * 64, np.uint8)
+            bits[(row[i:j] - lo) * (MAP * 64) + (h[i:j] & (MAP * 64 - 1))] = 1
+            words = np.packbits(bits.reshape(n, -1), axis=1).view(np.int64)
+            profile = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * CLASSES), pa.array(counts.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + n], profile, *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(MAP))], ["node", "profile", *(f"m{i}" for i in range(MAP))])
 
 
 def _spread(named: DataFrame, least: int) -> DataFrame:
@@ -124,15 +122,16 @@ def _may_link(percent: int):
     return 100 * common >= percent * (F.col("x.n") + F.col("y.n") - common)
 
 
-def linked(bands: DataFrame, percent: int, keyed: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], likely: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(bands: DataFrame, percent: int, keyed: Callable, payload: Callable, shingled: Callable, likely: Callable, confirmed: Callable) -> DataFrame:
     """All links needed for the components of the graph whose edges are the true links that share a band.
 
-    bands: (key, node, center) of :func:`rows`. keyed: (node) to (node, keys), all band keys of these nodes. sets: (node)
-    to (node, s), their distinct shingles. likely: (a, b) without pairs that a sketch rules out.
+    bands: (key, node, center) of :func:`rows`. keyed: (node) to (node, keys), all band keys of these nodes. payload: (node)
+    to (node, ...), what confirming a link needs of each. shingled: such rows to (node, s), their distinct shingles.
+    likely: (a, b) without pairs that a sketch rules out. confirmed: (a, b) and payload rows to the true links.
     A link is true where 100 * intersection >= percent * union.
     """
     members = _members(bands)
-    own = written(sets(members.select("node").distinct()).withColumn("n", F.size("s")), "sets")
+    own = written(payload(members.select("node").distinct()), "payload")
     links = tested = None
     for depth in range(DEPTH + 1):
         # Every member against its bucket's hub, the one with most company in all its buckets: a copy with few changes.
@@ -141,7 +140,7 @@ def linked(bands: DataFrame, percent: int, keyed: Callable[[DataFrame], DataFram
         hubs = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("hub"))).alias("h")).select("key", (-F.col("h.hub")).alias("hub"))
         stars = members.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         stars = written(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"), "stars")
-        found = _confirmed(likely(stars), own, percent)
+        found = confirmed(likely(stars), own)
         links = written(found if links is None else links.union(found), "links")
         tested = stars if tested is None else tested.union(stars)
         # What is left: buckets with several components. A member can only have a link there if its shingles that no
@@ -150,7 +149,7 @@ def linked(bands: DataFrame, percent: int, keyed: Callable[[DataFrame], DataFram
         named = written(members.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "named")
         open_ = written(_spread(named, 3), "open")
         nodes = open_.select("node").distinct()
-        held = own.join(nodes, "node", "left_semi")
+        held = shingled(own.join(nodes, "node", "left_semi")).withColumn("n", F.size("s"))
         single = held.select("node", F.explode("s").alias("g")).groupBy("g").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("u"))
         able = held.select("node", "n").join(single, "node", "left").select("node", "n", F.coalesce("u", F.lit(0)).alias("u")).where(f"100 * (n - u) >= {percent} * n")
         able = _spread(open_.select("key", "node", "component").join(able, "node"), 2).drop("size")
@@ -164,19 +163,23 @@ def linked(bands: DataFrame, percent: int, keyed: Callable[[DataFrame], DataFram
         able = written(_spread(able.join(alike, ["key", "n", "u"], "left_semi"), 2), "able")
         near = F.lit(True) if depth == DEPTH else F.col("size") <= DIRECT
         keys = able.where(near).groupBy("node").agg(F.collect_set("key").alias("near"))  # at most one for each band
-        profiles = own.join(able.select("node").distinct(), "node", "left_semi").select("node", "s").mapInArrow(_profiles, "node long, profile array<int>")
+        profiles = shingled(own.join(able.select("node").distinct(), "node", "left_semi")).select("node", "s").mapInArrow(_profiles, "node long, profile array<int>, " + ", ".join(f"m{i} long" for i in range(MAP)))
         direct = able.where(near).join(keys.join(profiles, "node"), "node")
         x, y = direct.alias("x"), direct.alias("y")
         apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-        # Each pair once, at the first bucket that it shares. Two texts have at most as many shingles in common as the
-        # lesser counts of each hash class add up to, which rules out all but pairs close to the threshold.
+        # Each pair once, at the first bucket that it shares. A shingle in a class that the other text doesn't occupy is
+        # not in common, and two texts have at most as many in common as the lesser counts of each class add up to.
+        # These exact bounds, the cheaper one first, rule out all but pairs close to the threshold.
+        alone = lambda p, q: sum((F.bit_count(F.col(f"{p}.m{i}").bitwiseAND(F.bitwise_not(F.col(f"{q}.m{i}")))) for i in range(MAP)), F.lit(0))
+        fewer = F.least(F.col("x.n") - alone("x", "y"), F.col("y.n") - alone("y", "x"))
+        apart = apart & _may_link(percent) & (100 * fewer >= percent * (F.col("x.n") + F.col("y.n") - fewer))
         once = F.array_min(F.array_intersect("x.near", "y.near")) == F.col("x.key")
         most = F.aggregate(F.zip_with("x.profile", "y.profile", lambda a, b: F.least(a, b)), F.lit(0), lambda t, c: t + c)
         enough = 100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)
-        more = x.join(y, apart & _may_link(percent) & once & enough).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        more = x.join(y, apart & once & enough).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         more = written(likely(more.join(tested, ["a", "b"], "left_anti")), "pairs")
         if not more.isEmpty():
-            links = written(links.union(_confirmed(more, own, percent)), "links")
+            links = written(links.union(confirmed(more, own)), "links")
             tested = tested.union(more)
         large = able.where(F.col("size") > DIRECT).select("key", "node")
         if depth == DEPTH or large.isEmpty():

@@ -8,7 +8,7 @@ each component the occurrence with the smallest (doc_id, line number) stays.
 Defined results: blank lines (Unicode white space only) always stay; null texts have no lines and stay null; rows that
 share a doc_id and a line number are one occurrence, so a repeated row keeps what its twin keeps; rows of a null doc_id
 keep all their lines and take part in nothing; a document may lose all its lines and then has an empty text, and no
-document is dropped. Other columns pass through. Equal lines and shingles are compared by 64-bit hashes.
+document is dropped. Other columns pass through. Equal lines are compared by 64-bit hashes, shingles of two lines by 50 bits of theirs.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from cindersift.llm import banding
 from cindersift.llm.graph import components
-from cindersift.llm.hashing import U, chunks, lists, mixed, powers, utf8
+from cindersift.llm.hashing import U, chunks, lists, mixed, offsets, powers
 from cindersift.storage import written
 
 SHINGLE = 10
 BANDS, ROWS = 12, 3
 PERCENT = 80
+#: Bits of a shingle's hash in sets; the rest of 64 bits hold the line's place in its chunk.
+PACKED = 50
 _CODE = np.random.default_rng(7).integers(1, 1 << 63, 1 << 16, dtype=np.uint64)
 _BLANK = np.zeros(1 << 16, bool)
 _BLANK[[c for c in range(1 << 16) if chr(c).isspace()]] = True
@@ -40,8 +42,7 @@ class Lines:
         self.text = joined
         self.cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(self.cps)
-        feed = self.cps == 10
-        self.end = np.append(np.flatnonzero(feed), n)
+        self.end = np.append(np.flatnonzero(self.cps == 10), n)
         self.start = np.append(0, self.end[:-1] + 1)
         solid = np.concatenate([[0], np.cumsum(~_BLANK[self.cps & 0xFFFF] | (self.cps > 0xFFFF))])
         per_text = np.fromiter((t.count("\n") + 1 for t in texts), np.int64, len(texts))
@@ -52,21 +53,28 @@ class Lines:
         up, self.down = powers(n + 1)
         self.total = np.zeros(n + 1, U)
         np.cumsum((_CODE[self.cps & 0xFFFF] + (self.cps >> 16).astype(U) * U(0x9E3779B97F4A7C15)) * up[:n], out=self.total[1:])
-        self.feeds = np.concatenate([[0], np.cumsum(feed)])
         length = (self.end - self.start).astype(U)
         self.hash = mixed((self.total[self.end] - self.total[self.start]) * self.down[self.start] + mixed(length))
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
         """Shingle hashes (with repeats) of the lines in order and the line of each."""
-        n, k = len(self.cps), SHINGLE
-        at = np.flatnonzero(self.feeds[k:] == self.feeds[: n - k + 1]) if n >= k else np.zeros(0, np.int64)
-        line = np.searchsorted(self.start, at, "right") - 1
-        whole = (line >= 0) & (at < self.end[np.maximum(line, 0)]) if len(self.start) else np.zeros(len(at), bool)
-        at, line = at[whole], line[whole]
-        h = mixed((self.total[at + k] - self.total[at]) * self.down[at])
-        short = np.flatnonzero(self.end - self.start < k)
+        count = self.end - self.start - (SHINGLE - 1)
+        short = np.flatnonzero(count < 1)
+        count = np.maximum(count, 0)
+        line = np.repeat(np.arange(len(count)), count)
+        at = np.arange(len(line)) + np.repeat(self.start - (np.cumsum(count) - count), count)
+        h = mixed((self.total[at + SHINGLE] - self.total[at]) * self.down[at])
+        if not len(short):
+            return h, line
         return np.concatenate([h, mixed(self.hash[short] + U(1))]), np.concatenate([line, short])
 
+    def sets(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingles of each line, sorted, and their offsets."""
+        h, line = self.shingles()
+        packed = np.sort((line.astype(U) << U(PACKED)) | (h >> U(64 - PACKED)))
+        packed = packed[np.append(True, packed[1:] != packed[:-1])[: len(packed)]]
+        return packed & U((1 << PACKED) - 1), np.searchsorted(packed, np.arange(len(self.start) + 1, dtype=U) << U(PACKED))
+
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Band keys of each line and which of them hold any shingle."""
         m = BANDS * ROWS
@@ -81,8 +89,7 @@ class Lines:
 
 
 def _lines(batch: pa.RecordBatch, col: int) -> Iterator[tuple[int, Lines]]:
-    _, at = utf8(batch.column(col))
-    for lo, hi in chunks(at):
+    for lo, hi in chunks(offsets(batch.column(col))):
         yield lo, Lines(batch.column(col)[lo:hi].fill_null("").to_pylist())
 
 
@@ -119,13 +126,20 @@ def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, x in _lines(b, 1):
-            h, line = x.shingles()
-            order = np.lexsort((h, line))
-            h, line = h[order], line[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-            own = lists(h[new], np.append(0, np.cumsum(np.bincount(line[new], minlength=len(x.hash)))))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x.row + lo)), own], ["node", "s"])
+            h, at = x.sets()
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x.row + lo)), lists(h, at)], ["node", "s"])
+
+
+def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of lines (a, b, text of a, text of b) to those whose shingle sets are similar enough."""
+    for b in batches:
+        for lo, hi in chunks(offsets(b.column(2))):
+            n = hi - lo
+            sets = [Lines(b.column(col)[lo:hi].to_pylist()).sets() for col in (2, 3)]
+            size = sum(np.diff(at) for _, at in sets)
+            both = np.sort(np.concatenate([(np.repeat(np.arange(n, dtype=U), np.diff(at)) << U(PACKED)) | h for h, at in sets]))
+            both = np.bincount((both[1:][both[1:] == both[:-1]] >> U(PACKED)).astype(np.int64), minlength=n)
+            yield b.select([0, 1]).slice(lo, n).filter(pa.array(100 * both >= PERCENT * (size - both)))
 
 
 def _rewritten(col: int):
@@ -151,14 +165,19 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         found = texts.select("text").mapInArrow(_texts, "node long, line string").join(nodes.hint("shuffle_hash"), "node", "left_semi")
         return found.dropDuplicates(["node"])
 
-    def sets(nodes: DataFrame) -> DataFrame:
-        return text_of(nodes).select("node", "line").mapInArrow(_sets, "node long, s array<long>")
+    def shingled(own: DataFrame) -> DataFrame:
+        return own.select("node", "line").mapInArrow(_sets, "node long, s array<long>")
+
+    def confirmed(pairs: DataFrame, own: DataFrame) -> DataFrame:
+        for end in ("a", "b"):  # the texts, which are smaller than their sets
+            pairs = pairs.join(own.select(F.col("node").alias(end), F.col("line").alias(f"t{end}")), end)
+        return pairs.select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long")
 
     def keyed(nodes: DataFrame) -> DataFrame:
         return text_of(nodes).select("node", "line").mapInArrow(_keys, "node long, keys array<long>")
 
     bands = texts.select("text").mapInArrow(_bands, banding.BANDS)
-    label = components(banding.linked(bands, PERCENT, keyed, sets, lambda pairs: pairs))
+    label = components(banding.linked(bands, PERCENT, keyed, text_of, shingled, lambda pairs: pairs, confirmed))
     places = written(texts.mapInArrow(_places, "node long, id long, line long"), "places")
     first = places.groupBy("node").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
     named = written(first.join(label, "node", "left").where("n > 1 or component is not null").select("node", "first", F.coalesce("component", "node").alias("component")), "named")

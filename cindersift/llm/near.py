@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cindersift.llm import banding
 from cindersift.llm.graph import components
-from cindersift.llm.hashing import U, binary, chunks, lists, mixed, shingles, utf8, word_hashes
+from cindersift.llm.hashing import U, binary, lists, mixed, pieces, shingles, word_hashes
 from cindersift.storage import written
 
 WORDS = 5
@@ -81,9 +81,8 @@ def jaccard(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tup
 
 def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        data, at = utf8(b.column(2))
-        for lo, hi in chunks(at):
-            s, sat = shingles(*word_hashes(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]), WORDS)
+        for lo, hi, data, at in pieces(b.column(2)):
+            s, sat = shingles(*word_hashes(data, at), WORDS)
             n = np.diff(sat)
             c = [np.where(n > 0, np.add.reduceat(np.append(mixed(s + U(salt)), U(0)), sat[:-1]), U(0)) if len(n) else s for salt in (1, 2)]
             yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(n), *(pa.array(x.view(np.int64)) for x in c), binary(registers(s, sat))], ["id", "fp", "n", "c1", "c2", "regs"])
@@ -109,9 +108,8 @@ def _regs(col: pa.Array) -> np.ndarray:
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        data, at = utf8(b.column(2))
-        for lo, hi in chunks(at):
-            s, sat = shingles(*word_hashes(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]), WORDS)
+        for lo, hi, data, at in pieces(b.column(2)):
+            s, sat = shingles(*word_hashes(data, at), WORDS)
             yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], lists(s, sat)], ["id", "fp", "s"])
 
 
@@ -148,11 +146,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, *, id_col: str = "doc_id
         found = texts.join(ids.hint("shuffle_hash"), ["id", "fp"], "left_semi").select("id", "fp", "text").mapInArrow(_sets, "id long, fp long, s array<long>")
         return found.select(F.col("id").alias("node"), "fp", "s").dropDuplicates(["node", "fp"]).select("node", "s")
 
+    def confirmed(pairs: DataFrame, own: DataFrame) -> DataFrame:
+        for end in ("a", "b"):
+            pairs = pairs.join(own.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")), end)
+        both = F.size(F.array_intersect("sa", "sb"))
+        return pairs.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
+
     def keyed(nodes: DataFrame) -> DataFrame:
         return nodes.join(classes, "node").select("node", "regs").mapInArrow(_keys, "node long, keys array<long>")
 
     bands = classes.select("node", "regs").mapInArrow(_bands, banding.BANDS)
-    links = banding.linked(bands, percent, keyed, sets, likely)
+    links = banding.linked(bands, percent, keyed, sets, lambda own: own, likely, confirmed)
     label = components(links).withColumnRenamed("node", "rep")
     named = classes.select("c1", "c2", "n", F.col("node").alias("rep")).join(label, "rep", "left").select("c1", "c2", "n", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("id", "n", "c1", "c2").join(named, ["c1", "c2", "n"], "left")

@@ -3,9 +3,10 @@ inheritance from the nearest ancestor directory that holds a licence file.
 
 Units of a text are its lines and its paragraphs (between blank lines), so a notice on one line and one over several are
 both found, anywhere in the text. Words are runs of letters and digits, lower-cased. The templates' collection gives
-the inverse document frequencies. A unit that holds none of a template's telling words, chosen so that the rest of
+the inverse document frequencies; numbers and everyday words count as if every template held them. A unit that holds none of a template's telling words, chosen so that the rest of
 the template has a share below THRESHOLD of its length, cannot reach the threshold (Cauchy-Schwarz); only units with
-such a word are taken apart, which leaves the result as it is.
+such a word are taken apart, and of these only units whose length leaves room for the threshold are measured, which leaves the
+result as it is. All of it happens within a row; only paths and licences are shuffled.
 
 Defined results: null and empty texts have no licence of their own and may inherit; a null path counts as empty;
 rows of the same path share the path's best match; of equal cosines the first licence by name counts; a directory's
@@ -17,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 THRESHOLD = 0.6
 #: Licence and notice.
@@ -42,8 +43,8 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-#: Everyday words, looked for last: without them few other units need to be taken apart.
-COMMON = frozenset("a an and any are as at by can do for from in into is it may me not of on or that the their this to use was with without you your".split())
+#: Everyday words.
+COMMON = frozenset("a an and any are as at by can do either except fee file following for form forms free from general in into is it later may me met not of on option or person terms that the their this to under use was with without work you your".split())
 LICENCE_FILE = r"(?i)^(?:licen[cs]e|copying|unlicense)(?:[.-][^/]*)?$"
 
 
@@ -59,7 +60,7 @@ class Vectors:
         self.threshold = threshold
         bags = [_words(text) for _, text in templates]
         vocabulary = sorted(set().union(*bags))
-        df = {w: sum(w in b for b in bags) for w in vocabulary}
+        df = {w: len(bags) if w in COMMON or w.isdigit() else sum(w in b for b in bags) for w in vocabulary}
         self.idf = {w: math.log((1 + len(bags)) / (1 + df[w])) + 1 for w in vocabulary}
         self.unseen = math.log(1 + len(bags)) + 1
         raw = [{w: b.count(w) * self.idf[w] for w in set(b)} for b in bags]
@@ -72,28 +73,47 @@ class Vectors:
                     break
                 telling.add(w)
                 rest -= v * v
-        self.telling = rf"(?i)(?<![0-9a-z])(?:{'|'.join(sorted(telling))})(?![0-9a-z])"
+        self.telling = sorted(telling)
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        """(word, idf, weights): one row per template word."""
-        rows = [(w, self.idf[w], [u.get(w, 0.0) for u in self.unit]) for w in self.idf]
-        return spark.createDataFrame(rows, "word string, idf double, weights array<double>")
+    def literals(self) -> tuple[Column, Column, Column]:
+        """Maps from a template word to its idf, to its idf times its weight in each template, and to the squared weights."""
+        words = F.array(*map(F.lit, self.idf))
+        tables = [F.array(*[F.array(*[F.lit(f(i, u.get(w, 0.0))) for u in self.unit]) for w, i in self.idf.items()]) for f in (lambda i, x: i * x, lambda i, x: x * x)]
+        return F.map_from_arrays(words, F.array(*map(F.lit, self.idf.values()))), *[F.map_from_arrays(words, t) for t in tables]
 
 
 def matched(files: DataFrame, vectors: Vectors | None = None, *, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """(path, own, cosine): the best licence of each path that has a unit over the threshold."""
     v = vectors or Vectors()
-    rows = files.select(F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.col(text_col).alias("text")).where(F.rlike("text", F.lit(v.telling)))
+    telling = F.array(*map(F.lit, v.telling))
+    # Cutting at everything else is much cheaper than searching for any of the words.
+    cut = lambda text: F.split(F.lower(text), "[^0-9a-z]+")
+    rows = files.select(F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.col(text_col).alias("text")).where(F.arrays_overlap(cut(F.col("text")), telling))
     # A paragraph of one line is that line.
     units = F.concat(F.split("text", "\n"), F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n"))))
-    units = rows.select("path", F.explode(F.array_distinct(F.filter(units, lambda u: F.rlike(u, F.lit(v.telling))))).alias("unit"))
-    words = units.select("path", F.xxhash64("unit").alias("u"), F.explode(F.regexp_extract_all(F.translate("unit", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[0-9a-z]+"), F.lit(0))).alias("word"))
-    counted = words.groupBy("path", "u", "word").agg(F.count("*").alias("tf"))
-    joined = counted.join(F.broadcast(v.table(files.sparkSession)), "word", "left")  # a few hundred constant rows
-    weight = F.col("tf") * F.coalesce("idf", F.lit(v.unseen))
-    dots = [F.sum(weight * F.coalesce(F.element_at("weights", i + 1), F.lit(0.0))).alias(f"d{i}") for i in range(len(v.names))]
-    scored = joined.groupBy("path", "u").agg(F.sqrt(F.sum(weight * weight)).alias("norm"), *dots)
-    best = F.array_min(F.array(*[F.struct((-F.round(F.col(f"d{i}") / F.col("norm"), 9)).alias("c"), F.lit(name).alias("own")) for i, name in enumerate(v.names)]))
+    units = rows.select("path", F.explode(F.array_distinct(F.filter(units, lambda u: F.arrays_overlap(cut(u), telling)))).alias("unit"))
+    idf, weights, squares = v.literals()
+    known = F.array(*map(F.lit, v.idf))
+    zero = F.array_repeat(F.lit(0.0), len(v.names))
+    words = F.array_remove(cut(F.col("unit")), "")
+    add = lambda table: lambda t, w: F.zip_with(t, F.element_at(table, w), lambda a, b: a + b)
+    # By Cauchy-Schwarz the squared cosine is at most what the unit's words cover of the template's squared length.
+    covered = F.aggregate(F.array_intersect(F.array_distinct(words), known), zero, add(squares))
+    words = units.where(F.array_max(covered) >= v.threshold**2 * 0.999).select("path", F.sort_array(words).alias("words"))
+    words = words.withColumn("dots", F.aggregate(F.filter("words", lambda w: F.array_contains(known, w)), zero, add(weights)))
+    # Equal words are neighbours, so one pass has each word's count.
+    start = F.struct(F.lit("").alias("word"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("sum"))
+
+    def closed(acc: Column) -> Column:
+        weight = acc["n"] * F.coalesce(F.element_at(idf, acc["word"]), F.lit(v.unseen))
+        return acc["sum"] + weight * weight
+
+    def step(acc: Column, w: Column) -> Column:
+        same = acc["word"] == w
+        return F.struct(w.alias("word"), F.when(same, acc["n"] + 1).otherwise(F.lit(1)).cast("long").alias("n"), F.when(same, acc["sum"]).otherwise(closed(acc)).alias("sum"))
+
+    scored = words.select("path", "dots", F.sqrt(F.aggregate("words", start, step, closed)).alias("norm"))
+    best = F.array_min(F.zip_with("dots", F.array(*map(F.lit, v.names)), lambda d, name: F.struct((-F.round(d / F.col("norm"), 9)).alias("c"), name.alias("own"))))
     scored = scored.select("path", best.alias("b")).where(-F.col("b.c") >= v.threshold)
     return scored.groupBy("path").agg(F.min("b").alias("b")).select("path", F.col("b.own").alias("own"), (-F.col("b.c")).alias("cosine"))
 

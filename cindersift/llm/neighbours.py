@@ -10,8 +10,9 @@ the largest inner product is the smallest distance also where norms differ. How
 width w, are chosen on a bounded sample: PILOT queries against FITTED rows, until the share of true neighbours in
 visited buckets reaches TARGET (the sample misses fewer of few rows, so the target lies above the 0.9 wanted).
 
-A bucket's rows are dealt to shards of at most SHARD rows on average, a bucket's queries to blocks of BLOCK, and each
-shard answers a block with its k best: no bucket is gathered in one place, however many rows share it. Rows go
+Buckets that share their first COARSE cells go to one place, so that a query asks once for all buckets it visits there.
+The rows of a place are dealt to shards of at most SHARD rows on average, its queries to blocks of BLOCK, and each
+shard answers a block with its k best: no bucket is gathered in one task, however many rows share it. Rows go
 once to each table; the rows' shuffle carries the vectors, so the reranking needs no join.
 
 Defined results: vectors that are null, zero, of another length than most sampled ones, or that hold null or
@@ -31,14 +32,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from cindersift.storage import written
 
-TABLES = 3
+TABLES = 2
 PILOT, FITTED = 200, 20_000
 TARGET = 0.97
 #: Rows wanted in a bucket on average; more rows mean more projections, not larger buckets.
 BUCKET_ROWS = 2000
-SHARD = 4096
+SHARD = 16384
 BLOCK = 2048
 MAX_HASHES = 24
+#: Projections whose cells say where a row goes; the others say which of the rows there a query looks at.
+COARSE = 2
 
 
 def matrix(col: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -79,8 +82,11 @@ class Hashes:
             h ^= h >> np.uint64(29)
         return h.view(np.int64)
 
+    def places(self, cell: np.ndarray) -> np.ndarray:
+        return self.keys(cell[..., :COARSE])
+
     def probed(self, x: np.ndarray) -> np.ndarray:
-        """Keys (row, table, probe) of the buckets to visit, likeliest first."""
+        """Cells (row, table, probe, hash) of the buckets to visit, likeliest first."""
         at = self.place(x, True)
         cell = np.floor(at)
         within = at - cell
@@ -100,7 +106,7 @@ class Hashes:
                 for j in s:
                     which = order[r, t, j]
                     moved[r, t, p, which % self.n] += np.where(which < self.n, -1, 1)
-        return self.keys(moved)
+        return moved
 
     def sets(self) -> list[tuple[int, ...]]:
         """Candidate sets of moves, as ranks in a query's own order of boundaries: all of up to ``n`` moves, cheapest ranks first."""
@@ -152,17 +158,17 @@ def tuned(vectors: DataFrame, n_rows: int, k: int) -> Hashes | None:
     truth = np.argsort(-score, axis=1)[:, : min(k, len(x) - 1)]
     n = int(min(MAX_HASHES, max(2, np.ceil(np.log2(max(n_rows / BUCKET_ROWS, 4))))))
     spread = float(np.sqrt(((whole - center) ** 2).sum(axis=1).mean()))
-    best = Hashes(dim, n, 2.0 * spread, largest, 1, center)
+    best = Hashes(dim, n, 2.0 * spread or 1.0, largest, 1, center)
     limit = len(best.sets())
     probes = 1
     while True:
         best.probes = min(probes, limit)
-        keys = best.probed(pilot)
+        keys = best.keys(best.probed(pilot))
         own = best.keys(np.floor(best.place(x, False)))
         hit = np.zeros(truth.shape, bool)
         for t in range(TABLES):
             hit |= (own[truth, t][:, :, None] == keys[:, t, None, :]).any(axis=2)
-        if hit.mean() >= TARGET or best.probes == limit:
+        if not hit.size or hit.mean() >= TARGET or best.probes == limit:
             break
         probes = probes + max(1, probes // 3)
     if hit.size and hit.mean() < TARGET:  # wider cells: a bucket and its neighbours hold more
@@ -177,17 +183,20 @@ def _indexed(h: Hashes, shards: int):
             x, rows = matrix(b.column(1), h.dim)
             if not len(x):
                 continue
-            keys = h.keys(np.floor(h.place(x, False)))
+            cells = np.floor(h.place(x, False))
+            place, bucket = h.places(cells), h.keys(cells)
             ids = b.column(0).take(pa.array(rows))
             shard = (ids.to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % shards
             blob = pa.array([r.tobytes() for r in x], pa.binary())
             for t in range(TABLES):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, t]), pa.array(np.full(len(x), t, np.int32)), pa.array(shard), ids, blob], ["key", "t", "shard", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(place[:, t]), pa.array(np.full(len(x), t, np.int32)), pa.array(shard), pa.array(bucket[:, t]), ids, blob], ["place", "t", "shard", "bucket", "id", "v"])
 
     return index
 
 
 def _probes(h: Hashes):
+    """One row for each query, table and place, with all buckets that the query visits there."""
+
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
@@ -195,12 +204,19 @@ def _probes(h: Hashes):
                 x, rows = matrix(part.column(1), h.dim)
                 if not len(x):
                     continue
-                keys = h.probed(x)
+                cells = h.probed(x)
+                place, bucket = h.places(cells), h.keys(cells)
                 ids = part.column(0).take(pa.array(rows)).to_numpy(zero_copy_only=False)
-                n = keys.shape[2]
                 blob = np.array([r.tobytes() for r in x], object)
                 for t in range(TABLES):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, t].ravel()), pa.array(np.full(len(x) * n, t, np.int32)), pa.array(np.repeat(ids, n)), pa.array(np.repeat(blob, n), pa.binary())], ["key", "t", "id", "v"])
+                    who = np.repeat(np.arange(len(x)), place.shape[2])
+                    order = np.lexsort((place[:, t].ravel(), who))
+                    who, p, k = who[order], place[:, t].ravel()[order], bucket[:, t].ravel()[order]
+                    new = np.ones(len(p), bool)
+                    new[1:] = (p[1:] != p[:-1]) | (who[1:] != who[:-1])
+                    starts = np.flatnonzero(new)
+                    buckets = pa.ListArray.from_arrays(pa.array(np.append(starts, len(p)).astype(np.int32)), pa.array(k))
+                    yield pa.RecordBatch.from_arrays([pa.array(p[starts]), pa.array(np.full(len(starts), t, np.int32)), buckets, pa.array(ids[who[starts]]), pa.array(blob[who[starts]], pa.binary())], ["place", "t", "buckets", "id", "v"])
 
     return probe
 
@@ -209,20 +225,34 @@ def _answered(k: int):
     def answer(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or queries.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        rows, queries = rows.drop_duplicates("id"), queries.drop_duplicates("id")
+        rows = rows.sort_values("bucket", kind="stable")
         x = np.frombuffer(b"".join(rows["v"]), np.float64).reshape(len(rows), -1)
-        ids, asked = rows["id"].to_numpy(), queries["id"].to_numpy()
+        ids, bucket = rows["id"].to_numpy(), rows["bucket"].to_numpy()
         out = []
         for lo in range(0, len(queries), BLOCK):
-            own = asked[lo : lo + BLOCK]
-            q = np.frombuffer(b"".join(queries["v"].iloc[lo : lo + BLOCK]), np.float64).reshape(len(own), -1)
-            score = q @ x.T
-            score[own[:, None] == ids[None, :]] = -np.inf
-            r, c = _top(score, ids, k)
-            keep = score[r, c] > -np.inf
-            r, c = r[keep], c[keep]
-            out.append(pd.DataFrame({"query_id": own[r], "vec_id": ids[c], "score": score[r, c]}))
-        return pd.concat(out)
+            own = queries.iloc[lo : lo + BLOCK]
+            q = np.frombuffer(b"".join(own["v"]), np.float64).reshape(len(own), -1)
+            asked = own["id"].to_numpy()
+            who = np.repeat(np.arange(len(own)), own["buckets"].map(len))
+            visited = np.concatenate(own["buckets"].to_list())
+            found = []
+            for b in np.unique(visited):
+                i, j = np.searchsorted(bucket, b), np.searchsorted(bucket, b, "right")
+                if i == j:
+                    continue
+                w = who[visited == b]
+                score = q[w] @ x[i:j].T
+                score[asked[w][:, None] == ids[None, i:j]] = -np.inf
+                r, c = _top(score, ids[i:j], k)
+                keep = score[r, c] > -np.inf
+                found.append((w[r[keep]], c[keep] + i, score[r[keep], c[keep]]))
+            if found:
+                r, c, score = (np.concatenate(f) for f in zip(*found))
+                order = np.lexsort((ids[c], -score, r))
+                r, c, score = r[order], c[order], score[order]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+                out.append(pd.DataFrame({"query_id": asked[r[keep]], "vec_id": ids[c[keep]], "score": score[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     return answer
 
@@ -235,12 +265,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str
     h = tuned(rows, rows.count(), k)
     if h is None:
         return vectors.sparkSession.createDataFrame([], none)
-    index = rows.mapInArrow(_indexed(h, 1 << 20), "key long, t int, shard long, id long, v binary")
-    size = written(index.groupBy("key", "t").agg(F.count("*").alias("n")).withColumn("shards", F.ceil(F.col("n") / SHARD)).drop("n"), "sizes")
-    index = index.join(size, ["key", "t"]).withColumn("shard", F.col("shard") % F.col("shards")).drop("shards")
-    probes = asked.mapInArrow(_probes(h), "key long, t int, id long, v binary").join(size, ["key", "t"])
+    index = rows.mapInArrow(_indexed(h, 1 << 20), "place long, t int, shard long, bucket long, id long, v binary")
+    size = written(index.groupBy("place", "t").agg(F.count("*").alias("n")).withColumn("shards", F.ceil(F.col("n") / SHARD)).drop("n"), "sizes")
+    index = index.join(size, ["place", "t"]).withColumn("shard", F.col("shard") % F.col("shards")).drop("shards")
+    probes = asked.mapInArrow(_probes(h), "place long, t int, buckets array<long>, id long, v binary").join(size, ["place", "t"])
     probes = probes.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1).cast("array<long>"))).drop("shards")
-    found = index.groupBy("key", "t", "shard").cogroup(probes.groupBy("key", "t", "shard")).applyInPandas(_answered(k), "query_id long, vec_id long, score double")
+    found = index.groupBy("place", "t", "shard").cogroup(probes.groupBy("place", "t", "shard")).applyInPandas(_answered(k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("b"))
     best = best.select("query_id", F.posexplode(F.slice("b", 1, k)).alias("pos", "x"))

@@ -23,10 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cindersift.llm.hashing import chunks, utf8
+from cindersift.llm.hashing import chunks, offsets
 
 #: Pieces that a Python worker keeps (about 200 bytes each) before it starts anew with the next batch.
-KNOWN_PIECES = 600_000
+KNOWN_PIECES = 200_000
+#: Bytes of text whose new pieces are replayed together.
+REPLAY_BYTES = 4 << 20
 _CODECS: dict[str, Codec] = {}
 
 
@@ -73,7 +75,7 @@ class Codec:
         data = np.frombuffer(b"".join(pieces), np.uint8)
         n = len(data)
         ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        piece = np.repeat(np.arange(len(pieces)), np.diff(ends, prepend=0))
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), np.diff(ends, prepend=0))
         over = ends[piece]
         sym = self.byte[data]
         after = np.arange(1, n + 1)
@@ -135,26 +137,25 @@ class Codec:
     def numbered(self, texts: list[str]) -> list[np.ndarray]:
         """The number of each piece of each text; new pieces get the next numbers."""
         number = self.number.__getitem__
-        return [np.fromiter(map(number, x), np.int64, len(x)) for x in map(self.pieces, texts)]
+        return [np.fromiter(map(number, x), np.int32, len(x)) for x in map(self.pieces, texts)]
 
     def learn(self) -> None:
         """Ids of the pieces that have a number and no ids yet."""
         new = list(islice(self.number, len(self.at) - 1, None))
-        ids: list[np.ndarray | None] = [None] * len(new)
-        left = []
-        for i, x in enumerate(x.encode() for x in new):
-            whole = self.ranks.get(x)
-            if whole is None:
-                left.append((i, x))
-            else:
-                ids[i] = np.array([whole])
-        if left:
-            flat, at = self.replay([x for _, x in left])
-            for (i, _), lo, hi in zip(left, at[:-1].tolist(), at[1:].tolist()):
-                ids[i] = flat[lo:hi]
-        if new:
-            self.ids = np.concatenate([self.ids, *ids]).astype(np.int32)
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+        if not new:
+            return
+        whole = np.fromiter((self.ranks.get(x.encode(), -1) for x in new), np.int64, len(new))
+        left = np.flatnonzero(whole < 0)
+        flat, at = self.replay([new[i].encode() for i in left.tolist()]) if len(left) else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+        size = np.ones(len(new), np.int64)
+        size[left] = np.diff(at)
+        ends = np.cumsum(size)
+        ids = np.empty(ends[-1], np.int32)
+        ids[(ends - size)[whole >= 0]] = whole[whole >= 0]
+        inner = np.repeat(np.isin(np.arange(len(new)), left, assume_unique=True), size)
+        ids[inner] = flat
+        self.ids = np.concatenate([self.ids, ids])
+        self.at = np.concatenate([self.at, self.at[-1] + ends])
 
     def forget(self) -> None:
         if len(self.number) > KNOWN_PIECES:
@@ -192,22 +193,28 @@ def _encoded(file: bytes, pattern: str, col: int, digests: bool):
         c = codec(file, pattern)
         name = c.name.__getitem__
         for b in batches:
-            c.forget()
-            _, at = utf8(b.column(col))
-            parts = [(lo, hi, c.numbered(b.column(col)[lo:hi].fill_null("").to_pylist())) for lo, hi in chunks(at)]
-            c.learn()  # one replay for all new pieces of the batch
-            for lo, hi, numbers in parts:
-                ids = [c.spelled(x) for x in numbers]
-                n = np.fromiter(map(len, ids), np.int64, len(ids))
-                if not digests:
-                    own = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.concatenate(ids), pa.int32()))
-                    yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, own], [f"c{i}" for i in range(b.num_columns + 1)])
-                    continue
-                said, back = [], []
-                for x in map(np.ndarray.tolist, ids):
-                    said.append(hashlib.sha256(" ".join(map(name, x)).encode()).hexdigest())
-                    back.append(hashlib.sha256(c.decode(x)).hexdigest())
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(n), pa.array(said, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            at = offsets(b.column(col))
+            cut = 0
+            while cut < b.num_rows:
+                first, parts = cut, []
+                c.forget()
+                while cut < b.num_rows and (cut == first or at[cut] - at[first] < REPLAY_BYTES):
+                    hi = next(chunks(at[cut:]))[1] + cut
+                    parts.append((cut, hi, c.numbered(b.column(col)[cut:hi].fill_null("").to_pylist())))
+                    cut = hi
+                c.learn()
+                for lo, hi, numbers in parts:
+                    ids = [c.spelled(x) for x in numbers]
+                    n = np.fromiter(map(len, ids), np.int64, len(ids))
+                    if not digests:
+                        own = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.concatenate(ids), pa.int32()))
+                        yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, own], [f"c{i}" for i in range(b.num_columns + 1)])
+                        continue
+                    said, back = [], []
+                    for x in map(np.ndarray.tolist, ids):
+                        said.append(hashlib.sha256(" ".join(map(name, x)).encode()).hexdigest())
+                        back.append(hashlib.sha256(c.decode(x)).hexdigest())
+                    yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(n), pa.array(said, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encode
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cindersift.llm import hashing
-from cindersift.llm.hashing import U, chunks, rolling, utf8
+from cindersift.llm.hashing import U, pieces, rolling, utf8
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.35
@@ -128,9 +128,8 @@ def _searched(items: list[tuple[int, str, str]], col: int):
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(items)
         for b in batches:
-            data, at = utf8(b.column(col))
-            for lo, hi in chunks(at):
-                found = list(index.leaks(*words(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]))) if index.units else []
+            for lo, _, data, at in pieces(b.column(col)):
+                found = list(index.leaks(*words(data, at))) if index.units else []
                 if found:
                     t, *rest = zip(*found)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.array(t) + lo)), pa.array(rest[0], pa.int64()), *(pa.array(x, pa.float64()) for x in rest[1:])], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
@@ -143,9 +142,8 @@ def _cleaned(items: list[tuple[int, str, str]], col: int):
         index = Index(items)
         for b in batches:
             keep = np.ones(b.num_rows, bool)
-            data, at = utf8(b.column(col))
-            for lo, hi in chunks(at) if index.units else ():
-                for t, *_ in index.leaks(*words(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])):
+            for lo, _, data, at in pieces(b.column(col)) if index.units else ():
+                for t, *_ in index.leaks(*words(data, at)):
                     keep[lo + t] = False
             yield pa.RecordBatch.from_arrays(b.filter(pa.array(keep)).columns, [f"c{i}" for i in range(b.num_columns)])
 

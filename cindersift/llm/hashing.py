@@ -6,9 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+# Python workers live long beside a JVM: what a batch took goes back to the system.
+pa.set_memory_pool(pa.system_memory_pool())
 
 U = np.uint64
 CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 8192
 _RNG = np.random.default_rng(20240229)
 _BASE = U(int(_RNG.integers(1 << 62, 1 << 63)) | 5)
 _BASE_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
@@ -55,13 +60,25 @@ def utf8(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
+def offsets(texts: pa.Array) -> np.ndarray:
+    """The n + 1 offsets in bytes of the texts of a column, without touching the texts."""
+    return np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+
+
+def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row ranges of a column with their bytes and offsets; only one range's bytes are copied at a time."""
+    for lo, hi in chunks(offsets(texts)):
+        yield lo, hi, *utf8(texts.slice(lo, hi - lo))
+
+
 def chunks(at: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges of about CHUNK_BYTES each; a longer text is a range of its own."""
+    """Row ranges of about CHUNK_BYTES and at most CHUNK_ROWS each; a longer text is a range of its own."""
     lo, n = 0, len(at) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK_BYTES, "right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
+        hi = min(hi, n, lo + CHUNK_ROWS)
+        yield lo, hi
+        lo = hi
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cindersift.llm.hashing import U, chunks, mixed, utf8, word_hashes
+from cindersift.llm.hashing import U, mixed, pieces, word_hashes
 
 BITS = 18
 #: Bytes to their shape: letters, digits, bytes above 127; white space and punctuation as they are. Words are lower-cased
@@ -158,9 +158,8 @@ def fitted(rows: list[np.ndarray], label: np.ndarray, prior: float | None = None
 
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        data, at = utf8(b.column(2))
-        for lo, hi in chunks(at):
-            x, xat = features(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+        for lo, hi, data, at in pieces(b.column(2)):
+            x, xat = features(data, at)
             own = pa.ListArray.from_arrays(pa.array(xat.astype(np.int32)), pa.array(x, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], own], ["id", "label", "x"])
 
@@ -170,8 +169,7 @@ def _scored(model: Model, col: int, threshold: float | None):
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, at = utf8(b.column(col))
-            parts = [model.score(*features(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])) for lo, hi in chunks(at)]
+            parts = [model.score(*features(data, at)) for _, _, data, at in pieces(b.column(col))]
             s = np.concatenate(parts) if parts else np.zeros(0)
             if threshold is None:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [f"c{i}" for i in range(b.num_columns + 1)])

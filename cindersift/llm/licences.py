@@ -20,6 +20,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cindersift.storage import written
+
 THRESHOLD = 0.6
 #: Licence and notice.
 TEMPLATES = (
@@ -124,7 +126,8 @@ def _directory(path: Column) -> Column:
 
 def scanned(files: DataFrame, vectors: Vectors | None = None, *, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """(path, own, cosine, licence, inherited_from): one row per input row; the licence is the own or the inherited one."""
-    own = matched(files, vectors, path_col=path_col, text_col=text_col)
+    # Written, as three branches read it: the texts are looked at once.
+    own = written(matched(files, vectors, path_col=path_col, text_col=text_col), "licences")
     paths = files.select(F.coalesce(F.col(path_col), F.lit("")).alias("path")).join(own, "path", "left")
     paths = paths.withColumn("dir", _directory(F.col("path")))
     holders = paths.where(F.col("own").isNotNull() & F.rlike(F.regexp_extract("path", r"([^/]*)$", 1), F.lit(LICENCE_FILE)))

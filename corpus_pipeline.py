@@ -6,31 +6,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cindersift.llm import bpe, decontaminate, lines, near, quality
+from cindersift.llm.batches import bounded
 from cindersift.storage import written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones of this input, rejects go."""
+    bounded(spark)
     return quality.kept(docs, quality.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar lines one stays; the texts lose the others, and no document goes."""
+    bounded(spark)
     return lines.deduplicated(docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (0.8 of the five-word shingles) stays: the one with the smallest id."""
+    bounded(spark)
     return near.deduplicated(docs, 80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    bounded(spark)
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with the digests of the ids and of the bytes they decode to."""
+    bounded(spark)
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

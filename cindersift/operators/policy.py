@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 #: Name, condition, action.
 POLICIES = (
     ("No Critical Vulnerabilities", "critical_count == 0", "block"),
-    ("Minimum Security Score", "nexus_score >= 70", "warn"),
+    ("Minimum Security Score", "scan_score >= 70", "warn"),
     ("High Vulnerability Limit", "high_count <= 5", "warn"),
     ("No Hardcoded Secrets", "secret_count == 0", "block"),
     ("No Known CVEs", "cve_count <= 3", "warn"),

@@ -300,14 +300,14 @@ def fusion_writeback(spark, sf_dir):
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = enrich.attack_chains(_enriched(spark, sf_dir))
-    return policy.scan_metrics(rows).join(P.risk_score(_findings(spark, sf_dir)).withColumnRenamed("score", "nexus_score"), "scan_id")
+    return policy.scan_metrics(rows).join(P.risk_score(_findings(spark, sf_dir)).withColumnRenamed("score", "scan_score"), "scan_id")
 
 
 METRICS = (
-    CHAIN + ", w AS (SELECT scan_id, round(100 * exp(sum(ln(greatest(0.05, 1 - 0.30 * exploitability * " + _W + " * (confidence * (1 - false_positive_probability)))))), 2) AS nexus_score FROM findings GROUP BY scan_id), "
+    CHAIN + ", w AS (SELECT scan_id, round(100 * exp(sum(ln(greatest(0.05, 1 - 0.30 * exploitability * " + _W + " * (confidence * (1 - false_positive_probability)))))), 2) AS scan_score FROM findings GROUP BY scan_id), "
     "m AS (SELECT scan_id, count(*) FILTER (severity = 'critical') AS critical_count, count(*) FILTER (severity = 'high') AS high_count, count(*) FILTER (" + _first(enrich.CWE, "t") + " IN ('CWE-798', 'CWE-259')) AS secret_count, count(*) FILTER (coalesce(cve_id, '') <> '') AS cve_count, count(*) FILTER (chain_probability > 0.5) AS attack_chain_count, sum("
     + " + ".join(f"{_any(w)}::INT" for of in enrich.CONTROLS.values() for w in of.values())
-    + ") AS compliance_violations FROM ch GROUP BY scan_id), r AS (SELECT scan_id, (critical_count > 0)::INT + (secret_count > 0)::INT AS blocked, (nexus_score < 70)::INT + (high_count > 5)::INT + (cve_count > 3)::INT + (attack_chain_count > 0)::INT AS warned, (compliance_violations > 0)::INT AS notified FROM m JOIN w USING (scan_id)) "
+    + ") AS compliance_violations FROM ch GROUP BY scan_id), r AS (SELECT scan_id, (critical_count > 0)::INT + (secret_count > 0)::INT AS blocked, (scan_score < 70)::INT + (high_count > 5)::INT + (cve_count > 3)::INT + (attack_chain_count > 0)::INT AS warned, (compliance_violations > 0)::INT AS notified FROM m JOIN w USING (scan_id)) "
 )
 
 

@@ -130,7 +130,7 @@ def test_typosquats(spark):
 
 
 def test_policy(spark):
-    metrics = spark.createDataFrame([(1, 1, 50.0), (2, 0, 90.0)], "scan_id long, critical_count long, nexus_score double")
+    metrics = spark.createDataFrame([(1, 1, 50.0), (2, 0, 90.0)], "scan_id long, critical_count long, scan_score double")
     rows = policy.POLICIES + (("odd", "what is this", "block"),)
     got = {r.scan_id: (r.gate, r.blocked, r.warned) for r in policy.gate(policy.evaluated(metrics, policy.policies(spark, rows))).collect()}
     assert got == {1: ("block", 1, 1), 2: ("pass", 0, 0)}

@@ -114,9 +114,10 @@ def matched(files: DataFrame, vectors: Vectors | None = None, *, path_col: str =
         same = acc["word"] == w
         return F.struct(w.alias("word"), F.when(same, acc["n"] + 1).otherwise(F.lit(1)).cast("long").alias("n"), F.when(same, acc["sum"]).otherwise(closed(acc)).alias("sum"))
 
-    scored = words.select("path", "dots", F.sqrt(F.aggregate("words", start, step, closed)).alias("norm"))
-    best = F.array_min(F.zip_with("dots", F.array(*map(F.lit, v.names)), lambda d, name: F.struct((-F.round(d / F.col("norm"), 9)).alias("c"), name.alias("own"))))
-    scored = scored.select("path", best.alias("b")).where(-F.col("b.c") >= v.threshold)
+    # The length divides all products alike, so it stays outside the choice (inside, it would be measured for each template).
+    most = F.array_min(F.zip_with("dots", F.array(*map(F.lit, v.names)), lambda d, name: F.struct((-F.round(d, 9)).alias("d"), name.alias("own"))))
+    scored = words.select("path", most.alias("m"), F.sqrt(F.aggregate("words", start, step, closed)).alias("norm"))
+    scored = scored.select("path", F.struct(F.round(F.col("m.d") / F.col("norm"), 9).alias("c"), F.col("m.own").alias("own")).alias("b")).where(-F.col("b.c") >= v.threshold)
     return scored.groupBy("path").agg(F.min("b").alias("b")).select("path", F.col("b.own").alias("own"), (-F.col("b.c")).alias("cosine"))
 
 

@@ -6,9 +6,12 @@ bucket and then buckets whose hashes are moved by one at some projections, in th
 reranked by the exact measure on the original vectors.
 
 Inner products become distances by one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm (0 for queries), so
-the largest inner product is the smallest distance also where norms differ. How many buckets are visited, and the
-width w, are chosen on a bounded sample: PILOT queries against FITTED rows, until the share of true neighbours in
-visited buckets reaches TARGET (the sample misses fewer of few rows, so the target lies above the 0.9 wanted).
+the largest inner product is the smallest distance also where norms differ. Rows are split by norm into bands of one
+doubling, each with an M and hashes of its own, so a few long rows do not push the others away from the queries, which
+are scaled to M. Bands of few rows are searched exactly. How many buckets are visited, and the width w, are chosen for
+each band on a bounded sample: PILOT queries against FITTED rows of the band; cells widen and are measured again until
+the share of true neighbours in visited buckets reaches TARGET (the sample misses fewer of few rows, so the target lies
+above the 0.9 wanted), at last to one bucket that holds all rows.
 
 Buckets that share their first COARSE cells go to one place, so that a query asks once for all buckets it visits there.
 The rows of a place are dealt to shards of at most SHARD rows on average, its queries to blocks of BLOCK, and each
@@ -17,7 +20,7 @@ once to each table; the rows' shuffle carries the vectors, so the reranking need
 
 Defined results: vectors that are null, zero, of another length than most sampled ones, or that hold null or
 non-finite components take no part, nor do rows of a null id; equal scores go to the smaller id; rows with the same id
-are one candidate (its best score) and one query; with fewer than k candidates a query gets them all, and with none no
+are one candidate (its best score) and one query; with fewer than k rows to find a query gets them all, and with none no
 row. Only the id and vector columns are read.
 """
 
@@ -42,6 +45,11 @@ BLOCK = 2048
 MAX_HASHES = 24
 #: Projections whose cells say where a row goes; the others say which of the rows there a query looks at.
 COARSE = 2
+#: Classes of length to a doubling, and the class of rows that have none; a band spans one doubling.
+CELLS, NO_CELL = 8, -(1 << 40)
+WIDENINGS = 24
+#: Queries in a task of a place that all queries ask.
+ASKED = 65536
 
 
 def matrix(col: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +79,11 @@ class Hashes:
         self.b = rng.uniform(0, 1, TABLES * n)
 
     def place(self, x: np.ndarray, query: bool) -> np.ndarray:
-        rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.largest**2 - (x * x).sum(axis=1), 0))
+        if query:  # of the length of the largest row: the order of the products stays, and the nearest are near
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            x, rest = x * (self.largest / np.sqrt((x * x).sum(axis=1, keepdims=True))), np.zeros(len(x))
+        else:
+            rest = np.sqrt(np.maximum(self.largest**2 - (x * x).sum(axis=1), 0))
         return ((np.column_stack([x, rest]) - self.center) @ self.a / self.width + self.b).reshape(len(x), TABLES, self.n)
 
     def keys(self, cell: np.ndarray) -> np.ndarray:
@@ -140,83 +152,173 @@ def _top(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return r, c
 
 
-def tuned(vectors: DataFrame, n_rows: int, k: int) -> Hashes | None:
-    """Projections, width and visits, from a bounded sample of the rows and the largest norm of all."""
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(FITTED).toArrow()
-    x, _ = matrix(sample.column("v"))
-    if not len(x):
-        return None
+def norm_cells(x: np.ndarray) -> np.ndarray:
+    """Fine classes of length, CELLS to a doubling; NO_CELL where the square of a length is beyond doubles."""
+    with np.errstate(over="ignore", under="ignore", divide="ignore"):
+        at = np.floor(np.log2(np.einsum("ij,ij->i", x, x)) * (CELLS / 2))
+    return np.where(np.isfinite(at), at, NO_CELL).astype(np.int64)
+
+
+def _norms(dim: int):
+    def norms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, _ = matrix(b.column(0), dim)
+            cell, back = np.unique(norm_cells(x), return_inverse=True)
+            q = np.zeros(len(cell))
+            with np.errstate(over="ignore"):
+                np.maximum.at(q, back, np.einsum("ij,ij->i", x, x))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.bincount(back, minlength=len(cell)).astype(np.int64)), pa.array(q)], ["cell", "n", "q"])
+
+    return norms
+
+
+class Bands:
+    """Rows in bands of like length, each with hashes of its own; rows of the other bands (``exact``) are all compared."""
+
+    def __init__(self, dim: int, edges: list[tuple[int, int]], hashes: list[Hashes]):
+        self.dim, self.edges, self.hashes = dim, edges, hashes
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The band of each row, -1 for the exact one."""
+        cell, out = norm_cells(x), np.full(len(x), -1)
+        for i, (lo, hi) in enumerate(self.edges):
+            out[(cell >= lo) & (cell <= hi)] = i
+        return out
+
+
+def bands(cells: list[tuple[int, int, float]], least: int) -> list[tuple[int, int, int, float]]:
+    """(lowest cell, highest cell, rows, largest length) of the bands of over ``least`` rows, from (cell, rows, largest square)."""
+    out, left = [], sorted((c for c in cells if c[0] != NO_CELL), reverse=True)
+    while left:
+        top = left[0][0]
+        part = [c for c in left if c[0] > top - CELLS]
+        left = left[len(part) :]
+        n = sum(c[1] for c in part)
+        if n > least:
+            out.append((part[-1][0], top, n, float(np.sqrt(max(c[2] for c in part))) * (1 + 1e-9)))
+    return out
+
+
+def fitted(x: np.ndarray, ids: np.ndarray, pilot: np.ndarray, pilot_ids: np.ndarray, n_rows: int, largest: float, k: int) -> Hashes:
+    """Projections, width and visits that find TARGET of the pilot's neighbours among the sampled rows of a band.
+
+    Cells are widened until they do, at last to one bucket that holds all rows.
+    """
     dim = x.shape[1]
-    v = F.transform("v", lambda e: e.cast("double"))
-    largest = vectors.where(F.size("v") == dim).select(F.aggregate(v, F.lit(0.0), lambda s, e: s + e * e).alias("q")).where("q < double('Infinity')").agg(F.max("q")).first()[0]
-    largest = float(np.sqrt(largest or 1.0)) * (1 + 1e-9)
     whole = np.column_stack([x, np.sqrt(np.maximum(largest**2 - (x * x).sum(axis=1), 0))])
     center = whole.mean(axis=0)
-    pilot = x[: min(PILOT, len(x))]
     score = pilot @ x.T
-    score[np.arange(len(pilot)), np.arange(len(pilot))] = -np.inf
+    score[pilot_ids[:, None] == ids[None, :]] = -np.inf
     truth = np.argsort(-score, axis=1)[:, : min(k, len(x) - 1)]
     n = int(min(MAX_HASHES, max(2, np.ceil(np.log2(max(n_rows / BUCKET_ROWS, 4))))))
     spread = float(np.sqrt(((whole - center) ** 2).sum(axis=1).mean()))
     best = Hashes(dim, n, 2.0 * spread or 1.0, largest, 1, center)
     limit = len(best.sets())
-    probes = 1
-    while True:
-        best.probes = min(probes, limit)
+    for _ in range(WIDENINGS):
+        best.probes = limit
         keys = best.keys(best.probed(pilot))
         own = best.keys(np.floor(best.place(x, False)))
-        hit = np.zeros(truth.shape, bool)
+        first = np.full(truth.shape, limit)  # how many visits come before the one that finds it
         for t in range(TABLES):
-            hit |= (own[truth, t][:, :, None] == keys[:, t, None, :]).any(axis=2)
-        if not hit.size or hit.mean() >= TARGET or best.probes == limit:
-            break
-        probes = probes + max(1, probes // 3)
-    if hit.size and hit.mean() < TARGET:  # wider cells: a bucket and its neighbours hold more
+            for i in range(len(pilot)):
+                same = own[truth[i], t][:, None] == keys[i, t][None, :]
+                first[i] = np.minimum(first[i], np.where(same.any(axis=1), same.argmax(axis=1), limit))
+        probes = 1
+        while probes < limit and first.size and (first < probes).mean() < TARGET:
+            probes = min(probes + max(1, probes // 3), limit)
+        best.probes = probes
+        if not first.size or (first < probes).mean() >= TARGET:
+            return best
         best.width *= 2
-        best.probes = limit
+    best.width, best.probes = np.inf, 1
     return best
 
 
-def _indexed(h: Hashes, shards: int):
+def tuned(vectors: DataFrame, k: int) -> Bands | None:
+    """Bands and their hashes, from bounded samples of the rows and the lengths of all."""
+
+    def sampled(rows: DataFrame, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        sample = rows.orderBy(F.xxhash64("id"), "id").limit(FITTED).toArrow()
+        x, at = matrix(sample.column("v"), dim)
+        return x, sample.column("id").to_numpy()[at]
+
+    x, ids = sampled(vectors)
+    if not len(x):
+        return None
+    dim = x.shape[1]
+    cells = vectors.select("v").mapInArrow(_norms(dim), "cell long, n long, q double").groupBy("cell").agg(F.sum("n").alias("n"), F.max("q").alias("q")).collect()
+    cells = [(r.cell, r.n, r.q) for r in cells]
+    dense = bands(cells, max(BUCKET_ROWS, 4 * k))
+    hashes = []
+    for lo, hi, n, largest in dense:
+        own, own_ids = x, ids
+        if n < sum(c[1] for c in cells):
+            alone = Bands(dim, [(lo, hi)], [])
+
+            def inside(batches: Iterable[pa.RecordBatch], alone: Bands = alone) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    y, at = matrix(b.column(1), alone.dim)
+                    yield b.take(pa.array(at[alone.of(y) == 0]))
+
+            own, own_ids = sampled(vectors.mapInArrow(inside, vectors.schema), dim)
+        hashes.append(fitted(own, own_ids, x[:PILOT], ids[:PILOT], n, largest, k))
+    return Bands(dim, [d[:2] for d in dense], hashes)
+
+
+def _indexed(h: Bands, shards: int):
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, rows = matrix(b.column(1), h.dim)
-            if not len(x):
-                continue
-            cells = np.floor(h.place(x, False))
-            place, bucket = h.places(cells), h.keys(cells)
-            ids = b.column(0).take(pa.array(rows))
-            shard = (ids.to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % shards
-            blob = pa.array([r.tobytes() for r in x], pa.binary())
-            for t in range(TABLES):
-                yield pa.RecordBatch.from_arrays([pa.array(place[:, t]), pa.array(np.full(len(x), t, np.int32)), pa.array(shard), pa.array(bucket[:, t]), ids, blob], ["place", "t", "shard", "bucket", "id", "v"])
+            band = h.of(x)
+            for i in np.unique(band):
+                part = np.flatnonzero(band == i)
+                y = x[part]
+                ids = b.column(0).take(pa.array(rows[part]))
+                shard = (ids.to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % shards
+                blob = pa.array([r.tobytes() for r in y], pa.binary())
+                if i < 0:
+                    place = bucket = np.zeros((len(y), 1), np.int64)
+                else:
+                    cells = np.floor(h.hashes[i].place(y, False))
+                    place, bucket = h.hashes[i].places(cells), h.hashes[i].keys(cells)
+                for t in range(place.shape[1]):
+                    number = -1 if i < 0 else i * TABLES + t
+                    yield pa.RecordBatch.from_arrays([pa.array(place[:, t]), pa.array(np.full(len(y), number, np.int32)), pa.array(shard), pa.array(bucket[:, t]), ids, blob], ["place", "t", "shard", "bucket", "id", "v"])
 
     return index
 
 
-def _probes(h: Hashes):
+def _probes(h: Bands):
     """One row for each query, table and place, with all buckets that the query visits there."""
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["place", "t", "buckets", "id", "v"]
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 x, rows = matrix(part.column(1), h.dim)
                 if not len(x):
                     continue
-                cells = h.probed(x)
-                place, bucket = h.places(cells), h.keys(cells)
                 ids = part.column(0).take(pa.array(rows)).to_numpy(zero_copy_only=False)
                 blob = np.array([r.tobytes() for r in x], object)
-                for t in range(TABLES):
-                    who = np.repeat(np.arange(len(x)), place.shape[2])
-                    order = np.lexsort((place[:, t].ravel(), who))
-                    who, p, k = who[order], place[:, t].ravel()[order], bucket[:, t].ravel()[order]
-                    new = np.ones(len(p), bool)
-                    new[1:] = (p[1:] != p[:-1]) | (who[1:] != who[:-1])
-                    starts = np.flatnonzero(new)
-                    buckets = pa.ListArray.from_arrays(pa.array(np.append(starts, len(p)).astype(np.int32)), pa.array(k))
-                    yield pa.RecordBatch.from_arrays([pa.array(p[starts]), pa.array(np.full(len(starts), t, np.int32)), buckets, pa.array(ids[who[starts]]), pa.array(blob[who[starts]], pa.binary())], ["place", "t", "buckets", "id", "v"])
+                zeros = np.zeros(len(x), np.int64)
+                every = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32)), pa.array(zeros))
+                yield pa.RecordBatch.from_arrays([pa.array(zeros), pa.array(np.full(len(x), -1, np.int32)), every, pa.array(ids), pa.array(blob, pa.binary())], names)
+                for i, own in enumerate(h.hashes):
+                    cells = own.probed(x)
+                    place, bucket = own.places(cells), own.keys(cells)
+                    for t in range(TABLES):
+                        who = np.repeat(np.arange(len(x)), place.shape[2])
+                        order = np.lexsort((bucket[:, t].ravel(), place[:, t].ravel(), who))
+                        who, p, k = who[order], place[:, t].ravel()[order], bucket[:, t].ravel()[order]
+                        other = np.ones(len(p), bool)  # a bucket reached by two sets of moves is visited once
+                        other[1:] = (p[1:] != p[:-1]) | (who[1:] != who[:-1]) | (k[1:] != k[:-1])
+                        who, p, k = who[other], p[other], k[other]
+                        new = np.ones(len(p), bool)
+                        new[1:] = (p[1:] != p[:-1]) | (who[1:] != who[:-1])
+                        starts = np.flatnonzero(new)
+                        buckets = pa.ListArray.from_arrays(pa.array(np.append(starts, len(p)).astype(np.int32)), pa.array(k))
+                        yield pa.RecordBatch.from_arrays([pa.array(p[starts]), pa.array(np.full(len(starts), i * TABLES + t, np.int32)), buckets, pa.array(ids[who[starts]]), pa.array(blob[who[starts]], pa.binary())], names)
 
     return probe
 
@@ -262,15 +364,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
     none = "query_id long, rank int, vec_id long, score double"
-    h = tuned(rows, rows.count(), k)
+    h = tuned(rows, k)
     if h is None:
         return vectors.sparkSession.createDataFrame([], none)
     index = rows.mapInArrow(_indexed(h, 1 << 20), "place long, t int, shard long, bucket long, id long, v binary")
     size = written(index.groupBy("place", "t").agg(F.count("*").alias("n")).withColumn("shards", F.ceil(F.col("n") / SHARD)).drop("n"), "sizes")
+    # Where all queries ask one place, they are dealt to blocks, and its rows go to each.
+    alone = F.col("t").isin(-1, *[i * TABLES + t for i, x in enumerate(h.hashes) if np.isinf(x.width) for t in range(TABLES)])
+    blocks = F.when(alone, max(1, -(-asked.count() // ASKED))).otherwise(1).cast("long")
     index = index.join(size, ["place", "t"]).withColumn("shard", F.col("shard") % F.col("shards")).drop("shards")
+    index = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     probes = asked.mapInArrow(_probes(h), "place long, t int, buckets array<long>, id long, v binary").join(size, ["place", "t"])
     probes = probes.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1).cast("array<long>"))).drop("shards")
-    found = index.groupBy("place", "t", "shard").cogroup(probes.groupBy("place", "t", "shard")).applyInPandas(_answered(k), "query_id long, vec_id long, score double")
+    probes = probes.withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+    found = index.groupBy("place", "t", "shard", "block").cogroup(probes.groupBy("place", "t", "shard", "block")).applyInPandas(_answered(k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("b"))
     best = best.select("query_id", F.posexplode(F.slice("b", 1, k)).alias("pos", "x"))

@@ -37,6 +37,24 @@ def test_neighbours_recall(spark, scaled):
     assert hits / (300 * 20) >= 0.9
 
 
+@pytest.mark.parametrize("norm", [10.0, 1e6])
+def test_neighbours_of_one_long_row(spark, norm):
+    own = np.random.default_rng(11)
+    x = own.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[777] *= norm
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest(df, df.where("vec_id % 20 = 0"), 20).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 6000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits / (300 * 20) >= 0.9
+
+
 def test_neighbours_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [float("inf"), 1.0]), (2, [0.5, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

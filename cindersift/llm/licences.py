@@ -9,7 +9,8 @@ such a word are taken apart, and of these only units whose length leaves room fo
 result as it is. All of it happens within a row; only paths and licences are shuffled.
 
 Defined results: null and empty texts have no licence of their own and may inherit; a null path counts as empty;
-rows of the same path share the path's best match; of equal cosines the first licence by name counts; a directory's
+rows of the same path share the path's best match, unless a key says that each row is a document of its own, which then
+shares the path for inheritance only; of equal cosines the first licence by name counts; a directory's
 licence is its licence files' best; without one up to the root the licence is null. Extra columns are not read.
 """
 
@@ -84,16 +85,23 @@ class Vectors:
         return F.map_from_arrays(words, F.array(*map(F.lit, self.idf.values()))), *[F.map_from_arrays(words, t) for t in tables]
 
 
-def matched(files: DataFrame, vectors: Vectors | None = None, *, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """(path, own, cosine): the best licence of each path that has a unit over the threshold."""
+def _named(files: DataFrame, path_col: str, text_col: str, key_col: str | None) -> tuple[DataFrame, list[str]]:
+    """The files as path, text and, of rows that count one by one, key and the text's hash; and the names of what a match belongs to."""
+    own = [] if key_col is None else [F.col(key_col).alias("key"), F.xxhash64(text_col).alias("hash")]
+    return files.select(F.coalesce(F.col(path_col), F.lit("")).alias("path"), *own, F.col(text_col).alias("text")), ["path"] if key_col is None else ["path", "key", "hash"]
+
+
+def matched(files: DataFrame, vectors: Vectors | None = None, *, path_col: str = "path", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """(path, own, cosine): the best licence of each path that has a unit over the threshold; with a key, of each (path, key, hash)."""
     v = vectors or Vectors()
+    files, names = _named(files, path_col, text_col, key_col)
     telling = F.array(*map(F.lit, v.telling))
     # Cutting at everything else is much cheaper than searching for any of the words.
     cut = lambda text: F.split(F.lower(text), "[^0-9a-z]+")
-    rows = files.select(F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.col(text_col).alias("text")).where(F.arrays_overlap(cut(F.col("text")), telling))
+    rows = files.where(F.arrays_overlap(cut(F.col("text")), telling))
     # A paragraph of one line is that line.
     units = F.concat(F.split("text", "\n"), F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n"))))
-    units = rows.select("path", F.explode(F.array_distinct(F.filter(units, lambda u: F.arrays_overlap(cut(u), telling)))).alias("unit"))
+    units = rows.select(*names, F.explode(F.array_distinct(F.filter(units, lambda u: F.arrays_overlap(cut(u), telling)))).alias("unit"))
     idf, weights, squares = v.literals()
     known = F.array(*map(F.lit, v.idf))
     zero = F.array_repeat(F.lit(0.0), len(v.names))
@@ -101,7 +109,7 @@ def matched(files: DataFrame, vectors: Vectors | None = None, *, path_col: str =
     add = lambda table: lambda t, w: F.zip_with(t, F.element_at(table, w), lambda a, b: a + b)
     # By Cauchy-Schwarz the squared cosine is at most what the unit's words cover of the template's squared length.
     covered = F.aggregate(F.array_intersect(F.array_distinct(words), known), zero, add(squares))
-    words = units.where(F.array_max(covered) >= v.threshold**2 * 0.999).select("path", F.sort_array(words).alias("words"))
+    words = units.where(F.array_max(covered) >= v.threshold**2 * 0.999).select(*names, F.sort_array(words).alias("words"))
     words = words.withColumn("dots", F.aggregate(F.filter("words", lambda w: F.array_contains(known, w)), zero, add(weights)))
     # Equal words are neighbours, so one pass has each word's count.
     start = F.struct(F.lit("").alias("word"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("sum"))
@@ -116,20 +124,23 @@ def matched(files: DataFrame, vectors: Vectors | None = None, *, path_col: str =
 
     # The length divides all products alike, so it stays outside the choice (inside, it would be measured for each template).
     most = F.array_min(F.zip_with("dots", F.array(*map(F.lit, v.names)), lambda d, name: F.struct((-F.round(d, 9)).alias("d"), name.alias("own"))))
-    scored = words.select("path", most.alias("m"), F.sqrt(F.aggregate("words", start, step, closed)).alias("norm"))
-    scored = scored.select("path", F.struct(F.round(F.col("m.d") / F.col("norm"), 9).alias("c"), F.col("m.own").alias("own")).alias("b")).where(-F.col("b.c") >= v.threshold)
-    return scored.groupBy("path").agg(F.min("b").alias("b")).select("path", F.col("b.own").alias("own"), (-F.col("b.c")).alias("cosine"))
+    scored = words.select(*names, most.alias("m"), F.sqrt(F.aggregate("words", start, step, closed)).alias("norm"))
+    scored = scored.select(*names, F.struct(F.round(F.col("m.d") / F.col("norm"), 9).alias("c"), F.col("m.own").alias("own")).alias("b")).where(-F.col("b.c") >= v.threshold)
+    return scored.groupBy(*names).agg(F.min("b").alias("b")).select(*names, F.col("b.own").alias("own"), (-F.col("b.c")).alias("cosine"))
 
 
 def _directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
-def scanned(files: DataFrame, vectors: Vectors | None = None, *, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """(path, own, cosine, licence, inherited_from): one row per input row; the licence is the own or the inherited one."""
+def scanned(files: DataFrame, vectors: Vectors | None = None, *, path_col: str = "path", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """(path, own, cosine, licence, inherited_from), after the key if there is one: one row per input row; the licence is the own or the inherited one."""
     # Written, as three branches read it: the texts are looked at once.
-    own = written(matched(files, vectors, path_col=path_col, text_col=text_col), "licences")
-    paths = files.select(F.coalesce(F.col(path_col), F.lit("")).alias("path")).join(own, "path", "left")
+    own = written(matched(files, vectors, path_col=path_col, text_col=text_col, key_col=key_col), "licences")
+    rows, names = _named(files, path_col, text_col, key_col)
+    theirs = own.select(*[F.col(c).alias(f"_{c}") for c in names], "own", "cosine")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]  # a key may be null
+    paths = rows.drop("text").join(theirs, same, "left").drop(*[f"_{c}" for c in names])
     paths = paths.withColumn("dir", _directory(F.col("path")))
     holders = paths.where(F.col("own").isNotNull() & F.rlike(F.regexp_extract("path", r"([^/]*)$", 1), F.lit(LICENCE_FILE)))
     holders = holders.groupBy(F.col("dir").alias("holder")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "own")).alias("h")).select("holder", F.col("h.own").alias("theirs"))
@@ -140,4 +151,4 @@ def scanned(files: DataFrame, vectors: Vectors | None = None, *, path_col: str =
     nearest = dirs.join(holders, "holder").groupBy("dir").agg(F.max(F.struct("depth", "holder", "theirs")).alias("n"))
     out = paths.join(nearest, "dir", "left")
     inherits = F.col("own").isNull()
-    return out.select("path", "own", "cosine", F.coalesce("own", F.col("n.theirs")).alias("licence"), F.when(inherits, F.col("n.holder")).alias("inherited_from"))
+    return out.select(*([] if key_col is None else [F.col("key").alias(key_col)]), "path", "own", "cosine", F.coalesce("own", F.col("n.theirs")).alias("licence"), F.when(inherits, F.col("n.holder")).alias("inherited_from"))

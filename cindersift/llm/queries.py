@@ -48,12 +48,12 @@ def document_files(docs: DataFrame) -> DataFrame:
     parent = F.concat_ws("/", F.col("source"), F.floor(k / 50).cast("string"))
     inner = F.concat_ws("/", parent, F.floor(k / 5).cast("string"))
     path = F.when(k % 50 == 0, F.concat(parent, F.lit("/LICENSE"))).when(k % 5 == 0, F.concat(inner, F.lit("/LICENSE"))).otherwise(F.concat(inner, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
-    return docs.select(path.alias("path"), "text")
+    return docs.select("doc_id", path.alias("path"), "text")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The own and the inherited licence of every document, as a file of a tree made from source and id."""
-    return licences.scanned(document_files(table(spark, sf_dir, "documents")))
+    return licences.scanned(document_files(table(spark, sf_dir, "documents")), key_col="doc_id")
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

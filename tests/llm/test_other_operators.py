@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from cindersift.llm import chat, graph, licences, neighbours, urls
+from cindersift.llm import chat, graph, licences, neighbours, queries, urls
 
 rng = np.random.default_rng(5)
 random.seed(5)
@@ -164,3 +164,14 @@ def test_licences(spark):
         assert (best is None) == (str(i) not in got)
         if best:
             assert got[str(i)].own == best[1] and math.isclose(got[str(i)].cosine, -best[0], abs_tol=1e-6)
+
+
+def test_licences_of_documents_that_share_a_path(spark):
+    texts = {0: "Released under the MIT License.", 1: "nothing", 2: "Licensed under the Apache License, Version 2.0.", 21: "nothing", None: "Licensed under CC BY-NC 4.0."}
+    docs = spark.createDataFrame([(i, "one", t) for i, t in texts.items()] + [(None, "one", "nothing")], "doc_id long, source string, text string")
+    out = licences.scanned(queries.document_files(docs), key_col="doc_id")
+    got = sorted(((r.doc_id, r.path, r.own, r.licence, r.inherited_from) for r in out.collect()), key=str)
+    assert got == sorted([
+        (0, "one/0/LICENSE", "MIT", "MIT", None), (1, "one/0/LICENSE", None, "Apache-2.0", "one/0"), (2, "one/0/LICENSE", "Apache-2.0", "Apache-2.0", None),
+        (21, "one/0/0/21.txt", None, "Apache-2.0", "one/0"), (None, "", "CC-BY-NC-4.0", "CC-BY-NC-4.0", None), (None, "", None, None, None),
+    ], key=str)

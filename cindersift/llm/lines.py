@@ -1,8 +1,10 @@
 """Fuzzy line deduplication by MinHash over character shingles.
 
-Lines are split at line feeds. A line's set holds its ten-character shingles (code points); a shorter line is one
-shingle. 36 one-permutation minima in 12 bands of three propose pairs (a pair at 0.8 shares no band with probability
-2e-4, at 0.9 with 5e-8), exact Jaccard similarity of 0.8 confirms them, and distributed union-find makes components. Of
+Lines are split at line feeds. A line's set holds its shingles (code points); a shorter line is one shingle. A scheme
+says how long they are: FIVE for corpora, whose lines are mostly short, with 64 one-permutation minima in 16 bands of
+four (a pair at 0.8 shares no band with probability 2e-4, at 0.9 with 4e-8); TEN for long lines, with 36 in 12 bands of three
+(2e-4 and 5e-8). A minimum without a shingle borrows from the others, in an order of its own, until it has one: a band of a
+short line would else be a single shingle that many lines share. Bands propose pairs, exact Jaccard similarity of 0.8 confirms them, and distributed union-find makes components. Of
 each component the occurrence with the smallest (doc_id, line number) stays.
 
 Defined results: blank lines (Unicode white space only) always stay; null texts have no lines and stay null; rows that
@@ -14,6 +16,7 @@ document is dropped. Other columns pass through. Equal lines are compared by 64-
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,19 @@ from cindersift.llm.graph import components
 from cindersift.llm.hashing import U, chunks, lists, mixed, offsets, powers
 from cindersift.storage import written
 
-SHINGLE = 10
-BANDS, ROWS = 12, 3
+
+
+class Scheme(NamedTuple):
+    """Characters of a shingle; bands, and minima of each."""
+
+    shingle: int
+    bands: int
+    rows: int
+
+
+TEN = Scheme(10, 12, 3)
+#: One inner character alters five shingles: lines from 49 characters on are alike that differ in one.
+FIVE = Scheme(5, 16, 4)
 PERCENT = 80
 #: Bits of a shingle's hash in sets; the rest of 64 bits hold the line's place in its chunk.
 PACKED = 50
@@ -56,34 +70,42 @@ class Lines:
         length = (self.end - self.start).astype(U)
         self.hash = mixed((self.total[self.end] - self.total[self.start]) * self.down[self.start] + mixed(length))
 
-    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
+    def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Shingle hashes (with repeats) of the lines in order and the line of each."""
-        count = self.end - self.start - (SHINGLE - 1)
+        count = self.end - self.start - (size - 1)
         short = np.flatnonzero(count < 1)
         count = np.maximum(count, 0)
         line = np.repeat(np.arange(len(count)), count)
         at = np.arange(len(line)) + np.repeat(self.start - (np.cumsum(count) - count), count)
-        h = mixed((self.total[at + SHINGLE] - self.total[at]) * self.down[at])
+        h = mixed((self.total[at + size] - self.total[at]) * self.down[at])
         if not len(short):
             return h, line
         return np.concatenate([h, mixed(self.hash[short] + U(1))]), np.concatenate([line, short])
 
-    def sets(self) -> tuple[np.ndarray, np.ndarray]:
+    def sets(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles of each line, sorted, and their offsets."""
-        h, line = self.shingles()
+        h, line = self.shingles(size)
         packed = np.sort((line.astype(U) << U(PACKED)) | (h >> U(64 - PACKED)))
         packed = packed[np.append(True, packed[1:] != packed[:-1])[: len(packed)]]
         return packed & U((1 << PACKED) - 1), np.searchsorted(packed, np.arange(len(self.start) + 1, dtype=U) << U(PACKED))
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
         """Band keys of each line and which of them hold any shingle."""
-        m = BANDS * ROWS
+        m = scheme.bands * scheme.rows
         least = np.full(len(self.start) * m, 0xFFFFFFFF, np.uint32)
-        h, line = self.shingles()
+        h, line = self.shingles(scheme.shingle)
         np.minimum.at(least, line * m + ((h >> U(32)) * U(m) >> U(32)).astype(np.int64), (h & U(0xFFFFFFFE)).astype(np.uint32))
-        least = least.reshape(-1, BANDS, ROWS).astype(U)
-        key = mixed(np.arange(BANDS, dtype=U) + U(99))[None, :]
-        for i in range(ROWS):
+        empty = np.flatnonzero(least == 0xFFFFFFFF)
+        first = least.copy()
+        for donor in np.argsort(np.random.default_rng(m).random((m, m)), axis=0):
+            if not len(empty):
+                break
+            own = empty % m
+            least[empty] = first[empty - own + donor[own]]
+            empty = empty[least[empty] == 0xFFFFFFFF]
+        least = least.reshape(-1, scheme.bands, scheme.rows).astype(U)
+        key = mixed(np.arange(scheme.bands, dtype=U) + U(99))[None, :]
+        for i in range(scheme.rows):
             key = mixed(key + least[:, :, i])
         return key, (least != U(0xFFFFFFFF)).any(axis=2)
 
@@ -93,14 +115,17 @@ def _lines(batch: pa.RecordBatch, col: int) -> Iterator[tuple[int, Lines]]:
         yield lo, Lines(batch.column(col)[lo:hi].fill_null("").to_pylist())
 
 
-def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        got = []
-        for _, x in _lines(b, 0):
-            keys, there = x.keys()
-            got.append((keys[there], np.broadcast_to(x.hash[:, None], keys.shape)[there]))
-        if got:
-            yield banding.rows(*(np.concatenate(c).view(np.int64) for c in zip(*got)))
+def _bands(scheme: Scheme):
+    def bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for _, x in _lines(b, 0):
+                keys, there = x.keys(scheme)
+                got.append((keys[there], np.broadcast_to(x.hash[:, None], keys.shape)[there]))
+            if got:
+                yield banding.rows(*(np.concatenate(c).view(np.int64) for c in zip(*got)))
+
+    return bands
 
 
 def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,30 +141,39 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x.hash[first].view(np.int64)), pa.array([x.text[i:j] for i, j in zip(x.start[first].tolist(), x.end[first].tolist())], pa.string())], ["node", "line"])
 
 
-def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo, x in _lines(b, 1):
-            keys, there = x.keys()
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x.row + lo)), lists(keys[there], np.concatenate([[0], np.cumsum(there.sum(axis=1))]))], ["node", "keys"])
+def _keys(scheme: Scheme):
+    def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, x in _lines(b, 1):
+                keys, there = x.keys(scheme)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x.row + lo)), lists(keys[there], np.concatenate([[0], np.cumsum(there.sum(axis=1))]))], ["node", "keys"])
 
+    return keys
 
-def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo, x in _lines(b, 1):
-            h, at = x.sets()
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x.row + lo)), lists(h, at)], ["node", "s"])
 
+def _sets(scheme: Scheme):
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, x in _lines(b, 1):
+                h, at = x.sets(scheme.shingle)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x.row + lo)), lists(h, at)], ["node", "s"])
+
+    return sets
 
-def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of lines (a, b, text of a, text of b) to those whose shingle sets are similar enough."""
-    for b in batches:
-        for lo, hi in chunks(offsets(b.column(2))):
-            n = hi - lo
-            sets = [Lines(b.column(col)[lo:hi].to_pylist()).sets() for col in (2, 3)]
-            size = sum(np.diff(at) for _, at in sets)
-            both = np.sort(np.concatenate([(np.repeat(np.arange(n, dtype=U), np.diff(at)) << U(PACKED)) | h for h, at in sets]))
-            both = np.bincount((both[1:][both[1:] == both[:-1]] >> U(PACKED)).astype(np.int64), minlength=n)
-            yield b.select([0, 1]).slice(lo, n).filter(pa.array(100 * both >= PERCENT * (size - both)))
+
+def _similar(scheme: Scheme):
+    def similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of lines (a, b, text of a, text of b) to those whose shingle sets are similar enough."""
+        for b in batches:
+            for lo, hi in chunks(offsets(b.column(2))):
+                n = hi - lo
+                sets = [Lines(b.column(col)[lo:hi].to_pylist()).sets(scheme.shingle) for col in (2, 3)]
+                size = sum(np.diff(at) for _, at in sets)
+                both = np.sort(np.concatenate([(np.repeat(np.arange(n, dtype=U), np.diff(at)) << U(PACKED)) | h for h, at in sets]))
+                both = np.bincount((both[1:][both[1:] == both[:-1]] >> U(PACKED)).astype(np.int64), minlength=n)
+                yield b.select([0, 1]).slice(lo, n).filter(pa.array(100 * both >= PERCENT * (size - both)))
+
+    return similar
 
 
 def _rewritten(col: int):
@@ -157,7 +191,7 @@ def _rewritten(col: int):
     return rewrite
 
 
-def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, scheme: Scheme = TEN, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line, first_id, first_line): every line occurrence to drop and the one that stays for it."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
@@ -166,17 +200,17 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return found.dropDuplicates(["node"])
 
     def shingled(own: DataFrame) -> DataFrame:
-        return own.select("node", "line").mapInArrow(_sets, "node long, s array<long>")
+        return own.select("node", "line").mapInArrow(_sets(scheme), "node long, s array<long>")
 
     def confirmed(pairs: DataFrame, own: DataFrame) -> DataFrame:
         for end in ("a", "b"):  # the texts, which are smaller than their sets
             pairs = pairs.join(own.select(F.col("node").alias(end), F.col("line").alias(f"t{end}")), end)
-        return pairs.select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long")
+        return pairs.select("a", "b", "ta", "tb").mapInArrow(_similar(scheme), "a long, b long")
 
     def keyed(nodes: DataFrame) -> DataFrame:
-        return text_of(nodes).select("node", "line").mapInArrow(_keys, "node long, keys array<long>")
+        return text_of(nodes).select("node", "line").mapInArrow(_keys(scheme), "node long, keys array<long>")
 
-    bands = texts.select("text").mapInArrow(_bands, banding.BANDS)
+    bands = texts.select("text").mapInArrow(_bands(scheme), banding.BANDS)
     label = components(banding.linked(bands, PERCENT, keyed, text_of, shingled, lambda pairs: pairs, confirmed))
     places = written(texts.mapInArrow(_places, "node long, id long, line long"), "places")
     first = places.groupBy("node").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
@@ -186,9 +220,9 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return places.join(stays, "node").where("id <> first_id or line <> first_line").select("id", "line", "first_id", "first_line")
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, scheme: Scheme = TEN, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one line per component; all columns pass through."""
-    gone = duplicate_lines(docs, id_col=id_col, text_col=text_col).groupBy(F.col("id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
+    gone = duplicate_lines(docs, scheme, id_col=id_col, text_col=text_col).groupBy(F.col("id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
     with_gone = docs.join(gone.hint("shuffle_hash"), docs[id_col].cast("long") == gone["__id"], "left").drop("__id")
     fields = docs.schema.fields
     plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])

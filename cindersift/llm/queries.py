@@ -26,7 +26,7 @@ def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line occurrence that goes, and the occurrence that stays for it."""
-    return lines.duplicate_lines(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "line", F.col("first_id").alias("kept_doc_id"), F.col("first_line").alias("kept_line"))
+    return lines.duplicate_lines(table(spark, sf_dir, "documents"), lines.FIVE).select(F.col("id").alias("doc_id"), "line", F.col("first_id").alias("kept_doc_id"), F.col("first_line").alias("kept_line"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar lines one stays; the texts lose the others, and no document goes."""
     bounded(spark)
-    return lines.deduplicated(docs)
+    return lines.deduplicated(docs, lines.FIVE)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,6 +102,15 @@ def test_lines_against_all_pairs(spark):
     assert got == {i: c for i, c in want.items() if i != c}
 
 
+def test_lines_of_ordinary_length(spark):
+    base = [prose(random.randrange(12, 25)) for _ in range(30)]
+    rows = base + [t[: len(t) // 2] + "#" + t[len(t) // 2 + 1 :] for t in base] + [prose(random.randrange(1, 12)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = groups({i: frozenset(t[j : j + 5] for j in range(len(t) - 4)) or frozenset([t + "$"]) for i, t in enumerate(rows)}, 80)
+    got = {r.id: r.first_id for r in lines.duplicate_lines(df, lines.FIVE).collect()}
+    assert got == {i: c for i, c in want.items() if i != c} and all(got.get(i + 30) == i for i in range(30))
+
+
 def test_decontamination(spark):
     items = [(i, prose(random.randrange(12, 50))) for i in range(30)] + [(90, None), (91, "too short"), (92, "")]
     docs = [(i, prose(random.randrange(0, 300))) for i in range(40)] + [(500, None), (501, "")]

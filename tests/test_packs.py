@@ -1,7 +1,8 @@
 """Rule packs on the files they are for."""
 
 from cindersift.functions.text import lines
-from cindersift.operators import packs
+from cindersift.operators import packs, surface
+from cindersift.plans.scan import detected
 
 FILES = [
     ("Dockerfile", "FROM python:latest\nUSER root\nENV PASSWORD=abc\nRUN curl http://x | sh\nHEALTHCHECK NONE", {"l6/docker-latest-tag", "l6/docker-root-user", "l6/docker-secret-in-env", "l6/docker-curl-pipe-shell", "l6/docker-no-healthcheck"}),
@@ -28,3 +29,19 @@ def test_packs(spark):
     assert {n: set(got.get(n, {})) for n, _, _ in FILES} == {n: want for n, _, want in FILES}
     assert got["b.py"]["l3/pbkdf2-low-iterations"].severity == "high" and got["b.py"]["l3/pbkdf2-low-iterations"].confidence == 0.70
     assert got["a.go"]["l2/go-exec-inject"].line == 2
+
+
+def test_scan_runs_all_packs(spark):
+    files = [
+        ("src/a.py", "requests.get(request.args['u'])\nsubprocess.run(x, shell=True)\ncipher = MODE_ECB\n# marshal.load(x)", {"l1/ssrf-risk", "l1/py-subprocess-shell-cmd", "l3/ecb", "l3/ecb-mode", "native/ssrf-risk", "native/os-system-injection"}),
+        ("Dockerfile", "FROM python:latest\nEXPOSE 22", {"l6/docker-latest-tag", "l6/docker-dangerous-port", "native/docker-run-as-root", "native/docker-latest-tag", "native/docker-expose-all"}),
+        ("ok/Dockerfile", "FROM python:3.12\nUSER app", set()),
+        ("k8s/pod.yaml", "kind: Pod\nhostNetwork: true", {"l6/k8s-host-network"}),
+        ("x/pod.yaml", "hostNetwork: true", {"native/k8s-host-network"}),
+        ("notes.txt", "npm //registry.npmjs.org/:_authToken=abc", {"l1/npm-token"}),
+    ]
+    got = {}
+    for r in detected(spark.createDataFrame([("r", f, c) for f, c, _ in files], "repo string, file string, content string")).collect():
+        got.setdefault(r.file, set()).add(r.rule_id)
+    assert {f: got.get(f, set()) for f, _, _ in files} == {f: want for f, _, want in files}
+    assert (len(surface.REST), len(surface.LEGACY), len(surface.LEGACY_FILES)) == (72, 60, 10)

@@ -30,7 +30,7 @@ TEMPLATES = (
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -45,7 +45,19 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    # Of licence files.
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
 )
+TEMPLATES += tuple((name, f"SPDX-License-Identifier: {name}") for name in sorted({name for name, _ in TEMPLATES}))
+#: The clauses of two licences begin alike; what only the longer one holds.
+THIRD_CLAUSE = r"(?i)\bneither\s+the\s+names?\s+of\b"
 #: Everyday words.
 COMMON = frozenset("a an and any are as at by can do either except fee file following for form forms free from general in into is it later may me met not of on option or person terms that the their this to under use was with without work you your".split())
 LICENCE_FILE = r"(?i)^(?:licen[cs]e|copying|unlicense)(?:[.-][^/]*)?$"
@@ -101,7 +113,7 @@ def matched(files: DataFrame, vectors: Vectors | None = None, *, path_col: str =
     rows = files.where(F.arrays_overlap(cut(F.col("text")), telling))
     # A paragraph of one line is that line.
     units = F.concat(F.split("text", "\n"), F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n"))))
-    units = rows.select(*names, F.explode(F.array_distinct(F.filter(units, lambda u: F.arrays_overlap(cut(u), telling)))).alias("unit"))
+    units = rows.select(*names, F.rlike("text", F.lit(THIRD_CLAUSE)).alias("third"), F.explode(F.array_distinct(F.filter(units, lambda u: F.arrays_overlap(cut(u), telling)))).alias("unit"))
     idf, weights, squares = v.literals()
     known = F.array(*map(F.lit, v.idf))
     zero = F.array_repeat(F.lit(0.0), len(v.names))
@@ -109,7 +121,7 @@ def matched(files: DataFrame, vectors: Vectors | None = None, *, path_col: str =
     add = lambda table: lambda t, w: F.zip_with(t, F.element_at(table, w), lambda a, b: a + b)
     # By Cauchy-Schwarz the squared cosine is at most what the unit's words cover of the template's squared length.
     covered = F.aggregate(F.array_intersect(F.array_distinct(words), known), zero, add(squares))
-    words = units.where(F.array_max(covered) >= v.threshold**2 * 0.999).select(*names, F.sort_array(words).alias("words"))
+    words = units.where(F.array_max(covered) >= v.threshold**2 * 0.999).select(*names, "third", F.sort_array(words).alias("words"))
     words = words.withColumn("dots", F.aggregate(F.filter("words", lambda w: F.array_contains(known, w)), zero, add(weights)))
     # Equal words are neighbours, so one pass has each word's count.
     start = F.struct(F.lit("").alias("word"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("sum"))
@@ -124,8 +136,9 @@ def matched(files: DataFrame, vectors: Vectors | None = None, *, path_col: str =
 
     # The length divides all products alike, so it stays outside the choice (inside, it would be measured for each template).
     most = F.array_min(F.zip_with("dots", F.array(*map(F.lit, v.names)), lambda d, name: F.struct((-F.round(d, 9)).alias("d"), name.alias("own"))))
-    scored = words.select(*names, most.alias("m"), F.sqrt(F.aggregate("words", start, step, closed)).alias("norm"))
-    scored = scored.select(*names, F.struct(F.round(F.col("m.d") / F.col("norm"), 9).alias("c"), F.col("m.own").alias("own")).alias("b")).where(-F.col("b.c") >= v.threshold)
+    named = F.when(F.col("third") & (F.col("m.own") == "BSD-2-Clause"), "BSD-3-Clause").otherwise(F.col("m.own"))
+    scored = words.select(*names, "third", most.alias("m"), F.sqrt(F.aggregate("words", start, step, closed)).alias("norm"))
+    scored = scored.select(*names, F.struct(F.round(F.col("m.d") / F.col("norm"), 9).alias("c"), named.alias("own")).alias("b")).where(-F.col("b.c") >= v.threshold)
     return scored.groupBy(*names).agg(F.min("b").alias("b")).select(*names, F.col("b.own").alias("own"), (-F.col("b.c")).alias("cosine"))
 
 

@@ -175,3 +175,16 @@ def test_licences_of_documents_that_share_a_path(spark):
         (0, "one/0/LICENSE", "MIT", "MIT", None), (1, "one/0/LICENSE", None, "Apache-2.0", "one/0"), (2, "one/0/LICENSE", "Apache-2.0", "Apache-2.0", None),
         (21, "one/0/0/21.txt", None, "Apache-2.0", "one/0"), (None, "", "CC-BY-NC-4.0", "CC-BY-NC-4.0", None), (None, "", None, None, None),
     ], key=str)
+
+
+def test_licence_files_and_spdx_lines(spark):
+    clauses = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice.", "2. Redistributions in binary form must reproduce the above copyright notice."]
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    mit = next(t for n, t in licences.TEMPLATES if n == "MIT" and "sublicense" in t)
+    want = {
+        "// SPDX-License-Identifier: MIT\ncode": "MIT", "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "SPDX-License-Identifier: Zlib": None,
+        "Copyright (c) 2020 A\n\n" + mit: "MIT", "\n\n".join(clauses): "BSD-2-Clause", "\n\n".join([*clauses, third]): "BSD-3-Clause",
+        "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nPreamble": "GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\nPreamble": "GPL-2.0", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/": "Apache-2.0",
+    }
+    got = {int(r.path): r.own for r in licences.matched(spark.createDataFrame([(str(i), t) for i, t in enumerate(want)], "path string, text string")).collect()}
+    assert [got.get(i) for i in range(len(want))] == list(want.values())

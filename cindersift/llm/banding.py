@@ -3,7 +3,8 @@
 A first pass compares every member of a bucket with one hub; true links give components. A second pass looks only at
 buckets that still hold several components, only at members whose own shingles leave room for a link, and only at
 pairs across components. Buckets that are large even then are split by a second band (a pair over the threshold
-shares many), and so on; what is left at the last depth is compared directly, so no bucket is dropped.
+shares many), and so on; what is left at the last depth is compared directly. A pair in a bucket of over DIRECT members left that shares no
+other band is met only if one of the two is the hub.
 """
 
 from __future__ import annotations

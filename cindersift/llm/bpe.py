@@ -2,8 +2,9 @@
 
 A text is cut into pieces by the tokenizer's pattern. The distinct pieces of a chunk of texts that are not known yet
 are laid out as one array of symbols, with an inverted index from each mergeable pair (by its rank) to its positions.
-Merges are applied in rank order to all positions at once, leftmost first, and touch only the index entries of the two
-neighbours. Where a merge makes a pair of a lower rank, that pair goes first, so each piece gets exactly the ids of
+Merges are applied in rank order to all positions at once, of overlapping ones the leftmost, and touch only the index
+entries of the two neighbours, so a run of one letter takes steps by the number of ranks, not of letters. Where a merge
+makes a pair of a lower rank, that pair goes before the piece's later positions, so each piece gets exactly the ids of
 lowest-rank-first merging. Known pieces are kept in a bounded table for the life of a Python worker.
 
 Defined results: null and empty texts have no ids; any Unicode text round-trips; special tokens are ordinary text;
@@ -62,6 +63,10 @@ class Codec:
         self.byte_pair = np.array([[pairs.get(x * self.width + y, -1) for y in self.byte.tolist()] for x in self.byte.tolist()])
         self.pair_keys = np.array(sorted(pairs) or [-1], np.int64)
         self.pair_ranks = np.array([pairs.get(k, -1) for k in self.pair_keys.tolist()], np.int64)
+        # Tokens that are part of a token of a lower rank: merging them may make a pair that goes first.
+        self.early = np.zeros(self.width, bool)
+        for part in np.divmod(self.pair_keys, self.width):
+            self.early[part[(self.pair_ranks >= 0) & (part > self.pair_ranks)]] = True
         self.pieces = regex.compile(pattern).findall
         self.number = Numbers()
         self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
@@ -69,8 +74,8 @@ class Codec:
     def replay(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, one after another, and their offsets, by merging over all pieces together.
 
-        A step takes the lowest rank in the index and merges the leftmost of its places in each piece; the other
-        places of those pieces wait for the next step, as a merge may make a pair of a lower rank.
+        A step takes the lowest rank in the index and merges its places, from the left where they overlap. Where a
+        merge makes a pair of a lower rank, the later places of that piece wait.
         """
         data = np.frombuffer(b"".join(pieces), np.uint8)
         n = len(data)
@@ -112,12 +117,29 @@ class Codec:
             p, q = p[whole], q[whole]
             if not len(p):
                 continue
-            own = piece[p]
-            if (own[1:] == own[:-1]).any():
-                lead = np.append(True, own[1:] != own[:-1])
-                index[rank] = [p[~lead]]
-                heappush(waiting, rank)
-                p, q = p[lead], q[lead]
+            chained = q[:-1] == p[1:]
+            if chained.any():  # of a run of overlapping places every other one
+                at = np.arange(len(p))
+                lead = np.maximum.accumulate(np.where(np.append(True, ~chained), at, 0))
+                p, q = p[(at - lead) % 2 == 0], q[(at - lead) % 2 == 0]
+            if self.early[rank]:
+                left, right = before[p], after[q]
+                x = np.where(left >= 0, sym[left], -1)
+                x[1:][left[1:] == q[:-1]] = rank  # merged just before
+                y = np.where(right < over[p], sym[np.minimum(right, n - 1)], -1)
+                lower = np.zeros(len(p), bool)
+                for keys, there in ((x * self.width + rank, x >= 0), (rank * self.width + y, y >= 0)):
+                    found = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+                    lower |= there & (self.pair_keys[found] == keys) & (self.pair_ranks[found] < rank)
+                if lower.any():
+                    own = piece[p]
+                    new = np.append(True, own[1:] != own[:-1])
+                    before_it = np.cumsum(lower) - lower  # places so far that make a lower pair
+                    waits = before_it > before_it[np.flatnonzero(new)][np.cumsum(new) - 1]
+                    if waits.any():
+                        index[rank] = [p[waits]]
+                        heappush(waiting, rank)
+                        p, q = p[~waits], q[~waits]
             sym[p], sym[q] = rank, -1
             right = after[q]
             after[p] = right

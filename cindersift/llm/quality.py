@@ -67,28 +67,33 @@ class Model:
     offset: float
 
     def score(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        total = np.append(0, np.cumsum(self.weights[x], dtype=np.float64))
-        length = np.append(0, np.cumsum(self.squares[x], dtype=np.float64))
-        margin = (total[at[1:]] - total[at[:-1]]) / np.sqrt(np.maximum(length[at[1:]] - length[at[:-1]], 1e-12)) + self.bias
+        some = np.flatnonzero(np.diff(at))  # rows with features; each is summed alone, so equal rows score equally
+        total, length = np.zeros(len(at) - 1), np.zeros(len(at) - 1)
+        if len(some):
+            total[some] = np.add.reduceat(self.weights[x], at[some])
+            length[some] = np.add.reduceat(self.squares[x], at[some])
+        margin = total / np.sqrt(np.maximum(length, 1e-12)) + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -500, 500)))
 
 
 def _svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, size: int) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the L2-regularised, squared hinge loss; the last weight is the bias."""
+    """Dual coordinate descent for the L2-regularised hinge loss, at most ``cost`` a row; the last weight is the bias.
+
+    The dual's variables lie between 0 and the row's cost; a step minimises over one of them exactly.
+    """
     w, bias = np.zeros(size), 0.0
     alpha = np.zeros(len(rows))
-    diagonal = 0.5 / cost
-    norm = np.array([float(v @ v) + 1 for _, v in rows]) + diagonal
+    norm = np.array([float(v @ v) + 1 for _, v in rows])
     rng = np.random.default_rng(11)
     for _ in range(EPOCHS):
         worst = 0.0
         for i in rng.permutation(len(rows)):
             x, v = rows[i]
-            gradient = y[i] * (w[x] @ v + bias) - 1 + diagonal[i] * alpha[i]
-            if alpha[i] == 0 and gradient >= 0:
+            gradient = y[i] * (w[x] @ v + bias) - 1
+            if alpha[i] == 0 and gradient >= 0 or alpha[i] == cost[i] and gradient <= 0:
                 continue
             worst = max(worst, abs(gradient))
-            new = max(0.0, alpha[i] - gradient / norm[i])
+            new = min(max(0.0, alpha[i] - gradient / norm[i]), cost[i])
             step = (new - alpha[i]) * y[i]
             alpha[i] = new
             w[x] += step * v

@@ -65,17 +65,17 @@ def offsets(texts: pa.Array) -> np.ndarray:
     return np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
 
 
-def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of a column with their bytes and offsets; only one range's bytes are copied at a time."""
-    for lo, hi in chunks(offsets(texts)):
+    for lo, hi in chunks(offsets(texts), size):
         yield lo, hi, *utf8(texts.slice(lo, hi - lo))
 
 
-def chunks(at: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges of about CHUNK_BYTES and at most CHUNK_ROWS each; a longer text is a range of its own."""
+def chunks(at: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``size`` bytes and at most CHUNK_ROWS each; a longer text is a range of its own."""
     lo, n = 0, len(at) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK_BYTES, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + size, "right")) - 1)
         hi = min(hi, n, lo + CHUNK_ROWS)
         yield lo, hi
         lo = hi

@@ -9,8 +9,9 @@ each component the occurrence with the smallest (doc_id, line number) stays.
 
 Defined results: blank lines (Unicode white space only) always stay; null texts have no lines and stay null; rows that
 share a doc_id and a line number are one occurrence, so a repeated row keeps what its twin keeps; rows of a null doc_id
-keep all their lines and take part in nothing; a document may lose all its lines and then has an empty text, and no
-document is dropped. Other columns pass through. Equal lines are compared by 64-bit hashes, shingles of two lines by 50 bits of theirs.
+keep all their lines and take part in nothing; a document may lose all its lines and then has a blank text, or goes where
+the caller asks for that (a document that was blank before stays). Other columns pass through, whatever their names.
+Equal lines are compared by 64-bit hashes, shingles of two lines by 50 bits of theirs.
 """
 
 from __future__ import annotations
@@ -20,15 +21,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from cindersift.llm import banding
 from cindersift.llm.graph import components
-from cindersift.llm.hashing import U, chunks, lists, mixed, offsets, powers
+from cindersift.llm.hashing import U, binary, chunks, mixed, offsets, powers
 from cindersift.storage import written
 
 
-
 class Scheme(NamedTuple):
     """Characters of a shingle; bands, and minima of each."""
 
@@ -41,6 +41,8 @@ TEN = Scheme(10, 12, 3)
 #: One inner character alters five shingles: lines from 49 characters on are alike that differ in one.
 FIVE = Scheme(5, 16, 4)
 PERCENT = 80
+#: Bytes of texts looked at together: their arrays stay in a core's cache.
+CHUNK = 1 << 18
 #: Bits of a shingle's hash in sets; the rest of 64 bits hold the line's place in its chunk.
 PACKED = 50
 _CODE = np.random.default_rng(7).integers(1, 1 << 63, 1 << 16, dtype=np.uint64)
@@ -70,6 +72,19 @@ class Lines:
         length = (self.end - self.start).astype(U)
         self.hash = mixed((self.total[self.end] - self.total[self.start]) * self.down[self.start] + mixed(length))
 
+    def only(self, lines: np.ndarray) -> Lines:
+        """The same texts with some of their lines."""
+        out = object.__new__(Lines)
+        out.__dict__ |= self.__dict__
+        out.start, out.end, out.row, out.number, out.hash = (x[lines] for x in (self.start, self.end, self.row, self.number, self.hash))
+        return out
+
+    def distinct(self) -> Lines:
+        return self.only(np.sort(np.unique(self.hash, return_index=True)[1]))
+
+    def texts(self) -> list[str]:
+        return [self.text[i:j] for i, j in zip(self.start.tolist(), self.end.tolist())]
+
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Shingle hashes (with repeats) of the lines in order and the line of each."""
         count = self.end - self.start - (size - 1)
@@ -89,8 +104,8 @@ class Lines:
         packed = packed[np.append(True, packed[1:] != packed[:-1])[: len(packed)]]
         return packed & U((1 << PACKED) - 1), np.searchsorted(packed, np.arange(len(self.start) + 1, dtype=U) << U(PACKED))
 
-    def keys(self, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-        """Band keys of each line and which of them hold any shingle."""
+    def minima(self, scheme: Scheme) -> np.ndarray:
+        """The minima of each line, as rows."""
         m = scheme.bands * scheme.rows
         least = np.full(len(self.start) * m, 0xFFFFFFFF, np.uint32)
         h, line = self.shingles(scheme.shingle)
@@ -103,69 +118,73 @@ class Lines:
             own = empty % m
             least[empty] = first[empty - own + donor[own]]
             empty = empty[least[empty] == 0xFFFFFFFF]
-        least = least.reshape(-1, scheme.bands, scheme.rows).astype(U)
+        return least.reshape(-1, m)
+
+    def keys(self, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+        """Band keys and the sketch of each line."""
+        least = self.minima(scheme)
+        rows = least.reshape(-1, scheme.bands, scheme.rows).astype(U)
         key = mixed(np.arange(scheme.bands, dtype=U) + U(99))[None, :]
         for i in range(scheme.rows):
-            key = mixed(key + least[:, :, i])
-        return key, (least != U(0xFFFFFFFF)).any(axis=2)
+            key = mixed(key + rows[:, :, i])
+        return key, banding.sketched(least)
 
 
 def _lines(batch: pa.RecordBatch, col: int) -> Iterator[tuple[int, Lines]]:
-    for lo, hi in chunks(offsets(batch.column(col))):
+    for lo, hi in chunks(offsets(batch.column(col)), CHUNK):
         yield lo, Lines(batch.column(col)[lo:hi].fill_null("").to_pylist())
 
 
-def _bands(scheme: Scheme):
-    def bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(scheme: Scheme, parts: int):
+    def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = []
+            got, seen = [], np.zeros(0, U)
             for _, x in _lines(b, 0):
-                keys, there = x.keys(scheme)
-                got.append((keys[there], np.broadcast_to(x.hash[:, None], keys.shape)[there]))
+                x = x.distinct()
+                x = x.only(np.flatnonzero(~np.isin(x.hash, seen)))
+                seen = np.concatenate([seen, x.hash])
+                key, sketch = x.keys(scheme)
+                got.append((key.ravel(), np.repeat(x.hash, scheme.bands), np.repeat(sketch, scheme.bands, axis=0)))
             if got:
-                yield banding.rows(*(np.concatenate(c).view(np.int64) for c in zip(*got)))
-
-    return bands
+                key, node, sketch = (np.concatenate(c) for c in zip(*got))
+                yield banding.packed(key.view(np.int64), node.view(np.int64), sketch, parts)
 
+    return places
 
-def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo, x in _lines(b, 1):
-            yield pa.RecordBatch.from_arrays([pa.array(x.hash.view(np.int64)), b.column(0).take(pa.array(x.row + lo)), pa.array(x.number)], ["node", "id", "line"])
 
+OCCURRENCES = "node long, id long, line long, n long, sketch binary, text string"
 
-def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for _, x in _lines(b, 0):
-            _, first = np.unique(x.hash, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x.hash[first].view(np.int64)), pa.array([x.text[i:j] for i, j in zip(x.start[first].tolist(), x.end[first].tolist())], pa.string())], ["node", "line"])
 
+def _occurrences(scheme: Scheme, filter_: np.ndarray):
+    """Every line's hash, text and number; once in a batch, for lines that may be asked for, also the number of their shingles, a map of the hash classes that these occupy, and the line."""
 
-def _keys(scheme: Scheme):
-    def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            seen = np.zeros(0, U)
             for lo, x in _lines(b, 1):
-                keys, there = x.keys(scheme)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x.row + lo)), lists(keys[there], np.concatenate([[0], np.cumsum(there.sum(axis=1))]))], ["node", "keys"])
-
-    return keys
+                first = np.sort(np.unique(x.hash, return_index=True)[1])
+                asked = first[banding.holds(filter_, x.hash[first].view(np.int64)) & ~np.isin(x.hash[first], seen)]
+                seen = np.concatenate([seen, x.hash[asked]])
+                y = x.only(asked)
+                s, at = y.sets(scheme.shingle)
+                told = np.zeros(len(x.start), bool)
+                told[asked] = True
+                place = pa.array(np.cumsum(told) - 1, mask=~told)
+                own = [c.take(place) for c in (pa.array(np.diff(at)), binary(banding.occupied(s, at)), pa.array(y.texts(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([pa.array(x.hash.view(np.int64)), b.column(0).take(pa.array(x.row + lo)), pa.array(x.number), *own], ["node", "id", "line", "n", "sketch", "text"])
 
+    return occurrences
 
-def _sets(scheme: Scheme):
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, x in _lines(b, 1):
-                h, at = x.sets(scheme.shingle)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x.row + lo)), lists(h, at)], ["node", "s"])
 
-    return sets
+def _likely(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return banding.bounded(na, nb, a, b, PERCENT)
 
 
 def _similar(scheme: Scheme):
     def similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of lines (a, b, text of a, text of b) to those whose shingle sets are similar enough."""
         for b in batches:
-            for lo, hi in chunks(offsets(b.column(2))):
+            for lo, hi in chunks(offsets(b.column(2)), CHUNK):
                 n = hi - lo
                 sets = [Lines(b.column(col)[lo:hi].to_pylist()).sets(scheme.shingle) for col in (2, 3)]
                 size = sum(np.diff(at) for _, at in sets)
@@ -176,17 +195,20 @@ def _similar(scheme: Scheme):
     return similar
 
 
-def _rewritten(col: int):
+def _rewritten(col: int, drop_emptied: bool):
     def rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out, stays = [], []
             for text, gone in zip(b.column(col).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                stay = True
                 if text is not None and gone:
                     gone = set(gone)
                     text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+                    stay = not drop_emptied or bool(text.strip())
                 out.append(text)
+                stays.append(stay)
             arrays = [pa.array(out, b.schema.field(col).type) if i == col else b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(arrays, [f"c{i}" for i in range(len(arrays))])
+            yield pa.RecordBatch.from_arrays(arrays, [f"c{i}" for i in range(len(arrays))]).filter(pa.array(stays, pa.bool_()))
 
     return rewrite
 
@@ -194,25 +216,25 @@ def _rewritten(col: int):
 def duplicate_lines(docs: DataFrame, scheme: Scheme = TEN, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line, first_id, first_line): every line occurrence to drop and the one that stays for it."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # Every line has a line feed after it but the last: counted without a look into the texts' words.
+    breaks = texts.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    parts = banding.parts(breaks * scheme.bands)
 
-    def text_of(nodes: DataFrame) -> DataFrame:
-        found = texts.select("text").mapInArrow(_texts, "node long, line string").join(nodes.hint("shuffle_hash"), "node", "left_semi")
-        return found.dropDuplicates(["node"])
+    found: list[DataFrame] = []
 
-    def shingled(own: DataFrame) -> DataFrame:
-        return own.select("node", "line").mapInArrow(_sets(scheme), "node long, s array<long>")
+    def payload(nodes: DataFrame) -> DataFrame:
+        found.append(written(texts.mapInArrow(_occurrences(scheme, banding.wanted(nodes)), OCCURRENCES), "occurrences"))
+        own = found[0].where("text is not null").select("node", "n", "sketch", F.col("text").alias("line"))
+        return own.join(nodes.hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"])
 
     def confirmed(pairs: DataFrame, own: DataFrame) -> DataFrame:
         for end in ("a", "b"):  # the texts, which are smaller than their sets
             pairs = pairs.join(own.select(F.col("node").alias(end), F.col("line").alias(f"t{end}")), end)
         return pairs.select("a", "b", "ta", "tb").mapInArrow(_similar(scheme), "a long, b long")
 
-    def keyed(nodes: DataFrame) -> DataFrame:
-        return text_of(nodes).select("node", "line").mapInArrow(_keys(scheme), "node long, keys array<long>")
-
-    bands = texts.select("text").mapInArrow(_bands(scheme), banding.BANDS)
-    label = components(banding.linked(bands, PERCENT, keyed, text_of, shingled, lambda pairs: pairs, confirmed))
-    places = written(texts.mapInArrow(_places, "node long, id long, line long"), "places")
+    places = texts.select("text").mapInArrow(_places(scheme, parts), banding.PLACES)
+    label = components(banding.linked(places, parts, banding.differing(PERCENT), payload, _likely, confirmed))
+    places = found[0].select("node", "id", "line")
     first = places.groupBy("node").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
     named = written(first.join(label, "node", "left").where("n > 1 or component is not null").select("node", "first", F.coalesce("component", "node").alias("component")), "named")
     stays = named.groupBy("component").agg(F.min("first").alias("stays"))
@@ -220,10 +242,9 @@ def duplicate_lines(docs: DataFrame, scheme: Scheme = TEN, *, id_col: str = "doc
     return places.join(stays, "node").where("id <> first_id or line <> first_line").select("id", "line", "first_id", "first_line")
 
 
-def deduplicated(docs: DataFrame, scheme: Scheme = TEN, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one line per component; all columns pass through."""
-    gone = duplicate_lines(docs, scheme, id_col=id_col, text_col=text_col).groupBy(F.col("id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
-    with_gone = docs.join(gone.hint("shuffle_hash"), docs[id_col].cast("long") == gone["__id"], "left").drop("__id")
-    fields = docs.schema.fields
-    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
-    return with_gone.mapInArrow(_rewritten(docs.columns.index(text_col)), plain).toDF(*docs.columns)
+def deduplicated(docs: DataFrame, scheme: Scheme = TEN, *, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
+    """The documents with one line per component; all columns pass through. drop_emptied: without those that lost their last line that isn't blank."""
+    gone = duplicate_lines(docs, scheme, id_col=id_col, text_col=text_col).groupBy("id").agg(F.collect_set("line").alias("gone"))
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no name of a column can clash
+    with_gone = plain.join(gone.hint("shuffle_hash"), plain[f"c{docs.columns.index(id_col)}"].cast("long") == gone["id"], "left").drop("id")
+    return with_gone.mapInArrow(_rewritten(docs.columns.index(text_col), drop_emptied), plain.schema).toDF(*docs.columns)

@@ -2,9 +2,9 @@
 
 Each document's distinct five-word shingles are hashed into 256 registers that keep the leading-zero count and
 ten mantissa bits of their least hash. Six registers make one of 42 bands; for the bands (only), an empty register
-borrows from a filled one, so that short texts do not meet by one shingle. Pairs that share a band pass a
-collision-corrected Jaccard estimate (five standard errors below the threshold) and are then confirmed on their
-full shingle sets. A pair at the threshold of 0.8 shares no band with probability 3e-6, at 0.85 with 2e-9.
+borrows from the others, in an order of its own, until it has one, so that short texts do not meet by one shingle. Pairs
+that share a band pass a collision-corrected Jaccard estimate (five standard errors below the threshold) and are then
+confirmed on their full shingle sets. A pair at the threshold of 0.8 shares no band with probability 3e-6, at 0.85 with 2e-9.
 
 Defined results: null or blank texts have no shingles and link with nothing; fewer than five words are one shingle;
 rows with equal shingle sets are one class, whose node is the smallest doc_id; rows of a null doc_id link with
@@ -30,7 +30,8 @@ P = 8  # 2 ** P registers
 MANTISSA = 10
 BAND = 6  # registers in a band key
 BANDS = (1 << P) // BAND
-_ATTEMPTS = np.random.default_rng(3).integers(0, 1 << P, (64, 1 << P))
+#: For each register all registers, in its order of borrowing.
+_DONORS = np.argsort(np.random.default_rng(3).random((1 << P, 1 << P)), axis=0)
 _ORDER = np.random.default_rng(4).permutation(1 << P)[: BANDS * BAND].reshape(BANDS, BAND)
 MARGIN = 5.0
 
@@ -53,20 +54,24 @@ def registers(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    """Band keys of each row; rows without a register must not come here."""
-    full = regs.astype(U)
+def filled(regs: np.ndarray) -> np.ndarray:
+    """The registers with what empty ones borrow; rows without a register must not come here."""
+    full = regs.copy()
     row, at = np.nonzero(regs == 0)
-    for attempt in _ATTEMPTS:
-        got = regs[row, attempt[at]]
-        full[row, at] = got
-        row, at = row[got == 0], at[got == 0]
+    for donor in _DONORS:
         if not len(row):
             break
-    full[row, at] = regs.max(axis=1)[row]  # very sparse rows
-    key = np.broadcast_to(mixed(np.arange(BANDS, dtype=U) + U(77)), (len(regs), BANDS))
+        got = regs[row, donor[at]]
+        full[row, at] = got
+        row, at = row[got == 0], at[got == 0]
+    return full
+
+
+def band_keys(full: np.ndarray) -> np.ndarray:
+    """Band keys of each row of filled registers."""
+    key = np.broadcast_to(mixed(np.arange(BANDS, dtype=U) + U(77)), (len(full), BANDS))
     for i in range(BAND):
-        key = mixed(key + full[:, _ORDER[:, i]])
+        key = mixed(key + full[:, _ORDER[:, i]].astype(U))
     return key
 
 
@@ -88,41 +93,45 @@ def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(n), *(pa.array(x.view(np.int64)) for x in c), binary(registers(s, sat))], ["id", "fp", "n", "c1", "c2", "regs"])
 
 
-def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            keys = band_keys(_regs(b.column(1))).view(np.int64)
-            yield banding.rows(keys.ravel(), np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS))
-
+def _places(parts: int):
+    def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                full = filled(_regs(b.column(1)))
+                node = np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS)
+                yield banding.packed(band_keys(full).view(np.int64).ravel(), node, np.repeat(banding.sketched(full[:, ::2]), BANDS, axis=0), parts)
 
-def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            keys = band_keys(_regs(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists(keys.ravel(), np.arange(len(keys) + 1) * BANDS)], ["node", "keys"])
+    return places
 
 
 def _regs(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(len(col), -1)
 
 
-def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo, hi, data, at in pieces(b.column(2)):
-            s, sat = shingles(*word_hashes(data, at), WORDS)
-            yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], lists(s, sat)], ["id", "fp", "s"])
+def _sets(filter_: np.ndarray):
+    """Shingle sets of the rows (id, fp, text) that may be asked for, and maps of the hash classes that these occupy."""
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(banding.holds(filter_, b.column(0).to_numpy(zero_copy_only=False))))
+            for lo, hi, data, at in pieces(b.column(2)):
+                s, sat = shingles(*word_hashes(data, at), WORDS)
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], binary(banding.occupied(s, sat)), lists(s, sat)], ["id", "fp", "map", "s"])
+
+    return sets
 
 
 def _likely(percent: int):
-    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = percent / 100
-        for b in batches:
-            if b.num_rows:
-                na, nb = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-                j, seen = jaccard(_regs(b.column(4)), _regs(b.column(5)), na, nb)
-                yield b.select([0, 1]).filter(pa.array(j >= t - MARGIN * np.sqrt(t * (1 - t) / np.maximum(seen, 1))))
+    def likely(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Estimated similarity of pairs, -1 where it is MARGIN standard errors below the threshold or the hash classes rule a link out."""
+        t, regs = percent / 100, 2 << P
+        good = banding.bounded(na, nb, a[:, regs:], b[:, regs:], percent)
+        left = np.flatnonzero(good >= 0)
+        j, seen = jaccard(np.ascontiguousarray(a[left, :regs]).view(np.uint16), np.ascontiguousarray(b[left, :regs]).view(np.uint16), na[left], nb[left])
+        good[left] = np.where(j >= t - MARGIN * np.sqrt(t * (1 - t) / np.maximum(seen, 1)), np.maximum(j, 0), -1.0)
+        return good
 
-    return keep
+    return likely
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,28 +144,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, *, id_col: str = "doc_id
     classes = sketches.where("n > 0 and id is not null").groupBy("c1", "c2", "n").agg(F.min(F.struct("id", "fp")).alias("rep"), F.first("regs").alias("regs"))
     classes = written(classes.select("c1", "c2", "n", F.col("rep.id").alias("node"), F.col("rep.fp").alias("fp"), "regs"), "classes")
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        for end in ("a", "b"):
-            pairs = pairs.join(classes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("regs").alias(f"r{end}")), end)
-        pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", "ra", "rb")
-        return pairs.mapInArrow(_likely(percent), "a long, b long")
-
-    def sets(nodes: DataFrame) -> DataFrame:
-        ids = written(nodes.join(classes.select("node", "fp"), "node").select(F.col("node").alias("id"), "fp").distinct(), "ids")
-        found = texts.join(ids.hint("shuffle_hash"), ["id", "fp"], "left_semi").select("id", "fp", "text").mapInArrow(_sets, "id long, fp long, s array<long>")
-        return found.select(F.col("id").alias("node"), "fp", "s").dropDuplicates(["node", "fp"]).select("node", "s")
+    def payload(nodes: DataFrame) -> DataFrame:
+        own = nodes.join(classes.select("node", "fp", "n", "regs"), "node")
+        ids = written(own.select(F.col("node").alias("id"), "fp"), "ids")
+        found = texts.where("id is not null").mapInArrow(_sets(banding.wanted(ids.select("id"))), "id long, fp long, map binary, s array<long>")
+        found = found.join(ids.hint("shuffle_hash"), ["id", "fp"], "left_semi").dropDuplicates(["id", "fp"])
+        return own.join(found.withColumnRenamed("id", "node"), ["node", "fp"]).select("node", "n", F.concat("regs", "map").alias("sketch"), "s")
 
     def confirmed(pairs: DataFrame, own: DataFrame) -> DataFrame:
         for end in ("a", "b"):
             pairs = pairs.join(own.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")), end)
         both = F.size(F.array_intersect("sa", "sb"))
-        return pairs.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
-
-    def keyed(nodes: DataFrame) -> DataFrame:
-        return nodes.join(classes, "node").select("node", "regs").mapInArrow(_keys, "node long, keys array<long>")
+        return pairs.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
-    bands = classes.select("node", "regs").mapInArrow(_bands, banding.BANDS)
-    links = banding.linked(bands, percent, keyed, sets, lambda own: own, likely, confirmed)
+    parts = banding.parts(classes.count() * BANDS)
+    places = classes.select("node", "regs").mapInArrow(_places(parts), banding.PLACES)
+    links = banding.linked(places, parts, banding.differing(percent), payload, _likely(percent), confirmed)
     label = components(links).withColumnRenamed("node", "rep")
     named = classes.select("c1", "c2", "n", F.col("node").alias("rep")).join(label, "rep", "left").select("c1", "c2", "n", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("id", "n", "c1", "c2").join(named, ["c1", "c2", "n"], "left")
@@ -167,4 +170,4 @@ def near_duplicates(docs: DataFrame, percent: int = 80, *, id_col: str = "doc_id
 def deduplicated(docs: DataFrame, percent: int = 80, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those whose group holds a smaller id; rows of a null id stay."""
     gone = near_duplicates(docs, percent, id_col=id_col, text_col=text_col).where("not kept").select(id_col).distinct()
-    return docs.join(gone.hint("shuffle_hash"), id_col, "left_anti").select(docs.columns)
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col].cast("long") == gone[id_col], "left_anti")

@@ -127,7 +127,7 @@ def test_decontamination(spark):
 
 
 def test_decontamination_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "SLICE", 3)
+    monkeypatch.setattr(decontaminate, "SLICE", 60)  # words: three items or so
     items = [(i, prose(20)) for i in range(10)]
     d = spark.createDataFrame([(i, prose(10) + " " + t) for i, t in items], "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()}

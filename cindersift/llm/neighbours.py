@@ -13,10 +13,13 @@ each band on a bounded sample: PILOT queries against FITTED rows of the band; ce
 the share of true neighbours in visited buckets reaches TARGET (the sample misses fewer of few rows, so the target lies
 above the 0.9 wanted), at last to one bucket that holds all rows.
 
-Buckets that share their first COARSE cells go to one place, so that a query asks once for all buckets it visits there.
-The rows of a place are dealt to shards of at most SHARD rows on average, its queries to blocks of BLOCK, and each
-shard answers a block with its k best: no bucket is gathered in one task, however many rows share it. Rows go
-once to each table; the rows' shuffle carries the vectors, so the reranking needs no join.
+Rows and queries meet by table and place: the buckets that share all but their last FINE cells. As the number of
+projections grows with the table, so do the cells that tell places apart: a place holds a bounded number of rows on
+average at any size of the table, and a query is sent to no more places than it makes visits, once to each. A place of
+more rows is dealt to shards of SHARD, one that more queries visit to blocks of ASKED; both are part of the key, so no
+place is gathered in one task, however many rows or queries share it. Equal vectors of a batch go on as their k + 1
+smallest ids, which is all that can be in a result. Rows go once to each table, with their vectors, so the reranking
+needs no join.
 
 Defined results: vectors that are null, zero, of another length than most sampled ones, or that hold null or
 non-finite components take no part, nor do rows of a null id; equal scores go to the smaller id; rows with the same id
@@ -33,6 +36,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from cindersift.llm.hashing import mixed
 from cindersift.storage import written
 
 TABLES = 2
@@ -41,15 +45,16 @@ TARGET = 0.97
 #: Rows wanted in a bucket on average; more rows mean more projections, not larger buckets.
 BUCKET_ROWS = 2000
 SHARD = 16384
-BLOCK = 2048
+#: Queries compared at once with a shard.
+BLOCK = 512
 MAX_HASHES = 24
-#: Projections whose cells say where a row goes; the others say which of the rows there a query looks at.
-COARSE = 2
 #: Classes of length to a doubling, and the class of rows that have none; a band spans one doubling.
 CELLS, NO_CELL = 8, -(1 << 40)
 WIDENINGS = 24
-#: Queries in a task of a place that all queries ask.
-ASKED = 65536
+#: Queries of a block on average.
+ASKED = 8192
+#: Projections whose cells tell the buckets of a place apart; all others tell places apart.
+FINE = 3
 
 
 def matrix(col: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +79,7 @@ class Hashes:
 
     def __init__(self, dim: int, n: int, width: float, largest: float, probes: int, center: np.ndarray):
         rng = np.random.default_rng(20)
+        self.coarse = max(1, n - FINE)
         self.dim, self.n, self.width, self.largest, self.probes, self.center = dim, n, width, largest, probes, center
         self.a = rng.normal(size=(dim + 1, TABLES * n))
         self.b = rng.uniform(0, 1, TABLES * n)
@@ -95,7 +101,7 @@ class Hashes:
         return h.view(np.int64)
 
     def places(self, cell: np.ndarray) -> np.ndarray:
-        return self.keys(cell[..., :COARSE])
+        return self.keys(cell[..., : self.coarse])
 
     def probed(self, x: np.ndarray) -> np.ndarray:
         """Cells (row, table, probe, hash) of the buckets to visit, likeliest first."""
@@ -265,30 +271,51 @@ def tuned(vectors: DataFrame, k: int) -> Bands | None:
     return Bands(dim, [d[:2] for d in dense], hashes)
 
 
-def _indexed(h: Bands, shards: int):
+def _few(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Which rows stay of a batch: of equal vectors those with the k + 1 smallest ids."""
+    word = np.ascontiguousarray(x).view(np.uint64)
+    h = mixed(word + mixed(np.arange(1, word.shape[1] + 1, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+    order = np.lexsort((ids, h))
+    new = np.append(True, h[order][1:] != h[order][:-1])
+    run, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+    other = ids[order] != np.append(ids[order][:1], ids[order][:-1])  # than the row before
+    number = np.cumsum(other | new)
+    late = (number - number[starts][run] > k) | ~(other | new)
+    if not late.any():
+        return np.arange(len(x))
+    some = np.flatnonzero(np.isin(run, run[late]))
+    differs = (x[order[some]] != x[order[starts[run[some]]]]).any(axis=1)
+    late &= ~np.isin(run, run[some[differs]])  # a run that holds another vector by chance stays whole
+    return np.sort(order[~late])
+
+
+def _indexed(h: Bands, kind: np.dtype, k: int):
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, rows = matrix(b.column(1), h.dim)
+            if not len(x):
+                continue
+            few = _few(x, b.column(0).take(pa.array(rows)).to_numpy(zero_copy_only=False), k)
+            x, rows = x[few], rows[few]
             band = h.of(x)
             for i in np.unique(band):
                 part = np.flatnonzero(band == i)
                 y = x[part]
                 ids = b.column(0).take(pa.array(rows[part]))
-                shard = (ids.to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % shards
-                blob = pa.array([r.tobytes() for r in y], pa.binary())
+                blob = pa.array([r.tobytes() for r in y.astype(kind)], pa.binary())
                 if i < 0:
                     place = bucket = np.zeros((len(y), 1), np.int64)
                 else:
                     cells = np.floor(h.hashes[i].place(y, False))
                     place, bucket = h.hashes[i].places(cells), h.hashes[i].keys(cells)
-                for t in range(place.shape[1]):
+                for t in range(bucket.shape[1]):
                     number = -1 if i < 0 else i * TABLES + t
-                    yield pa.RecordBatch.from_arrays([pa.array(place[:, t]), pa.array(np.full(len(y), number, np.int32)), pa.array(shard), pa.array(bucket[:, t]), ids, blob], ["place", "t", "shard", "bucket", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(place[:, t])), pa.array(np.full(len(y), number, np.int32)), pa.array(np.ascontiguousarray(bucket[:, t])), ids, blob], ["place", "t", "bucket", "id", "v"])
 
     return index
 
 
-def _probes(h: Bands):
+def _probes(h: Bands, kind: np.dtype):
     """One row for each query, table and place, with all buckets that the query visits there."""
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,50 +326,51 @@ def _probes(h: Bands):
                 x, rows = matrix(part.column(1), h.dim)
                 if not len(x):
                     continue
-                ids = part.column(0).take(pa.array(rows)).to_numpy(zero_copy_only=False)
-                blob = np.array([r.tobytes() for r in x], object)
+                ids = part.column(0).take(pa.array(rows))
+                blob = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
                 zeros = np.zeros(len(x), np.int64)
                 every = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32)), pa.array(zeros))
-                yield pa.RecordBatch.from_arrays([pa.array(zeros), pa.array(np.full(len(x), -1, np.int32)), every, pa.array(ids), pa.array(blob, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(zeros), pa.array(np.full(len(x), -1, np.int32)), every, ids, blob], names)
                 for i, own in enumerate(h.hashes):
                     cells = own.probed(x)
                     place, bucket = own.places(cells), own.keys(cells)
                     for t in range(TABLES):
                         who = np.repeat(np.arange(len(x)), place.shape[2])
-                        order = np.lexsort((bucket[:, t].ravel(), place[:, t].ravel(), who))
-                        who, p, k = who[order], place[:, t].ravel()[order], bucket[:, t].ravel()[order]
-                        other = np.ones(len(p), bool)  # a bucket reached by two sets of moves is visited once
-                        other[1:] = (p[1:] != p[:-1]) | (who[1:] != who[:-1]) | (k[1:] != k[:-1])
-                        who, p, k = who[other], p[other], k[other]
-                        new = np.ones(len(p), bool)
-                        new[1:] = (p[1:] != p[:-1]) | (who[1:] != who[:-1])
+                        p, k = place[:, t].ravel(), bucket[:, t].ravel()
+                        order = np.lexsort((k, p, who))
+                        who, p, k = who[order], p[order], k[order]
+                        new = np.append(True, (p[1:] != p[:-1]) | (who[1:] != who[:-1]))
+                        once = new | np.append(True, k[1:] != k[:-1])  # a bucket reached by two sets of moves is visited once
+                        who, p, k, new = who[once], p[once], k[once], new[once]
                         starts = np.flatnonzero(new)
                         buckets = pa.ListArray.from_arrays(pa.array(np.append(starts, len(p)).astype(np.int32)), pa.array(k))
-                        yield pa.RecordBatch.from_arrays([pa.array(p[starts]), pa.array(np.full(len(starts), i * TABLES + t, np.int32)), buckets, pa.array(ids[who[starts]]), pa.array(blob[who[starts]], pa.binary())], names)
+                        which = pa.array(who[starts])
+                        yield pa.RecordBatch.from_arrays([pa.array(p[starts]), pa.array(np.full(len(starts), i * TABLES + t, np.int32)), buckets, ids.take(which), blob.take(which)], names)
 
     return probe
 
 
-def _answered(k: int):
+def _answered(k: int, kind: np.dtype):
+    none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
     def answer(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or queries.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return none
         rows = rows.sort_values("bucket", kind="stable")
-        x = np.frombuffer(b"".join(rows["v"]), np.float64).reshape(len(rows), -1)
-        ids, bucket = rows["id"].to_numpy(), rows["bucket"].to_numpy()
-        out = []
+        x = np.frombuffer(b"".join(rows["v"]), kind).reshape(len(rows), -1).astype(np.float64)
+        ids, bucket, out = rows["id"].to_numpy(), rows["bucket"].to_numpy(), []
         for lo in range(0, len(queries), BLOCK):
             own = queries.iloc[lo : lo + BLOCK]
-            q = np.frombuffer(b"".join(own["v"]), np.float64).reshape(len(own), -1)
+            q = np.frombuffer(b"".join(own["v"]), kind).reshape(len(own), -1).astype(np.float64)
             asked = own["id"].to_numpy()
             who = np.repeat(np.arange(len(own)), own["buckets"].map(len))
             visited = np.concatenate(own["buckets"].to_list())
             found = []
-            for b in np.unique(visited):
-                i, j = np.searchsorted(bucket, b), np.searchsorted(bucket, b, "right")
+            for one in np.unique(visited):
+                i, j = np.searchsorted(bucket, one), np.searchsorted(bucket, one, "right")
                 if i == j:
                     continue
-                w = who[visited == b]
+                w = who[visited == one]
                 score = q[w] @ x[i:j].T
                 score[asked[w][:, None] == ids[None, i:j]] = -np.inf
                 r, c = _top(score, ids[i:j], k)
@@ -354,11 +382,26 @@ def _answered(k: int):
                 r, c, score = r[order], c[order], score[order]
                 keep = np.arange(len(r)) - np.searchsorted(r, r) < k
                 out.append(pd.DataFrame({"query_id": asked[r[keep]], "vec_id": ids[c[keep]], "score": score[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        return pd.concat(out) if out else none
 
     return answer
 
 
+def met(rows: DataFrame, asked: DataFrame, h: Bands, kind: np.dtype, k: int) -> tuple[DataFrame, DataFrame]:
+    """Rows and queries by (t, place, shard, block), only of places that have both."""
+    index = rows.mapInArrow(_indexed(h, kind, k), "place long, t int, bucket long, id long, v binary")
+    probes = asked.mapInArrow(_probes(h, kind), "place long, t int, buckets array<long>, id long, v binary")
+    counts = index.groupBy("place", "t").agg(F.count("*").alias("n")).join(probes.groupBy("place", "t").agg(F.count("*").alias("q")), ["place", "t"])
+    counts = written(counts.select("place", "t", F.ceil(F.col("n") / SHARD).alias("shards"), F.ceil(F.col("q") / ASKED).alias("blocks")), "places")
+
+    def dealt(df: DataFrame, own: str, number: str, other: str, every: str) -> DataFrame:
+        kept = df.columns
+        df = df.join(counts, ["place", "t"]).withColumn(own, F.pmod(F.xxhash64("id"), F.col(number)))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(every) - 1))).select(*kept, "shard", "block")
+
+    return dealt(index, "shard", "shards", "block", "blocks"), dealt(probes, "block", "blocks", "shard", "shards")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k rows of largest inner product that were found, itself excluded by id."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
@@ -367,17 +410,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str
     h = tuned(rows, k)
     if h is None:
         return vectors.sparkSession.createDataFrame([], none)
-    index = rows.mapInArrow(_indexed(h, 1 << 20), "place long, t int, shard long, bucket long, id long, v binary")
-    size = written(index.groupBy("place", "t").agg(F.count("*").alias("n")).withColumn("shards", F.ceil(F.col("n") / SHARD)).drop("n"), "sizes")
-    # Where all queries ask one place, they are dealt to blocks, and its rows go to each.
-    alone = F.col("t").isin(-1, *[i * TABLES + t for i, x in enumerate(h.hashes) if np.isinf(x.width) for t in range(TABLES)])
-    blocks = F.when(alone, max(1, -(-asked.count() // ASKED))).otherwise(1).cast("long")
-    index = index.join(size, ["place", "t"]).withColumn("shard", F.col("shard") % F.col("shards")).drop("shards")
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    probes = asked.mapInArrow(_probes(h), "place long, t int, buckets array<long>, id long, v binary").join(size, ["place", "t"])
-    probes = probes.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1).cast("array<long>"))).drop("shards")
-    probes = probes.withColumn("block", F.pmod(F.xxhash64("id"), blocks))
-    found = index.groupBy("place", "t", "shard", "block").cogroup(probes.groupBy("place", "t", "shard", "block")).applyInPandas(_answered(k), "query_id long, vec_id long, score double")
+    single = all(dict(df.dtypes)["v"] == "array<float>" for df in (rows, asked))
+    kind = np.dtype(np.float32 if single else np.float64)  # of the original components, so products are of these
+    index, probes = met(rows, asked, h, kind, k)
+    keys = ["place", "t", "shard", "block"]
+    found = index.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(_answered(k, kind), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("b"))
     best = best.select("query_id", F.posexplode(F.slice("b", 1, k)).alias("pos", "x"))

@@ -17,9 +17,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar lines one stays; the texts lose the others, and no document goes."""
+    """Of each group of similar lines one stays; the texts lose the others, and documents that lose their last line go.
+
+    A document that was blank before loses nothing here and stays.
+    """
     bounded(spark)
-    return lines.deduplicated(docs, lines.FIVE)
+    return lines.deduplicated(docs, lines.FIVE, drop_emptied=True)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cindersift.llm.graph import components
-from cindersift.llm.hashing import mixed
+from cindersift.llm.hashing import mixed, returning
 from cindersift.storage import written
 
 #: Places of one batch that go to one part, as one value, or (NEAR, FAR, HOT) its FAR places and the keys known to be hot.
@@ -258,7 +258,7 @@ def _meet(differ: int):
         for own in parts.values():
             yield from own.end()
 
-    return meet
+    return returning(meet)
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray, good: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -325,7 +325,7 @@ def _likely_pairs(likely: Callable, forest: bool, sided: bool):
         if rest is not None:
             yield from told(*rest)
 
-    return pairs
+    return returning(pairs)
 
 
 def linked(places: DataFrame, n_parts: int, differ: int, payload: Callable, likely: Callable, confirmed: Callable) -> DataFrame:

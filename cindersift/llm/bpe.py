@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cindersift.llm.hashing import chunks, offsets
+from cindersift.llm.hashing import chunks, offsets, returning
 
 #: Pieces that a Python worker keeps (about 200 bytes each) before it starts anew with the next batch.
 KNOWN_PIECES = 200_000
@@ -238,7 +238,7 @@ def _encoded(file: bytes, pattern: str, col: int, digests: bool):
                         back.append(hashlib.sha256(c.decode(x)).hexdigest())
                     yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(n), pa.array(said, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encode
+    return returning(encode)
 
 
 def _decoded(file: bytes, pattern: str, col: int):

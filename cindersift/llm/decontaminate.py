@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from cindersift.llm import hashing
-from cindersift.llm.hashing import U, pieces, rolling, utf8
+from cindersift.llm.hashing import U, pieces, returning, rolling, utf8
 from cindersift.storage import written
 
 K1, B = 1.2, 0.75
@@ -269,7 +269,7 @@ def _searched(index, col: int):
                     t, *rest = zip(*found)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.array(t) + lo)), pa.array(rest[0], pa.int64()), *(pa.array(x, pa.float64()) for x in rest[1:])], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-    return search
+    return returning(search)
 
 
 def _cleaned(index, col: int):
@@ -281,7 +281,7 @@ def _cleaned(index, col: int):
                     keep[lo + t] = False
             yield pa.RecordBatch.from_arrays(b.filter(pa.array(keep)).columns, [f"c{i}" for i in range(b.num_columns)])
 
-    return clean
+    return returning(clean)
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **item_cols) -> DataFrame:

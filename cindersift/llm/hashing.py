@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,31 @@ import pyarrow.compute as pc
 # Python workers live long beside a JVM: what a batch took goes back to the system.
 pa.set_memory_pool(pa.system_memory_pool())
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
+
+
+def release() -> None:
+    """Free memory goes back to the system."""
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def returning(f: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A generator function that gives its free memory back when it has ended; the worker lives on."""
+
+    @functools.wraps(f)
+    def run(*args):
+        try:
+            yield from f(*args)
+        finally:
+            release()
+
+    return run
+
+
 U = np.uint64
 CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 8192
@@ -38,7 +65,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse; at most four million are kept."""
     if "up" not in _POWERS or len(_POWERS["up"]) <= n:
-        size = max(n + 1, CHUNK_BYTES * 2)
+        size = max(n + 1, 1 << 18)
         found = []
         for b in (_BASE, _BASE_INVERSE):
             p = np.full(size, b, U)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cindersift.llm import banding
 from cindersift.llm.graph import components
-from cindersift.llm.hashing import U, binary, chunks, mixed, offsets, powers
+from cindersift.llm.hashing import U, binary, chunks, mixed, offsets, powers, returning
 from cindersift.storage import written
 
 
@@ -42,7 +42,7 @@ TEN = Scheme(10, 12, 3)
 FIVE = Scheme(5, 16, 4)
 PERCENT = 80
 #: Bytes of texts looked at together: their arrays stay in a core's cache.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 #: Bits of a shingle's hash in sets; the rest of 64 bits hold the line's place in its chunk.
 PACKED = 50
 _CODE = np.random.default_rng(7).integers(1, 1 << 63, 1 << 16, dtype=np.uint64)
@@ -149,7 +149,7 @@ def _places(scheme: Scheme, parts: int):
                 key, node, sketch = (np.concatenate(c) for c in zip(*got))
                 yield banding.packed(key.view(np.int64), node.view(np.int64), sketch, parts)
 
-    return places
+    return returning(places)
 
 
 OCCURRENCES = "node long, id long, line long, n long, sketch binary, text string"
@@ -173,7 +173,7 @@ def _occurrences(scheme: Scheme, filter_: np.ndarray):
                 own = [c.take(place) for c in (pa.array(np.diff(at)), binary(banding.occupied(s, at)), pa.array(y.texts(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([pa.array(x.hash.view(np.int64)), b.column(0).take(pa.array(x.row + lo)), pa.array(x.number), *own], ["node", "id", "line", "n", "sketch", "text"])
 
-    return occurrences
+    return returning(occurrences)
 
 
 def _likely(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -192,7 +192,7 @@ def _similar(scheme: Scheme):
                 both = np.bincount((both[1:][both[1:] == both[:-1]] >> U(PACKED)).astype(np.int64), minlength=n)
                 yield b.select([0, 1]).slice(lo, n).filter(pa.array(100 * both >= PERCENT * (size - both)))
 
-    return similar
+    return returning(similar)
 
 
 def _rewritten(col: int, drop_emptied: bool):
@@ -210,7 +210,7 @@ def _rewritten(col: int, drop_emptied: bool):
             arrays = [pa.array(out, b.schema.field(col).type) if i == col else b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(arrays, [f"c{i}" for i in range(len(arrays))]).filter(pa.array(stays, pa.bool_()))
 
-    return rewrite
+    return returning(rewrite)
 
 
 def duplicate_lines(docs: DataFrame, scheme: Scheme = TEN, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cindersift.llm import banding
 from cindersift.llm.graph import components
-from cindersift.llm.hashing import U, binary, lists, mixed, pieces, shingles, word_hashes
+from cindersift.llm.hashing import U, binary, lists, mixed, pieces, returning, shingles, word_hashes
 from cindersift.storage import written
 
 WORDS = 5
@@ -84,6 +84,7 @@ def jaccard(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tup
     return (same / np.maximum(seen, 1) - chance) / (1 - chance), seen
 
 
+@returning
 def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, hi, data, at in pieces(b.column(2)):
@@ -101,7 +102,7 @@ def _places(parts: int):
                 node = np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS)
                 yield banding.packed(band_keys(full).view(np.int64).ravel(), node, np.repeat(banding.sketched(full[:, ::2]), BANDS, axis=0), parts)
 
-    return places
+    return returning(places)
 
 
 def _regs(col: pa.Array) -> np.ndarray:
@@ -118,7 +119,7 @@ def _sets(filter_: np.ndarray):
                 s, sat = shingles(*word_hashes(data, at), WORDS)
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], binary(banding.occupied(s, sat)), lists(s, sat)], ["id", "fp", "map", "s"])
 
-    return sets
+    return returning(sets)
 
 
 def _likely(percent: int):

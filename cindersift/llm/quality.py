@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cindersift.llm.hashing import U, mixed, pieces, word_hashes
+from cindersift.llm.hashing import U, mixed, pieces, returning, word_hashes
 
 BITS = 18
 #: Bytes to their shape: letters, digits, bytes above 127; white space and punctuation as they are. Words are lower-cased
@@ -161,6 +161,7 @@ def fitted(rows: list[np.ndarray], label: np.ndarray, prior: float | None = None
     return Model(w, s, bias, a, b)
 
 
+@returning
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, hi, data, at in pieces(b.column(2)):
@@ -181,7 +182,7 @@ def _scored(model: Model, col: int, threshold: float | None):
             else:
                 yield pa.RecordBatch.from_arrays(b.filter(pa.array(s >= threshold)).columns, [f"c{i}" for i in range(b.num_columns)])
 
-    return score
+    return returning(score)
 
 
 def fold(id_col: str):

@@ -11,6 +11,8 @@ COMMENT_STARTS = ("#", "//", "/*", "*", "<!--")
 CANDIDATE = r"""["']([A-Za-z0-9+/=_-]{20,})["']"""
 SECRET_WORD = r"(?i)(key|secret|token|password|credential|api|auth|jwt|hmac|seed|salt|nonce|private)"
 HARMLESS = r"(?i)(example|placeholder|your-secret|<your|xxx)"
+HARMLESS_STARTS = ("sha256:", "sha512:", "base64:", "data:", "http://", "https://", "$argon2", "$2b$", "$scrypt$", "sha256sum", "md5sum")
+HARMLESS_TEXTS = ("aaaaaaaaaaaaaaaa", "0000000000000000", "1111111111111111", "################################", "================", "00000000-0000-0000-0000-000000000000")
 HEX_BITS, OTHER_BITS = 3.7, 5.0
 
 
@@ -46,6 +48,9 @@ def entropy_secrets(line_rows: DataFrame) -> DataFrame:
     found = F.regexp_extract_all("code", F.lit(CANDIDATE), F.lit(1))
     rows = rows.select("*", F.posexplode(found).alias("nth", "candidate"))
     rows = rows.withColumn("before", F.expr("substring_index(code, candidate, 1)")).where(F.rlike("before", F.lit(SECRET_WORD)))
+    rows = rows.where(~F.lower("candidate").isin(*HARMLESS_TEXTS))
+    for start in HARMLESS_STARTS:
+        rows = rows.where(~F.startswith("candidate", F.lit(start)))
     rows = rows.where(F.length("candidate") - F.length(F.replace("candidate", F.lit("/"), F.lit(""))) <= 2)
     floor = F.when(F.rlike("candidate", F.lit("^[0-9a-fA-F]+$")), HEX_BITS).otherwise(OTHER_BITS)
     rows = rows.withColumn("bits", entropy(F.col("candidate"))).where(F.col("bits") >= floor)

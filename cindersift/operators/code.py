@@ -1,4 +1,4 @@
-"""Python sources as syntax trees (T1-T6): calls, taint within a function, and the call graph.
+"""Python sources as syntax trees (T1-T6): calls, taint, missing checks, and the call graph; cross-file rules of scripts.
 
 Trees are what no expression can give, so files go to Python in Arrow batches; a file that doesn't parse gives one row
 that says so. Everything after (sinks, severities, graph walk) is expressions and joins.
@@ -8,20 +8,52 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterable, Iterator
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Where untrusted data comes from and where it must not go, by the last part of the name or all of it.
-SOURCES = ("request", "input", "sys.argv", "os.environ", "flask.request")
-SINKS = {
-    "sqli": ("execute", "executemany", "raw"),
-    "command-injection": ("os.system", "os.popen", "subprocess.call", "subprocess.run", "subprocess.Popen", "eval", "exec"),
-    "path-traversal": ("open", "os.remove"),
-    "ssrf": ("requests.get", "requests.post", "urlopen"),
-    "insecure-deserialization": ("pickle.loads", "pickle.load", "yaml.load"),
-    "template-injection": ("render_template_string",),
+from cindersift.schema import looked_up
+
+#: Where untrusted data comes from (as written in the source) and which calls it must not reach.
+SOURCES = ("request.args", "request.form", "request.json", "request.data", "request.get", "request.cookies", "request.headers", "flask.request", "fastapi.Query", "fastapi.Body", "fastapi.Path", "input(", "sys.argv", "os.environ.get")
+SINKS = (
+    "execute executemany raw raw_query os.system subprocess.run subprocess.call subprocess.Popen subprocess.check_output eval exec compile open os.path.join "
+    "render_template_string Template pickle.loads pickle.load requests.get requests.post urllib.request.urlopen"
+).split()
+#: Words in a sink's name and its class, the first that fits; then the class of all others, and severities.
+SINK_CLASSES = (
+    ("sqli", "execute query sql db.run"),
+    ("command-injection", "system popen exec subprocess"),
+    ("path-traversal", "open path.join read"),
+    ("template-injection", "template render"),
+    ("ssrf", "requests.get requests.post urlopen"),
+    ("insecure-deserialization", "pickle"),
+)
+OTHER_SINK = "taint-source-to-sink"
+SINK_SEVERITY = {"sqli": "critical", "command-injection": "critical", "template-injection": "critical", "insecure-deserialization": "critical", "ssrf": "high", "path-traversal": "high", "taint-source-to-sink": "medium"}
+#: Fixed values of the semantic rules: severity, confidence, exploitability, blast radius.
+SEMANTIC = {
+    "subprocess-shell-true": ("high", 0.90, 0.75, 9),
+    "weak-hash": ("high", 0.95, 0.55, 4),
+    "yaml-load-no-loader": ("critical", 0.98, 0.80, 9),
+    "taint": (None, 0.75, 0.70, 7),
+    "hardcoded-arg-in-auth-call": ("high", 0.60, 0.65, 7),
+    "missing-auth-check": ("high", 0.55, 0.60, 6),
 }
+SHELL_CALLS = ("subprocess.run", "subprocess.call", "subprocess.Popen", "subprocess.check_output", "subprocess.check_call")
+WEAK_HASHES = ("hashlib.md5", "hashlib.sha1", "md5", "sha1")
+CREDENTIAL_CALLS = ("connect", "login", "auth", "password", "secret")
+WRITES = ("db.add", "db.commit", "save(", "create(", "update(")
+CHECKS = ("verify_token", "check_permission", "is_admin", "require_auth")
+CHANGES = ("create", "update", "delete", "modify", "post", "put", "patch")
+#: Fixed values of the cross-file rules of scripts, the first that fits: id, pattern, severity, confidence, exploitability, blast radius.
+CROSS_FILE = (
+    ("nexus/l5/js-require-then-sql", r"""(?s)require\s*\(["']([^"']+)["']\)\s*[;\n].{0,500}(execute|query|db\.run|pool\.query)""", "high", 0.55, 0.60, 7),
+    ("nexus/l5/js-route-handler-audit", r"(?m)(app|router)\.(use|get|post|put|delete)\s*\([^)]+\)", "info", 0.40, 0.20, 3),
+    ("nexus/l5/js-exported-sink", r"(?s)(module\.exports|export\s+default|export\s+const)\s+\w+[^{]*\{[^}]*(execute|query|exec|spawn)", "medium", 0.55, 0.50, 6),
+)
+SCRIPTS = (".js", ".ts", ".jsx", ".tsx")
 HANDLER_DECORATORS = ("route", "get", "post", "put", "delete", "patch")
 HANDLER_ARGUMENTS = ("request", "req", "r")
 SCHEMA = "file string, kind string, name string, line int, caller string, detail string"
@@ -38,16 +70,94 @@ def _dotted(node: ast.AST) -> str:
 
 
 def _is_source(node: ast.AST, tainted: set[str]) -> bool:
+    """Whether an expression is, or is built of, a tainted name or a source."""
     for n in ast.walk(node):
         if isinstance(n, ast.Name) and n.id in tainted:
             return True
         if isinstance(n, (ast.Attribute, ast.Call)):
-            name = _dotted(n.func if isinstance(n, ast.Call) else n)
-            if any(name == s or name.startswith(s + ".") for s in SOURCES):
+            text = ast.unparse(n)
+            if any(source in text for source in SOURCES):
                 return True
     return False
 
 
+def _sink(name: str) -> str | None:
+    if name not in SINKS and name.rpartition(".")[2] not in [x for x in SINKS if "." not in x]:
+        return None
+    return next((kind for kind, words in SINK_CLASSES if any(w in name.lower() for w in words.split())), OTHER_SINK)
+
+
+def semantic(source: str) -> Iterator[tuple[str, int, str]]:
+    """(rule, line, name) of a source, in the order of its tree: T1-T5. Taint goes through assignments, file-wide."""
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError):
+        return
+    tainted: set[str] = set()
+    waiting: list[ast.AST] = [tree]
+    while waiting:
+        n = waiting.pop()
+        if isinstance(n, ast.Assign) and _is_source(n.value, tainted):
+            tainted |= {t.id for t in n.targets if isinstance(t, ast.Name)}
+        elif isinstance(n, ast.Call):
+            name = _dotted(n.func)
+            keywords = {k.arg: k.value for k in n.keywords}
+            shell = keywords.get("shell")
+            if name in SHELL_CALLS and isinstance(shell, ast.Constant) and shell.value is True:
+                yield "subprocess-shell-true", n.lineno, name
+            if name in WEAK_HASHES:
+                yield "weak-hash", n.lineno, name
+            if name == "yaml.load" and "Loader" not in keywords:
+                yield "yaml-load-no-loader", n.lineno, name
+            if (sink := _sink(name)) and any(_is_source(a, tainted) for a in [*n.args, *keywords.values()]):
+                yield f"taint-{sink}", n.lineno, name
+            if any(w in name.lower() for w in CREDENTIAL_CALLS) and any(isinstance(a, ast.Constant) and isinstance(a.value, str) and len(a.value) >= 8 for a in n.args):
+                yield "hardcoded-arg-in-auth-call", n.lineno, name
+        elif isinstance(n, ast.FunctionDef) and any(w in n.name.lower() for w in CHANGES):
+            calls = "\n".join(ast.unparse(c) for c in ast.walk(n) if isinstance(c, ast.Call))
+            if any(w in calls for w in WRITES) and not any(w in calls for w in CHECKS):
+                yield "missing-auth-check", n.lineno, n.name
+        waiting += reversed(list(ast.iter_child_nodes(n)))
+
+
+FOUND = "repo string, file string, line int, rule_id string, severity string, issue string, matched string, exploitability double, blast_radius int, confidence double, cwe_id string, layer int"
+
+
+def _found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]]) for c in FOUND.split(", ")])
+    for b in batches:
+        rows = []
+        for repo, file, content in zip(*(b.column(i).to_pylist() for i in range(3))):
+            lines = (content or "").split("\n")
+            for rule, line, name in semantic(content or ""):
+                severity, sure, exploit, blast = SEMANTIC["taint" if rule.startswith("taint-") else rule]
+                severity = severity or SINK_SEVERITY[rule.removeprefix("taint-")]
+                snippet = lines[line - 1].strip()[:200] if 0 < line <= len(lines) else ""
+                rows.append((repo, file, line, f"nexus/l2/{rule}", severity, f"{rule.replace('-', ' ')}: {name}", snippet, exploit, blast, sure, None, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+
+
+def findings(files: DataFrame) -> DataFrame:
+    """Findings of Python files (repo, file, content) by their syntax trees; a file that doesn't parse has none."""
+    return files.select("repo", "file", "content").mapInArrow(_found, FOUND)
+
+
+def _matches(pattern: str, line: Column) -> Column:
+    return F.rlike(line, F.lit(pattern))
+
+
+def script_findings(files: DataFrame) -> DataFrame:
+    """Of each script the first cross-file rule that its content matches, at the first line that matches alone, else line 1."""
+    lines = F.split("content", "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e]")
+    hit = None
+    for rule, pattern, severity, sure, exploit, blast in CROSS_FILE:
+        at = F.array_position(F.transform(lines, partial(_matches, pattern)), True)
+        one = F.struct(F.greatest(at, F.lit(1)).cast("int").alias("line"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(rule.rpartition("/")[2].replace("-", " ")).alias("issue"), F.lit("").alias("matched"), F.lit(exploit).alias("exploitability"), F.lit(blast).alias("blast_radius"), F.lit(sure).alias("confidence"), F.lit(None).cast("string").alias("cwe_id"), F.lit(5).alias("layer"))
+        there = F.rlike("content", F.lit(pattern))
+        hit = F.when(there, one) if hit is None else hit.when(there, one)
+    return files.select("repo", "file", hit.alias("x")).where("x is not null").select("repo", "file", "x.*")
+
+
 def facts(source: str) -> Iterator[tuple[str, str, int, str, str]]:
     """(kind, name, line, caller, detail) of a source: functions, calls, and calls that get tainted arguments."""
     try:
@@ -93,19 +203,19 @@ def parsed(files: DataFrame) -> DataFrame:
 
 
 def sink_class(name: Column) -> Column:
-    """What a called name is a sink for, by its full dotted name or its last part where the sink has one."""
-    out = None
-    for kind, names in SINKS.items():
-        hit = name.isin(*names) | F.substring_index(name, ".", -1).isin(*[n for n in names if "." not in n])
-        out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    return out
+    """What a called name is a sink for, by its full dotted name or its last part where the sink has one; null if none."""
+    kind = None
+    for k, words in SINK_CLASSES:
+        hit = reduce(lambda a, b: a | b, [F.contains(F.lower(name), F.lit(w)) for w in words.split()])
+        kind = F.when(hit, k) if kind is None else kind.when(hit, k)
+    sink = name.isin(*SINKS) | F.substring_index(name, ".", -1).isin(*[n for n in SINKS if "." not in n])
+    return F.when(sink, kind.otherwise(OTHER_SINK))
 
 
 def tainted_sinks(rows: DataFrame) -> DataFrame:
     """Calls of a sink with tainted arguments."""
-    severe = F.col("rule").isin("sqli", "command-injection", "insecure-deserialization")
     found = rows.where("kind = 'tainted'").withColumn("rule", sink_class(F.col("name"))).where("rule is not null")
-    return found.select("file", "line", "caller", F.concat(F.lit("l2/taint-"), F.col("rule")).alias("rule_id"), F.when(severe, "critical").otherwise("high").alias("severity"))
+    return found.select("file", "line", "caller", F.concat(F.lit("l2/taint-"), F.col("rule")).alias("rule_id"), looked_up(F.col("rule"), SINK_SEVERITY, "medium").alias("severity"))
 
 
 def call_graph(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

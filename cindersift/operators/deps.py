@@ -120,3 +120,57 @@ def manifest_packages(files: DataFrame) -> DataFrame:
     go = pairs(["go.mod"], r"([a-zA-Z0-9./-]+)\s+v([0-9.]+)")
     out = req.unionByName(pkg).unionByName(toml).unionByName(go)
     return out.groupBy("file", F.col("filename").alias("manifest"), F.lower("name").alias("name")).agg(F.max("version").alias("version"))
+
+
+def findings(files: DataFrame) -> DataFrame:
+    """D1, D5, D7 as findings of the manifests among files (repo, file, filename, content): layer 4, line 0."""
+    manifests = files.where(F.col("filename").isin("requirements.txt", "package.json", "pyproject.toml", "Pipfile", "go.mod", "Cargo.toml"))
+    rows = manifest_packages(manifests.withColumn("file", F.concat_ws("\x00", "repo", "file")))
+    rows = rows.withColumns({"repo": F.substring_index("file", "\x00", 1), "file": F.substring_index("file", "\x00", -1)})
+
+    def told(found: DataFrame, rule: Column, issue: Column, severity: Column, sure: float, exploit: Column, blast: Column, cve: Column) -> DataFrame:
+        none = F.lit(None).cast("string")
+        return found.select("repo", "file", F.lit(0).alias("line"), rule.alias("rule_id"), severity.alias("severity"), issue.alias("issue"), F.col("name").alias("matched"), exploit.alias("exploitability"), blast.alias("blast_radius"), F.lit(sure).alias("confidence"), none.alias("cwe_id"), F.lit(4).alias("layer"), F.col("name").alias("package_name"), F.col("version").alias("package_version"), cve.alias("cve_id"))
+
+    none = F.lit(None).cast("string")
+    severe = F.col("severity").isin("critical", "high")
+    known = told(vulnerable(rows), F.concat(F.lit("nexus/l4/cve-"), F.replace(F.lower("cve_id"), F.lit("-"), F.lit(""))), F.concat(F.lit("Known Vulnerability in "), F.col("name"), F.lit(" — "), F.col("cve_id")), F.col("severity"), 0.92, F.when(severe, 0.75).otherwise(0.40), F.when(severe, 7).otherwise(4), F.col("cve_id"))
+    near = rows.join(typosquats(rows), "name")
+    near = told(near, F.lit("nexus/l4/typosquat"), F.concat(F.lit("Potential Typosquatting: '"), F.col("name"), F.lit("' (did you mean '"), F.col("popular"), F.lit("'?)")), F.lit("high"), 0.75, F.lit(0.70), F.lit(9), none)
+    loose = told(unpinned(rows), F.lit("nexus/l4/unpinned-dependency"), F.concat(F.lit("Unpinned Dependency: "), F.col("name")), F.lit("medium"), 0.85, F.lit(0.45), F.lit(5), none)
+    return known.unionByName(near).unionByName(loose)
+
+
+# The legacy scanner's packages (name, version below which it is vulnerable, severity), look-alikes and licences.
+LEGACY_ADVISORIES = (
+    ("django", "4.2.0", "high"), ("flask", "2.3.0", "medium"), ("requests", "2.31.0", "medium"), ("paramiko", "3.4.0", "high"), ("pillow", "10.0.0", "high"), ("cryptography", "41.0.0", "high"), ("pyjwt", "2.4.0", "critical"),
+    ("urllib3", "2.0.0", "high"), ("werkzeug", "2.3.0", "medium"), ("setuptools", "65.5.1", "medium"), ("lodash", "4.17.21", "high"), ("axios", "1.6.0", "medium"), ("express", "4.18.0", "medium"), ("jsonwebtoken", "9.0.0", "critical"), ("next", "14.0.0", "high"),
+)
+LEGACY_LOOKALIKES = {
+    "reqeusts": "requests", "requets": "requests", "requsts": "requests", "panda": "pandas", "pandsa": "pandas", "numppy": "numpy", "nupy": "numpy", "flaskk": "flask", "djnago": "django", "djangoo": "django",
+    "sqlalcehmy": "sqlalchemy", "pytets": "pytest", "beautifulsup": "beautifulsoup4", "scikit-lern": "scikit-learn", "scippy": "scipy", "maplotlib": "matplotlib", "pilow": "pillow", "cryptographyy": "cryptography",
+    "lodsh": "lodash", "lohash": "lodash", "monment": "moment", "momnet": "moment", "expresss": "express", "expresjs": "express", "reactt": "react", "axois": "axios", "axiso": "axios", "webpcak": "webpack",
+    "babbel": "babel", "eslnt": "eslint", "typscript": "typescript", "mongosse": "mongoose", "mongose": "mongoose", "sequilize": "sequelize", "jasonwebtoken": "jsonwebtoken", "jsonwebtokn": "jsonwebtoken",
+    "dotenev": "dotenv", "dotevn": "dotenv", "cors2": "cors", "nodemailler": "nodemailer", "nodmailr": "nodemailer",
+}
+PACKAGE_LICENCES = {"gpl": "GPL-3.0", "python-gflags": "BSD-3", "gnureadline": "GPL-3.0", "mysql-connector-python": "GPL-2.0", "mysqlclient": "GPL-2.0", "pyqt5": "GPL-3.0", "pyqt6": "GPL-3.0", "sip": "GPL-2.0", "gdb": "GPL-3.0", "ffmpeg-python": "LGPL-2.1"}
+
+
+def legacy_vulnerable(packages: DataFrame) -> DataFrame:
+    """Packages below the legacy scanner's safe version; unknown versions are left out."""
+    bound = F.coalesce(*[F.when(F.lower("name") == n, F.array(*[F.lit(int(x)) for x in v.split(".")])) for n, v, _ in LEGACY_ADVISORIES])
+    severity = F.coalesce(*[F.when(F.lower("name") == n, F.lit(s)) for n, _, s in LEGACY_ADVISORIES])
+    found = packages.where(F.col("version") != UNKNOWN_VERSION).withColumns({"bound": bound, "severity": severity})
+    return found.where(F.col("bound").isNotNull() & (version_parts(F.col("version")) < F.col("bound"))).drop("bound")
+
+
+def legacy_lookalikes(packages: DataFrame) -> DataFrame:
+    """Packages that the legacy scanner knows as look-alikes, and of what."""
+    popular = F.coalesce(*[F.when(F.lower("name") == k, F.lit(v)) for k, v in LEGACY_LOOKALIKES.items()])
+    return packages.withColumn("popular", popular).where("popular is not null")
+
+
+def copyleft_dependencies(packages: DataFrame) -> DataFrame:
+    """Packages that are known to be under a copyleft licence, whatever their manifest says."""
+    licence = F.coalesce(*[F.when(F.lower("name") == k, F.lit(v)) for k, v in PACKAGE_LICENCES.items()])
+    return copyleft(packages.withColumn("known_licence", licence), "known_licence")

@@ -153,18 +153,25 @@ def _named_by_any(text: Column, table: list[tuple[str, str]]) -> Column:
     return F.element_at(F.transform(F.array(text), hits), 1)
 
 
+def by_text(findings: DataFrame) -> DataFrame:
+    """E3-E6 of every finding, worked out once for each distinct text: findings share the texts of their rules.
+
+    The distinct texts are combined before their shuffle; where they stay few, adaptive execution broadcasts them.
+    """
+    rows = findings.withColumn("combined", combined())
+    text = F.col("combined")
+    texts = rows.select("combined").distinct().withColumns({"owasp": owasp(text), "cwe": first_contained(text, CWE), "technique": mitre(text), "controls": controls(text)})
+    return rows.join(texts, "combined")
+
+
 def enriched(findings: DataFrame) -> DataFrame:
     """False-positive probability, exploitability, categories, controls and risk of every finding."""
-    out = findings.withColumn("combined", combined())
+    out = by_text(findings)
     text = F.col("combined")
     out = out.withColumns(
         {
             "fp": F.round(false_positive(text, F.col("file"), F.col("code_snippet"), F.col("confidence")), 6),
             "exploit": F.round(exploitability(text, F.col("file")), 6),
-            "owasp": owasp(text),
-            "cwe": first_contained(text, CWE),
-            "technique": mitre(text),
-            "controls": controls(text),
         }
     )
     risk = looked_up(F.col("severity"), RISK_WEIGHT, 0.5) * 40 + F.col("exploit") * 30 + (1 - F.col("fp")) * 15 + F.least(F.col("blast_radius") / 10, F.lit(1.0)) * 15

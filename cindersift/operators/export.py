@@ -49,6 +49,13 @@ def bill_of_materials(components: DataFrame, key: str = "scan_id") -> DataFrame:
     return per.select(key, F.to_json(F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.4").alias("specVersion"), F.lit(1).alias("version"), "components")).alias("sbom"))
 
 
+def spdx(components: DataFrame, key: str = "scan_id") -> DataFrame:
+    """K5: an SPDX text of each scan's distinct components."""
+    one = F.struct(F.col("package_name").alias("name"), F.col("version").alias("versionInfo"), F.concat(F.lit("SPDXRef-"), F.regexp_replace("package_name", "[^A-Za-z0-9.-]", "-"), F.lit("-"), F.regexp_replace("version", "[^A-Za-z0-9.-]", "-")).alias("SPDXID"), F.lit("NOASSERTION").alias("downloadLocation"))
+    per = components.select(key, "package_name", "version").distinct().groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("packages"))
+    return per.select(key, F.to_json(F.struct(F.lit("SPDX-2.3").alias("spdxVersion"), F.lit("CC0-1.0").alias("dataLicense"), F.lit("SPDXRef-DOCUMENT").alias("SPDXID"), "packages")).alias("sbom"))
+
+
 def comments(counts: DataFrame) -> DataFrame:
     """K7: a line of markdown for a pull request."""
     mark = F.when(F.col("score") >= 80, "✅").when(F.col("score") >= 60, "⚠️").otherwise("❌")

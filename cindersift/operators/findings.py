@@ -20,8 +20,12 @@ def layer_counts(findings: DataFrame, key: str = "scan_id") -> DataFrame:
 
 
 def _first_of(findings: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return findings.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The first row of each key in an order of falling values, then by seq: a grouped minimum, combined before the shuffle."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in findings.columns])
+    named = [k.alias(f"__k{i}") for i, k in enumerate(keys)]
+    rank = F.struct(*[(-o).alias(f"o{i}") for i, o in enumerate(order)], F.col("seq").alias("s"))
+    # The rest of the row comes along but never decides, beyond rows equal in all that is asked for.
+    return findings.groupBy(*named).agg(F.min_by(whole, rank).alias("r")).select("r.*")
 
 
 def dedup_best(findings: DataFrame, key: str = "scan_id", *, strict: bool = False) -> DataFrame:
@@ -32,12 +36,12 @@ def dedup_best(findings: DataFrame, key: str = "scan_id", *, strict: bool = Fals
     keys = [F.col(key), F.col("file"), F.col("line"), F.substring_index("rule_id", "/", 3)]
     if not strict and "package_name" in findings.columns:
         keys.append(F.coalesce("package_name", F.lit("")))
-    return _first_of(findings, keys, [F.desc(F.col("confidence") * F.col("exploitability")), F.col("seq")])
+    return _first_of(findings, keys, [F.col("confidence") * F.col("exploitability")])
 
 
 def dedup_severity(findings: DataFrame, key: str = "scan_id") -> DataFrame:
     """Of a file, line and rule the worst severity, the first on a tie."""
-    return _first_of(findings, [F.col(key), F.col("file"), F.col("line"), F.col("rule_id")], [F.desc(severity_rank(F.col("severity"))), F.col("seq")])
+    return _first_of(findings, [F.col(key), F.col("file"), F.col("line"), F.col("rule_id")], [severity_rank(F.col("severity"))])
 
 
 def risk_order() -> list[Column]:
@@ -116,10 +120,17 @@ def resolved_cwe(findings: DataFrame) -> DataFrame:
     return findings.withColumn("cwe_id", F.coalesce("cwe_id", first_contained(text, RULE_CWE)))
 
 
-#: Names that scanners give to severities.
-SEVERITY_NAMES = {"CRITICAL": "critical", "ERROR": "high", "HIGH": "high", "WARNING": "medium", "MEDIUM": "medium", "LOW": "low", "INFO": "info", "UNKNOWN": "info"}
+#: What each scanner calls its severities, and what any other name means.
+SCANNER_SEVERITIES = {
+    "semgrep": ({"ERROR": "critical", "WARNING": "high", "INFO": "medium", "NOTE": "low"}, "medium"),
+    "bandit": ({"HIGH": "high", "MEDIUM": "medium", "LOW": "low"}, "low"),
+    "trivy": ({"CRITICAL": "critical", "HIGH": "high", "MEDIUM": "medium", "LOW": "low", "UNKNOWN": "low"}, "low"),
+}
+#: The same names; secrets and misconfigurations of another or no name are worse.
+SCANNER_SEVERITIES |= {"trivy-secret": (SCANNER_SEVERITIES["trivy"][0], "high"), "trivy-config": (SCANNER_SEVERITIES["trivy"][0], "medium")}
 
 
-def mapped_severity(name: Column, default: str = "medium") -> Column:
-    """P13."""
-    return looked_up(F.upper(F.trim(name)), SEVERITY_NAMES, default)
+def mapped_severity(name: Column, scanner: str) -> Column:
+    """A scanner's severity as one of ours."""
+    names, other = SCANNER_SEVERITIES[scanner]
+    return looked_up(F.upper(F.coalesce(name, F.lit(""))), names, other)

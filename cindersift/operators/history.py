@@ -121,3 +121,20 @@ def severity_share(findings: DataFrame) -> DataFrame:
     """Findings of each severity and their share in percent."""
     per = findings.groupBy("severity").agg(F.count("*").alias("n"))
     return per.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
+
+
+def newest(scans: DataFrame, k: int = 10, key: str = "repo_id") -> DataFrame:
+    """Q9: the newest k scans of each repository by id, with their position."""
+    w = Window.partitionBy(key).orderBy(F.desc("scan_id"))
+    return scans.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+
+
+def live_status(scans: DataFrame) -> DataFrame:
+    """Q17: what a poll of a scan sees: the phase, the status where there is none, and whether it has ended."""
+    phase = F.coalesce(F.nullif("phase", F.lit("")), "status") if "phase" in scans.columns else F.col("status")
+    return scans.select("scan_id", "status", phase.alias("phase"), "score", F.col("status").isin("completed", "failed").alias("is_complete"))
+
+
+def running_flags(scans: DataFrame) -> DataFrame:
+    """Whether any scan of a repository is running, and how many failed."""
+    return scans.groupBy("repo_id").agg(F.bool_or(F.col("status") == "running").alias("any_running"), F.count(F.when(F.col("status") == "failed", 1)).alias("failed"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cindersift.operators.rules import Rule, first_matches, matches
+from cindersift.operators.rules import Rule, all_matches, first_matches
 
 
 def _pack(*rows: tuple) -> tuple[Rule, ...]:
@@ -119,19 +119,16 @@ def routes() -> list[tuple[Column, tuple[Rule, ...], tuple[str, ...]]]:
     ]
 
 
-def routed_matches(line_rows: DataFrame) -> DataFrame:
-    """First matches of every pack on the files it is for; lines carry repo, file, filename, ext, cluster, workflow, line and code.
-
-    Key derivation with at least 100,000 rounds is no finding; below 10,000 it is a high one.
-    """
-    out = None
-    for which, rules, starts in routes():
-        part = matches(line_rows.where(which), rules, starts=starts)
-        out = part if out is None else out.unionByName(part)
+def slow_enough(hits: DataFrame) -> DataFrame:
+    """Key derivation with at least 100,000 rounds is no finding; below 10,000 it is a high one."""
     rounds = F.regexp_extract("matched", r"(\d+)\s*\)$", 1).try_cast("long")
     slow = F.col("rule_id") == "l3/pbkdf2-low-iterations"
-    out = out.where(~(slow & (rounds >= 100_000)) | ~slow).withColumn("severity", F.when(slow & (rounds < 10_000), "high").otherwise(F.col("severity")))
-    return first_matches(out, "repo", "file")
+    return hits.where(~(slow & (rounds >= 100_000)) | ~slow).withColumn("severity", F.when(slow & (rounds < 10_000), "high").otherwise(F.col("severity")))
+
+
+def routed_matches(line_rows: DataFrame) -> DataFrame:
+    """First matches of every pack on the files it is for; lines carry repo, file, filename, ext, cluster, workflow, line and code."""
+    return first_matches(slow_enough(all_matches(line_rows, routes())), "repo", "file")
 
 
 def probed(files: DataFrame, content: str = "content") -> DataFrame:

@@ -61,26 +61,68 @@ def scan_metrics(findings: DataFrame, key: str = "scan_id") -> DataFrame:
     )
 
 
-#: Key in the rule id or issue, pattern, replacement.
+#: Key in the rule id or issue; patterns and replacements, in order; explanation; risk of breaking something.
 FIXES = (
-    ("md5", r"hashlib\.md5\(", "hashlib.sha256("),
-    ("sha1", r"hashlib\.sha1\(", "hashlib.sha256("),
-    ("yaml", r"yaml\.load\(", "yaml.safe_load("),
-    ("ssl-verify", r"verify\s*=\s*False", "verify=True"),
-    ("debug", r"(?i)debug\s*=\s*true", "debug=False"),
-    ("shell", r"shell\s*=\s*True", "shell=False"),
-    ("http-not-https", r"http://", "https://"),
-)
+    ("sqli", ((r"execute\s*\(\s*[\"'].*%s.*[\"']", 'execute("...%s...", (param,))'), (r'f".*\{(\w+)\}.*".*execute', "Use parameterized query with %s placeholder"), (r"\.format\(.*\).*execute", "Use parameterized query with %s placeholder")),
+     "Replace string-concatenated SQL with parameterized queries to prevent SQL injection.", "low"),
+    ("xss", ((r"innerHTML\s*=", "textContent = "), (r"document\.write\s*\(", "Use DOM API: element.textContent = "), (r"dangerouslySetInnerHTML", "Use DOMPurify.sanitize() before rendering")),
+     "Sanitize user input before rendering in DOM to prevent Cross-Site Scripting.", "low"),
+    ("command-injection", ((r"os\.system\s*\(", "subprocess.run([], shell=False)"), (r"subprocess\.\w+\([^)]*shell\s*=\s*True", "subprocess.run([cmd, arg], shell=False)"), (r"eval\s*\(", "Use ast.literal_eval() for safe evaluation"), (r"exec\s*\(", "Avoid exec(); use structured dispatch instead")),
+     "Replace shell execution with safe subprocess calls using argument arrays.", "medium"),
+    ("hardcoded-secret", ((r"(password|secret|api_key|token)\s*=\s*[\"'][^\"']{8,}", 'Use os.environ.get("VAR_NAME")'),),
+     "Move secrets to environment variables or a secrets manager (e.g., AWS Secrets Manager, HashiCorp Vault).", "medium"),
+    ("deserialization", ((r"pickle\.loads?\s*\(", "json.loads() for safe deserialization"), (r"yaml\.load\s*\(", "yaml.safe_load()"), (r"marshal\.load\s*\(", "json.load() for safe deserialization")),
+     "Replace unsafe deserializers with safe alternatives to prevent remote code execution.", "medium"),
+    ("ssl-verify", ((r"verify\s*=\s*False", "verify=True"), (r"ssl\._create_unverified_context", "ssl.create_default_context()")),
+     "Enable SSL certificate verification to prevent person-in-the-middle attacks.", "low"),
+    ("debug-mode", ((r"DEBUG\s*=\s*True", 'DEBUG = os.environ.get("DEBUG", "False").lower() == "true"'), (r"debug\s*=\s*True", "debug=False  # Never enable debug in production")),
+     "Disable debug mode in production to prevent information disclosure.", "none"),
+    ("weak-crypto", ((r"md5\s*\(", "hashlib.sha256("), (r"sha1\s*\(", "hashlib.sha256("), (r"DES\b", "AES"), (r"MODE_ECB", "MODE_GCM")),
+     "Replace weak cryptographic algorithms with strong alternatives.", "medium"),
+    ("cors-wildcard", ((r"Access-Control-Allow-Origin.*\*", "Access-Control-Allow-Origin: <specific-origin>"), (r"origins\s*=\s*\[?\s*[\"']?\*", 'origins=["https://your-domain.com"]')),
+     "Replace wildcard CORS with specific allowed origins to prevent cross-origin attacks.", "medium"),
+    ("jwt-insecure", ((r"algorithms?\s*=\s*\[?\s*[\"']none", 'algorithms=["HS256"]'), (r"verify\s*=\s*False.*jwt", "verify=True")),
+     "Enforce JWT signature verification and strong algorithms.", "low"),
+    ("docker-root", ((r"USER\s+root", "USER nonroot"),),
+     "Run containers as non-root to limit blast radius of container escapes.", "medium"),
+)
 
 
 def fixed(findings: DataFrame) -> DataFrame:
-    """The first template whose key the finding has and whose pattern its code has; else a marked line of lower confidence."""
-    text = F.lower(F.concat_ws(" ", "rule_id", "issue"))
+    """The template whose key comes first in the rule id or issue, its first pattern that the code has replaced; else a marked explanation of lower confidence.
+
+    Findings without a template have no fix and are left out.
+    """
+    text = F.concat(F.lower(F.coalesce("rule_id", F.lit(""))), F.lit(" "), F.lower(F.coalesce("issue", F.lit(""))))
     code = F.coalesce("code_snippet", F.lit(""))
-    fix = F.coalesce(*[F.when(F.contains(text, F.lit(k)) & F.rlike(code, F.lit(p)), F.regexp_replace(code, p, r)) for k, p, r in FIXES])
-    return findings.withColumn("fixed_code", F.coalesce(fix, F.concat(F.lit("# TODO: review\n"), code))).withColumn("fix_confidence", F.when(fix.isNotNull(), 0.75).otherwise(0.50))
+    chosen = None
+    for key, pairs, explanation, risk in FIXES:
+        hits = [F.when(F.rlike(code, F.lit("(?i)" + p)), F.regexp_replace(code, "(?i)" + p, r.replace("\\", "\\\\").replace("$", "\\$"))) for p, r in pairs]
+        done = F.coalesce(*hits)
+        one = F.struct(F.coalesce(done, F.concat(F.lit(f"// TODO: {explanation}\n"), code)).alias("fixed_code"), F.when(done.isNotNull(), 0.75).otherwise(0.50).alias("fix_confidence"), F.lit(explanation).alias("explanation"), F.lit(risk).alias("breaking_risk"))
+        there = F.contains(text, F.lit(key))
+        chosen = F.when(there, one) if chosen is None else chosen.when(there, one)
+    return findings.withColumn("__fix", chosen).where("__fix is not null").select(*findings.columns, "__fix.*")
 
 
 def merged_fixes(given: DataFrame, offline: DataFrame, key: str = "rule_id") -> DataFrame:
     """The given fixes and those offline ones whose rule none of them covers."""
     return given.unionByName(offline.join(given.select(key).distinct(), key, "left_anti").select(given.columns))
+
+
+#: What a default posture recommends whatever was found.
+POSTURE = {
+    "architecture_recommendations": ("Separate concerns: keep business logic, data access, and API layers distinct.", "Add an API gateway or middleware layer for rate limiting and input validation.", "Consider adopting a secrets management solution like HashiCorp Vault or AWS Secrets Manager."),
+    "security_improvements": ("Rotate any credentials identified in this scan immediately.", "Enable dependency auto-update tools (Dependabot / Renovate).", "Add pre-commit hooks running Semgrep and secret scanners on every commit."),
+}
+
+
+def default_posture(counts: DataFrame) -> DataFrame:
+    """Risk, assessment and actions of each row of (language, frameworks, total, critical, high, medium, low)."""
+    n = lambda c: F.col(c).cast("string")
+    risk = F.when(F.col("critical") > 0, "CRITICAL").when(F.col("high") > 2, "HIGH").when(F.col("total") > 5, "MEDIUM").otherwise("LOW")
+    used = F.concat(F.lit("The repository scanned uses "), F.coalesce("language", F.lit("unknown")), F.when(F.size("frameworks") > 0, F.concat(F.lit(" with "), F.array_join("frameworks", ", "))).otherwise(""))
+    said = F.concat(used, F.lit(". "), n("total"), F.lit(" issues were detected: "), n("critical"), F.lit(" critical, "), n("high"), F.lit(" high, "), n("medium"), F.lit(" medium, "), n("low"), F.lit(" low."))
+    actions = F.array(F.concat(F.lit("Address all "), n("critical"), F.lit(" critical findings immediately.")), F.concat(F.lit("Patch "), n("high"), F.lit(" high severity dependency vulnerabilities this sprint.")))
+    fixed_ = {k: F.array(*map(F.lit, v)) for k, v in POSTURE.items()}
+    return counts.withColumns({"posture_risk": risk, "assessment": said, "priority_actions": actions} | fixed_)

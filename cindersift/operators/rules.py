@@ -1,20 +1,24 @@
-"""Rule packs: a table of patterns compiled into one projection over lines.
+"""Rule packs: tables of patterns compiled into one projection over lines.
 
-A pack is data. Its patterns become literals, each compiled once per task, in groups small enough for generated code;
-a line's matches are exploded, and the first line of each file and rule is a grouped minimum, combined before its shuffle.
+A pack is data. Each pattern becomes a literal behind the texts that any match of it must hold, which are read off the
+pattern and are far cheaper to look for; only the numbers of the rules that hit are exploded, so all packs share one
+pass over the lines. The first line of each file and rule is a grouped minimum, combined before its shuffle.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cindersift.functions.text import COMMENT_STARTS, is_comment
 from cindersift.schema import EXPLOITABILITY
 
-GROUP = 24
+#: Alternatives that a rule may need, beyond which its pattern is tried at once.
+ALTERNATIVES = 12
 
 
 @dataclass(frozen=True)
@@ -30,71 +34,113 @@ class Rule:
     blast: int | None = None  # else from the id
 
 
-#: Patterns of this library for common secrets and unsafe calls, by severity.
-SURFACE = (
-    Rule("l1/aws-key-id", "critical", r"(?:AKIA|ASIA)[0-9A-Z]{16}", "AWS access key id", "CWE-798"),
-    Rule("l1/gcp-api-key", "high", r"AIza[0-9A-Za-z_-]{35}", "Google API key", "CWE-798"),
-    Rule("l1/github-pat", "critical", r"gh[pousr]_[0-9A-Za-z]{36,}", "GitHub token", "CWE-798"),
-    Rule("l1/stripe-secret", "critical", r"sk_live_[0-9A-Za-z]{16,}", "Stripe secret key", "CWE-798"),
-    Rule("l1/slack-token", "critical", r"xox[abprs]-[0-9A-Za-z-]{10,}", "Slack token", "CWE-798"),
-    Rule("l1/private-key", "critical", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", "Private key", "CWE-321"),
-    Rule("l1/jwt-hardcoded", "critical", r"eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{5,}", "Signed token", "CWE-798"),
-    Rule("l1/db-url-creds", "critical", r"(?i)(?:postgres(?:ql)?|mysql|mongodb|redis|amqp)(?:\+\w+)?://[^:/\s]+:[^@\s]+@", "Database URL with credentials", "CWE-798"),
-    Rule("l1/generic-password", "high", r"""(?i)\b(?:password|passwd|pwd)\b\s*[:=]\s*["'][^"'\s]{4,}["']""", "Password in the text", "CWE-259"),
-    Rule("l1/generic-secret", "high", r"""(?i)\b(?:secret|token|api_?key)\b\s*[:=]\s*["'][^"'\s]{8,}["']""", "Secret in the text", "CWE-798"),
-    Rule("l1/sqli-concat", "critical", r"(?i)\b(?:select|insert|update|delete)\b[^;]{0,80}[\"']\s*\+\s*\w+", "Concatenated SQL", "CWE-89"),
-    Rule("l1/os-system", "high", r"\bos\.(?:system|popen)\s*\(", "Shell command", "CWE-78"),
-    Rule("l1/eval-exec", "critical", r"\b(?:eval|exec)\s*\(", "Evaluated text", "CWE-95"),
-    Rule("l1/inner-html", "high", r"\.innerHTML\s*=", "Assigned markup", "CWE-79"),
-    Rule("l1/pickle-load", "critical", r"\bpickle\.loads?\s*\(", "Unpickled data", "CWE-502"),
-    Rule("l1/yaml-load", "high", r"\byaml\.load\s*\(", "Loaded YAML", "CWE-502"),
-    Rule("l1/debug-true", "high", r"(?i)\bdebug\s*=\s*true\b", "Debug mode", "CWE-489"),
-    Rule("l1/ssl-verify-false", "high", r"\bverify\s*=\s*False\b", "Certificates not verified", "CWE-295"),
-    Rule("l1/cors-wildcard", "medium", r"(?i)access-control-allow-origin[\"']?\s*[:,]\s*[\"']\*", "Any origin allowed", "CWE-942"),
-    Rule("l1/hardcoded-ip", "medium", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "Address in the text", "CWE-200"),
-    Rule("l3/des", "high", r"(?i)(?:^|[^\p{L}\p{N}_])DES(?:[^\p{L}\p{N}_]|$)", "Weak cipher", "CWE-327"),
-    Rule("l3/md5", "high", r"(?i)\bmd5\s*\(", "Weak hash", "CWE-328"),
-    Rule("l3/sha1", "medium", r"(?i)\bsha1\s*\(", "Weak hash", "CWE-328"),
-    Rule("l3/ecb", "high", r"\bMODE_ECB\b", "Cipher mode without chaining", "CWE-327"),
-    Rule("l1/copyleft", "low", r"(?i)\bGNU (?:Affero |Lesser )?General Public License\b", "Copyleft notice"),
-    Rule("l1/noncommercial", "low", r"(?i)\bCC BY-NC\b", "Non-commercial notice"),
-)
 CONTAINER = (
-    Rule("l6/docker-latest", "medium", r"(?im)^\s*FROM\s+\S+:latest\b", "Unpinned base image", "CWE-1104"),
-    Rule("l6/docker-no-user", "high", r"(?im)^\s*FROM\s+\S+", "Runs as root", "CWE-250", absent=r"(?im)^\s*USER\s+\S+"),
-    Rule("l6/docker-add-url", "medium", r"(?im)^\s*ADD\s+https?://", "Remote file added", "CWE-829"),
-    Rule("l6/compose-privileged", "critical", r"(?im)^\s*privileged:\s*true\b", "Privileged container", "CWE-250"),
+    Rule("own/docker-latest", "medium", r"(?im)^\s*FROM\s+\S+:latest\b", "Unpinned base image", "CWE-1104"),
+    Rule("own/docker-no-user", "high", r"(?im)^\s*FROM\s+\S+", "Runs as root", "CWE-250", absent=r"(?im)^\s*USER\s+\S+"),
+    Rule("own/docker-add-url", "medium", r"(?im)^\s*ADD\s+https?://", "Remote file added", "CWE-829"),
+    Rule("own/compose-privileged", "critical", r"(?im)^\s*privileged:\s*true\b", "Privileged container", "CWE-250"),
+)
+#: The patterns of a scan of a pasted snippet, all lines of which count, comments too.
+SNIPPET = (
+    Rule("snippet/eval", "critical", r"eval\s*\(", "Code Injection via eval()"),
+    Rule("snippet/inner-html", "high", r"innerHTML\s*=", "XSS via innerHTML"),
+    Rule("snippet/secret", "critical", r"""(?i)(password|secret|api_key|token)\s*=\s*['"][^'"]{8,}""", "Hardcoded Secret Detected"),
+    Rule("snippet/weak-hash", "high", r"(?i)MD5|SHA1|md5\(|sha1\(", "Weak Cryptographic Hash"),
+    Rule("snippet/sql", "critical", r"(?i)SELECT\s+\*?\s+FROM.*\$\{|SELECT.*\+\s*[a-z]", "SQL Injection Risk"),
+    Rule("snippet/command", "critical", r"(?i)exec\s*\(|system\s*\(|shell_exec|subprocess\.call.*shell=True", "Command Injection Risk"),
+    Rule("snippet/unwrap", "medium", r"\.unwrap\(\)", "Unhandled Error (unwrap)"),
+    Rule("snippet/deserialization", "high", r"pickle\.loads|yaml\.load\s*\([^,]+\)", "Deserialization Vulnerability"),
+)
+#: Words in a rule id and the radius, the first that fits; 2 without any.
+BLAST = (
+    ("aws gcp azure firebase", 10),
+    ("db-url sqli jwt auth", 8),
+    ("rce exec pickle eval", 9),
+    ("xss csrf localstorage", 5),
+    ("secret credential password", 7),
+    ("debug ssl", 4),
 )
 
 
 def blast_radius(rule_id: str) -> int:
-    for words, n in (("key secret token password private db-url", 10), ("sqli os-system eval exec", 8), ("pickle yaml", 9), ("inner-html xss", 5), ("md5 sha1 des ecb", 7), ("cors debug ssl", 4)):
-        if any(w in rule_id for w in words.split()):
-            return n
-    return 2
-
-
-def _hit(rule: Rule, matched: Column) -> Column:
-    return F.when(
-        F.rlike("code", F.lit(rule.pattern)),
-        F.struct(
-            F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(rule.issue).alias("issue"), F.lit(rule.cwe).cast("string").alias("cwe_id"), matched.alias("matched"),
-            F.lit(rule.exploitability if rule.exploitability is not None else EXPLOITABILITY[rule.severity]).alias("exploitability"),
-            F.lit(rule.blast if rule.blast is not None else blast_radius(rule.rule_id)).alias("blast_radius"), F.lit(rule.confidence).cast("double").alias("own"),
-        ),
+    """R5."""
+    return next((n for words, n in BLAST if any(w in rule_id.lower() for w in words.split())), 2)
+
+
+def _needed(parsed) -> frozenset[str] | None:
+    """Lower-case texts of which any match holds at least one, None where there are none."""
+    found, run = [], ""
+    for op, arg in [*parsed, (None, None)]:
+        name = str(op)
+        if name == "LITERAL":
+            run += chr(arg).lower()
+            continue
+        if name == "AT":
+            continue
+        if run:
+            found.append(frozenset([run]))
+            run = ""
+        inner = None
+        if name == "SUBPATTERN":
+            inner = _needed(arg[3])
+        elif name == "BRANCH":
+            parts = [_needed(x) for x in arg[1]]
+            inner = None if None in parts else frozenset().union(*parts)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
+            inner = _needed(arg[2])
+        if inner and len(inner) <= ALTERNATIVES:
+            found.append(inner)
+    return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+@cache
+def needed(pattern: str) -> tuple[str, ...]:
+    """Texts (lower case) of which a line must hold one for the pattern to match; none where the pattern doesn't tell."""
+    try:
+        found = _needed(re._parser.parse(pattern))
+    except re.error:  # only other engines know what it says
+        found = None
+    return tuple(sorted(found)) if found and min(map(len, found)) >= 2 else ()
+
+
+def all_matches(line_rows: DataFrame, packs: Sequence[tuple[Column | None, Sequence[Rule], tuple[str, ...]]]) -> DataFrame:
+    """Every match of a rule of (which rows, rules, comment starts) on a line that is no comment to the pack, in one pass.
+
+    Adds the rule's values, the matched text, and a confidence from the match's length where the pack has none.
+    """
+    rules = [r for _, own, _ in packs for r in own]
+    starts = list(dict.fromkeys(s for _, _, s in packs if s))
+    rows = line_rows.withColumns({"__low": F.lower("code")} | {f"__c{i}": is_comment(F.col("code"), s) for i, s in enumerate(starts)})
+    hits, number = [], 0
+    for which, own, begins in packs:
+        pack = F.lit(True) if which is None else which
+        if begins:
+            pack = pack & ~F.col(f"__c{starts.index(begins)}")
+        for r in own:
+            number += 1
+            words = [F.contains("__low", F.lit(w)) for w in needed(r.pattern)]
+            there = reduce(lambda a, b: a | b, words) & pack if words else pack
+            hits.append(F.when(there & F.rlike("code", F.lit(r.pattern)), F.lit(number)))
+    table = F.array(
+        *[
+            F.struct(
+                F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.issue).alias("issue"), F.lit(r.cwe).cast("string").alias("cwe_id"), F.lit(r.pattern).alias("pattern"),
+                F.lit(r.exploitability if r.exploitability is not None else EXPLOITABILITY[r.severity]).alias("exploitability"),
+                F.lit(r.blast if r.blast is not None else blast_radius(r.rule_id)).alias("blast_radius"), F.lit(r.confidence).cast("double").alias("own"),
+            )
+            for r in rules
+        ]
     )
+    out = rows.withColumn("__hits", F.array_compact(F.array(*hits))).where(F.size("__hits") > 0)
+    out = out.select(*line_rows.columns, F.explode("__hits").alias("__n"))
+    out = out.withColumn("__r", F.element_at(table, F.col("__n"))).withColumn("matched", F.coalesce(F.regexp_substr("code", F.col("__r.pattern")), F.lit("")))
+    sure = F.coalesce("__r.own", F.round(F.least(F.lit(0.95), 0.6 + 0.005 * F.length("matched")), 2))
+    return out.select(*line_rows.columns, *[F.col(f"__r.{c}").alias(c) for c in ("rule_id", "severity", "issue", "cwe_id")], "matched", F.col("__r.exploitability").alias("exploitability"), F.col("__r.blast_radius").alias("blast_radius"), sure.alias("confidence"))
 
 
-def matches(line_rows: DataFrame, rules: Sequence[Rule] = SURFACE, *, starts: tuple[str, ...] = COMMENT_STARTS, rule_filter: str | None = None) -> DataFrame:
-    """Every match of a rule on a line that is no comment, with the rule's values and a confidence from the match's length."""
-    rows = line_rows.where(~is_comment(F.col("code"), starts)) if starts else line_rows
-    chosen = [r for r in rules if rule_filter is None or r.rule_id == rule_filter]
-    out = None
-    for lo in range(0, len(chosen), GROUP):
-        hits = F.array_compact(F.array(*[_hit(r, F.regexp_extract("code", r.pattern, 0)) for r in chosen[lo : lo + GROUP]]))
-        part = rows.select("*", F.inline(hits))
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("confidence", F.coalesce("own", F.round(F.least(F.lit(0.95), 0.6 + 0.005 * F.length("matched")), 2))).drop("own")
+def matches(line_rows: DataFrame, rules: Sequence[Rule], *, starts: tuple[str, ...] = COMMENT_STARTS, rule_filter: str | None = None) -> DataFrame:
+    """:func:`all_matches` of one pack, or of one of its rules."""
+    return all_matches(line_rows, [(None, [r for r in rules if rule_filter is None or r.rule_id == rule_filter], starts)])
 
 
 def first_matches(hits: DataFrame, *keys: str) -> DataFrame:

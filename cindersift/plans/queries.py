@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cindersift.functions import text
-from cindersift.operators import deps, enrich, findings as P, graph, history as H, policy, rules
+from cindersift.operators import deps, enrich, findings as P, graph, history as H, policy, rules, surface
+from cindersift.plans import more
 from cindersift.schema import RISK_WEIGHT, SCORE_WEIGHT, SEVERITIES, truncated
 from cindersift.sources.tables import load, with_sql
 from cindersift.streaming import events as W
@@ -55,28 +58,53 @@ def comment_filter(spark, sf_dir):
     return _lines(spark, sf_dir).where(~text.is_comment(F.col("code"))).groupBy("repo").agg(F.count("*").alias("n"))
 
 
-def _pattern(rule_id: str) -> str:
-    return _q(next(r.pattern for r in rules.SURFACE if r.rule_id == rule_id))
+def _re2(pattern: str) -> str:
+    """A pattern as the other engine reads it: word edges spelled out, as it knows only those of ASCII words, and no look-ahead."""
+    edges = re.sub(r"\\b(?=[\w(])", r"(?:^|[^\\p{L}\\p{N}_])", pattern)
+    return edges.replace("\\b", r"(?:[^\p{L}\p{N}_]|$)").replace("(?!Secure|secure)", "")
+
+
+def _there(r: rules.Rule) -> str:
+    if r.rule_id == "l1/http-not-https":  # a look-ahead: of all such links one that isn't local
+        return "len([x FOR x IN regexp_extract_all(code, '(?i)[\"'']http://[^\"'']{5,}[\"'']') IF NOT regexp_matches(x, '(?i)^.http://(localhost|127\\.0\\.0\\.1)')]) > 0"
+    if r.rule_id == "l1/ruby-system-exec":  # an edge before a backtick is one after a letter
+        return r"(regexp_matches(code, '(?i)(?:^|[^\p{L}\p{N}_])(system|exec)\s*[^#]') OR regexp_matches(code, '[\p{L}\p{N}_]`[^`]*`\s*[^#]'))"
+    return f"regexp_matches(code, '{_q(_re2(r.pattern))}')"
+
 
+def _rule(rule_id: str) -> rules.Rule:
+    return next(r for r in surface.SURFACE if r.rule_id == rule_id)
 
-@query(LINES + ", hits AS (" + " UNION ALL ".join(f"SELECT repo, file, line, '{r.rule_id}' AS rule_id FROM lines WHERE {NOT_COMMENT} AND regexp_matches(code, '{_q(r.pattern)}')" for r in rules.SURFACE) + ") SELECT repo, file, rule_id, min(line) AS line FROM hits GROUP BY ALL")
+
+@query(LINES + ", hits AS (" + " UNION ALL ".join(f"SELECT repo, file, line, '{r.rule_id}' AS rule_id FROM lines WHERE {NOT_COMMENT} AND {_there(r)}" for r in surface.SURFACE) + ") SELECT repo, file, rule_id, min(line) AS line FROM hits GROUP BY ALL")
 def rule_first_match(spark, sf_dir):
-    return rules.first_matches(rules.matches(_lines(spark, sf_dir)), "repo", "file").select("repo", "file", "rule_id", F.col("line").cast("long").alias("line"))
+    hits = rules.matches(_lines(spark, sf_dir), surface.SURFACE)
+    return rules.first_matches(hits, "repo", "file").select("repo", "file", "rule_id", F.col("line").cast("long").alias("line"))
 
 
-@query(LINES + f"SELECT repo, count(DISTINCT file) AS files, count(*) AS hits FROM lines WHERE {NOT_COMMENT} AND regexp_matches(code, '{_pattern('l3/des')}') GROUP BY repo")
+@query(LINES + f"SELECT repo, count(DISTINCT file) AS files, count(*) AS hits FROM lines WHERE {NOT_COMMENT} AND {_there(_rule('l1/des-usage'))} GROUP BY repo")
 def des_word_hits(spark, sf_dir):
-    return rules.matches(_lines(spark, sf_dir), rule_filter="l3/des").groupBy("repo").agg(F.countDistinct("file").alias("files"), F.count("*").alias("hits"))
+    return rules.matches(_lines(spark, sf_dir), surface.SURFACE, rule_filter="l1/des-usage").groupBy("repo").agg(F.countDistinct("file").alias("files"), F.count("*").alias("hits"))
 
 
-@query(LINES + f"SELECT file, line, regexp_extract(code, '{_pattern('l1/generic-secret')}') AS matched FROM lines WHERE {NOT_COMMENT} AND regexp_matches(code, '{_pattern('l1/generic-secret')}')")
+@query(LINES + f"SELECT file, line, regexp_extract(code, '{_q(_rule('l1/generic-secret').pattern)}') AS matched FROM lines WHERE {NOT_COMMENT} AND {_there(_rule('l1/generic-secret'))}")
 def secret_assignments(spark, sf_dir):
-    return rules.matches(_lines(spark, sf_dir), rule_filter="l1/generic-secret").select("file", F.col("line").cast("long").alias("line"), "matched")
+    return rules.matches(_lines(spark, sf_dir), surface.SURFACE, rule_filter="l1/generic-secret").select("file", F.col("line").cast("long").alias("line"), "matched")
 
 
-@query()
+_BITS = "CASE WHEN regexp_matches(candidate, '^[0-9a-fA-F]+$') THEN 3.7 ELSE 5.0 END"
+
+
+@query(
+    LINES
+    + f", found AS (SELECT repo, file, line, code, unnest(regexp_extract_all(code, '{_q(text.CANDIDATE)}', 1)) AS candidate FROM lines WHERE {NOT_COMMENT} AND regexp_matches(code, '{_q(text.CANDIDATE)}') AND NOT regexp_matches(code, '{text.HARMLESS}')), "
+    + f"near AS (SELECT DISTINCT repo, file, line, candidate FROM found WHERE regexp_matches(string_split(code, candidate)[1], '{text.SECRET_WORD}') AND len(candidate) - len(replace(candidate, '/', '')) <= 2 AND lower(candidate) NOT IN ({', '.join(repr(x) for x in text.HARMLESS_TEXTS)})), "
+    + "letters AS (SELECT candidate, c, count(*) AS n FROM (SELECT candidate, unnest(string_split(candidate, '')) AS c FROM (SELECT DISTINCT candidate FROM near)) GROUP BY ALL), "
+    + f"bits AS (SELECT candidate, -sum(n / length(candidate) * log2(n / length(candidate))) AS bits, {_BITS} AS least FROM letters GROUP BY candidate) "
+    + "SELECT repo, file, line, candidate, round(least(0.92, (bits - least) / (6.5 - least) * 0.85 + 0.40), 2)::DOUBLE AS confidence FROM near JOIN bits USING (candidate) WHERE bits >= least"
+)
 def entropy_secrets(spark, sf_dir):
-    return text.entropy_secrets(_lines(spark, sf_dir))
+    return text.entropy_secrets(_lines(spark, sf_dir)).withColumn("line", F.col("line").cast("long"))
 
 
 @query(with_sql("files") + r"SELECT repo, file, 'low' AS severity, 'notice-without-warranty' AS rule_id FROM files WHERE regexp_matches(content, '(?i)\blicen[cs]e') AND NOT regexp_matches(content, '(?i)\bGNU\b')")
@@ -316,7 +344,18 @@ def policy_gate(spark, sf_dir):
     return policy.gate(policy.evaluated(_metrics(spark, sf_dir), policy.policies(spark)))
 
 
-@query()
+def _fix_sql() -> str:
+    """The same templates for the other engine, whose replacement takes backslashes only."""
+    whens = []
+    for key, pairs, explanation, _ in policy.FIXES:
+        tried = " ".join(f"WHEN regexp_matches(s, '(?i){_q(p)}') THEN regexp_replace(s, '(?i){_q(p)}', '{_q(r)}', 'g')" for p, r in pairs)
+        done = " OR ".join(f"regexp_matches(s, '(?i){_q(p)}')" for p, _ in pairs)
+        whens.append((key, f"CASE {tried} ELSE concat('// TODO: {_q(explanation)}', chr(10), s) END", f"CASE WHEN {done} THEN 0.75 ELSE 0.50 END"))
+    chosen = [" ".join(f"WHEN contains(t, '{k}') THEN {w[i]}" for k, *w in whens) for i in (0, 1)]
+    return f"SELECT rule_id, CASE {chosen[0]} END AS fixed_code, (CASE {chosen[1]} END)::DOUBLE AS fix_confidence, count(*) AS n FROM (SELECT rule_id, code_snippet AS s, lower(concat(rule_id, ' ', issue)) AS t FROM findings) WHERE {' OR '.join(f'contains(t, {chr(39)}{k}{chr(39)})' for k, *_ in whens)} GROUP BY ALL"
+
+
+@query(FIND + _fix_sql())
 def fix_templates(spark, sf_dir):
     return policy.fixed(_findings(spark, sf_dir)).groupBy("rule_id", "fixed_code", "fix_confidence").agg(F.count("*").alias("n"))
 
@@ -530,3 +569,7 @@ def event_dedup(spark, sf_dir):
 def ttl_denylist(spark, sf_dir):
     rows = W.events(spark, sf_dir)
     return W.denied(rows, rows.where("kind = 'error'").select("key", F.col("ts").alias("denied_at")), 6 * 3600).select("event_id", "key")
+
+
+QUERIES |= more.QUERIES
+ORACLES |= more.ORACLES

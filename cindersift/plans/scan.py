@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cindersift.functions.text import entropy_secrets, lines
-from cindersift.operators import findings as P, packs, rules, surface
+from cindersift.functions.text import COMMENT_STARTS, entropy_secrets, lines
+from cindersift.operators import code, deps, findings as P, packs, rules, surface
 from cindersift.schema import canonical
 
 
@@ -13,18 +13,23 @@ COLUMNS = ("repo", "file", "line", "rule_id", "severity", "issue", "matched", "e
 
 
 def detected(files: DataFrame) -> DataFrame:
-    """Findings of all rule packs and the entropy scan, in the canonical columns, with scan_id and seq."""
+    """Findings of all six layers and the legacy packs, in the canonical columns, with scan_id and seq.
+
+    All packs of line rules share one pass over the lines; layers that look at whole files read only the files they are for.
+    """
     named = files.select("repo", F.col("file").cast("string").alias("file"), "content")
     named = named.withColumn("filename", F.regexp_extract("file", r"([^/]*)$", 1)).withColumn("ext", F.lower(F.regexp_extract("filename", r"^.+(\.[^.]+)$", 1)))
-    rows = lines(named.select("repo", "file", "content"))
-    found = rules.first_matches(rules.matches(rows, rules.SURFACE + surface.REST), "repo", "file").select(*COLUMNS)
-    secret = entropy_secrets(rows).select("repo", "file", "line", F.lit("l3/high-entropy-string").alias("rule_id"), F.lit("high").alias("severity"), F.lit("High-entropy string").alias("issue"), F.lit("CWE-798").alias("cwe_id"), F.col("candidate").alias("matched"), F.lit(0.65).alias("exploitability"), F.lit(10).alias("blast_radius"), "confidence")
-    kinds = lines(packs.probed(named))
-    routed = packs.routed_matches(kinds).select(*COLUMNS).withColumn("layer", F.substring("rule_id", 2, 1).cast("int"))
-    legacy = surface.legacy_matches(kinds).select(*COLUMNS).withColumn("layer", F.lit(1))
+    rows = lines(packs.probed(named))
+    hits = packs.slow_enough(rules.all_matches(rows, [(None, surface.SURFACE, COMMENT_STARTS), *packs.routes(), surface.legacy_route()]))
+    found = rules.first_matches(hits, "repo", "file").select(*COLUMNS)
+    found = found.withColumn("layer", F.when(F.startswith("rule_id", F.lit("native/")), 1).otherwise(F.substring("rule_id", 2, 1).try_cast("int")))
+    secret = entropy_secrets(rows.select("repo", "file", "line", "code")).select("repo", "file", "line", F.lit("nexus/l3/high-entropy-secret").alias("rule_id"), F.lit("high").alias("severity"), F.lit("High-entropy string").alias("issue"), F.lit(None).cast("string").alias("cwe_id"), F.col("candidate").alias("matched"), F.lit(0.70).alias("exploitability"), F.lit(7).alias("blast_radius"), "confidence")
     whole = surface.legacy_files(named).withColumns({"confidence": F.lit(0.8), "exploitability": F.lit(0.5), "blast_radius": F.lit(1), "cwe_id": F.lit(None).cast("string"), "layer": F.lit(6)})
-    found = P.union_layers([found.withColumn("layer", F.lit(1)), secret.withColumn("layer", F.lit(3)), routed, legacy, whole])
-    found = canonical(found.withColumn("code_snippet", F.substring("matched", 1, 300)).drop("matched"))
+    trees = code.findings(named.where("ext = '.py'"))
+    scripts = code.script_findings(named.where(F.col("ext").isin(*code.SCRIPTS)))
+    packages = deps.findings(named)
+    found = P.union_layers([found, secret.withColumn("layer", F.lit(3)), whole, trees, scripts, packages])
+    found = canonical(P.resolved_cwe(found.withColumn("code_snippet", F.substring("matched", 1, 300)).drop("matched")))
     return found.withColumn("scan_id", F.col("repo")).withColumn("seq", F.xxhash64("file", "line", "rule_id"))
 
 

@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cindersift.operators.findings import mapped_severity
 from cindersift.schema import canonical
 
 #: What a walk leaves out, and the largest file.
-SKIPPED = "node_modules|vendor|dist|build|target|venv|__pycache__|site-packages|coverage"
+SKIPPED = r"node_modules|__pycache__|\.git|venv|\.venv|dist|build|vendor|\.tox|coverage|\.next|target|\.terraform|\.serverless|\.mypy_cache|\.pytest_cache|\.eggs|bower_components"
 MAX_BYTES = 2 * 1024 * 1024
-MANIFESTS = ("requirements.txt", "package.json", "pyproject.toml", "Pipfile", "go.mod", "Cargo.toml")
+CODE = (".py", ".js", ".ts", ".jsx", ".tsx", ".php", ".java", ".go", ".rb", ".cs", ".cpp", ".c", ".h", ".swift", ".kt", ".scala", ".rs", ".sh", ".bash", ".ps1")
+CONFIG = (".env", ".yml", ".yaml", ".json", ".conf", ".cfg", ".ini", ".toml", ".tf", ".hcl")
+MANIFESTS = ("requirements.txt", "Pipfile", "pyproject.toml", "package.json", "package-lock.json", "yarn.lock", "Gemfile", "go.mod", "Cargo.toml", "Dockerfile", "docker-compose.yml", "docker-compose.yaml")
+
 
+def files(spark: SparkSession, root: str, *, hidden: bool = False, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(repo, file, ext, filename, content, lines, bytes) of a tree's code, configuration, manifests and container files.
 
-def files(spark: SparkSession, root: str, *, hidden: bool = True, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(repo, file, ext, filename, content, lines, bytes) of a tree. Length and path filters reach the source.
+    Length and path filters reach the source. Folders that start with a dot are left out unless ``hidden``.
 
     Undecodable bytes are replaced. Names that start with a dot or an underscore are hidden to Spark's file index.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes)
     raw = raw.where(~F.rlike("path", F.lit(rf"/(?:{SKIPPED})/")))
+    endings = "|".join(e[1:] for e in CODE + CONFIG)
+    names = "|".join(re.escape(m) for m in MANIFESTS)
+    raw = raw.where(F.rlike("path", F.lit(rf"(?:(?i:\.(?:{endings}))|/(?:{names})|/Dockerfile[^/]*|/docker-compose[^/]*)$")))
     if not hidden:
         raw = raw.where(~F.rlike("path", F.lit(r"/\.[^/]+/")))
     base = root.rstrip("/").removeprefix("file://")
@@ -33,16 +42,41 @@ def files(spark: SparkSession, root: str, *, hidden: bool = True, max_bytes: int
     )
 
 
+def code_files(rows: DataFrame) -> DataFrame:
+    """S3: code among files."""
+    return rows.where(F.col("ext").isin(*CODE))
+
+
+def config_files(rows: DataFrame) -> DataFrame:
+    """S3: configuration among files."""
+    return rows.where(F.col("ext").isin(*CONFIG))
+
+
+def by_extension(rows: DataFrame, *extensions: str) -> DataFrame:
+    """S3: files of these endings."""
+    return rows.where(F.col("ext").isin(*extensions))
+
+
+def by_filename(rows: DataFrame, *names: str) -> DataFrame:
+    """S3: files of these names."""
+    return rows.where(F.col("filename").isin(*names))
+
+
 def manifests(rows: DataFrame) -> DataFrame:
-    """S3: manifests, container files and compose files among files."""
-    return rows.where(F.col("filename").isin(*MANIFESTS) | F.startswith("filename", F.lit("Dockerfile")) | F.startswith("filename", F.lit("docker-compose")))
+    """S3: manifests among files, container and compose files of the usual name included."""
+    return by_filename(rows, *MANIFESTS)
+
+
+def dockerfiles(rows: DataFrame) -> DataFrame:
+    """S3: container and compose files among files."""
+    return rows.where(F.startswith("filename", F.lit("Dockerfile")) | F.startswith("filename", F.lit("docker-compose")))
 
 
 def semgrep(reports: DataFrame, raw: str = "raw") -> DataFrame:
     """Findings of Semgrep reports (repo, raw); missing keys and broken JSON give no rows."""
     schema = "results array<struct<check_id:string,path:string,start:struct<line:int,col:int>,extra:struct<message:string,severity:string,lines:string,fix:string,metadata:struct<cwe:string,confidence:string>>>>"
     r = reports.select("repo", F.explode(F.from_json(raw, schema)["results"]).alias("r"))
-    out = r.select("repo", F.col("r.path").alias("file"), F.col("r.start.line").alias("line"), F.col("r.start.col").alias("column"), F.col("r.check_id").alias("rule_id"), F.substring("r.extra.message", 1, 1000).alias("issue"), F.col("r.extra.lines").alias("code_snippet"), mapped_severity(F.coalesce("r.extra.severity", F.lit(""))).alias("severity"), F.nullif(F.regexp_extract("r.extra.metadata.cwe", r"(CWE-\d+)", 1), F.lit("")).alias("cwe_id"))
+    out = r.select("repo", F.col("r.path").alias("file"), F.col("r.start.line").alias("line"), F.col("r.start.col").alias("column"), F.col("r.check_id").alias("rule_id"), F.substring("r.extra.message", 1, 1000).alias("issue"), F.col("r.extra.lines").alias("code_snippet"), mapped_severity(F.col("r.extra.severity"), "semgrep").alias("severity"), F.nullif(F.regexp_extract("r.extra.metadata.cwe", r"(CWE-\d+)", 1), F.lit("")).alias("cwe_id"))
     return canonical(out)
 
 
@@ -51,7 +85,7 @@ def bandit(reports: DataFrame, raw: str = "raw") -> DataFrame:
     schema = "results array<struct<filename:string,line_number:int,col_offset:int,test_id:string,test_name:string,issue_text:string,issue_severity:string,issue_confidence:string,code:string,issue_cwe:struct<id:int>>>"
     r = reports.select("repo", F.explode(F.from_json(raw, schema)["results"]).alias("r"))
     sure = F.when(F.upper("r.issue_confidence") == "HIGH", 0.9).when(F.upper("r.issue_confidence") == "LOW", 0.4).otherwise(0.7)
-    out = r.select("repo", F.col("r.filename").alias("file"), F.col("r.line_number").alias("line"), F.col("r.col_offset").alias("column"), F.col("r.test_id").alias("rule_id"), F.col("r.issue_text").alias("issue"), F.col("r.test_name").alias("description"), F.col("r.code").alias("code_snippet"), mapped_severity(F.coalesce("r.issue_severity", F.lit(""))).alias("severity"), F.concat(F.lit("CWE-"), F.col("r.issue_cwe.id").cast("string")).alias("cwe_id"), sure.alias("confidence"))
+    out = r.select("repo", F.col("r.filename").alias("file"), F.col("r.line_number").alias("line"), F.col("r.col_offset").alias("column"), F.col("r.test_id").alias("rule_id"), F.col("r.issue_text").alias("issue"), F.col("r.test_name").alias("description"), F.col("r.code").alias("code_snippet"), mapped_severity(F.col("r.issue_severity"), "bandit").alias("severity"), F.concat(F.lit("CWE-"), F.col("r.issue_cwe.id").cast("string")).alias("cwe_id"), sure.alias("confidence"))
     return canonical(out)
 
 
@@ -60,11 +94,11 @@ def trivy(reports: DataFrame, raw: str = "raw") -> DataFrame:
     result = "struct<Target:string,Vulnerabilities:array<struct<VulnerabilityID:string,PkgName:string,InstalledVersion:string,FixedVersion:string,Title:string,Description:string,Severity:string>>,Secrets:array<struct<RuleID:string,Title:string,Severity:string,StartLine:int,Match:string>>,Misconfigurations:array<struct<ID:string,Title:string,Description:string,Severity:string,CauseMetadata:struct<StartLine:int>>>>"
     root = F.coalesce(F.from_json(raw, f"Results array<{result}>")["Results"], F.from_json(raw, f"array<{result}>"))
     t = reports.select("repo", F.explode(root).alias("t"))
-    sev = lambda c: mapped_severity(F.coalesce(c, F.lit("")))
+    sev = lambda c: mapped_severity(c, "trivy")
     v = t.select("repo", F.col("t.Target").alias("file"), F.explode("t.Vulnerabilities").alias("x"))
     v = v.select("repo", "file", F.col("x.VulnerabilityID").alias("rule_id"), F.col("x.VulnerabilityID").alias("cve_id"), F.coalesce("x.Title", "x.VulnerabilityID").alias("issue"), F.col("x.Description").alias("description"), sev(F.col("x.Severity")).alias("severity"), F.col("x.PkgName").alias("package_name"), F.col("x.InstalledVersion").alias("package_version"), F.col("x.FixedVersion").alias("fixed_version"))
     s = t.select("repo", F.col("t.Target").alias("file"), F.explode("t.Secrets").alias("x"))
-    s = s.select("repo", "file", F.col("x.RuleID").alias("rule_id"), F.col("x.Title").alias("issue"), sev(F.col("x.Severity")).alias("severity"), F.col("x.StartLine").alias("line"), F.col("x.Match").alias("code_snippet"))
+    s = s.select("repo", "file", F.col("x.RuleID").alias("rule_id"), F.col("x.Title").alias("issue"), mapped_severity(F.col("x.Severity"), "trivy-secret").alias("severity"), F.col("x.StartLine").alias("line"), F.col("x.Match").alias("code_snippet"))
     m = t.select("repo", F.col("t.Target").alias("file"), F.explode("t.Misconfigurations").alias("x"))
-    m = m.select("repo", "file", F.col("x.ID").alias("rule_id"), F.col("x.Title").alias("issue"), F.col("x.Description").alias("description"), sev(F.col("x.Severity")).alias("severity"), F.col("x.CauseMetadata.StartLine").alias("line"))
+    m = m.select("repo", "file", F.col("x.ID").alias("rule_id"), F.col("x.Title").alias("issue"), F.col("x.Description").alias("description"), mapped_severity(F.col("x.Severity"), "trivy-config").alias("severity"), F.col("x.CauseMetadata.StartLine").alias("line"))
     return canonical(v).unionByName(canonical(s)).unionByName(canonical(m))

@@ -23,7 +23,7 @@ def test_reports(spark):
         return spark.createDataFrame([("r", json.dumps(doc) if not isinstance(doc, str) else doc)], "repo string, raw string")
 
     s = scanners.semgrep(one({"results": [{"check_id": "c", "path": "p", "start": {"line": 3}, "extra": {"severity": "ERROR", "message": "m", "metadata": {"cwe": "CWE-89: x"}}}, {"check_id": "d"}]})).orderBy("rule_id").collect()
-    assert [(r.rule_id, r.line, r.severity, r.cwe_id) for r in s] == [("c", 3, "high", "CWE-89"), ("d", 0, "medium", None)]
+    assert [(r.rule_id, r.line, r.severity, r.cwe_id) for r in s] == [("c", 3, "critical", "CWE-89"), ("d", 0, "medium", None)]
     b = scanners.bandit(one({"results": [{"filename": "f", "line_number": 2, "test_id": "B1", "issue_severity": "LOW", "issue_confidence": "HIGH", "issue_cwe": {"id": 78}}]})).first()
     assert (b.file, b.line, b.severity, b.cwe_id, b.confidence) == ("f", 2, "low", "CWE-78", 0.9)
     result = {"Target": "t", "Vulnerabilities": [{"VulnerabilityID": "CVE-1", "PkgName": "p", "Severity": "CRITICAL"}], "Secrets": [{"RuleID": "s", "Severity": "HIGH", "StartLine": 4}], "Misconfigurations": None}

@@ -1,12 +1,16 @@
-"""Streams of events: triggers, rate windows, deduplication, idle sessions and running totals.
+"""Streams of events: triggers, progress, denylist, rate windows, deduplication, idle sessions and running totals.
 
 Every function takes a batch or a streaming DataFrame of (event_id, ts, key, kind) and gives the same rows for either,
-late events within the watermark included.
+late events within the watermark included, but for the denylist: as a stream it sees an entry only once it has come.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "10 minutes"
 
@@ -54,8 +58,11 @@ def running_totals(rows: DataFrame) -> DataFrame:
 def denied(rows: DataFrame, denials: DataFrame, ttl_s: int) -> DataFrame:
     """Events of keys that are on a denylist at their time; an entry (key, denied_at) lasts ttl seconds.
 
-    Entries and events meet on key and hour bucket, so a key with many of either stays an equi-join.
+    Entries and events meet on key and hour bucket, so a key with many of either stays an equi-join. Streams of both go
+    to :func:`denied_stream`, whose state is one entry for each key that is on the list just now.
     """
+    if rows.isStreaming:
+        return denied_stream(rows, denials, ttl_s)
     hours = F.sequence(F.date_trunc("hour", "denied_at"), F.date_trunc("hour", F.col("denied_at") + F.make_dt_interval(secs=F.lit(ttl_s))), F.expr("interval 1 hour"))
     entries = denials.select("key", "denied_at", F.explode(hours).alias("hour"))
     met = rows.withColumn("hour", F.date_trunc("hour", "ts")).join(entries, ["key", "hour"])
@@ -63,6 +70,54 @@ def denied(rows: DataFrame, denials: DataFrame, ttl_s: int) -> DataFrame:
     return met.select(*rows.columns).distinct()
 
 
+def denied_stream(rows: DataFrame, denials: DataFrame, ttl_s: int, late: str = LATE) -> DataFrame:
+    """W3 as a stream: keyed state with a timer. A key's state is the time its entry began and ends; the timer drops it.
+
+    A renewed entry lasts from the renewal on; one that starts after the last has ended takes its place. Rows of a key
+    are taken in the order of their time within a batch, an entry before events of the same time.
+    """
+    columns, told = rows.columns, [f"{n} {t}" for n, t in rows.dtypes]
+    entries = denials.select(F.col("denied_at").alias("ts"), "key").withColumn("__entry", F.lit(True))
+    both = rows.withColumn("__entry", F.lit(False)).unionByName(entries, allowMissingColumns=True).withWatermark("ts", late)
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        since, until = state.get if state.exists else (0, 0)
+        own = pd.concat(list(batches))
+        own = own.assign(__us=own["ts"].astype("datetime64[us]").astype("int64")).sort_values(["__us", "__entry"], ascending=[True, False], kind="stable")
+        kept = []
+        for at, entry in zip(own["__us"].tolist(), own["__entry"].tolist()):
+            if entry:
+                since, until = (since if since <= at < until else at), at + ttl_s * 1_000_000
+            kept.append(not entry and since <= at < until)
+        if until:
+            state.update((since, until))
+            state.setTimeoutTimestamp(max(until // 1000, state.getCurrentWatermarkMs() + 1))
+        out = own[kept]
+        if len(out):
+            yield out[columns]
+
+    return both.groupBy("key").applyInPandasWithState(follow, ", ".join(told), "since long, until long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def progress_sink(path: str):
+    """For ``foreachBatch``: the last (scan_id, ts, ...) of each scan in a batch, under the batch's own folder, so a batch that runs again replaces itself."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        last = batch.groupBy("scan_id").agg(F.max_by(F.struct(*batch.columns), "ts").alias("r")).select("r.*")
+        last.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return sink
+
+
+def progress(spark: SparkSession, path: str) -> DataFrame:
+    """The last row of each scan in a :func:`progress_sink`."""
+    rows = spark.read.parquet(path).drop("batch")
+    return rows.groupBy("scan_id").agg(F.max_by(F.struct(*rows.columns), "ts").alias("r")).select("r.*")
+
+
 def run_available(rows: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Runs a stream over all input there is and writes it as Parquet; returns when done."""
     q = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()

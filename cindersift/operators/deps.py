@@ -32,6 +32,8 @@ ADVISORIES = (
     ("winston", "<3.3.3", "medium", "CVE-2021-3807"), ("acorn", "<7.4.0", "high", "CVE-2020-7754"), ("moment", "<2.29.4", "high", "CVE-2022-31129"), ("browserify-sign", "<4.2.2", "critical", "CVE-2023-46234"),
 )
 UNKNOWN_VERSION = "0.0.0"
+#: Names up to which a table goes to every task.
+SMALL = 10_000
 # ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -70,14 +72,15 @@ def vulnerable(packages: DataFrame, table: DataFrame | None = None) -> DataFrame
 def typosquats(packages: DataFrame, popular: tuple[str, ...] = tuple(POPULAR), distance: int = 2) -> DataFrame:
     """Names within the distance of a popular name but not popular themselves, and the nearest, by name on a tie.
 
-    Distinct names meet the popular ones by length class, an equality, instead of all with all.
+    Distinct names meet the popular ones by length class, an equality, instead of all with all. Up to SMALL popular names are broadcast.
     """
     spark = packages.sparkSession
+    hint = F.broadcast if len(popular) <= SMALL else (lambda df: df)
     names = packages.select(F.lower("name").alias("name")).where("name is not null").distinct()
     table = spark.createDataFrame([(p,) for p in popular], "popular string")
-    near = names.join(F.broadcast(table.withColumnRenamed("popular", "name")), "name", "left_anti").withColumn("len", F.length("name"))
+    near = names.join(hint(table.withColumnRenamed("popular", "name")), "name", "left_anti").withColumn("len", F.length("name"))
     table = table.select("popular", F.explode(F.sequence(F.length("popular") - distance, F.length("popular") + distance)).alias("len"))
-    pairs = near.join(F.broadcast(table), "len").withColumn("d", F.levenshtein("name", "popular", distance)).where("d between 1 and 2")
+    pairs = near.join(hint(table), "len").withColumn("d", F.levenshtein("name", "popular", distance)).where("d between 1 and 2")
     return pairs.groupBy("name").agg(F.min(F.struct("d", "popular")).alias("b")).select("name", F.col("b.popular").alias("popular"), F.col("b.d").alias("distance"))
 
 

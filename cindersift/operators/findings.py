@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -60,10 +61,16 @@ def risk_score(findings: DataFrame, key: str = "scan_id", digits: int = 2) -> Da
     sure = F.col("confidence") * (1 - F.coalesce("false_positive_probability", F.lit(0.0)))
     impact = 0.30 * F.col("exploitability") * looked_up(F.col("severity"), SCORE_WEIGHT, 0.05) * sure
     factor = F.greatest(F.lit(0.05), 1 - F.least(F.greatest(impact, F.lit(0.0)), F.lit(1.0)))
-    item = F.struct((-severity_rank(F.col("severity"))).alias("r"), (-(F.col("exploitability") * F.col("blast_radius") * F.col("confidence"))).alias("p"), "seq", factor.alias("x"))
-    per = findings.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    folded = F.aggregate("xs", F.lit(100.0), lambda a, x: F.when(a < 0.1, a).otherwise(a * x["x"]))
-    return per.select(key, F.round(F.greatest(F.lit(0.0), folded), digits).alias("score"))
+    rows = findings.select(key, F.log(factor).alias("f"), severity_rank(F.col("severity")).alias("r"), (F.col("exploitability") * F.col("blast_radius") * F.col("confidence")).alias("p"), "seq")
+    # A product that ends at 0.1 or more was never under it: a plain sum of logarithms, combined before its shuffle.
+    total = rows.groupBy(key).agg(F.sum("f").alias("f"))
+    stop = math.log(0.1 / 100)
+    # For the others the first prefix under 0.1 counts, which is the largest one that is: a running sum, never an array.
+    low = total.where(F.col("f") < stop).select(key)
+    prefix = F.sum("f").over(Window.partitionBy(key).orderBy(F.desc("r"), F.desc("p"), "seq", F.desc("f")).rowsBetween(Window.unboundedPreceding, 0))
+    ended = rows.join(low, key).select(key, prefix.alias("f")).where(F.col("f") < stop).groupBy(key).agg(F.max("f").alias("f"))
+    every = total.where(F.col("f") >= stop).unionByName(ended)
+    return every.select(key, F.round(F.greatest(F.lit(0.0), 100 * F.exp("f")), digits).alias("score"))
 
 
 def linear_score(counts: DataFrame) -> DataFrame:
@@ -85,12 +92,14 @@ def executive_summary(findings: DataFrame, key: str = "scan_id") -> DataFrame:
     """Severities, files, the ten first CVE ids, the largest blast radius and the five riskiest critical or high findings."""
     worst = F.when(F.col("severity").isin("critical", "high"), F.struct((-F.col("exploitability") * F.col("blast_radius")).alias("p"), "seq", "rule_id"))
     counts = [F.count(F.when(F.col("severity") == s, 1)).alias(s) for s in SEVERITIES]
-    # A distinct pass of its own keeps the set of CVE ids bounded by those there are, not by the findings.
-    per = findings.groupBy(key).agg(*counts, F.count("*").alias("total"), F.countDistinct("file").alias("files"), F.max("blast_radius").alias("max_blast"), F.slice(F.array_sort(F.collect_set("cve_id")), 1, 10).alias("cves"))
+    per = findings.groupBy(key).agg(*counts, F.count("*").alias("total"), F.countDistinct("file").alias("files"), F.max("blast_radius").alias("max_blast"))
+    # Ten ids of each scan are gathered, however many there are.
+    ids = findings.where("cve_id is not null").select(key, "cve_id").distinct().withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("cve_id"))).where("n <= 10")
+    per = per.join(ids.groupBy(key).agg(F.array_sort(F.collect_list("cve_id")).alias("cves")), key, "left")
     w = Window.partitionBy(key).orderBy("w")
     top = findings.select(key, worst.alias("w")).where("w is not null").withColumn("n", F.row_number().over(w)).where("n <= 5")
     top = top.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("w.rule_id").alias("r")))), lambda x: x["r"]), ",").alias("top_rules"))
-    return per.join(top, key, "left").withColumn("cves", F.array_join("cves", ","))
+    return per.join(top, key, "left").withColumn("cves", F.coalesce(F.array_join("cves", ","), F.lit("")))
 
 
 #: Fixed values, in order: the first that a rule id or issue contains names the weakness.

@@ -465,10 +465,10 @@ def sparkline_norm(spark, sf_dir):
     return H.sparkline(H.trend(_scans(spark, sf_dir)))
 
 
-@query(FIND + ", a AS (SELECT DISTINCT rule_id, file, line FROM findings WHERE scan_id % 2 = 0), b AS (SELECT DISTINCT rule_id, file, line FROM findings WHERE scan_id % 3 = 0) SELECT rule_id, file, line, 'new' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT rule_id, file, line, 'fixed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT rule_id, file, line, 'unchanged' FROM (SELECT * FROM a INTERSECT SELECT * FROM b)")
+@query(FIND + ", a AS (SELECT DISTINCT rule_id, file, line FROM findings WHERE scan_id % 2 = 0), b AS (SELECT DISTINCT rule_id, file, line FROM findings WHERE scan_id % 2 = 1) SELECT rule_id, file, line, 'new' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT rule_id, file, line, 'fixed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT rule_id, file, line, 'unchanged' FROM (SELECT * FROM a INTERSECT SELECT * FROM b)")
 def scan_diff(spark, sf_dir):
     rows = _findings(spark, sf_dir)
-    return H.diff(rows.where("scan_id % 2 = 0"), rows.where("scan_id % 3 = 0"), "rule_id", "file", "line")
+    return H.diff(rows.where("scan_id % 2 = 0"), rows.where("scan_id % 2 = 1"), "rule_id", "file", "line")
 
 
 @query(TREND + ", p AS (SELECT repo_id, scan_id, round(coalesce(score, 0) - coalesce(lag(score) OVER (PARTITION BY repo_id ORDER BY position), 0), 1) AS change FROM trend) SELECT *, CASE WHEN change > 0 THEN 'improved' WHEN change < 0 THEN 'declined' ELSE 'unchanged' END AS label FROM p")
@@ -528,15 +528,15 @@ def structure_profile(spark, sf_dir):
 
 # Graphs and streams --------------------------------------------------------------------------------------------------
 @query(
-    "WITH RECURSIVE edges AS (SELECT DISTINCT l_suppkey % 97 AS caller, (l_suppkey * 31 + l_linenumber * 7) % 97 AS callee FROM lineitem WHERE l_linenumber <= 2), hits AS (SELECT caller AS node, min(callee) AS sink FROM edges WHERE callee >= 90 GROUP BY caller), "
+    "WITH RECURSIVE edges AS (SELECT DISTINCT l_partkey % 499 AS caller, (l_suppkey * 31 + l_linenumber * 7) % 499 AS callee FROM lineitem), hits AS (SELECT caller AS node, min(callee) AS sink FROM edges WHERE callee >= 490 GROUP BY caller), "
     "walk AS (SELECT DISTINCT caller AS handler, caller AS node, 0 AS depth FROM edges WHERE caller < 5 UNION SELECT w.handler, e.callee, w.depth + 1 FROM walk w JOIN edges e ON w.node = e.caller WHERE w.depth < 5 AND w.node NOT IN (SELECT node FROM hits)), "
     "seen AS (SELECT handler, node, min(depth) AS depth FROM walk GROUP BY ALL) SELECT handler, node, sink, depth FROM seen JOIN hits USING (node)"
 )
 def taint_walk_edges(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber <= 2")
-    edges = rows.selectExpr("l_suppkey % 97 AS caller", "(l_suppkey * 31 + l_linenumber * 7) % 97 AS callee").distinct()
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    edges = rows.selectExpr("l_partkey % 499 AS caller", "(l_suppkey * 31 + l_linenumber * 7) % 499 AS callee").distinct()
     handlers = edges.where("caller < 5").select(F.col("caller").alias("node"))
-    sinks = edges.where("callee >= 90").select(F.col("callee").alias("node"))
+    sinks = edges.where("callee >= 490").select(F.col("callee").alias("node"))
     return graph.taint_walk(edges, handlers, sinks).select("handler", "node", "sink", "depth")
 
 

@@ -26,14 +26,16 @@ def written(df: DataFrame, name: str, *, by: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (df.coalesce(by) if by else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`written` that nothing reads any more."""
+    """Delete tables made by :func:`written` that no result reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if file.startswith(shared_dir(spark).removeprefix("file://")) or file.startswith(shared_dir(spark)) or file.replace("file:///", "file:/").startswith(shared_dir(spark).replace("file:///", "file:/")):
-                path = spark._jvm.org.apache.hadoop.fs.Path(file)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = getattr(df, "_written_to", None)
+        if path is not None:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

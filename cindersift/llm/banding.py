@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cindersift.llm.graph import components
 from cindersift.llm.hashing import mixed, returning
-from cindersift.storage import written
+from cindersift.storage import dropped, written
 
 #: Places of one batch that go to one part, as one value, or (NEAR, FAR, HOT) its FAR places and the keys known to be hot.
 PLACES = "part int, kind int, places binary"
@@ -336,9 +336,15 @@ def linked(places: DataFrame, n_parts: int, differ: int, payload: Callable, like
     likely: arrays (n, n, sketch, sketch) of pairs to how good each is, below 0 where the sketches rule a link out.
     confirmed: (a, b) and payload rows to the true links.
     """
+    made: list[DataFrame] = []  # what nothing needs once the links are known
+
+    def saved(df: DataFrame, name: str) -> DataFrame:
+        made.append(written(df, name))
+        return made[-1]
+
     met = places.repartitionById(n_parts, F.col("part")).mapInArrow(_meet(differ), "key long, node long, large boolean")
-    members = written(met, "members")
-    own = written(payload(members.select("node").distinct()), "payload")
+    members = saved(met, "members")
+    own = saved(payload(members.select("node").distinct()), "payload")
     sketches = own.select("node", "n", "sketch")
 
     def pairs(rows: DataFrame, forest: bool, sided: bool) -> DataFrame:
@@ -346,18 +352,18 @@ def linked(places: DataFrame, n_parts: int, differ: int, payload: Callable, like
         return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_likely_pairs(likely, forest, sided), "a long, b long")
 
     small = members.where("not large").select("key", "node")
-    large = written(members.where("large").select("key", "node").distinct(), "large")
+    large = saved(members.where("large").select("key", "node").distinct(), "large")
     hubs = large.groupBy("key").agg(F.min("node").alias("hub"))
     stars = large.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     alone = small.select("key", "node", F.col("node").alias("label"), F.lit(-1).alias("side"))
-    tested = written(pairs(alone, True, False).union(stars).distinct(), "pairs")
-    links = written(confirmed(tested, own), "links")
+    tested = saved(pairs(alone, True, False).union(stars).distinct(), "pairs")
+    links = saved(confirmed(tested, own), "links")
 
     def opened(rows: DataFrame, label: DataFrame) -> DataFrame:
         """The rows of buckets that hold several components, with these, and each bucket's number of nodes."""
         named = rows.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
         several = named.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size")).where("l0 < l1")
-        return written(named.join(several.select("key", "size"), "key"), "open")
+        return saved(named.join(several.select("key", "size"), "key"), "open")
 
     def tiles(rows: DataFrame) -> DataFrame:
         """Each pair of blocks of a bucket under a key of its own, the nodes of the first block as side 0. A block with itself is one tile (side -1)."""
@@ -369,17 +375,20 @@ def linked(places: DataFrame, n_parts: int, differ: int, payload: Callable, like
 
     def more(found: DataFrame) -> bool:
         nonlocal links, tested
-        found = written(found.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = saved(found.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if found.isEmpty():
             return False
-        tested, links = tested.union(found), written(links.union(confirmed(found, own)), "links")
+        tested, links = tested.union(found), saved(links.union(confirmed(found, own)), "links")
         return True
 
     label = components(links)
+    made.append(label)
     again = opened(small, label).select("key", "node", "label", F.lit(-1).alias("side"))
     wide = opened(large, label)
     if wide.isEmpty():
         more(pairs(again, False, False))
     elif more(pairs(again, False, False).union(pairs(tiles(wide), True, True))):
-        more(pairs(tiles(opened(large, components(links))), False, True))
+        made.append(components(links))
+        more(pairs(tiles(opened(large, made[-1])), False, True))
+    dropped(*(t for t in made if t is not links))
     return links

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cindersift.llm.hashing import mixed
-from cindersift.storage import written
+from cindersift.storage import dropped, written
 
 TASK_EDGES = 250_000
 MAX_ROUNDS = 200
@@ -82,6 +82,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     left = written(edges.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")), "edges")
     rounds: list[DataFrame] = []
+    made = [left]
     for salt in range(1, MAX_ROUNDS):
         tasks = -(-left.count() // TASK_EDGES)
         if tasks <= 1:
@@ -89,14 +90,20 @@ def components(edges: DataFrame) -> DataFrame:
             break
         found = left.repartition(tasks).mapInArrow(_roots(salt), "node long, root long")
         found = written(found.repartition("node").sortWithinPartitions("node").mapInArrow(_joined, "node long, root long, other long"), "roots")
+        made.append(found)
         rounds.append(found.where("other is null").select("node", "root"))
         left = written(found.where("other is not null").select(F.least("root", "other").alias("a"), F.greatest("root", "other").alias("b")).distinct(), "edges")
+        made.append(left)
     else:
         raise RuntimeError(f"edges are left after {MAX_ROUNDS} rounds")
     if not rounds:
-        return written(label.select("node", F.col("root").alias("component")), "components")
+        out = written(label.select("node", F.col("root").alias("component")), "components")
+        dropped(*made)
+        return out
     for earlier in reversed(rounds):
         label = earlier.join(label.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
     label = written(label, "labels")
     least = label.groupBy("root").agg(F.min("node").alias("component"))
-    return written(label.join(least, "root").select("node", "component"), "components")
+    out = written(label.join(least, "root").select("node", "component"), "components")
+    dropped(label, *made)
+    return out

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from cindersift.llm import banding
 from cindersift.llm.graph import components
 from cindersift.llm.hashing import U, binary, chunks, mixed, offsets, powers, returning
-from cindersift.storage import written
+from cindersift.storage import dropped, written
 
 
 class Scheme(NamedTuple):
@@ -233,10 +233,12 @@ def duplicate_lines(docs: DataFrame, scheme: Scheme = TEN, *, id_col: str = "doc
         return pairs.select("a", "b", "ta", "tb").mapInArrow(_similar(scheme), "a long, b long")
 
     places = texts.select("text").mapInArrow(_places(scheme, parts), banding.PLACES)
-    label = components(banding.linked(places, parts, banding.differing(PERCENT), payload, _likely, confirmed))
+    links = banding.linked(places, parts, banding.differing(PERCENT), payload, _likely, confirmed)
+    label = components(links)
     places = found[0].select("node", "id", "line")
     first = places.groupBy("node").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
     named = written(first.join(label, "node", "left").where("n > 1 or component is not null").select("node", "first", F.coalesce("component", "node").alias("component")), "named")
+    dropped(links, label)
     stays = named.groupBy("component").agg(F.min("first").alias("stays"))
     stays = named.select("node", "component").join(stays, "component").select("node", F.col("stays.id").alias("first_id"), F.col("stays.line").alias("first_line"))
     return places.join(stays, "node").where("id <> first_id or line <> first_line").select("id", "line", "first_id", "first_line")

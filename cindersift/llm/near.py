@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from cindersift.llm import banding
 from cindersift.llm.graph import components
 from cindersift.llm.hashing import U, binary, lists, mixed, pieces, returning, shingles, word_hashes
-from cindersift.storage import written
+from cindersift.storage import dropped, written
 
 WORDS = 5
 P = 8  # 2 ** P registers
@@ -145,9 +145,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, *, id_col: str = "doc_id
     classes = sketches.where("n > 0 and id is not null").groupBy("c1", "c2", "n").agg(F.min(F.struct("id", "fp")).alias("rep"), F.first("regs").alias("regs"))
     classes = written(classes.select("c1", "c2", "n", F.col("rep.id").alias("node"), F.col("rep.fp").alias("fp"), "regs"), "classes")
 
+    used: list[DataFrame] = []
+
     def payload(nodes: DataFrame) -> DataFrame:
         own = nodes.join(classes.select("node", "fp", "n", "regs"), "node")
         ids = written(own.select(F.col("node").alias("id"), "fp"), "ids")
+        used.append(ids)
         found = texts.where("id is not null").mapInArrow(_sets(banding.wanted(ids.select("id"))), "id long, fp long, map binary, s array<long>")
         found = found.join(ids.hint("shuffle_hash"), ["id", "fp"], "left_semi").dropDuplicates(["id", "fp"])
         return own.join(found.withColumnRenamed("id", "node"), ["node", "fp"]).select("node", "n", F.concat("regs", "map").alias("sketch"), "s")
@@ -162,6 +165,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, *, id_col: str = "doc_id
     places = classes.select("node", "regs").mapInArrow(_places(parts), banding.PLACES)
     links = banding.linked(places, parts, banding.differing(percent), payload, _likely(percent), confirmed)
     label = components(links).withColumnRenamed("node", "rep")
+    dropped(links, *used)
     named = classes.select("c1", "c2", "n", F.col("node").alias("rep")).join(label, "rep", "left").select("c1", "c2", "n", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("id", "n", "c1", "c2").join(named, ["c1", "c2", "n"], "left")
     component = F.when((F.col("n") == 0) | F.col("id").isNull(), F.col("id")).otherwise(F.col("component"))

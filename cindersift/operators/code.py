@@ -120,26 +120,48 @@ def semantic(source: str) -> Iterator[tuple[str, int, str]]:
         waiting += reversed(list(ast.iter_child_nodes(n)))
 
 
+#: Fixed values of the legacy tree scan (T9): what the semantic rules are called there, and severities.
+LEGACY_TREE = {"subprocess-shell-true": ("native/subprocess-shell-true", "high"), "weak-hash": ("native/weak-hash-algorithm", "high"), "yaml-load-no-loader": ("native/yaml-load-unsafe", "critical"), "bare-except-pass": ("native/bare-except-pass", "low")}
+
+
+def legacy_semantic(source: str) -> Iterator[tuple[str, int, str]]:
+    """(rule, line, name) of the legacy tree scan: three of the semantic rules, and handlers that swallow every exception."""
+    yield from ((rule, line, name) for rule, line, name in semantic(source) if rule in LEGACY_TREE)
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError):
+        return
+    for n in ast.walk(tree):
+        if isinstance(n, ast.ExceptHandler) and n.type is None and len(n.body) == 1 and isinstance(n.body[0], ast.Pass):
+            yield "bare-except-pass", n.lineno, "except"
+
+
 FOUND = "repo string, file string, line int, rule_id string, severity string, issue string, matched string, exploitability double, blast_radius int, confidence double, cwe_id string, layer int"
 
 
-def _found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]]) for c in FOUND.split(", ")])
-    for b in batches:
-        rows = []
-        for repo, file, content in zip(*(b.column(i).to_pylist() for i in range(3))):
-            lines = (content or "").split("\n")
-            for rule, line, name in semantic(content or ""):
-                severity, sure, exploit, blast = SEMANTIC["taint" if rule.startswith("taint-") else rule]
-                severity = severity or SINK_SEVERITY[rule.removeprefix("taint-")]
-                snippet = lines[line - 1].strip()[:200] if 0 < line <= len(lines) else ""
-                rows.append((repo, file, line, f"nexus/l2/{rule}", severity, f"{rule.replace('-', ' ')}: {name}", snippet, exploit, blast, sure, None, 2))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
-
-
-def findings(files: DataFrame) -> DataFrame:
-    """Findings of Python files (repo, file, content) by their syntax trees; a file that doesn't parse has none."""
-    return files.select("repo", "file", "content").mapInArrow(_found, FOUND)
+def _found(legacy: bool):
+    def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]]) for c in FOUND.split(", ")])
+        for b in batches:
+            rows = []
+            for repo, file, content in zip(*(b.column(i).to_pylist() for i in range(3))):
+                lines = (content or "").split("\n")
+                for rule, line, name in (legacy_semantic if legacy else semantic)(content or ""):
+                    snippet = lines[line - 1].strip()[:200] if 0 < line <= len(lines) else ""
+                    issue = f"{rule.replace('-', ' ')}: {name}"
+                    if legacy:  # a detector that knows none of these
+                        rows.append((repo, file, line, LEGACY_TREE[rule][0], LEGACY_TREE[rule][1], issue, snippet, 0.5, 1, 0.8, None, 1))
+                        continue
+                    severity, sure, exploit, blast = SEMANTIC["taint" if rule.startswith("taint-") else rule]
+                    rows.append((repo, file, line, f"nexus/l2/{rule}", severity or SINK_SEVERITY[rule.removeprefix("taint-")], issue, snippet, exploit, blast, sure, None, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+
+    return found
+
+
+def findings(files: DataFrame, *, legacy: bool = False) -> DataFrame:
+    """T1-T5, or T9: findings of Python files (repo, file, content) by their syntax trees; a file that doesn't parse has none."""
+    return files.select("repo", "file", "content").mapInArrow(_found(legacy), FOUND)
 
 
 def _matches(pattern: str, line: Column) -> Column:

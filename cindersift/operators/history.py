@@ -14,9 +14,10 @@ def owned(scans: DataFrame, repos: DataFrame, owner) -> DataFrame:
     return scans.join(repos.where(F.col("owner") == owner).select("repo_id"), "repo_id")
 
 
-def report(findings: DataFrame, severity: str | None = None, k: int = 200) -> DataFrame:
-    """Q2: findings, of one severity if given, worst first, the first k."""
+def report(findings: DataFrame, severity: str | None = None, k: int = 200, scanner: str | None = None) -> DataFrame:
+    """Q2: findings, of one severity and one scanner if given, worst first, the first k."""
     chosen = findings if severity is None else findings.where(F.col("severity") == severity)
+    chosen = chosen if scanner is None else chosen.where(F.col("scanner") == scanner)
     return chosen.orderBy(F.desc(severity_rank(F.col("severity"))), "scan_id", "seq").limit(k)
 
 

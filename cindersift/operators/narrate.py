@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cindersift.operators.enrich import OWASP, any_of
 from cindersift.schema import looked_up
@@ -50,19 +50,46 @@ def summary() -> Column:
     return F.concat_ws(" ", F.concat(F.lit("["), F.upper("severity"), F.lit("]")), F.substring("issue", 1, 100), place, category, effort, doubt)
 
 
+def top_categories(coverage: DataFrame, key: str = "scan_id", k: int = 3) -> DataFrame:
+    """The k categories of most findings of each scan as one text, from (key, owasp, n); by name on a tie."""
+    w = Window.partitionBy(key).orderBy(F.desc("n"), "owasp")
+    first = coverage.withColumn("__i", F.row_number().over(w)).where(F.col("__i") <= k)
+    told = F.transform(F.array_sort(F.collect_list(F.struct("__i", "owasp", "n"))), lambda x: F.concat(x["owasp"], F.lit(" ("), x["n"].cast("string"), F.lit(")")))
+    return first.groupBy(key).agg(F.array_join(told, ", ").alias("top_owasp"))
+
+
 def executive_brief(counts: DataFrame) -> DataFrame:
-    """A paragraph of each scan from (total, critical, high, medium, low, risk_level, attack_surface, chains)."""
+    """A paragraph of each scan from (total, critical, high, medium, low, risk_level, attack_surface, chains), and top_owasp where it is given.
+
+    The sentences are fixed values but for the product's name.
+    """
     n = lambda c: F.col(c).cast("string")
     parts = [
         F.concat(F.lit("Security assessment: "), n("total"), F.lit(" findings identified.")),
         F.concat(F.lit("Severity: "), n("critical"), F.lit(" Critical, "), n("high"), F.lit(" High, "), n("medium"), F.lit(" Medium, "), n("low"), F.lit(" Low.")),
         F.concat(F.lit("Overall Risk: "), F.col("risk_level"), F.lit(".")),
         F.concat(F.lit("Attack Surface Score: "), F.format_number("attack_surface", 0), F.lit("/100.")),
-        F.when(F.col("chains") > 0, F.concat(n("chains"), F.lit(" multi-step attack chain(s) detected."))),
+        F.when(F.col("chains") > 0, F.concat(F.lit("⚠ "), n("chains"), F.lit(" multi-step attack chain(s) detected."))),
     ]
+    if "top_owasp" in counts.columns:
+        parts.append(F.when(F.coalesce("top_owasp", F.lit("")) != "", F.concat(F.lit("Top OWASP categories: "), F.col("top_owasp"), F.lit("."))))
     return counts.withColumn("brief", F.concat_ws(" ", *parts))
 
 
+def summarised(findings: DataFrame, texts: DataFrame | None, on: list[str]) -> DataFrame:
+    """Findings whose summary another model's text replaces, where it has one that isn't blank; without a model all stay."""
+    if texts is None:
+        return findings
+    out = findings.join(texts.select(*on, F.trim("summary").alias("__s")), on, "left")
+    return out.withColumn("ai_summary", F.coalesce(F.nullif("__s", F.lit("")), "ai_summary")).drop("__s")
+
+
+def opinion_batches(findings: DataFrame, key: str = "scan_id", size: int = 12) -> DataFrame:
+    """The findings that another judge is asked about, all but info ones, with the number of their batch of ``size`` in their scan."""
+    w = Window.partitionBy(key).orderBy("seq")
+    return findings.where("severity <> 'info'").withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+
+
 def second_opinion(findings: DataFrame, scores: DataFrame, on: list[str]) -> DataFrame:
     """Findings with another judge's (fp, exploit, summary), where it has one: surer ones lose less confidence, the rest is averaged."""
     out = findings.join(scores.select(*on, F.col("fp").alias("__fp"), F.col("exploit").alias("__e"), F.col("summary").alias("__s")), on, "left")

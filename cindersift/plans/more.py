@@ -214,6 +214,16 @@ def semantic_findings(spark, sf_dir):
     return code.findings(rows).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
 
 
+LEGACY_SOURCES = (*SOURCES[:4], ("try:\n    f()\nexcept:\n    pass", "bare-except-pass"), ("try:\n    f()\nexcept ValueError:\n    pass", ""))
+
+
+@query("SELECT rule_id, severity, count(*) AS n FROM (SELECT " + _case(f"l_partkey % {len(LEGACY_SOURCES)}", [code.LEGACY_TREE[r][0] if r else "" for _, r in LEGACY_SOURCES]) + " AS rule_id, " + _case(f"l_partkey % {len(LEGACY_SOURCES)}", [code.LEGACY_TREE[r][1] if r else "" for _, r in LEGACY_SOURCES]) + " AS severity FROM lineitem) WHERE rule_id <> '' GROUP BY ALL")
+def legacy_tree_findings(spark, sf_dir):
+    sources = F.array(*[F.lit(s) for s, _ in LEGACY_SOURCES])
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").cast("string").alias("repo"), F.col("l_linenumber").cast("string").alias("file"), F.element_at(sources, (F.col("l_partkey") % len(LEGACY_SOURCES) + 1).cast("int")).alias("content"))
+    return code.findings(rows, legacy=True).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+
+
 #: Scripts, the cross-file rule that comes first, and its line.
 SCRIPTS = (
     ("const db = require('./db');\nasync function f(x) { return db.query(x) }", "nexus/l5/js-require-then-sql", 1),
@@ -281,6 +291,23 @@ def default_posture(spark, sf_dir):
     return policy.default_posture(counts).select("scan_id", "posture_risk", "assessment")
 
 
+@query(FIND + ", c AS (SELECT scan_id, layer::VARCHAR AS owasp, count(*) AS n FROM findings GROUP BY ALL), t AS (SELECT scan_id, owasp, n, row_number() OVER (PARTITION BY scan_id ORDER BY n DESC, owasp) AS i FROM c) SELECT scan_id, string_agg(owasp || ' (' || n || ')', ', ' ORDER BY i) AS top_owasp FROM t WHERE i <= 3 GROUP BY scan_id")
+def brief_categories(spark, sf_dir):
+    rows = load(spark, sf_dir, "findings").groupBy("scan_id", F.col("layer").cast("string").alias("owasp")).agg(F.count("*").alias("n"))
+    return narrate.top_categories(rows)
+
+
+@query(FIND + f", c AS ({_COUNTS}) SELECT scan_id, 'Security assessment: ' || total || ' findings identified. Severity: ' || critical || ' Critical, ' || high || ' High, ' || medium || ' Medium, ' || low || ' Low. Overall Risk: HIGH. Attack Surface Score: 42/100.' || CASE WHEN critical > 0 THEN ' ⚠ ' || critical || ' multi-step attack chain(s) detected.' ELSE '' END || ' Top OWASP categories: A03 (2).' AS brief FROM c")
+def executive_brief(spark, sf_dir):
+    counts = P.severity_counts(load(spark, sf_dir, "findings"), "scan_id").withColumns({"risk_level": F.lit("HIGH"), "attack_surface": F.lit(42.0), "chains": F.col("critical"), "top_owasp": F.lit("A03 (2)")})
+    return narrate.executive_brief(counts).select("scan_id", "brief")
+
+
+@query(FIND + "SELECT scan_id, batch, count(*) AS n FROM (SELECT scan_id, ((row_number() OVER (PARTITION BY scan_id ORDER BY seq) - 1) // 2)::INT AS batch FROM findings WHERE severity <> 'info') GROUP BY ALL")
+def opinion_batches(spark, sf_dir):
+    return narrate.opinion_batches(load(spark, sf_dir, "findings"), size=2).groupBy("scan_id", "batch").agg(F.count("*").alias("n"))
+
+
 # Toolchains and workflows --------------------------------------------------------------------------------------------
 LANGUAGES = ("python", "javascript", "java", "go", "rust", "ruby", "cobol")
 FRAMEWORKS = ("Next.js", "Vite", "Django", "")

@@ -42,6 +42,18 @@ def files(spark: SparkSession, root: str, *, hidden: bool = False, max_bytes: in
     )
 
 
+#: The endings of a training corpus.
+CORPUS = (".c", ".cpp", ".py", ".md", ".txt", ".s", ".asm")
+
+
+def corpus(spark: SparkSession, root: str) -> DataFrame:
+    """(file, content) of a tree's texts for training; files that are not UTF-8, and folders that start with a dot, are left out."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    endings = "|".join(e[1:] for e in CORPUS)
+    raw = raw.where(F.rlike("path", F.lit(rf"\.(?:{endings})$")))
+    return raw.select(F.regexp_replace("path", r"^[a-z]+:/*", "/").alias("file"), F.try_validate_utf8(F.col("content").cast("string")).alias("content")).where("content is not null")
+
+
 def code_files(rows: DataFrame) -> DataFrame:
     """S3: code among files."""
     return rows.where(F.col("ext").isin(*CODE))

@@ -30,4 +30,4 @@ def test_profiles(spark):
 
 def test_brief(spark):
     df = spark.createDataFrame([(9, 1, 2, 3, 3, "HIGH", 41.6, 2)], "total int, critical int, high int, medium int, low int, risk_level string, attack_surface double, chains int")
-    assert narrate.executive_brief(df).first().brief == "Security assessment: 9 findings identified. Severity: 1 Critical, 2 High, 3 Medium, 3 Low. Overall Risk: HIGH. Attack Surface Score: 42/100. 2 multi-step attack chain(s) detected."
+    assert narrate.executive_brief(df).first().brief == "Security assessment: 9 findings identified. Severity: 1 Critical, 2 High, 3 Medium, 3 Low. Overall Risk: HIGH. Attack Surface Score: 42/100. ⚠ 2 multi-step attack chain(s) detected."

@@ -69,3 +69,29 @@ def test_trees(spark):
     assert [(r.line, r.rule_id, r.severity) for r in code.tainted_sinks(rows).collect()] == [(6, "l2/taint-sqli", "critical")]
     edges, handlers, sinks = code.call_graph(rows.where(F.col("name") != "cursor.execute"))
     assert {(r.handler, r.node, r.sink, r.depth) for r in graph.taint_walk(edges, handlers, sinks).collect()} == {("view", "other", "subprocess.run", 2)}
+
+
+def test_views_and_corpus(spark, tmp_path):
+    for name, data in {"a.py": b"x", "b.yml": b"y", "requirements.txt": b"z", "docker-compose.yml": b"c", "Dockerfile.dev": b"d", "notes.md": b"m", "bad.txt": b"\xff\xfe", "x.bin": b"0", ".github/ci.yml": b"w", ".tox/t.py": b"t"}.items():
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(data)
+    rows = scanners.files(spark, str(tmp_path))
+    names = lambda df: sorted(r.filename for r in df.collect())
+    assert names(rows) == ["Dockerfile.dev", "a.py", "b.yml", "docker-compose.yml", "requirements.txt"]
+    assert names(scanners.code_files(rows)) == ["a.py"] and names(scanners.config_files(rows)) == ["b.yml", "docker-compose.yml"]
+    assert names(scanners.by_extension(rows, ".yml", ".py")) == ["a.py", "b.yml", "docker-compose.yml"] and names(scanners.by_filename(rows, "a.py")) == ["a.py"]
+    assert names(scanners.manifests(rows)) == ["docker-compose.yml", "requirements.txt"] and names(scanners.dockerfiles(rows)) == ["Dockerfile.dev", "docker-compose.yml"]
+    assert sorted(r.file.rpartition("/")[2] for r in scanners.corpus(spark, str(tmp_path)).collect()) == ["a.py", "notes.md", "requirements.txt"]  # hidden folders are hidden to the file index
+
+
+def test_persisted_comments_and_training_rows(spark, tmp_path):
+    f = spark.createDataFrame([(1, i, "r", "high", "f.py", i, "i" * 1200, "s" if i else "", 0.1 * i, 1.0, 1.0, 1) for i in range(8)], "scan_id long, seq int, rule_id string, severity string, file string, line int, issue string, ai_summary string, false_positive_probability double, confidence double, exploitability double, blast_radius int")
+    export.persisted(f, str(tmp_path / "kept"), k=3)
+    export.persisted(f, str(tmp_path / "kept"), k=2)
+    kept = spark.read.parquet(str(tmp_path / "kept")).collect()
+    assert sorted(r.seq for r in kept) == [0, 0, 1, 1, 2] and {len(r.issue) for r in kept} == {1000}
+    export.training_rows(f, str(tmp_path / "rows"))
+    assert sorted(r.seq for r in spark.read.json(str(tmp_path / "rows")).collect()) == [1, 2, 3, 4]
+    said = export.comments(spark.createDataFrame([(85.0, 1, 2)], "score double, critical int, high int")).first().comment
+    assert said.startswith("✅") and "critical 1, high 2" in said

@@ -239,7 +239,8 @@ def duplicate_lines(docs: DataFrame, scheme: Scheme = TEN, *, id_col: str = "doc
     first = places.groupBy("node").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
     named = written(first.join(label, "node", "left").where("n > 1 or component is not null").select("node", "first", F.coalesce("component", "node").alias("component")), "named")
     dropped(links, label)
-    stays = named.groupBy("component").agg(F.min("first").alias("stays"))
+    # A table of its own: joined to a plain scan, a large component's rows can be split over tasks.
+    stays = written(named.groupBy("component").agg(F.min("first").alias("stays")), "stays")
     stays = named.select("node", "component").join(stays, "component").select("node", F.col("stays.id").alias("first_id"), F.col("stays.line").alias("first_line"))
     return places.join(stays, "node").where("id <> first_id or line <> first_line").select("id", "line", "first_id", "first_line")
 

@@ -139,3 +139,9 @@ def live_status(scans: DataFrame) -> DataFrame:
 def running_flags(scans: DataFrame) -> DataFrame:
     """Whether any scan of a repository is running, and how many failed."""
     return scans.groupBy("repo_id").agg(F.bool_or(F.col("status") == "running").alias("any_running"), F.count(F.when(F.col("status") == "failed", 1)).alias("failed"))
+
+
+def upserted(rows: DataFrame, news: DataFrame, key: str) -> DataFrame:
+    """Q13: the rows with those of ``news`` in place of the ones of their key; a null key matches nothing and is added."""
+    kept = rows.join(news.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    return kept.select(rows.columns).unionByName(news.select(rows.columns))

@@ -398,3 +398,40 @@ def html_rows(spark, sf_dir):
 def pull_request_comments(spark, sf_dir):
     rows = load(spark, sf_dir, "scans").withColumns({"critical": F.col("findings"), "high": F.lit(0)})
     return export.comments(rows).select("scan_id", "comment")
+
+
+# Payloads, listings and upserts --------------------------------------------------------------------------------------
+_EVENTS = "WITH e AS (SELECT event_id, user_id, CASE event_id % 5 WHEN 0 THEN 'ping' WHEN 1 THEN 'push' WHEN 2 THEN 'pull_request' WHEN 3 THEN 'push' ELSE 'star' END AS event, CASE WHEN event_id % 3 = 0 THEN 'main' ELSE 'dev' END AS branch, CASE WHEN user_id % 2 = 0 THEN 'opened' ELSE 'closed' END AS action FROM events WHERE event_id % 4 <> 0) "
+
+
+@query(
+    _EVENTS
+    + "SELECT event_id, CASE WHEN event = 'ping' THEN 'ok' WHEN event = 'star' THEN 'ignored' WHEN (event = 'push' AND branch = 'main' OR event = 'pull_request' AND action = 'opened') AND user_id % 7 <> 0 THEN 'scan_triggered' ELSE 'skipped' END AS status, CASE WHEN user_id % 7 = 0 THEN NULL WHEN event = 'push' AND branch = 'main' THEN 'webhook_push' WHEN event = 'pull_request' AND action = 'opened' THEN 'webhook_pr_' || event_id END AS trigger FROM e"
+)
+def webhook_scans(spark, sf_dir):
+    """Payloads with a signature, every fourth a wrong one; repositories of some users aren't known."""
+    from cindersift.streaming import webhooks
+
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    event = F.element_at(F.array(*map(F.lit, ("ping", "push", "pull_request", "push", "star"))), (F.col("event_id") % 5 + 1).cast("int"))
+    branch = F.when(F.col("event_id") % 3 == 0, "main").otherwise("dev")
+    body = F.to_json(F.struct(F.concat(F.lit("refs/heads/"), branch).alias("ref"), F.lit("c0ffee").alias("after"), F.when(F.col("user_id") % 2 == 0, "opened").otherwise("closed").alias("action"), F.col("event_id").alias("number"), F.struct(F.concat(F.lit("o/"), F.col("user_id").cast("string")).alias("full_name"), F.lit("main").alias("default_branch")).alias("repository")))
+    rows = rows.select("event_id", "user_id", event.alias("event"), body.alias("body"))
+    rows = rows.withColumn("signature", F.concat(F.lit("sha256="), F.when(F.col("event_id") % 4 == 0, F.sha2("body", 256)).otherwise(webhooks.hmac_sha256(b"secret", F.col("body")))))
+    known = rows.where("user_id % 7 <> 0").select(F.concat(F.lit("o/"), F.col("user_id").cast("string")).alias("full_name"))
+    return webhooks.triggered(webhooks.verified(rows, b"secret"), known).select("event_id", "status", "trigger")
+
+
+@query("SELECT c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal::INT DESC, c_custkey)::INT AS position FROM customer")
+def repository_listing(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    updated = F.timestamp_seconds(F.round("c_acctbal").cast("long") + 1_000_000)
+    one = F.struct(F.col("c_custkey").alias("id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("/r")).alias("full_name"), F.date_format(updated, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"))
+    return scanners.repositories(rows.select(F.to_json(F.array(one)).alias("raw"))).select("id", "position")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM customer UNION ALL SELECT -c_custkey, 'new' FROM customer WHERE c_custkey % 3 = 0")
+def user_upsert(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.lit("old").alias("state"))
+    news = rows.where("id % 3 = 0").withColumn("state", F.lit("new"))
+    return H.upserted(rows, news.unionByName(news.withColumn("id", -F.col("id"))), "id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cindersift.operators.findings import mapped_severity
 from cindersift.schema import canonical
@@ -114,3 +114,10 @@ def trivy(reports: DataFrame, raw: str = "raw") -> DataFrame:
     m = t.select("repo", F.col("t.Target").alias("file"), F.explode("t.Misconfigurations").alias("x"))
     m = m.select("repo", "file", F.col("x.ID").alias("rule_id"), F.col("x.Title").alias("issue"), F.col("x.Description").alias("description"), mapped_severity(F.col("x.Severity"), "trivy-config").alias("severity"), F.col("x.CauseMetadata.StartLine").alias("line"))
     return canonical(v).unionByName(canonical(s)).unionByName(canonical(m))
+
+
+def repositories(listings: DataFrame, raw: str = "raw") -> DataFrame:
+    """Repositories of listings saved as JSON (raw), the lately updated ones first when collected in order of ``position``."""
+    schema = "array<struct<id:long,name:string,full_name:string,html_url:string,default_branch:string,language:string,private:boolean,updated_at:timestamp>>"
+    rows = listings.select(F.explode(F.from_json(raw, schema)).alias("r")).select("r.*").where("id is not null")
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(F.substring_index("full_name", "/", 1)).orderBy(F.desc("updated_at"), "id")))

@@ -1,10 +1,13 @@
 """The denylist, progress and the append log as streams over files that come one after another."""
 
 import datetime as dt
+import hashlib
+import hmac
+import json
 
 from pyspark.sql import functions as F
 
-from cindersift.streaming import events as W
+from cindersift.streaming import events as W, webhooks
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -50,3 +53,15 @@ def test_append_log(spark, tmp_path):
     rows = files(spark, tmp_path / "in", [[(1, at(0), "a")], [(2, at(1), "b"), (2, at(1), "b")]], "event_id long, ts timestamp, key string")
     W.run_available(W.deduplicated(rows), str(tmp_path / "log"), str(tmp_path / "checkpoint"))
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [1, 2]
+
+
+def test_webhooks(spark):
+    body = json.dumps({"ref": "refs/heads/main", "after": "a" * 50, "repository": {"full_name": "o/é", "default_branch": "main"}}, ensure_ascii=False)
+    for key in (b"k", b"x" * 64, b"long" * 40):
+        want = hmac.new(key, body.encode(), hashlib.sha256).hexdigest()
+        assert spark.createDataFrame([(body,)], "body string").select(webhooks.hmac_sha256(key, F.col("body"))).first()[0] == want
+    pull = json.dumps({"action": "reopened", "number": 7, "pull_request": {"head": {"ref": "b", "sha": "s"}}, "repository": {"full_name": "o/x"}})
+    rows = spark.createDataFrame([(1, "push", body), (2, "pull_request", pull), (3, "ping", "{}"), (4, "push", "{broken"), (5, "push", None), (6, "fork", "{}"), (7, "push", body.replace("heads/main", "heads/dev"))], "id long, event string, body string")
+    got = {r.id: (r.status, r.trigger, r.branch, r.commit) for r in webhooks.triggered(rows).collect()}
+    none = (None, None, None)
+    assert got == {1: ("scan_triggered", "webhook_push", "main", "a" * 40), 2: ("scan_triggered", "webhook_pr_7", "b", "s"), 3: ("ok", *none), 4: ("invalid", *none), 5: ("invalid", *none), 6: ("ignored", *none), 7: ("skipped", *none)}

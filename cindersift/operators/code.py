@@ -139,14 +139,14 @@ def legacy_semantic(source: str) -> Iterator[tuple[str, int, str]]:
 FOUND = "repo string, file string, line int, rule_id string, severity string, issue string, matched string, exploitability double, blast_radius int, confidence double, cwe_id string, layer int"
 
 
-def _found(legacy: bool):
+def _found(kinds: tuple[bool, ...]):
     def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]]) for c in FOUND.split(", ")])
         for b in batches:
             rows = []
             for repo, file, content in zip(*(b.column(i).to_pylist() for i in range(3))):
                 lines = (content or "").split("\n")
-                for rule, line, name in (legacy_semantic if legacy else semantic)(content or ""):
+                for legacy, (rule, line, name) in ((k, x) for k in kinds for x in (legacy_semantic if k else semantic)(content or "")):
                     snippet = lines[line - 1].strip()[:200] if 0 < line <= len(lines) else ""
                     issue = f"{rule.replace('-', ' ')}: {name}"
                     if legacy:  # a detector that knows none of these
@@ -159,9 +159,9 @@ def _found(legacy: bool):
     return found
 
 
-def findings(files: DataFrame, *, legacy: bool = False) -> DataFrame:
-    """T1-T5, or T9: findings of Python files (repo, file, content) by their syntax trees; a file that doesn't parse has none."""
-    return files.select("repo", "file", "content").mapInArrow(_found(legacy), FOUND)
+def findings(files: DataFrame, *, legacy: bool | None = False) -> DataFrame:
+    """T1-T5, or T9 (legacy), or both (None): findings of Python files (repo, file, content) by their syntax trees; a file that doesn't parse has none."""
+    return files.select("repo", "file", "content").mapInArrow(_found((False, True) if legacy is None else (legacy,)), FOUND)
 
 
 def _matches(pattern: str, line: Column) -> Column:

@@ -32,6 +32,7 @@ ADVISORIES = (
     ("winston", "<3.3.3", "medium", "CVE-2021-3807"), ("acorn", "<7.4.0", "high", "CVE-2020-7754"), ("moment", "<2.29.4", "high", "CVE-2022-31129"), ("browserify-sign", "<4.2.2", "critical", "CVE-2023-46234"),
 )
 UNKNOWN_VERSION = "0.0.0"
+MANIFESTS = ("requirements.txt", "package.json", "pyproject.toml", "Pipfile", "go.mod", "Cargo.toml")
 #: Names up to which a table goes to every task.
 SMALL = 10_000
 # ---------------------------------------------------------------------------------------------------------------------
@@ -104,31 +105,34 @@ def manifest_packages(files: DataFrame) -> DataFrame:
 
     Keys need no quotes in TOML, extras in brackets are dropped, and JSON that doesn't parse gives no rows.
     """
-    line = F.explode(F.split("content", r"\r\n|[\n\r]"))
-    req = files.where("filename = 'requirements.txt'").select("file", "filename", line.alias("l")).withColumn("l", F.trim("l")).where("l <> '' and not startswith(l, '#')")
-    pattern = r"^([A-Za-z0-9_.-]+)(?:\[[^\]]*\])?\s*([<>=!~^].+)?$"
-    req = req.where(F.rlike("l", F.lit(pattern))).select("file", "filename", F.regexp_extract("l", pattern, 1).alias("name"), extracted_version(F.regexp_extract("l", pattern, 2)).alias("version"))
-
-    deps = F.from_json("content", "dependencies map<string,string>, devDependencies map<string,string>")
-    pkg = files.where("filename = 'package.json'").select("file", "filename", deps.alias("j"))
-    both = F.map_concat(F.coalesce("j.dependencies", F.create_map().cast("map<string,string>")), F.map_filter(F.coalesce("j.devDependencies", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(F.coalesce("j.dependencies", F.create_map().cast("map<string,string>")), k)))
-    pkg = pkg.select("file", "filename", F.explode(both).alias("name", "v")).select("file", "filename", "name", F.when(F.col("v").isin("*", "latest", ""), UNKNOWN_VERSION).otherwise(F.regexp_replace("v", r"^[\^~>=]+", "")).alias("version"))
-
-    def pairs(names: list[str], regex: str, key: Column | None = None) -> DataFrame:
-        found = files.where(F.col("filename").isin(*names)).select("file", "filename", F.explode(F.regexp_extract_all("content", F.lit(regex), F.lit(0))).alias("m"))
-        name = F.regexp_extract("m", regex, 1)
-        return found.select("file", "filename", (F.substring_index(name, "/", -1) if names == ["go.mod"] else name).alias("name"), extracted_version(F.regexp_extract("m", regex, 2)).alias("version"))
-
-    toml = pairs(["pyproject.toml", "Pipfile", "Cargo.toml"], r"""(?m)^"?([A-Za-z0-9_.-]+)"?\s*=\s*(?:\{[^}\n]*version\s*=\s*)?["']([^"'\n]+)["']""")
-    go = pairs(["go.mod"], r"([a-zA-Z0-9./-]+)\s+v([0-9.]+)")
-    out = req.unionByName(pkg).unionByName(toml).unionByName(go)
-    return out.groupBy("file", F.col("filename").alias("manifest"), F.lower("name").alias("name")).agg(F.max("version").alias("version"))
+    name, kind = F.col("filename"), "array<struct<name:string,version:string>>"
+    pair = lambda n, v: F.struct(n.alias("name"), v.alias("version"))
+    # All parsers are one expression by file name, so files are read once.
+    required = r"^([A-Za-z0-9_.-]+)(?:\[[^\]]*\])?\s*([<>=!~^].+)?$"
+    lines = F.filter(F.transform(F.split("content", r"\r\n|[\n\r]"), lambda x: F.trim(x)), lambda x: F.rlike(x, F.lit(required)) & ~F.startswith(x, F.lit("#")))
+    req = F.transform(lines, lambda x: pair(F.regexp_extract(x, required, 1), extracted_version(F.regexp_extract(x, required, 2))))
+
+    none = F.create_map().cast("map<string,string>")
+    json = F.from_json("content", "dependencies map<string,string>, devDependencies map<string,string>")
+    plain, dev = F.coalesce(json["dependencies"], none), F.coalesce(json["devDependencies"], none)
+    both = F.map_entries(F.map_concat(F.map_filter(plain, lambda k, v: ~F.map_contains_key(dev, k)), dev))
+    pkg = F.transform(both, lambda e: pair(e["key"], F.when(e["value"].isin("*", "latest", ""), UNKNOWN_VERSION).otherwise(F.regexp_replace(e["value"], r"^[\^~>=]+", ""))))
+
+    def pairs(regex: str, last_part: bool) -> Column:
+        found = F.regexp_extract_all("content", F.lit(regex), F.lit(0))
+        first = lambda m: F.substring_index(F.regexp_extract(m, regex, 1), "/", -1) if last_part else F.regexp_extract(m, regex, 1)
+        return F.transform(found, lambda m: pair(first(m), extracted_version(F.regexp_extract(m, regex, 2))))
+
+    toml = pairs(r"""(?m)^"?([A-Za-z0-9_.-]+)"?\s*=\s*(?:\{[^}\n]*version\s*=\s*)?["']([^"'\n]+)["']""", False)
+    go = pairs(r"([a-zA-Z0-9./-]+)\s+v([0-9.]+)", True)
+    found = F.when(name == "requirements.txt", req.cast(kind)).when(name == "package.json", pkg.cast(kind)).when(name == "go.mod", go.cast(kind)).otherwise(toml.cast(kind))
+    out = files.where(name.isin(*MANIFESTS)).select("file", name.alias("manifest"), F.inline(found))
+    return out.groupBy("file", "manifest", F.lower("name").alias("name")).agg(F.max("version").alias("version"))
 
 
 def findings(files: DataFrame) -> DataFrame:
     """D1, D5, D7 as findings of the manifests among files (repo, file, filename, content): layer 4, line 0."""
-    manifests = files.where(F.col("filename").isin("requirements.txt", "package.json", "pyproject.toml", "Pipfile", "go.mod", "Cargo.toml"))
-    rows = manifest_packages(manifests.withColumn("file", F.concat_ws("\x00", "repo", "file")))
+    rows = manifest_packages(files.withColumn("file", F.concat_ws("\x00", "repo", "file")))
     rows = rows.withColumns({"repo": F.substring_index("file", "\x00", 1), "file": F.substring_index("file", "\x00", -1)})
 
     def told(found: DataFrame, rule: Column, issue: Column, severity: Column, sure: float, exploit: Column, blast: Column, cve: Column) -> DataFrame:

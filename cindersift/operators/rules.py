@@ -7,6 +7,7 @@ pass over the lines. The first line of each file and rule is a grouped minimum,
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -19,6 +20,8 @@ from cindersift.schema import EXPLOITABILITY
 
 #: Alternatives that a rule may need, beyond which its pattern is tried at once.
 ALTERNATIVES = 12
+#: Rules of a generated method.
+GROUP = 16
 
 
 @dataclass(frozen=True)
@@ -110,7 +113,9 @@ def all_matches(line_rows: DataFrame, packs: Sequence[tuple[Column | None, Seque
     """
     rules = [r for _, own, _ in packs for r in own]
     starts = list(dict.fromkeys(s for _, _, s in packs if s))
-    rows = line_rows.withColumns({"__low": F.lower("code")} | {f"__c{i}": is_comment(F.col("code"), s) for i, s in enumerate(starts)})
+    # What every rule looks at comes out of a generator: an expression would be worked out again for each rule.
+    seen = [F.lower("code").alias("__low")] + [is_comment(F.col("code"), s).alias(f"__c{i}") for i, s in enumerate(starts)]
+    rows = line_rows.select("*", F.inline(F.array(F.struct(*seen))))
     hits, number = [], 0
     for which, own, begins in packs:
         pack = F.lit(True) if which is None else which
@@ -119,21 +124,22 @@ def all_matches(line_rows: DataFrame, packs: Sequence[tuple[Column | None, Seque
         for r in own:
             number += 1
             words = [F.contains("__low", F.lit(w)) for w in needed(r.pattern)]
-            there = reduce(lambda a, b: a | b, words) & pack if words else pack
-            hits.append(F.when(there & F.rlike("code", F.lit(r.pattern)), F.lit(number)))
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.issue).alias("issue"), F.lit(r.cwe).cast("string").alias("cwe_id"), F.lit(r.pattern).alias("pattern"),
-                F.lit(r.exploitability if r.exploitability is not None else EXPLOITABILITY[r.severity]).alias("exploitability"),
-                F.lit(r.blast if r.blast is not None else blast_radius(r.rule_id)).alias("blast_radius"), F.lit(r.confidence).cast("double").alias("own"),
-            )
-            for r in rules
-        ]
-    )
-    out = rows.withColumn("__hits", F.array_compact(F.array(*hits))).where(F.size("__hits") > 0)
-    out = out.select(*line_rows.columns, F.explode("__hits").alias("__n"))
-    out = out.withColumn("__r", F.element_at(table, F.col("__n"))).withColumn("matched", F.coalesce(F.regexp_substr("code", F.col("__r.pattern")), F.lit("")))
+            there = pack & reduce(lambda a, b: a | b, words) if words else pack
+            hits.append(F.when(there & F.rlike("code", F.lit(r.pattern)), F.lit(str(number))))
+    values = [
+        {"rule_id": r.rule_id, "severity": r.severity, "issue": r.issue, "cwe_id": r.cwe, "pattern": r.pattern, "exploitability": r.exploitability if r.exploitability is not None else EXPLOITABILITY[r.severity], "blast_radius": r.blast if r.blast is not None else blast_radius(r.rule_id), "own": r.confidence}
+        for r in rules
+    ]
+    # One literal, whatever the number of rules.
+    table = F.from_json(F.lit(json.dumps(values)), "array<struct<rule_id:string,severity:string,issue:string,cwe_id:string,pattern:string,exploitability:double,blast_radius:int,own:double>>")
+    # Numbers joined as text, a group of rules at a time, each group out of a generator of its own: all of it is generated
+    # code in methods small enough to be compiled, and no filter above makes it work twice.
+    names = [f"__h{i}" for i in range(0, len(hits), GROUP)]
+    for i, name in zip(range(0, len(hits), GROUP), names):
+        rows = rows.select("*", F.inline(F.array(F.struct(F.nullif(F.concat_ws(",", *hits[i : i + GROUP]), F.lit("")).alias(name)))))
+    rows = rows.where(F.coalesce(*names).isNotNull())
+    out = rows.select(*line_rows.columns, F.explode(F.split(F.concat_ws(",", *names), ",")).alias("__n"))
+    out = out.withColumn("__r", F.element_at(table, F.col("__n").cast("int"))).withColumn("matched", F.coalesce(F.regexp_substr("code", F.col("__r.pattern")), F.lit("")))
     sure = F.coalesce("__r.own", F.round(F.least(F.lit(0.95), 0.6 + 0.005 * F.length("matched")), 2))
     return out.select(*line_rows.columns, *[F.col(f"__r.{c}").alias(c) for c in ("rule_id", "severity", "issue", "cwe_id")], "matched", F.col("__r.exploitability").alias("exploitability"), F.col("__r.blast_radius").alias("blast_radius"), sure.alias("confidence"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from cindersift.functions.text import COMMENT_STARTS, entropy_secrets, lines
 from cindersift.operators import code, deps, findings as P, packs, rules, surface
 from cindersift.schema import canonical
+from cindersift.storage import written
 
 
 COLUMNS = ("repo", "file", "line", "rule_id", "severity", "issue", "matched", "exploitability", "blast_radius", "confidence", "cwe_id")
@@ -35,6 +36,7 @@ def detected(files: DataFrame) -> DataFrame:
 
 def scanned(files: DataFrame) -> DataFrame:
     """Severity counts, risk score and linear score of each repository."""
-    found = P.dedup_best(detected(files))
+    # Counts and scores read the findings several times; they are few beside the files, which are read once.
+    found = written(P.dedup_best(detected(files)), "findings")
     counts = P.linear_score(P.severity_counts(found, "scan_id"))
     return counts.join(P.risk_score(found), "scan_id").withColumnRenamed("scan_id", "repo")

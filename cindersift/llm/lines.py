@@ -46,8 +46,6 @@ CHUNK = 1 << 17
 #: Bits of a shingle's hash in sets; the rest of 64 bits hold the line's place in its chunk.
 PACKED = 50
 _CODE = np.random.default_rng(7).integers(1, 1 << 63, 1 << 16, dtype=np.uint64)
-_BLANK = np.zeros(1 << 16, bool)
-_BLANK[[c for c in range(1 << 16) if chr(c).isspace()]] = True
 
 
 class Lines:
@@ -60,15 +58,18 @@ class Lines:
         n = len(self.cps)
         self.end = np.append(np.flatnonzero(self.cps == 10), n)
         self.start = np.append(0, self.end[:-1] + 1)
-        solid = np.concatenate([[0], np.cumsum(~_BLANK[self.cps & 0xFFFF] | (self.cps > 0xFFFF))])
         per_text = np.fromiter((t.count("\n") + 1 for t in texts), np.int64, len(texts))
         row = np.repeat(np.arange(len(texts)), per_text)
         number = np.arange(len(row)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-        keep = solid[self.end] > solid[self.start]
+        keep = np.fromiter(map(str.strip, joined.split("\n")), object, len(row)).astype(bool)
         self.start, self.end, self.row, self.number = self.start[keep], self.end[keep], row[keep], number[keep]
         up, self.down = powers(n + 1)
         self.total = np.zeros(n + 1, U)
-        np.cumsum((_CODE[self.cps & 0xFFFF] + (self.cps >> 16).astype(U) * U(0x9E3779B97F4A7C15)) * up[:n], out=self.total[1:])
+        if not n or int(self.cps.max()) >> 16 == 0:
+            code = _CODE[self.cps]
+        else:
+            code = _CODE[self.cps & 0xFFFF] + (self.cps >> 16).astype(U) * U(0x9E3779B97F4A7C15)
+        np.cumsum(code * up[:n], out=self.total[1:])
         length = (self.end - self.start).astype(U)
         self.hash = mixed((self.total[self.end] - self.total[self.start]) * self.down[self.start] + mixed(length))
 
@@ -82,6 +83,13 @@ class Lines:
     def distinct(self) -> Lines:
         return self.only(np.sort(np.unique(self.hash, return_index=True)[1]))
 
+    def unseen(self, seen: set[int]) -> Lines:
+        """Those whose hash is new to ``seen``, which learns it. Of distinct lines."""
+        new = [i for i, h in enumerate(self.hash.tolist()) if h not in seen]
+        out = self if len(new) == len(self.hash) else self.only(np.array(new, np.int64))
+        seen.update(out.hash.tolist())
+        return out
+
     def texts(self) -> list[str]:
         return [self.text[i:j] for i, j in zip(self.start.tolist(), self.end.tolist())]
 
@@ -92,7 +100,11 @@ class Lines:
         count = np.maximum(count, 0)
         line = np.repeat(np.arange(len(count)), count)
         at = np.arange(len(line)) + np.repeat(self.start - (np.cumsum(count) - count), count)
-        h = mixed((self.total[at + size] - self.total[at]) * self.down[at])
+        n = len(self.cps) + 1 - size  # places of the text where a shingle may begin
+        if 2 * len(at) > n > 0:  # nearly all do: in their order, then without those across line ends
+            h = mixed((self.total[size:] - self.total[:n]) * self.down[:n])[at]
+        else:
+            h = mixed((self.total[at + size] - self.total[at]) * self.down[at])
         if not len(short):
             return h, line
         return np.concatenate([h, mixed(self.hash[short] + U(1))]), np.concatenate([line, short])
@@ -138,11 +150,9 @@ def _lines(batch: pa.RecordBatch, col: int) -> Iterator[tuple[int, Lines]]:
 def _places(scheme: Scheme, parts: int):
     def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got, seen = [], np.zeros(0, U)
+            got, seen = [], set()
             for _, x in _lines(b, 0):
-                x = x.distinct()
-                x = x.only(np.flatnonzero(~np.isin(x.hash, seen)))
-                seen = np.concatenate([seen, x.hash])
+                x = x.distinct().unseen(seen)
                 key, sketch = x.keys(scheme)
                 got.append((key.ravel(), np.repeat(x.hash, scheme.bands), np.repeat(sketch, scheme.bands, axis=0)))
             if got:
@@ -160,11 +170,11 @@ def _occurrences(scheme: Scheme, filter_: np.ndarray):
 
     def occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen = np.zeros(0, U)
+            seen: set[int] = set()
             for lo, x in _lines(b, 1):
-                first = np.sort(np.unique(x.hash, return_index=True)[1])
-                asked = first[banding.holds(filter_, x.hash[first].view(np.int64)) & ~np.isin(x.hash[first], seen)]
-                seen = np.concatenate([seen, x.hash[asked]])
+                asked = np.flatnonzero(banding.holds(filter_, x.hash.view(np.int64)))
+                hashes = x.hash[asked].tolist()
+                asked = asked[[not (h in seen or seen.add(h)) for h in hashes]] if hashes else asked
                 y = x.only(asked)
                 s, at = y.sets(scheme.shingle)
                 told = np.zeros(len(x.start), bool)

@@ -37,14 +37,14 @@ PATTERNS = {
 }
 #: A text without this has no span of the kind, or no candidate.
 NEEDED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-NEEDED_MORE = {"phone": r"[0-9]{2}", "email": r"(?:[\[({<]|\x20)at(?:[\])}>]|\x20)", "secret": r"[A-Za-z0-9+/_-]{16}"}
+NEEDED_MORE = {"phone": r"[0-9]{2}", "email": r"(?:[\[({<]|\x20)at(?:[\])}>]|\x20)", "secret": r"[0-9][A-Za-z+/_-]{0,12}[0-9][A-Za-z0-9+/_-]{0,12}[0-9]"}
 _PART = r"0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 
 #: Generators of further candidates: kind and pattern.
 PROPOSED = {
     "phone": r"(?<![0-9A-Za-z+.,])\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}+\(?[0-9]{2,5}\)?){1,5}+(?![0-9A-Za-z])",
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|\{at\}|<at>|(?<=\x20)at(?=\x20))\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\(dot\)|\[dot\]|\{dot\}|<dot>|(?<=\x20)dot(?=\x20))\x20?)[A-Za-z0-9-]++)++",
-    "secret": r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9+/_=@-])",
+    "secret": r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9+/_=@-])",
 }
 BEFORE, AFTER = 28, 10
 _WORDS = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cindersift.operators.findings import first_contained
@@ -69,6 +71,7 @@ CONTROLS = {
     },
     "OWASP_TOP_10": {k: words for k, (_, words) in OWASP.items()},
 }
+CONTROL_NAMES = tuple(f"{f}:{c}" for f, of in CONTROLS.items() for c in of)
 TEST_PATH = r"(?i)(test[_/]|tests[_/]|spec[_/]|__tests__|fixtures[_/]|mock[_/]|example[_/]|demo[_/]|sample[_/]|docs[_/]|\.test\.|_test\.py|test_|conftest\.py|setup\.py|README|CHANGELOG|\.md$|\.txt$|\.rst$)"
 SUPPRESSED = r"(?i)(#\s*(noqa|nosec|type:\s*ignore)|//\s*(eslint-disable|noinspection|NOSONAR)|TODO|FIXME|HACK|XXX|placeholder|example|template|sample|dummy|test|\{\{\s*\w+\s*\}\}|<your[-_]|CHANGE[-_]?ME|REPLACE[-_]?ME)"
 CHAIN_WORDS = ("injection", "auth", "crypto", "config", "ssrf", "secret")
@@ -161,6 +164,8 @@ def by_text(findings: DataFrame) -> DataFrame:
     rows = findings.withColumn("combined", combined())
     text = F.col("combined")
     texts = rows.select("combined").distinct().withColumns({"owasp": owasp(text), "cwe": first_contained(text, CWE), "technique": mitre(text), "controls": controls(text)})
+    bits = [F.when(F.array_contains("controls", name), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, name in enumerate(CONTROL_NAMES)]
+    texts = texts.withColumn("controls_mask", reduce(lambda a, b: a.bitwiseOR(b), bits))
     return rows.join(texts, "combined")
 
 
@@ -195,10 +200,12 @@ def priority_rank(enriched_findings: DataFrame, key: str = "scan_id") -> DataFra
 
 def compliance_summary(enriched_findings: DataFrame, key: str = "scan_id") -> DataFrame:
     """For each scan and framework the violated controls, the share of kept ones and the status."""
-    hit = enriched_findings.select(key, F.explode("controls").alias("c")).distinct().groupBy(key, F.substring_index("c", ":", 1).alias("framework")).agg(F.count("*").alias("violated"))
-    frameworks = F.array(*[F.struct(F.lit(f).alias("framework"), F.lit(len(of)).alias("controls")) for f, of in CONTROLS.items()])
-    every = enriched_findings.select(key).distinct().select(key, F.inline(frameworks))
-    out = every.join(hit, [key, "framework"], "left").withColumn("violated", F.coalesce("violated", F.lit(0)).cast("long"))
+    # Controls as bits: a scan's are one grouped or, and no list of them is shuffled.
+    per = enriched_findings.groupBy(key).agg(F.bit_or("controls_mask").alias("__m"))
+    own = {f: sum(1 << i for i, name in enumerate(CONTROL_NAMES) if name.startswith(f + ":")) for f in CONTROLS}
+    frameworks = F.array(*[F.struct(F.lit(f).alias("framework"), F.lit(len(of)).alias("controls"), F.lit(own[f]).cast("long").alias("__own")) for f, of in CONTROLS.items()])
+    out = per.select(key, "__m", F.inline(frameworks))
+    out = out.withColumn("violated", F.bit_count(F.col("__m").bitwiseAND(F.col("__own"))).cast("long")).drop("__m", "__own")
     out = out.withColumn("kept_percent", F.round((F.col("controls") - F.col("violated")) / F.col("controls") * 100, 1))
     return out.withColumn("status", F.when(F.col("kept_percent") >= 100, "PASS").when(F.col("kept_percent") >= 80, "WARN").otherwise("FAIL"))
 

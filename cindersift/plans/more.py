@@ -304,7 +304,7 @@ def executive_brief(spark, sf_dir):
 
 
 @query(FIND + "SELECT scan_id, batch, count(*) AS n FROM (SELECT scan_id, ((row_number() OVER (PARTITION BY scan_id ORDER BY seq) - 1) // 2)::INT AS batch FROM findings WHERE severity <> 'info') GROUP BY ALL")
-def opinion_batches(spark, sf_dir):
+def second_opinion_batches(spark, sf_dir):
     return narrate.opinion_batches(load(spark, sf_dir, "findings"), size=2).groupBy("scan_id", "batch").agg(F.count("*").alias("n"))
 
 

@@ -49,9 +49,9 @@ CHECKS = ("verify_token", "check_permission", "is_admin", "require_auth")
 CHANGES = ("create", "update", "delete", "modify", "post", "put", "patch")
 #: Fixed values of the cross-file rules of scripts, the first that fits: id, pattern, severity, confidence, exploitability, blast radius.
 CROSS_FILE = (
-    ("nexus/l5/js-require-then-sql", r"""(?s)require\s*\(["']([^"']+)["']\)\s*[;\n].{0,500}(execute|query|db\.run|pool\.query)""", "high", 0.55, 0.60, 7),
-    ("nexus/l5/js-route-handler-audit", r"(?m)(app|router)\.(use|get|post|put|delete)\s*\([^)]+\)", "info", 0.40, 0.20, 3),
-    ("nexus/l5/js-exported-sink", r"(?s)(module\.exports|export\s+default|export\s+const)\s+\w+[^{]*\{[^}]*(execute|query|exec|spawn)", "medium", 0.55, 0.50, 6),
+    ("l5/js-require-then-sql", r"""(?s)require\s*\(["']([^"']+)["']\)\s*[;\n].{0,500}(execute|query|db\.run|pool\.query)""", "high", 0.55, 0.60, 7),
+    ("l5/js-route-handler-audit", r"(?m)(app|router)\.(use|get|post|put|delete)\s*\([^)]+\)", "info", 0.40, 0.20, 3),
+    ("l5/js-exported-sink", r"(?s)(module\.exports|export\s+default|export\s+const)\s+\w+[^{]*\{[^}]*(execute|query|exec|spawn)", "medium", 0.55, 0.50, 6),
 )
 SCRIPTS = (".js", ".ts", ".jsx", ".tsx")
 HANDLER_DECORATORS = ("route", "get", "post", "put", "delete", "patch")
@@ -153,7 +153,7 @@ def _found(kinds: tuple[bool, ...]):
                         rows.append((repo, file, line, LEGACY_TREE[rule][0], LEGACY_TREE[rule][1], issue, snippet, 0.5, 1, 0.8, None, 1))
                         continue
                     severity, sure, exploit, blast = SEMANTIC["taint" if rule.startswith("taint-") else rule]
-                    rows.append((repo, file, line, f"nexus/l2/{rule}", severity or SINK_SEVERITY[rule.removeprefix("taint-")], issue, snippet, exploit, blast, sure, None, 2))
+                    rows.append((repo, file, line, f"l2/{rule}", severity or SINK_SEVERITY[rule.removeprefix("taint-")], issue, snippet, exploit, blast, sure, None, 2))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
     return found

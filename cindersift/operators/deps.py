@@ -141,10 +141,10 @@ def findings(files: DataFrame) -> DataFrame:
 
     none = F.lit(None).cast("string")
     severe = F.col("severity").isin("critical", "high")
-    known = told(vulnerable(rows), F.concat(F.lit("nexus/l4/cve-"), F.replace(F.lower("cve_id"), F.lit("-"), F.lit(""))), F.concat(F.lit("Known Vulnerability in "), F.col("name"), F.lit(" — "), F.col("cve_id")), F.col("severity"), 0.92, F.when(severe, 0.75).otherwise(0.40), F.when(severe, 7).otherwise(4), F.col("cve_id"))
+    known = told(vulnerable(rows), F.concat(F.lit("l4/cve-"), F.replace(F.lower("cve_id"), F.lit("-"), F.lit(""))), F.concat(F.lit("Known Vulnerability in "), F.col("name"), F.lit(" — "), F.col("cve_id")), F.col("severity"), 0.92, F.when(severe, 0.75).otherwise(0.40), F.when(severe, 7).otherwise(4), F.col("cve_id"))
     near = rows.join(typosquats(rows), "name")
-    near = told(near, F.lit("nexus/l4/typosquat"), F.concat(F.lit("Potential Typosquatting: '"), F.col("name"), F.lit("' (did you mean '"), F.col("popular"), F.lit("'?)")), F.lit("high"), 0.75, F.lit(0.70), F.lit(9), none)
-    loose = told(unpinned(rows), F.lit("nexus/l4/unpinned-dependency"), F.concat(F.lit("Unpinned Dependency: "), F.col("name")), F.lit("medium"), 0.85, F.lit(0.45), F.lit(5), none)
+    near = told(near, F.lit("l4/typosquat"), F.concat(F.lit("Potential Typosquatting: '"), F.col("name"), F.lit("' (did you mean '"), F.col("popular"), F.lit("'?)")), F.lit("high"), 0.75, F.lit(0.70), F.lit(9), none)
+    loose = told(unpinned(rows), F.lit("l4/unpinned-dependency"), F.concat(F.lit("Unpinned Dependency: "), F.col("name")), F.lit("medium"), 0.85, F.lit(0.45), F.lit(5), none)
     return known.unionByName(near).unionByName(loose)
 
 

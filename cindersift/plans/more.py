@@ -207,7 +207,7 @@ SOURCES = (
 )
 
 
-@query("SELECT rule_id, severity, count(*) AS n FROM (SELECT " + _case(f"l_partkey % {len(SOURCES)}", [f"nexus/l2/{r}" if r else "" for _, r in SOURCES]) + " AS rule_id, " + _case(f"l_partkey % {len(SOURCES)}", [(code.SEMANTIC["taint" if r.startswith("taint-") else r][0] or code.SINK_SEVERITY[r.removeprefix("taint-")]) if r else "" for _, r in SOURCES]) + " AS severity FROM lineitem) WHERE rule_id <> '' GROUP BY ALL")
+@query("SELECT rule_id, severity, count(*) AS n FROM (SELECT " + _case(f"l_partkey % {len(SOURCES)}", [f"l2/{r}" if r else "" for _, r in SOURCES]) + " AS rule_id, " + _case(f"l_partkey % {len(SOURCES)}", [(code.SEMANTIC["taint" if r.startswith("taint-") else r][0] or code.SINK_SEVERITY[r.removeprefix("taint-")]) if r else "" for _, r in SOURCES]) + " AS severity FROM lineitem) WHERE rule_id <> '' GROUP BY ALL")
 def semantic_findings(spark, sf_dir):
     sources = F.array(*[F.lit(s) for s, _ in SOURCES])
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").cast("string").alias("repo"), F.col("l_linenumber").cast("string").alias("file"), F.element_at(sources, (F.col("l_partkey") % len(SOURCES) + 1).cast("int")).alias("content"))
@@ -226,9 +226,9 @@ def legacy_tree_findings(spark, sf_dir):
 
 #: Scripts, the cross-file rule that comes first, and its line.
 SCRIPTS = (
-    ("const db = require('./db');\nasync function f(x) { return db.query(x) }", "nexus/l5/js-require-then-sql", 1),
-    ("let a = 1\napp.get('/x', handler)", "nexus/l5/js-route-handler-audit", 2),
-    ("// one\nexport const run = (x) => { spawn(x) }", "nexus/l5/js-exported-sink", 2),
+    ("const db = require('./db');\nasync function f(x) { return db.query(x) }", "l5/js-require-then-sql", 1),
+    ("let a = 1\napp.get('/x', handler)", "l5/js-route-handler-audit", 2),
+    ("// one\nexport const run = (x) => { spawn(x) }", "l5/js-exported-sink", 2),
     ("module.exports = one\n{\n exec(x) }", "", 0),
     ("plain text", "", 0),
 )

@@ -24,7 +24,7 @@ def detected(files: DataFrame) -> DataFrame:
     hits = packs.slow_enough(rules.all_matches(rows, [(None, surface.SURFACE, COMMENT_STARTS), *packs.routes(), surface.legacy_route()]))
     found = rules.first_matches(hits, "repo", "file").select(*COLUMNS)
     found = found.withColumn("layer", F.when(F.startswith("rule_id", F.lit("native/")), 1).otherwise(F.substring("rule_id", 2, 1).try_cast("int")))
-    secret = entropy_secrets(rows.select("repo", "file", "line", "code")).select("repo", "file", "line", F.lit("nexus/l3/high-entropy-secret").alias("rule_id"), F.lit("high").alias("severity"), F.lit("High-entropy string").alias("issue"), F.lit(None).cast("string").alias("cwe_id"), F.col("candidate").alias("matched"), F.lit(0.70).alias("exploitability"), F.lit(7).alias("blast_radius"), "confidence")
+    secret = entropy_secrets(rows.select("repo", "file", "line", "code")).select("repo", "file", "line", F.lit("l3/high-entropy-secret").alias("rule_id"), F.lit("high").alias("severity"), F.lit("High-entropy string").alias("issue"), F.lit(None).cast("string").alias("cwe_id"), F.col("candidate").alias("matched"), F.lit(0.70).alias("exploitability"), F.lit(7).alias("blast_radius"), "confidence")
     whole = surface.legacy_files(named).withColumns({"confidence": F.lit(0.8), "exploitability": F.lit(0.5), "blast_radius": F.lit(1), "cwe_id": F.lit(None).cast("string"), "layer": F.lit(6)})
     trees = code.findings(named.where("ext = '.py'"), legacy=None)
     scripts = code.script_findings(named.where(F.col("ext").isin(*code.SCRIPTS)))

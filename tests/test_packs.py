@@ -33,7 +33,7 @@ def test_packs(spark):
 
 def test_scan_runs_all_packs(spark):
     files = [
-        ("src/a.py", "requests.get(request.args['u'])\nsubprocess.run(x, shell=True)\ncipher = MODE_ECB\n# marshal.load(x)", {"l1/ssrf-risk", "l1/py-subprocess-shell-cmd", "l1/os-system", "l3/ecb-mode", "native/ssrf-risk", "native/os-system-injection", "nexus/l2/subprocess-shell-true", "nexus/l2/taint-ssrf", "native/subprocess-shell-true"}),
+        ("src/a.py", "requests.get(request.args['u'])\nsubprocess.run(x, shell=True)\ncipher = MODE_ECB\n# marshal.load(x)", {"l1/ssrf-risk", "l1/py-subprocess-shell-cmd", "l1/os-system", "l3/ecb-mode", "native/ssrf-risk", "native/os-system-injection", "l2/subprocess-shell-true", "l2/taint-ssrf", "native/subprocess-shell-true"}),
         ("Dockerfile", "FROM python:latest\nEXPOSE 22", {"l6/docker-latest-tag", "l6/docker-dangerous-port", "native/docker-run-as-root", "native/docker-latest-tag", "native/docker-expose-all"}),
         ("ok/Dockerfile", "FROM python:3.12\nUSER app", set()),
         ("k8s/pod.yaml", "kind: Pod\nhostNetwork: true", {"l6/k8s-host-network"}),

@@ -29,4 +29,20 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   (sum(prefix) FILTER (role = 'assistant' OR i = m))::BIGINT AS formatted_chars FROM g GROUP BY conv_id
 """
 
-ORACLES = {"op4_minhash_near_dedup": OP4, "op7_chat_formatting": OP7}
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS text FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+v AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+l AS (SELECT lang, sum(n)::HUGEINT AS n, count(*)::HUGEINT AS v FROM v GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, w.source, w.term, count(*)::HUGEINT AS n FROM w JOIN v ON w.lang = v.lang AND w.term = v.term GROUP BY ALL),
+m AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (coalesce(m.n, 0) + 2 * l.v) AS p, 1 + (1000000000 * (v.n + 2)) // (l.n + 2 * l.v) AS q
+  FROM g JOIN v ON g.lang = v.lang JOIN l ON g.lang = l.lang LEFT JOIN m ON g.lang = m.lang AND g.source = m.source LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND v.term = c.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLES = {"op11_source_divergence": OP11, "op4_minhash_near_dedup": OP4, "op7_chat_formatting": OP7}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cindersift.llm import bpe, chat, decontaminate, licences, lines, near, neighbours, oracles, private, quality, urls
+from cindersift.llm import bpe, chat, decontaminate, divergence, licences, lines, near, neighbours, oracles, private, quality, urls
 from cindersift.llm.batches import bounded
 
 
@@ -79,5 +79,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_private_data, op3_line_dedup, op4_minhash_near_dedup, op5_quality_classifier, op6_license_scan, op7_chat_formatting, op8_url_filters, op9_decontamination, op10_byte_bpe)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the ten terms that mark each source most."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_private_data, op3_line_dedup, op4_minhash_near_dedup, op5_quality_classifier, op6_license_scan, op7_chat_formatting, op8_url_filters, op9_decontamination, op10_byte_bpe, op11_source_divergence)}
 ORACLES = oracles.ORACLES

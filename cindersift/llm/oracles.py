@@ -45,4 +45,20 @@ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.valu
 SELECT lang, source, part, item, value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 10
 """
 
-ORACLES = {"op11_source_divergence": OP11, "op4_minhash_near_dedup": OP4, "op7_chat_formatting": OP7}
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda t: ascii(t)::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+OP13 = rf"""
+WITH o AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, t, {_CRC} % 4 AS h FROM o),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.t[1:h.h], []), h.t[h.h + 1:]) AS t FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, len(t) AS total, t, unnest(range(0, len(t) + 1)) AS depth FROM r),
+m AS (SELECT conv_id, total, depth, min(conv_id) OVER (PARTITION BY depth, t[1:depth]) AS node, CASE WHEN depth > 0 THEN len(regexp_extract_all(t[depth].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words FROM p),
+n AS (SELECT depth, node, count(*) AS n_convs, any_value(words) AS words, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (total = depth), '') AS ends FROM m GROUP BY depth, node),
+k AS (SELECT n.*, m.node AS parent FROM n LEFT JOIN m ON m.conv_id = n.node AND m.depth = n.depth - 1),
+c AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS kids FROM k WHERE depth > 0 GROUP BY ALL),
+l AS (SELECT k.*, coalesce(c.kids, 0) AS kids FROM k LEFT JOIN c ON c.depth = k.depth AND c.node = k.node),
+s AS (SELECT a.depth, a.node, sum(CASE WHEN l.kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((l.n_convs - 1) * l.words) AS saved FROM l JOIN m a ON a.conv_id = l.node AND a.depth <= l.depth GROUP BY a.depth, a.node)
+SELECT l.node AS conv_id, l.depth, l.parent AS parent_conv_id, l.n_convs, l.kids AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(l.ends) AS ends_sha256 FROM l JOIN s ON s.depth = l.depth AND s.node = l.node
+"""
+
+ORACLES = {"op13_conversation_trie": OP13, "op11_source_divergence": OP11, "op4_minhash_near_dedup": OP4, "op7_chat_formatting": OP7}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cindersift.llm import bpe, chat, decontaminate, divergence, licences, lines, near, neighbours, oracles, prefixes, private, quality, urls
+from cindersift.llm import bpe, chat, decontaminate, divergence, licences, lines, near, neighbours, oracles, prefixes, private, quality, secrets, urls
 from cindersift.llm.batches import bounded
 
 
@@ -84,10 +84,15 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and positions of secrets in every document."""
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of rebuilt conversations, with its subtree's counts."""
     return prefixes.trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_private_data, op3_line_dedup, op4_minhash_near_dedup, op5_quality_classifier, op6_license_scan, op7_chat_formatting, op8_url_filters, op9_decontamination, op10_byte_bpe, op11_source_divergence, op13_conversation_trie)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_private_data, op3_line_dedup, op4_minhash_near_dedup, op5_quality_classifier, op6_license_scan, op7_chat_formatting, op8_url_filters, op9_decontamination, op10_byte_bpe, op11_source_divergence, op12_secret_scan, op13_conversation_trie)}
 ORACLES = oracles.ORACLES

@@ -16,10 +16,16 @@ HARMLESS_TEXTS = ("aaaaaaaaaaaaaaaa", "0000000000000000", "1111111111111111", "#
 HEX_BITS, OTHER_BITS = 3.7, 5.0
 
 
-def lines(files: DataFrame, content: str = "content") -> DataFrame:
-    """One row per line, numbered from 1; a last line break opens no further line, null and empty contents have none."""
+def lines(files: DataFrame, content: str = "content", *, whole: Column | None = None) -> DataFrame:
+    """One row per line, numbered from 1; a last line break opens no further line, null and empty contents have none.
+
+    Files for which ``whole`` holds also give their whole content, as line 0: so one pass serves rules on lines and on files.
+    """
     parts = F.split(content, LINE_BREAK, -1)
     parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    if whole is not None:
+        all_ = F.concat(F.array(F.when(whole, F.col(content))), F.coalesce(parts, F.array().cast("array<string>")))
+        return files.select(*[c for c in files.columns if c != content], F.posexplode(all_).alias("line", "code")).where("code is not null")
     return files.select(*[c for c in files.columns if c != content], F.posexplode(parts).alias("line", "code")).withColumn("line", F.col("line") + 1)
 
 

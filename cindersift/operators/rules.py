@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cindersift.functions.text import COMMENT_STARTS, is_comment
 from cindersift.schema import EXPLOITABILITY
+from cindersift.storage import written
 
 #: Alternatives that a rule may need, beyond which its pattern is tried at once.
 ALTERNATIVES = 12
@@ -106,12 +107,14 @@ def needed(pattern: str) -> tuple[str, ...]:
     return tuple(sorted(found)) if found and min(map(len, found)) >= 2 else ()
 
 
-def all_matches(line_rows: DataFrame, packs: Sequence[tuple[Column | None, Sequence[Rule], tuple[str, ...]]]) -> DataFrame:
-    """Every match of a rule of (which rows, rules, comment starts) on a line that is no comment to the pack, in one pass.
+Packs = Sequence[tuple[Column | None, Sequence[Rule], tuple[str, ...]]]
 
-    Adds the rule's values, the matched text, and a confidence from the match's length where the pack has none.
+
+def marked(line_rows: DataFrame, packs: Packs) -> DataFrame:
+    """Adds ``hits``: the numbers of the rules of (which rows, rules, comment starts) that a line matches, null without any, in one pass.
+
+    A rule doesn't look at lines that are comments to its pack.
     """
-    rules = [r for _, own, _ in packs for r in own]
     starts = list(dict.fromkeys(s for _, _, s in packs if s))
     # What every rule looks at comes out of a generator: an expression would be worked out again for each rule.
     seen = [F.lower("code").alias("__low")] + [is_comment(F.col("code"), s).alias(f"__c{i}") for i, s in enumerate(starts)]
@@ -126,22 +129,33 @@ def all_matches(line_rows: DataFrame, packs: Sequence[tuple[Column | None, Seque
             words = [F.contains("__low", F.lit(w)) for w in needed(r.pattern)]
             there = pack & reduce(lambda a, b: a | b, words) if words else pack
             hits.append(F.when(there & F.rlike("code", F.lit(r.pattern)), F.lit(str(number))))
-    values = [
-        {"rule_id": r.rule_id, "severity": r.severity, "issue": r.issue, "cwe_id": r.cwe, "pattern": r.pattern, "exploitability": r.exploitability if r.exploitability is not None else EXPLOITABILITY[r.severity], "blast_radius": r.blast if r.blast is not None else blast_radius(r.rule_id), "own": r.confidence}
-        for r in rules
-    ]
-    # One literal, whatever the number of rules.
-    table = F.from_json(F.lit(json.dumps(values)), "array<struct<rule_id:string,severity:string,issue:string,cwe_id:string,pattern:string,exploitability:double,blast_radius:int,own:double>>")
     # Numbers joined as text, a group of rules at a time, each group out of a generator of its own: all of it is generated
     # code in methods small enough to be compiled, and no filter above makes it work twice.
     names = [f"__h{i}" for i in range(0, len(hits), GROUP)]
     for i, name in zip(range(0, len(hits), GROUP), names):
         rows = rows.select("*", F.inline(F.array(F.struct(F.nullif(F.concat_ws(",", *hits[i : i + GROUP]), F.lit("")).alias(name)))))
-    rows = rows.where(F.coalesce(*names).isNotNull())
-    out = rows.select(*line_rows.columns, F.explode(F.split(F.concat_ws(",", *names), ",")).alias("__n"))
+    return rows.select(*line_rows.columns, F.when(F.coalesce(*names).isNotNull(), F.concat_ws(",", *names)).alias("hits"))
+
+
+def told(rows: DataFrame, packs: Packs) -> DataFrame:
+    """A row for each of a line's ``hits``, with the rule's values, the matched text, and a confidence from its length where the pack has none."""
+    values = [
+        {"rule_id": r.rule_id, "severity": r.severity, "issue": r.issue, "cwe_id": r.cwe, "pattern": r.pattern, "exploitability": r.exploitability if r.exploitability is not None else EXPLOITABILITY[r.severity], "blast_radius": r.blast if r.blast is not None else blast_radius(r.rule_id), "own": r.confidence}
+        for _, own, _ in packs
+        for r in own
+    ]
+    # One literal, whatever the number of rules.
+    table = F.from_json(F.lit(json.dumps(values)), "array<struct<rule_id:string,severity:string,issue:string,cwe_id:string,pattern:string,exploitability:double,blast_radius:int,own:double>>")
+    kept = [c for c in rows.columns if c != "hits"]
+    out = rows.select(*kept, F.explode(F.split("hits", ",")).alias("__n"))
     out = out.withColumn("__r", F.element_at(table, F.col("__n").cast("int"))).withColumn("matched", F.coalesce(F.regexp_substr("code", F.col("__r.pattern")), F.lit("")))
     sure = F.coalesce("__r.own", F.round(F.least(F.lit(0.95), 0.6 + 0.005 * F.length("matched")), 2))
-    return out.select(*line_rows.columns, *[F.col(f"__r.{c}").alias(c) for c in ("rule_id", "severity", "issue", "cwe_id")], "matched", F.col("__r.exploitability").alias("exploitability"), F.col("__r.blast_radius").alias("blast_radius"), sure.alias("confidence"))
+    return out.select(*kept, *[F.col(f"__r.{c}").alias(c) for c in ("rule_id", "severity", "issue", "cwe_id")], "matched", F.col("__r.exploitability").alias("exploitability"), F.col("__r.blast_radius").alias("blast_radius"), sure.alias("confidence"))
+
+
+def all_matches(line_rows: DataFrame, packs: Packs) -> DataFrame:
+    """Every match of a rule of (which rows, rules, comment starts) on a line that is no comment to the pack, in one pass."""
+    return told(marked(line_rows, packs).where("hits is not null"), packs)
 
 
 def matches(line_rows: DataFrame, rules: Sequence[Rule], *, starts: tuple[str, ...] = COMMENT_STARTS, rule_filter: str | None = None) -> DataFrame:
@@ -150,10 +164,14 @@ def matches(line_rows: DataFrame, rules: Sequence[Rule], *, starts: tuple[str, .
 
 
 def first_matches(hits: DataFrame, *keys: str) -> DataFrame:
-    """The first matching line of each file and rule."""
-    rest = [c for c in hits.columns if c not in {*keys, "rule_id", "line"}]
-    first = hits.groupBy(*keys, "rule_id").agg(F.min(F.struct("line", *rest)).alias("m"))
-    return first.select(*keys, "rule_id", "m.*")
+    """The first matching line of each file and rule: least line numbers, then the rows they belong to.
+
+    Matches are written once, as they are few beside the lines; only numbers are aggregated, so nothing is sorted to group it.
+    A file given twice gives its matches twice.
+    """
+    hits = written(hits, "hits")
+    first = hits.groupBy(*keys, "rule_id").agg(F.min("line").alias("line"))
+    return hits.join(first, [*keys, "rule_id", "line"], "left_semi")
 
 
 def whole_matches(files: DataFrame, rules: Sequence[Rule] = CONTAINER, content: str = "content") -> DataFrame:

@@ -4,33 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cindersift.functions.text import COMMENT_STARTS, entropy_secrets, lines
-from cindersift.operators import code, deps, findings as P, packs, rules, surface
+from cindersift.functions.text import CANDIDATE, COMMENT_STARTS, SECRET_WORD, entropy_secrets, lines
+from cindersift.operators import code, deps, findings as P, packs, rules, surface, symbols
 from cindersift.schema import canonical
 from cindersift.storage import written
 
 
-COLUMNS = ("repo", "file", "line", "rule_id", "severity", "issue", "matched", "exploitability", "blast_radius", "confidence", "cwe_id")
+COLUMNS = ("repo", "file", "line", "rule_id", "severity", "issue", "code_snippet", "column", "exploitability", "blast_radius", "confidence", "cwe_id")
+#: Characters of a line that a finding keeps.
+SNIPPET = 300
 
 
-def detected(files: DataFrame) -> DataFrame:
-    """Findings of all six layers and the legacy packs, in the canonical columns, with scan_id and seq.
+def _packs() -> list:
+    line = F.col("line") > 0
+    return [(line if which is None else line & which, own, starts) for which, own, starts in [(None, surface.SURFACE, COMMENT_STARTS), *packs.routes(), surface.legacy_route()]]
+
+
+def sifted(files: DataFrame) -> DataFrame:
+    """What the layers read of files (repo, file, content), written in the one pass over the texts.
 
-    All packs of line rules share one pass over the lines; layers that look at whole files read only the files they are for.
+    These are lines that a rule or the entropy scan may find something in, with the numbers of their rules; and, as line 0, the
+    whole contents of the files that a layer looks at as such (sources of Python and scripts, manifests, configuration).
     """
     named = files.select("repo", F.col("file").cast("string").alias("file"), "content")
     named = named.withColumn("filename", F.regexp_extract("file", r"([^/]*)$", 1)).withColumn("ext", F.lower(F.regexp_extract("filename", r"^.+(\.[^.]+)$", 1)))
-    rows = lines(packs.probed(named))
-    hits = packs.slow_enough(rules.all_matches(rows, [(None, surface.SURFACE, COMMENT_STARTS), *packs.routes(), surface.legacy_route()]))
-    found = rules.first_matches(hits, "repo", "file").select(*COLUMNS)
+    whole = F.col("ext").isin(".py", *code.SCRIPTS) | F.col("filename").isin(*deps.MANIFESTS) | surface.legacy_file()
+    rows = rules.marked(lines(packs.probed(named), whole=whole), _packs())
+    quoted = F.rlike("code", F.lit(CANDIDATE)) & F.rlike("code", F.lit(SECRET_WORD))
+    return written(rows.where((F.col("line") == 0) | F.col("hits").isNotNull() | quoted), "sifted")
+
+
+def detected(files: DataFrame) -> DataFrame:
+    """Findings of all six layers and the legacy packs, in the canonical columns, with scan_id and seq."""
+    rows = sifted(files)
+    line_rows, contents = rows.where("line > 0"), rows.where("line = 0").select("repo", "file", "filename", "ext", F.col("code").alias("content"))
+    hits = packs.slow_enough(rules.told(line_rows.where("hits is not null"), _packs()))
+    hits = hits.withColumns({"code_snippet": F.left(F.trim(F.regexp_replace("code", r"^\s+|\s+$", "")), F.lit(SNIPPET)), "column": F.greatest(F.instr("code", F.col("matched")) - 1, F.lit(0))})
+    found = rules.first_matches(hits.select(*COLUMNS), "repo", "file")
     found = found.withColumn("layer", F.when(F.startswith("rule_id", F.lit("native/")), 1).otherwise(F.substring("rule_id", 2, 1).try_cast("int")))
-    secret = entropy_secrets(rows.select("repo", "file", "line", "code")).select("repo", "file", "line", F.lit("l3/high-entropy-secret").alias("rule_id"), F.lit("high").alias("severity"), F.lit("High-entropy string").alias("issue"), F.lit(None).cast("string").alias("cwe_id"), F.col("candidate").alias("matched"), F.lit(0.70).alias("exploitability"), F.lit(7).alias("blast_radius"), "confidence")
-    whole = surface.legacy_files(named).withColumns({"confidence": F.lit(0.8), "exploitability": F.lit(0.5), "blast_radius": F.lit(1), "cwe_id": F.lit(None).cast("string"), "layer": F.lit(6)})
-    trees = code.findings(named.where("ext = '.py'"), legacy=None)
-    scripts = code.script_findings(named.where(F.col("ext").isin(*code.SCRIPTS)))
-    packages = deps.findings(named)
-    found = P.union_layers([found, secret.withColumn("layer", F.lit(3)), whole, trees, scripts, packages])
-    found = canonical(P.resolved_cwe(found.withColumn("code_snippet", F.substring("matched", 1, 300)).drop("matched")))
+    secret = entropy_secrets(line_rows.select("repo", "file", "line", "code")).select("repo", "file", "line", F.lit("l3/high-entropy-secret").alias("rule_id"), F.lit("high").alias("severity"), F.lit("High-entropy string").alias("issue"), F.col("candidate").alias("matched"), F.lit(0.70).alias("exploitability"), F.lit(7).alias("blast_radius"), "confidence")
+    whole = surface.legacy_files(contents).withColumns({"confidence": F.lit(0.8), "exploitability": F.lit(0.5), "blast_radius": F.lit(1), "layer": F.lit(6)})
+    sources = contents.where("ext = '.py'")
+    trees = code.findings(sources, legacy=None)
+    scripts = code.script_findings(contents.where(F.col("ext").isin(*code.SCRIPTS)))
+    packages = deps.findings(contents)
+    rest = P.union_layers([secret.withColumn("layer", F.lit(3)), whole, trees, scripts, packages]).withColumn("code_snippet", F.left("matched", F.lit(SNIPPET))).drop("matched")
+    layers = [found, rest]
+    if not sources.isEmpty():  # the walk's rounds are jobs of their own; without sources there is nothing to walk
+        layers.append(symbols.findings(sources).drop("depth", "handler"))
+    found = canonical(P.resolved_cwe(P.union_layers(layers)))
     return found.withColumn("scan_id", F.col("repo")).withColumn("seq", F.xxhash64("file", "line", "rule_id"))
 
 

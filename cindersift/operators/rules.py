@@ -164,14 +164,15 @@ def matches(line_rows: DataFrame, rules: Sequence[Rule], *, starts: tuple[str, .
 
 
 def first_matches(hits: DataFrame, *keys: str) -> DataFrame:
-    """The first matching line of each file and rule: least line numbers, then the rows they belong to.
+    """The first matching line of each file and rule.
 
-    Matches are written once, as they are few beside the lines; only numbers are aggregated, so nothing is sorted to group it.
-    A file given twice gives its matches twice.
+    Matches are written once, numbered, as they are few beside the lines. The least (line, number) of each group is one decimal, which
+    hash aggregation takes, so nothing is sorted to group it; the rows themselves come back by their number.
     """
-    hits = written(hits, "hits")
-    first = hits.groupBy(*keys, "rule_id").agg(F.min("line").alias("line"))
-    return hits.join(first, [*keys, "rule_id", "line"], "left_semi")
+    hits = written(hits.withColumn("__row", F.monotonically_increasing_id()), "hits")
+    place = F.col("line").cast("decimal(38,0)") * (1 << 62) + F.col("__row")
+    first = hits.groupBy(*keys, "rule_id").agg(F.min(place).alias("p")).select((F.col("p") % (1 << 62)).cast("long").alias("__row"))
+    return hits.join(first, "__row", "left_semi").drop("__row")
 
 
 def whole_matches(files: DataFrame, rules: Sequence[Rule] = CONTAINER, content: str = "content") -> DataFrame:

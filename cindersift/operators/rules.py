@@ -1,18 +1,19 @@
 """Rule packs: tables of patterns compiled into one projection over lines.
 
-A pack is data. Each pattern becomes a literal behind the texts that any match of it must hold, which are read off the
-pattern and are far cheaper to look for; only the numbers of the rules that hit are exploded, so all packs share one
-pass over the lines. The first line of each file and rule is a grouped minimum, combined before its shuffle.
+A pack is data. Each pattern stands behind the texts that any match of it must hold, which are read off the pattern. All such
+texts of all packs are one index, which a batch of lines meets once; only patterns whose texts a line holds are tried, and only
+the numbers of the rules that hit are exploded. The first line of each file and rule is a grouped minimum.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
-from functools import cache, reduce
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cindersift.functions.text import COMMENT_STARTS, is_comment
@@ -104,36 +105,60 @@ def needed(pattern: str) -> tuple[str, ...]:
         found = _needed(re._parser.parse(pattern))
     except re.error:  # only other engines know what it says
         found = None
-    return tuple(sorted(found)) if found and min(map(len, found)) >= 2 else ()
+    # A single letter tells too little, a single mark may do.
+    return tuple(sorted(found)) if found and all(len(w) >= 2 or not w.isalnum() and not w.isspace() for w in found) else ()
+
+
+def candidates(code: Column, rules: Sequence[Rule]) -> Column:
+    """Numbers (from 1) of the rules whose needed texts a line holds, ASCII letters of either case; none for a null line.
+
+    A batch of lines is searched for each text as one stretch of bytes; only texts that some line of it holds are looked for in
+    each line. So a line costs the few texts that occur around it, not all that any rule needs.
+    """
+    words = {w: [n for n, r in enumerate(rules, 1) if w in needed(r.pattern)] for r in rules for w in needed(r.pattern)}
+    known = [(w.encode(), numbers) for w, numbers in sorted(words.items())]
+
+    def found(lines: pa.Array) -> pa.Array:
+        rows = lines.cast(pa.large_binary()).to_pylist()
+        low = [b"" if r is None else r.lower() for r in rows]
+        whole = b"\n".join(low)
+        some = [(w, numbers) for w, numbers in known if w in whole]
+        return pa.array([sorted({n for w, numbers in some if w in r for n in numbers}) for r in low], pa.list_(pa.int32()))
+
+    return F.arrow_udf(found, "array<int>")(code)
 
 
 Packs = Sequence[tuple[Column | None, Sequence[Rule], tuple[str, ...]]]
 
 
-def marked(line_rows: DataFrame, packs: Packs) -> DataFrame:
+def marked(line_rows: DataFrame, packs: Packs, *, when: Column | None = None) -> DataFrame:
     """Adds ``hits``: the numbers of the rules of (which rows, rules, comment starts) that a line matches, null without any, in one pass.
 
-    A rule doesn't look at lines that are comments to its pack.
+    A rule doesn't look at lines that are comments to its pack, and no rule at rows for which ``when`` doesn't hold.
     """
     starts = list(dict.fromkeys(s for _, _, s in packs if s))
+    every = [r for _, own, _ in packs for r in own]
+    rows = line_rows.withColumn("__of", candidates(F.col("code") if when is None else F.when(when, F.col("code")), every))
     # What every rule looks at comes out of a generator: an expression would be worked out again for each rule.
-    seen = [F.lower("code").alias("__low")] + [is_comment(F.col("code"), s).alias(f"__c{i}") for i, s in enumerate(starts)]
-    rows = line_rows.select("*", F.inline(F.array(F.struct(*seen))))
+    for i, s in enumerate(starts):
+        rows = rows.select("*", F.inline(F.array(F.struct(is_comment(F.col("code"), s).alias(f"__c{i}")))))
     hits, number = [], 0
+    always = any(not needed(r.pattern) for r in every)
     for which, own, begins in packs:
         pack = F.lit(True) if which is None else which
+        pack = pack if when is None else when & pack
         if begins:
             pack = pack & ~F.col(f"__c{starts.index(begins)}")
         for r in own:
             number += 1
-            words = [F.contains("__low", F.lit(w)) for w in needed(r.pattern)]
-            there = pack & reduce(lambda a, b: a | b, words) if words else pack
+            there = pack & F.array_contains("__of", number) if needed(r.pattern) else pack
             hits.append(F.when(there & F.rlike("code", F.lit(r.pattern)), F.lit(str(number))))
     # Numbers joined as text, a group of rules at a time, each group out of a generator of its own: all of it is generated
     # code in methods small enough to be compiled, and no filter above makes it work twice.
     names = [f"__h{i}" for i in range(0, len(hits), GROUP)]
     for i, name in zip(range(0, len(hits), GROUP), names):
-        rows = rows.select("*", F.inline(F.array(F.struct(F.nullif(F.concat_ws(",", *hits[i : i + GROUP]), F.lit("")).alias(name)))))
+        group = F.nullif(F.concat_ws(",", *hits[i : i + GROUP]), F.lit(""))
+        rows = rows.select("*", F.inline(F.array(F.struct((group if always else F.when(F.size("__of") > 0, group)).alias(name)))))
     return rows.select(*line_rows.columns, F.when(F.coalesce(*names).isNotNull(), F.concat_ws(",", *names)).alias("hits"))
 
 

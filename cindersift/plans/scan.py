@@ -16,8 +16,7 @@ SNIPPET = 300
 
 
 def _packs() -> list:
-    line = F.col("line") > 0
-    return [(line if which is None else line & which, own, starts) for which, own, starts in [(None, surface.SURFACE, COMMENT_STARTS), *packs.routes(), surface.legacy_route()]]
+    return [(None, surface.SURFACE, COMMENT_STARTS), *packs.routes(), surface.legacy_route()]
 
 
 def sifted(files: DataFrame) -> DataFrame:
@@ -29,7 +28,7 @@ def sifted(files: DataFrame) -> DataFrame:
     named = files.select("repo", F.col("file").cast("string").alias("file"), "content")
     named = named.withColumn("filename", F.regexp_extract("file", r"([^/]*)$", 1)).withColumn("ext", F.lower(F.regexp_extract("filename", r"^.+(\.[^.]+)$", 1)))
     whole = F.col("ext").isin(".py", *code.SCRIPTS) | F.col("filename").isin(*deps.MANIFESTS) | surface.legacy_file()
-    rows = rules.marked(lines(packs.probed(named), whole=whole), _packs())
+    rows = rules.marked(lines(packs.probed(named), whole=whole), _packs(), when=F.col("line") > 0)
     quoted = F.rlike("code", F.lit(CANDIDATE)) & F.rlike("code", F.lit(SECRET_WORD))
     return written(rows.where((F.col("line") == 0) | F.col("hits").isNotNull() | quoted), "sifted")
 

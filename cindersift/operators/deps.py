@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from cindersift.schema import SEVERITIES
 
 # Fixed values. -------------------------------------------------------------------------------------------------------
 POPULAR = (
@@ -33,8 +35,6 @@ ADVISORIES = (
 )
 UNKNOWN_VERSION = "0.0.0"
 MANIFESTS = ("requirements.txt", "package.json", "pyproject.toml", "Pipfile", "go.mod", "Cargo.toml")
-#: Names up to which a table goes to every task.
-SMALL = 10_000
 # ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -63,25 +63,104 @@ def advisories(spark) -> DataFrame:
 def vulnerable(packages: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """Packages with each advisory that their version falls under; unknown versions are left out.
 
-    The table joins on the name, so a large one shuffles on it; the constant one of under a hundred rows is broadcast.
+    A table (package, op, bound, severity, cve_id) of any size meets each distinct name and version once, and the rows that have
+    it come back by an equality; the constant table of under a hundred rows is broadcast to the rows themselves.
     """
     known = packages.where(F.col("version") != UNKNOWN_VERSION)
-    joined = known.join(F.broadcast(advisories(packages.sparkSession)) if table is None else table, F.lower("name") == F.col("package"))
-    return joined.where(satisfies(version_parts(F.col("version")), F.col("op"), F.col("bound"))).drop("op", "bound", "package")
+    if table is None:
+        joined = known.join(F.broadcast(advisories(packages.sparkSession)), F.lower("name") == F.col("package"))
+        return joined.where(satisfies(version_parts(F.col("version")), F.col("op"), F.col("bound"))).drop("op", "bound", "package")
+    versions = known.select(F.lower("name").alias("package"), F.col("version").alias("__v")).distinct()
+    under = versions.join(table, "package").where(satisfies(version_parts(F.col("__v")), F.col("op"), F.col("bound"))).drop("op", "bound")
+    return known.join(under, (F.lower("name") == F.col("package")) & (F.col("version") == F.col("__v"))).drop("package", "__v")
+
+
+OPERATORS = ("<", "<=", ">", ">=", "==", "!=")
+
+
+def advisory_counts(packages: DataFrame, table: DataFrame) -> DataFrame:
+    """D1, D3 for tables of thousands of bounds: (name, version, n, worst) of distinct names and versions under an advisory at all.
+
+    No version meets a bound. A package's versions and bounds stand in one sorted run; running counts of bounds by operator and
+    severity tell how many lie below, at and above each version, and these are the answers of all six operators.
+    """
+    points = packages.where(F.col("version") != UNKNOWN_VERSION).select(F.lower("name").alias("name"), "version").distinct().withColumn("parts", version_parts(F.col("version")))
+    bounds = table.where("package is not null and bound is not null").groupBy(F.col("package").alias("name"), F.col("bound").alias("parts"))
+    kinds = [(o, s) for o in OPERATORS for s in SEVERITIES]
+    at = bounds.agg(*[F.count(F.when((F.col("op") == o) & (F.col("severity") == s), 1)).alias(f"{OPERATORS.index(o)}{s}") for o, s in kinds])
+    here = points.select("name", "parts").distinct().join(at, ["name", "parts"], "full_outer").na.fill(0, [f"{OPERATORS.index(o)}{s}" for o, s in kinds])
+    run = Window.partitionBy("name").orderBy("parts")
+    below, all_ = run.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("name")
+    found = {}
+    for s in SEVERITIES:
+        own = lambda o: F.col(f"{OPERATORS.index(o)}{s}")  # noqa: E731, B023
+        before = lambda o: F.coalesce(F.sum(own(o)).over(below), F.lit(0))  # noqa: E731, B023
+        total = lambda o: F.sum(own(o)).over(all_)  # noqa: E731, B023
+        found[s] = (total("<") - before("<") - own("<")) + (total("<=") - before("<=")) + before(">") + (before(">=") + own(">=")) + own("==") + (total("!=") - own("!="))
+    counted = here.select("name", "parts", *[c.alias(s) for s, c in found.items()])
+    n = sum((F.col(s) for s in SEVERITIES[1:]), F.col(SEVERITIES[0]))
+    worst = F.coalesce(*[F.when(F.col(s) > 0, F.lit(s)) for s in SEVERITIES])
+    return points.join(counted, ["name", "parts"]).select("name", "version", n.alias("n"), worst.alias("worst")).where("n > 0")
+
+
+#: Characters up to which a name's deletions are indexed; longer names are indexed by pieces.
+LONG = 24
+
+
+def _shortened(name: Column, distance: int) -> Column:
+    """All texts that a name becomes by taking out up to ``distance`` characters, itself included."""
+
+    def less(x: Column) -> Column:
+        places = F.sequence(F.lit(1), F.length(x))
+        return F.when(F.length(x) > 0, F.transform(places, lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))).otherwise(F.array().cast("array<string>"))
+
+    every = last = F.array(name)
+    for _ in range(distance):
+        last = F.array_distinct(F.flatten(F.transform(last, less)))
+        every = F.array_union(every, last)
+    return every
+
+
+def _pieces(name: Column, length: Column, distance: int, shifts: bool) -> Column:
+    """(length, number, text) of the ``distance + 1`` pieces of a name of that length; with shifts, of all places that they can be met at."""
+    k = distance + 1
+    moves = range(-distance, distance + 1) if shifts else (0,)
+    cut = lambda i: F.floor(length * i / k).cast("int")
+    return F.array_distinct(F.flatten(F.array(*[F.array(*[F.struct(length.alias("length"), F.lit(i).alias("number"), F.substring(name, cut(i) + 1 + m, cut(i + 1) - cut(i)).alias("piece")) for m in moves]) for i in range(k)])))
+
+
+def name_candidates(names: DataFrame, popular: DataFrame, distance: int = 2) -> DataFrame:
+    """(name, popular): all pairs within an edit distance, and few others, by index instead of all with all.
+
+    Names within the distance share a text that both become by taking out so many characters at most, so short names meet there,
+    in an equality. A long name has too many such texts; of the ``distance + 1`` pieces of a long popular name one is
+    untouched, so it stands in the name, moved by the distance at most. Few pairs that are not near meet either way.
+    """
+    near, table = names.select("name").where("name is not null").distinct(), popular.select("popular").where("popular is not null").distinct()
+    short = near.where(F.length("name") <= LONG + distance).select("name", F.explode(_shortened(F.col("name"), distance)).alias("key"))
+    short = short.join(table.where(F.length("popular") <= LONG).select("popular", F.explode(_shortened(F.col("popular"), distance)).alias("key")), "key").select("name", "popular")
+    lengths = F.explode(F.sequence(F.length("name") - distance, F.length("name") + distance))
+    long = near.where(F.length("name") > LONG - distance).select("name", lengths.alias("m")).where(F.col("m") > LONG).select("name", F.explode(_pieces(F.col("name"), F.col("m"), distance, True)).alias("p"))
+    own = table.where(F.length("popular") > LONG).select("popular", F.explode(_pieces(F.col("popular"), F.length("popular"), distance, False)).alias("p"))
+    long = long.join(own, "p").select("name", "popular")
+    return short.unionByName(long).distinct()
+
+
+def similar_names(names: DataFrame, popular: DataFrame, distance: int = 2) -> DataFrame:
+    """(name, popular, d) of all distinct names and popular names at an edit distance of 1 up to ``distance``."""
+    pairs = name_candidates(names, popular, distance).withColumn("d", F.levenshtein("name", "popular", distance))
+    return pairs.where(F.col("d").between(1, distance))
 
 
-def typosquats(packages: DataFrame, popular: tuple[str, ...] = tuple(POPULAR), distance: int = 2) -> DataFrame:
+def typosquats(packages: DataFrame, popular: tuple[str, ...] | DataFrame = tuple(POPULAR), distance: int = 2) -> DataFrame:
     """Names within the distance of a popular name but not popular themselves, and the nearest, by name on a tie.
 
-    Distinct names meet the popular ones by length class, an equality, instead of all with all. Up to SMALL popular names are broadcast.
+    Popular names may be a table (popular) of any size.
     """
-    spark = packages.sparkSession
-    hint = F.broadcast if len(popular) <= SMALL else (lambda df: df)
+    table = popular if isinstance(popular, DataFrame) else packages.sparkSession.createDataFrame([(p,) for p in popular], "popular string")
     names = packages.select(F.lower("name").alias("name")).where("name is not null").distinct()
-    table = spark.createDataFrame([(p,) for p in popular], "popular string")
-    near = names.join(hint(table.withColumnRenamed("popular", "name")), "name", "left_anti").withColumn("len", F.length("name"))
-    table = table.select("popular", F.explode(F.sequence(F.length("popular") - distance, F.length("popular") + distance)).alias("len"))
-    pairs = near.join(hint(table), "len").withColumn("d", F.levenshtein("name", "popular", distance)).where("d between 1 and 2")
+    near = names.join(table.select(F.col("popular").alias("name")).distinct(), "name", "left_anti")
+    pairs = similar_names(near, table, distance)
     return pairs.groupBy("name").agg(F.min(F.struct("d", "popular")).alias("b")).select("name", F.col("b.popular").alias("popular"), F.col("b.d").alias("distance"))
 
 
@@ -164,16 +243,18 @@ PACKAGE_LICENCES = {"gpl": "GPL-3.0", "python-gflags": "BSD-3", "gnureadline": "
 
 
 def legacy_vulnerable(packages: DataFrame) -> DataFrame:
-    """Packages below the legacy scanner's safe version; unknown versions are left out."""
-    bound = F.coalesce(*[F.when(F.lower("name") == n, F.array(*[F.lit(int(x)) for x in v.split(".")])) for n, v, _ in LEGACY_ADVISORIES])
-    severity = F.coalesce(*[F.when(F.lower("name") == n, F.lit(s)) for n, _, s in LEGACY_ADVISORIES])
-    found = packages.where(F.col("version") != UNKNOWN_VERSION).withColumns({"bound": bound, "severity": severity})
-    return found.where(F.col("bound").isNotNull() & (version_parts(F.col("version")) < F.col("bound"))).drop("bound")
+    """Packages that the legacy scanner lists, whatever their version; its requirements need one, which is told and not compared."""
+    name, manifest = F.lower("name"), F.col("manifest")
+    severity = F.coalesce(*[F.when(name == n, F.lit(s)) for n, _, s in LEGACY_ADVISORIES])
+    affected = F.coalesce(*[F.when(name == n, F.lit(f"< {v}")) for n, v, _ in LEGACY_ADVISORIES])
+    listed = (manifest == "package.json") | (manifest.isin("requirements.txt", "Pipfile") & (F.col("version") != UNKNOWN_VERSION))
+    return packages.where(listed).withColumns({"severity": severity, "affected": affected}).where("severity is not null")
 
 
 def legacy_lookalikes(packages: DataFrame) -> DataFrame:
-    """Packages that the legacy scanner knows as look-alikes, and of what."""
-    popular = F.coalesce(*[F.when(F.lower("name") == k, F.lit(v)) for k, v in LEGACY_LOOKALIKES.items()])
+    """Packages that the legacy scanner knows as look-alikes, and of what; an underscore counts as a hyphen."""
+    name = F.replace(F.lower("name"), F.lit("_"), F.lit("-"))
+    popular = F.coalesce(*[F.when(name == k, F.lit(v)) for k, v in LEGACY_LOOKALIKES.items()])
     return packages.withColumn("popular", popular).where("popular is not null")
 
 

@@ -125,17 +125,54 @@ def toml_parse(spark, sf_dir):
     return _manifests(spark, sf_dir, "pyproject.toml", "concat('[tool.poetry.dependencies]\\n', name, ' = \"', CASE WHEN version = '0.0.0' THEN '*' ELSE concat('^', version) END, '\"\\n')")
 
 
-_BOUND = "CASE lower(name) " + " ".join(f"WHEN '{n}' THEN [{', '.join(v.split('.'))}]" for n, v, _ in deps.LEGACY_ADVISORIES) + " END"
+@query(PACK + f"SELECT package_id, {_lookup('lower(name)', {n: s for n, _, s in deps.LEGACY_ADVISORIES}, '')} AS severity, {_lookup('lower(name)', {n: f'< {v}' for n, v, _ in deps.LEGACY_ADVISORIES}, '')} AS affected FROM packages WHERE lower(name) IN (" + ", ".join(f"'{n}'" for n, *_ in deps.LEGACY_ADVISORIES) + ") AND (manifest = 'package.json' OR (manifest IN ('requirements.txt', 'Pipfile') AND version <> '0.0.0'))")
+def legacy_vulnerable(spark, sf_dir):
+    return deps.legacy_vulnerable(load(spark, sf_dir, "packages")).select("package_id", "severity", "affected")
 
 
-@query(PACK + f"SELECT package_id, {_lookup('lower(name)', {n: s for n, _, s in deps.LEGACY_ADVISORIES}, '')} AS severity FROM packages WHERE version <> '0.0.0' AND [CAST(x AS INT) FOR x IN string_split(version, '.')] < {_BOUND}")
-def legacy_vulnerable(spark, sf_dir):
-    return deps.legacy_vulnerable(load(spark, sf_dir, "packages")).select("package_id", "severity")
+#: Names as they stand in manifests, some with an underscore for a hyphen.
+ODD_NAMES = ("scikit_lern", "Scikit-Lern", "expresjs", "numppy", "pandas", "scikit_learn", "jsonwebtokn", "cors2")
 
 
-@query(PACK + "SELECT package_id, popular FROM (SELECT package_id, CASE lower(name) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in deps.LEGACY_LOOKALIKES.items()) + " END AS popular FROM packages) WHERE popular IS NOT NULL")
+@query(PACK + f", n AS (SELECT package_id, {_case(f'package_id % {len(ODD_NAMES)}', ODD_NAMES)} AS name FROM packages) SELECT package_id, popular FROM (SELECT package_id, CASE replace(lower(name), '_', '-') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in deps.LEGACY_LOOKALIKES.items()) + " END AS popular FROM n) WHERE popular IS NOT NULL")
 def legacy_lookalikes(spark, sf_dir):
-    return deps.legacy_lookalikes(load(spark, sf_dir, "packages")).select("package_id", "popular")
+    names = F.element_at(F.array(*map(F.lit, ODD_NAMES)), (F.col("package_id") % len(ODD_NAMES) + 1).cast("int"))
+    return deps.legacy_lookalikes(load(spark, sf_dir, "packages").withColumn("name", names)).select("package_id", "popular")
+
+
+_NAME = "concat(p_name, '-', p_brand, '#', p_type)"
+_OTHER = "CASE WHEN p_partkey % 3 = 0 THEN concat(substring({0}, 1, 5), substring({0}, 7)) WHEN p_partkey % 3 = 1 THEN concat(substring({0}, 1, 9), 'x', substring({0}, 9), 'y') ELSE concat(substring({0}, 1, 3), 'qqq', substring({0}, 4)) END".format(_NAME)
+
+
+@query(f"WITH p AS (SELECT DISTINCT lower({_NAME}) AS popular FROM part), n AS (SELECT DISTINCT lower({_OTHER}) AS name FROM part), d AS (SELECT name, popular, levenshtein(name, popular) AS d FROM n JOIN p ON abs(length(name) - length(popular)) <= 2) SELECT name, popular, d::INT AS d FROM d WHERE d BETWEEN 1 AND 2")
+def similar_names(spark, sf_dir):
+    """D5 with a popular list that grows with its table: all pairs at distance 1 or 2."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    names, popular = part.selectExpr(f"lower({_OTHER}) AS name"), part.selectExpr(f"lower({_NAME}) AS popular")
+    return deps.similar_names(names, popular)
+
+
+#: Advisories made of the rows of ``part``, a third of them of one package.
+_BOUNDS = f"SELECT CASE WHEN p_partkey % 3 = 0 THEN 'lodash' ELSE {_case('p_partkey % 8', ('django', 'flask', 'requests', 'lodash', 'axios', 'express', 'vm2', 'semver'))} END AS package, {_case('p_partkey % 6', deps.OPERATORS)} AS op, CASE WHEN p_size % 2 = 0 THEN concat(CAST(p_size % 7 AS VARCHAR), '.', CAST(p_partkey % 20 AS VARCHAR), '.', CAST(p_partkey % 5 AS VARCHAR)) ELSE concat(CAST(p_size % 7 AS VARCHAR), '.', CAST(p_partkey % 20 AS VARCHAR)) END AS bound, {_case('p_size % 4', ('low', 'medium', 'high', 'critical'))} AS severity, concat('CVE-', CAST(p_partkey AS VARCHAR)) AS cve_id FROM part"
+_PARTS = "[CAST(x AS INT) FOR x IN string_split({}, '.')]"
+_UNDER = " OR ".join(f"(op = '{o}' AND {_PARTS.format('version')} {'=' if o == '==' else '<>' if o == '!=' else o} {_PARTS.format('bound')})" for o in deps.OPERATORS)
+
+
+def _advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_spark(_BOUNDS).replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    return rows.withColumn("bound", deps.version_parts(F.col("bound")))
+
+
+@query(PACK + f", a AS ({_BOUNDS}), v AS (SELECT DISTINCT lower(name) AS name, version FROM packages WHERE version <> '0.0.0') SELECT name, version, count(*) AS n, ['low', 'medium', 'high', 'critical'][max(list_position(['low', 'medium', 'high', 'critical'], severity))] AS worst FROM v JOIN a ON name = package AND ({_UNDER}) GROUP BY ALL")
+def advisory_counts(spark, sf_dir):
+    """D1 with a table of bounds that grows, all operators of D3: how many advisories a version falls under, and the worst."""
+    return deps.advisory_counts(load(spark, sf_dir, "packages"), _advisories(spark, sf_dir))
+
+
+@query(PACK + f", a AS ({_BOUNDS}) SELECT package_id, name, version, severity, cve_id FROM packages JOIN a ON lower(name) = package AND ({_UNDER}) WHERE version <> '0.0.0'")
+def advisory_matches(spark, sf_dir):
+    """D1 with the same table: every package with every advisory that it falls under."""
+    return deps.vulnerable(load(spark, sf_dir, "packages"), _advisories(spark, sf_dir)).select("package_id", "name", "version", "severity", "cve_id")
 
 
 @query(PACK + ", n AS (SELECT package_id, " + _case(f"package_id % {len(deps.PACKAGE_LICENCES) + 1}", [*deps.PACKAGE_LICENCES, "other"]) + " AS name FROM packages) SELECT package_id, name FROM n WHERE name IN (" + ", ".join(f"'{k}'" for k, v in deps.PACKAGE_LICENCES.items() if v in deps.COPYLEFT) + ")")
@@ -247,6 +284,20 @@ def snippet_matches(spark, sf_dir):
     return rules.matches(rows, rules.SNIPPET, starts=()).groupBy("severity", "issue").agg(F.count("*").alias("n"))
 
 
+# Addresses -----------------------------------------------------------------------------------------------------------
+#: Forms of a repository's address, and which of owner and name each gives; none where it is no such address.
+ADDRESSES = (("https://github.com/{o}/{n}", True), ("https://github.com/{o}/{n}.git", True), ("git@github.com:{o}/{n}.git", True), ("  https://github.com/{o}/{n}/tree/main// ", True), ("https://gitlab.com/{o}/{n}", False), ("https://github.com/{o}", False), ("{o}/{n}", False), ("", False))
+_OWNER, _REPO = "concat('own-', CAST(c_nationkey AS VARCHAR))", "replace(c_name, '#', '.')"
+
+
+@query("SELECT c_custkey AS repo_id, CASE WHEN c_custkey % 8 < 4 THEN " + _OWNER + " END AS owner, CASE WHEN c_custkey % 8 < 4 THEN " + _REPO + " END AS name FROM customer")
+def repository_addresses(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS repo_id", _spark(_OWNER) + " AS o", _spark(_REPO) + " AS n")
+    form = F.element_at(F.array(*[F.lit(a) for a, _ in ADDRESSES]), (F.col("repo_id") % len(ADDRESSES) + 1).cast("int"))
+    url = F.replace(F.replace(form, F.lit("{o}"), F.col("o")), F.lit("{n}"), F.col("n"))
+    return rows.select("repo_id", scanners.repository_address(url).alias("a")).select("repo_id", "a.owner", "a.name")
+
+
 # Texts ---------------------------------------------------------------------------------------------------------------
 _T = FIND + ", e AS (SELECT *, lower(concat(rule_id, ' ', issue, ' ', description)) AS t FROM findings) "
 

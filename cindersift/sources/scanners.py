@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cindersift.operators.findings import mapped_severity
 from cindersift.schema import canonical
@@ -121,3 +121,18 @@ def repositories(listings: DataFrame, raw: str = "raw") -> DataFrame:
     schema = "array<struct<id:long,name:string,full_name:string,html_url:string,default_branch:string,language:string,private:boolean,updated_at:timestamp>>"
     rows = listings.select(F.explode(F.from_json(raw, schema)).alias("r")).select("r.*").where("id is not null")
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(F.substring_index("full_name", "/", 1)).orderBy(F.desc("updated_at"), "id")))
+
+
+#: What an address of a repository begins with.
+ADDRESS_STARTS = ("https://github.com/", "git@github.com:")
+
+
+def repository_address(url: Column) -> Column:
+    """(owner, name) of a repository's address, by web or by ssh, with or without ``.git``; null for anything else."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(url, r"^\s+|\s+\z", ""), r"/+\z", ""), r"\.git\z", "")
+    out = None
+    for start in ADDRESS_STARTS:
+        parts = F.split(F.replace(bare, F.lit(start), F.lit("")), "/")
+        pair = F.when(F.size(parts) >= 2, F.struct(F.get(parts, F.lit(0)).alias("owner"), F.get(parts, F.lit(1)).alias("name")))
+        out = F.when(F.startswith(bare, F.lit(start)), pair) if out is None else out.when(F.startswith(bare, F.lit(start)), pair)
+    return out

@@ -84,35 +84,65 @@ def dockerfiles(rows: DataFrame) -> DataFrame:
     return rows.where(F.startswith("filename", F.lit("Dockerfile")) | F.startswith("filename", F.lit("docker-compose")))
 
 
+def _at(document: str | Column, path: str, kind: str = "string") -> Column:
+    """What a document holds at a path, as a type; null where the path or a fitting value is missing."""
+    return F.try_variant_get(document, f"$.{path}" if path else "$", kind)
+
+
+def _items(rows: DataFrame, items: Column, *keep: str) -> DataFrame:
+    """A row for each item of a list, as ``x``; what is no list has none."""
+    return rows.select(*keep, F.explode(items).alias("x"))
+
+
+def parsed_reports(reports: DataFrame, raw: str = "raw") -> DataFrame:
+    """Reports with ``report``, the document, and ``broken``: whether there is a text that is no JSON. Nothing is dropped.
+
+    A key that has another type than expected costs that value, not the finding and not the report.
+    """
+    report = F.try_parse_json(F.col(raw))
+    return reports.withColumn("report", report).withColumn("broken", F.col(raw).isNotNull() & F.col("report").isNull())
+
+
+def broken_reports(reports: DataFrame, raw: str = "raw") -> DataFrame:
+    """(repo, reports, broken): how many reports each repository has, and how many of them are no JSON."""
+    rows = parsed_reports(reports, raw)
+    return rows.groupBy("repo").agg(F.count("*").alias("reports"), F.count_if("broken").alias("broken"))
+
+
 def semgrep(reports: DataFrame, raw: str = "raw") -> DataFrame:
-    """Findings of Semgrep reports (repo, raw); missing keys and broken JSON give no rows."""
-    schema = "results array<struct<check_id:string,path:string,start:struct<line:int,col:int>,extra:struct<message:string,severity:string,lines:string,fix:string,metadata:struct<cwe:string,confidence:string>>>>"
-    r = reports.select("repo", F.explode(F.from_json(raw, schema)["results"]).alias("r"))
-    out = r.select("repo", F.col("r.path").alias("file"), F.col("r.start.line").alias("line"), F.col("r.start.col").alias("column"), F.col("r.check_id").alias("rule_id"), F.substring("r.extra.message", 1, 1000).alias("issue"), F.col("r.extra.lines").alias("code_snippet"), mapped_severity(F.col("r.extra.severity"), "semgrep").alias("severity"), F.nullif(F.regexp_extract("r.extra.metadata.cwe", r"(CWE-\d+)", 1), F.lit("")).alias("cwe_id"))
-    return canonical(out)
+    """Findings of Semgrep reports (repo, raw); missing keys and broken JSON give no rows (see :func:`broken_reports`)."""
+    rows = _items(parsed_reports(reports, raw), _at("report", "results", "array<variant>"), "repo")
+    cwe = F.nullif(F.regexp_extract(_at("x", "extra.metadata.cwe"), r"(CWE-\d+)", 1), F.lit(""))
+    return canonical(rows.select(
+        "repo", _at("x", "path").alias("file"), _at("x", "start.line", "int").alias("line"), _at("x", "start.col", "int").alias("column"), _at("x", "check_id").alias("rule_id"),
+        F.substring(_at("x", "extra.message"), 1, 1000).alias("issue"), _at("x", "extra.lines").alias("code_snippet"), mapped_severity(_at("x", "extra.severity"), "semgrep").alias("severity"), cwe.alias("cwe_id"),
+    ))
 
 
 def bandit(reports: DataFrame, raw: str = "raw") -> DataFrame:
     """Findings of Bandit reports."""
-    schema = "results array<struct<filename:string,line_number:int,col_offset:int,test_id:string,test_name:string,issue_text:string,issue_severity:string,issue_confidence:string,code:string,issue_cwe:struct<id:int>>>"
-    r = reports.select("repo", F.explode(F.from_json(raw, schema)["results"]).alias("r"))
-    sure = F.when(F.upper("r.issue_confidence") == "HIGH", 0.9).when(F.upper("r.issue_confidence") == "LOW", 0.4).otherwise(0.7)
-    out = r.select("repo", F.col("r.filename").alias("file"), F.col("r.line_number").alias("line"), F.col("r.col_offset").alias("column"), F.col("r.test_id").alias("rule_id"), F.col("r.issue_text").alias("issue"), F.col("r.test_name").alias("description"), F.col("r.code").alias("code_snippet"), mapped_severity(F.col("r.issue_severity"), "bandit").alias("severity"), F.concat(F.lit("CWE-"), F.col("r.issue_cwe.id").cast("string")).alias("cwe_id"), sure.alias("confidence"))
-    return canonical(out)
+    rows = _items(parsed_reports(reports, raw), _at("report", "results", "array<variant>"), "repo")
+    named = F.upper(_at("x", "issue_confidence"))
+    sure = F.when(named == "HIGH", 0.9).when(named == "LOW", 0.4).otherwise(0.7)
+    return canonical(rows.select(
+        "repo", _at("x", "filename").alias("file"), _at("x", "line_number", "int").alias("line"), _at("x", "col_offset", "int").alias("column"), _at("x", "test_id").alias("rule_id"), _at("x", "issue_text").alias("issue"),
+        _at("x", "test_name").alias("description"), _at("x", "code").alias("code_snippet"), mapped_severity(_at("x", "issue_severity"), "bandit").alias("severity"), F.concat(F.lit("CWE-"), _at("x", "issue_cwe.id", "int").cast("string")).alias("cwe_id"), sure.alias("confidence"),
+    ))
 
 
 def trivy(reports: DataFrame, raw: str = "raw") -> DataFrame:
     """Vulnerabilities, secrets and misconfigurations of Trivy reports, with an object or a list at the root."""
-    result = "struct<Target:string,Vulnerabilities:array<struct<VulnerabilityID:string,PkgName:string,InstalledVersion:string,FixedVersion:string,Title:string,Description:string,Severity:string>>,Secrets:array<struct<RuleID:string,Title:string,Severity:string,StartLine:int,Match:string>>,Misconfigurations:array<struct<ID:string,Title:string,Description:string,Severity:string,CauseMetadata:struct<StartLine:int>>>>"
-    root = F.coalesce(F.from_json(raw, f"Results array<{result}>")["Results"], F.from_json(raw, f"array<{result}>"))
-    t = reports.select("repo", F.explode(root).alias("t"))
-    sev = lambda c: mapped_severity(c, "trivy")
-    v = t.select("repo", F.col("t.Target").alias("file"), F.explode("t.Vulnerabilities").alias("x"))
-    v = v.select("repo", "file", F.col("x.VulnerabilityID").alias("rule_id"), F.col("x.VulnerabilityID").alias("cve_id"), F.coalesce("x.Title", "x.VulnerabilityID").alias("issue"), F.col("x.Description").alias("description"), sev(F.col("x.Severity")).alias("severity"), F.col("x.PkgName").alias("package_name"), F.col("x.InstalledVersion").alias("package_version"), F.col("x.FixedVersion").alias("fixed_version"))
-    s = t.select("repo", F.col("t.Target").alias("file"), F.explode("t.Secrets").alias("x"))
-    s = s.select("repo", "file", F.col("x.RuleID").alias("rule_id"), F.col("x.Title").alias("issue"), mapped_severity(F.col("x.Severity"), "trivy-secret").alias("severity"), F.col("x.StartLine").alias("line"), F.col("x.Match").alias("code_snippet"))
-    m = t.select("repo", F.col("t.Target").alias("file"), F.explode("t.Misconfigurations").alias("x"))
-    m = m.select("repo", "file", F.col("x.ID").alias("rule_id"), F.col("x.Title").alias("issue"), F.col("x.Description").alias("description"), mapped_severity(F.col("x.Severity"), "trivy-config").alias("severity"), F.col("x.CauseMetadata.StartLine").alias("line"))
+    parsed = parsed_reports(reports, raw)
+    root = F.coalesce(_at("report", "Results", "array<variant>"), _at("report", "", "array<variant>"))
+    t = parsed.select("repo", F.explode(root).alias("t")).withColumn("file", _at("t", "Target"))
+    of = lambda name: _items(t, _at("t", name, "array<variant>"), "repo", "file")
+    severity = lambda scanner: mapped_severity(_at("x", "Severity"), scanner).alias("severity")
+    v = of("Vulnerabilities").select(
+        "repo", "file", _at("x", "VulnerabilityID").alias("rule_id"), _at("x", "VulnerabilityID").alias("cve_id"), F.coalesce(_at("x", "Title"), _at("x", "VulnerabilityID")).alias("issue"), _at("x", "Description").alias("description"),
+        severity("trivy"), _at("x", "PkgName").alias("package_name"), _at("x", "InstalledVersion").alias("package_version"), _at("x", "FixedVersion").alias("fixed_version"),
+    )
+    s = of("Secrets").select("repo", "file", _at("x", "RuleID").alias("rule_id"), _at("x", "Title").alias("issue"), severity("trivy-secret"), _at("x", "StartLine", "int").alias("line"), _at("x", "Match").alias("code_snippet"))
+    m = of("Misconfigurations").select("repo", "file", _at("x", "ID").alias("rule_id"), _at("x", "Title").alias("issue"), _at("x", "Description").alias("description"), severity("trivy-config"), _at("x", "CauseMetadata.StartLine", "int").alias("line"))
     return canonical(v).unionByName(canonical(s)).unionByName(canonical(m))
 
 

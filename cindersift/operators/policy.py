@@ -88,7 +88,7 @@ FIXES = (
 )
 
 
-def fixed(findings: DataFrame) -> DataFrame:
+def fixed(findings: DataFrame, templates: tuple = FIXES) -> DataFrame:
     """The template whose key comes first in the rule id or issue, its first pattern that the code has replaced; else a marked explanation of lower confidence.
 
     Findings without a template have no fix and are left out.
@@ -96,7 +96,7 @@ def fixed(findings: DataFrame) -> DataFrame:
     text = F.concat(F.lower(F.coalesce("rule_id", F.lit(""))), F.lit(" "), F.lower(F.coalesce("issue", F.lit(""))))
     code = F.coalesce("code_snippet", F.lit(""))
     chosen = None
-    for key, pairs, explanation, risk in FIXES:
+    for key, pairs, explanation, risk in templates:
         hits = [F.when(F.rlike(code, F.lit("(?i)" + p)), F.regexp_replace(code, "(?i)" + p, r.replace("\\", "\\\\").replace("$", "\\$"))) for p, r in pairs]
         done = F.coalesce(*hits)
         one = F.struct(F.coalesce(done, F.concat(F.lit(f"// TODO: {explanation}\n"), code)).alias("fixed_code"), F.when(done.isNotNull(), 0.75).otherwise(0.50).alias("fix_confidence"), F.lit(explanation).alias("explanation"), F.lit(risk).alias("breaking_risk"))

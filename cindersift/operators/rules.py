@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cindersift.functions.text import COMMENT_STARTS, is_comment
-from cindersift.schema import EXPLOITABILITY
+from cindersift.schema import EXPLOITABILITY, looked_up  # noqa: F401
 from cindersift.storage import written
 
 #: Alternatives that a rule may need, beyond which its pattern is tried at once.
@@ -128,6 +128,14 @@ def candidates(code: Column, rules: Sequence[Rule]) -> Column:
     return F.arrow_udf(found, "array<int>")(code)
 
 
+def exploitable(r: Rule) -> float:
+    return r.exploitability if r.exploitability is not None else EXPLOITABILITY[r.severity]
+
+
+def reach(r: Rule) -> int:
+    return r.blast if r.blast is not None else blast_radius(r.rule_id)
+
+
 Packs = Sequence[tuple[Column | None, Sequence[Rule], tuple[str, ...]]]
 
 
@@ -165,7 +173,7 @@ def marked(line_rows: DataFrame, packs: Packs, *, when: Column | None = None) ->
 def told(rows: DataFrame, packs: Packs) -> DataFrame:
     """A row for each of a line's ``hits``, with the rule's values, the matched text, and a confidence from its length where the pack has none."""
     values = [
-        {"rule_id": r.rule_id, "severity": r.severity, "issue": r.issue, "cwe_id": r.cwe, "pattern": r.pattern, "exploitability": r.exploitability if r.exploitability is not None else EXPLOITABILITY[r.severity], "blast_radius": r.blast if r.blast is not None else blast_radius(r.rule_id), "own": r.confidence}
+        {"rule_id": r.rule_id, "severity": r.severity, "issue": r.issue, "cwe_id": r.cwe, "pattern": r.pattern, "exploitability": exploitable(r), "blast_radius": reach(r), "own": r.confidence}
         for _, own, _ in packs
         for r in own
     ]

@@ -6,13 +6,16 @@ JSON, manifests and sources and parses them again, and SQL says directly what mu
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cindersift.functions import text
-from cindersift.operators import code, deps, enrich, export, findings as P, history as H, narrate, packs, policy, rules, surface, toolchain
+from cindersift.operators import code, deps, enrich, export, findings as P, history as H, narrate, packs, policy, rules, store, surface, toolchain
 from cindersift.schema import SEVERITIES
 from cindersift.sources import scanners
 from cindersift.sources.tables import load, with_sql
+from cindersift.storage import shared_dir
 
 
 def _q(s: str) -> str:
@@ -486,3 +489,15 @@ def user_upsert(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.lit("old").alias("state"))
     news = rows.where("id % 3 = 0").withColumn("state", F.lit("new"))
     return H.upserted(rows, news.unionByName(news.withColumn("id", -F.col("id"))), "id")
+
+
+# Stored tables -------------------------------------------------------------------------------------------------------
+@query(with_sql("scans") + "SELECT repo_id, scan_id, CASE WHEN scan_id % 10 = 0 THEN score + 1 ELSE score END AS score, findings::INT AS findings FROM scans WHERE status = 'completed' QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY scan_id DESC) = 1")
+def stored_latest(spark, sf_dir):
+    """K1, Q13, Q3: scans stored, stored again, every tenth replaced by a later write; then each repository's latest, bucket by bucket."""
+    rows = load(spark, sf_dir, "scans")
+    kept = store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", f"kept_{uuid.uuid4().hex}", buckets=8, period="year")
+    for _ in range(2):
+        kept.save_scans(rows)
+    kept.save_scans(rows.where("scan_id % 10 = 0").withColumn("score", F.col("score") + 1))
+    return H.latest(kept.scans(), "score", "findings")

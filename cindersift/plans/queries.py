@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cindersift.functions import text
 from cindersift.operators import deps, enrich, findings as P, graph, history as H, policy, rules, surface
-from cindersift.plans import graphs, more
+from cindersift.plans import graphs, more, samples
 from cindersift.schema import RISK_WEIGHT, SCORE_WEIGHT, SEVERITIES, truncated
 from cindersift.sources.tables import load, with_sql
 from cindersift.streaming import events as W
@@ -571,5 +571,5 @@ def ttl_denylist(spark, sf_dir):
     return W.denied(rows, rows.where("kind = 'error'").select("key", F.col("ts").alias("denied_at")), 6 * 3600).select("event_id", "key")
 
 
-QUERIES |= more.QUERIES | graphs.QUERIES
-ORACLES |= more.ORACLES | graphs.ORACLES
+QUERIES |= more.QUERIES | graphs.QUERIES | samples.QUERIES
+ORACLES |= more.ORACLES | graphs.ORACLES | samples.ORACLES

@@ -8,8 +8,8 @@ reranked by the exact measure on the original vectors.
 Inner products become distances by one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm (0 for queries), so
 the largest inner product is the smallest distance also where norms differ. Rows are split by norm into bands of one
 doubling, each with an M and hashes of its own, so a few long rows do not push the others away from the queries, which
-are scaled to M. Bands of few rows are searched exactly. How many buckets are visited, and the width w, are chosen for
-each band on a bounded sample: PILOT queries against FITTED rows of the band; cells widen and are measured again until
+are scaled to M. Every band of over 4 k rows is hashed; smaller ones are one bucket, as a query that has fewer than k
+rows to find gets them all. How many buckets are visited, and the width w, are chosen for each band on a bounded sample: PILOT queries against FITTED rows of the band; cells widen and are measured again until
 the share of true neighbours in visited buckets reaches TARGET (the sample misses fewer of few rows, so the target lies
 above the 0.9 wanted), at last to one bucket that holds all rows.
 
@@ -254,7 +254,7 @@ def tuned(vectors: DataFrame, k: int) -> Bands | None:
     dim = x.shape[1]
     cells = vectors.select("v").mapInArrow(_norms(dim), "cell long, n long, q double").groupBy("cell").agg(F.sum("n").alias("n"), F.max("q").alias("q")).collect()
     cells = [(r.cell, r.n, r.q) for r in cells]
-    dense = bands(cells, max(BUCKET_ROWS, 4 * k))
+    dense = bands(cells, 4 * k)
     hashes = []
     for lo, hi, n, largest in dense:
         own, own_ids = x, ids

@@ -61,3 +61,23 @@ def test_places_of_a_query_do_not_grow_with_the_table(spark):
         per.append(probes.where("t >= 0").count() / asked.count())
         assert index.groupBy("place", "t", "shard", "block").count().agg(F.max("count")).first()[0] <= 2 * neighbours.SHARD
     assert per[1] <= 2 * per[0]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_small_tables_are_hashed_too(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").collect()
+    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], np.float64)
+    hashed = neighbours.tuned(df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 20)
+    assert hashed.edges and all(np.isfinite(h.width) for h in hashed.hashes)
+    at = {i: n for n, i in enumerate(ids)}
+    asked = [i for i in ids if i % 20 == 0]
+    score = x[[at[i] for i in asked]] @ x.T
+    score[np.arange(len(asked)), [at[i] for i in asked]] = -np.inf
+    want = {q: {ids[j] for j in np.argsort(-s, kind="stable")[:20]} for q, s in zip(asked, score)}
+    got = {}
+    for row in neighbours.nearest(df, df.where("vec_id % 20 = 0"), 20).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    recall = sum(len(got[q] & want[q]) for q in asked) / (20 * len(asked))
+    print(sf, len(ids), "rows, recall", recall, "visits", [h.probes for h in hashed.hashes])
+    assert recall >= 0.9 and all(len(v) == 20 for v in got.values())

@@ -37,6 +37,7 @@ class Rule:
     confidence: float | None = None  # of the pack; else from the match's length
     exploitability: float | None = None  # else from the severity
     blast: int | None = None  # else from the id
+    description: str = ""
 
 
 CONTAINER = (
@@ -173,17 +174,17 @@ def marked(line_rows: DataFrame, packs: Packs, *, when: Column | None = None) ->
 def told(rows: DataFrame, packs: Packs) -> DataFrame:
     """A row for each of a line's ``hits``, with the rule's values, the matched text, and a confidence from its length where the pack has none."""
     values = [
-        {"rule_id": r.rule_id, "severity": r.severity, "issue": r.issue, "cwe_id": r.cwe, "pattern": r.pattern, "exploitability": exploitable(r), "blast_radius": reach(r), "own": r.confidence}
+        {"rule_id": r.rule_id, "severity": r.severity, "issue": r.issue, "description": r.description, "cwe_id": r.cwe, "pattern": r.pattern, "exploitability": exploitable(r), "blast_radius": reach(r), "own": r.confidence}
         for _, own, _ in packs
         for r in own
     ]
     # One literal, whatever the number of rules.
-    table = F.from_json(F.lit(json.dumps(values)), "array<struct<rule_id:string,severity:string,issue:string,cwe_id:string,pattern:string,exploitability:double,blast_radius:int,own:double>>")
+    table = F.from_json(F.lit(json.dumps(values)), "array<struct<rule_id:string,severity:string,issue:string,description:string,cwe_id:string,pattern:string,exploitability:double,blast_radius:int,own:double>>")
     kept = [c for c in rows.columns if c != "hits"]
     out = rows.select(*kept, F.explode(F.split("hits", ",")).alias("__n"))
     out = out.withColumn("__r", F.element_at(table, F.col("__n").cast("int"))).withColumn("matched", F.coalesce(F.regexp_substr("code", F.col("__r.pattern")), F.lit("")))
     sure = F.coalesce("__r.own", F.round(F.least(F.lit(0.95), 0.6 + 0.005 * F.length("matched")), 2))
-    return out.select(*kept, *[F.col(f"__r.{c}").alias(c) for c in ("rule_id", "severity", "issue", "cwe_id")], "matched", F.col("__r.exploitability").alias("exploitability"), F.col("__r.blast_radius").alias("blast_radius"), sure.alias("confidence"))
+    return out.select(*kept, *[F.col(f"__r.{c}").alias(c) for c in ("rule_id", "severity", "issue", "description", "cwe_id")], "matched", F.col("__r.exploitability").alias("exploitability"), F.col("__r.blast_radius").alias("blast_radius"), sure.alias("confidence"))
 
 
 def all_matches(line_rows: DataFrame, packs: Packs) -> DataFrame:

@@ -16,7 +16,7 @@ from cindersift.operators import code, deps, findings as P, packs, packtables, r
 from cindersift.schema import canonical
 from cindersift.storage import written
 
-COLUMNS = ("repo", "file", "line", "rule_id", "severity", "issue", "code_snippet", "column", "exploitability", "blast_radius", "confidence", "cwe_id")
+COLUMNS = ("repo", "file", "line", "rule_id", "severity", "issue", "description", "code_snippet", "column", "exploitability", "blast_radius", "confidence", "cwe_id")
 #: Characters of a line that a finding keeps.
 SNIPPET = 300
 #: The setting that names a table of rules, read by :func:`scanned` where it is set.

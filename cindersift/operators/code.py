@@ -1,4 +1,6 @@
-"""Python sources as syntax trees (T1-T6): calls, taint, missing checks, and the call graph; cross-file rules of scripts.
+"""Python sources as syntax trees (T1-T5, T9): calls, taint and missing checks; cross-file rules of scripts.
+
+The call graph over modules (T6-T8) is in :mod:`cindersift.operators.symbols`; the one here goes by bare names.
 
 Trees are what no expression can give, so files go to Python in Arrow batches; a file that doesn't parse gives one row
 that says so. Everything after (sinks, severities, graph walk) is expressions and joins.
@@ -41,6 +43,7 @@ SEMANTIC = {
     "hardcoded-arg-in-auth-call": ("high", 0.60, 0.65, 7),
     "missing-auth-check": ("high", 0.55, 0.60, 6),
 }
+#: Calls that start a shell, weak hashes, words of calls that take credentials, and of handlers that write, check or change.
 SHELL_CALLS = ("subprocess.run", "subprocess.call", "subprocess.Popen", "subprocess.check_output", "subprocess.check_call")
 WEAK_HASHES = ("hashlib.md5", "hashlib.sha1", "md5", "sha1")
 CREDENTIAL_CALLS = ("connect", "login", "auth", "password", "secret")
@@ -54,6 +57,7 @@ CROSS_FILE = (
     ("l5/js-exported-sink", r"(?s)(module\.exports|export\s+default|export\s+const)\s+\w+[^{]*\{[^}]*(execute|query|exec|spawn)", "medium", 0.55, 0.50, 6),
 )
 SCRIPTS = (".js", ".ts", ".jsx", ".tsx")
+#: What makes a function a handler.
 HANDLER_DECORATORS = ("route", "get", "post", "put", "delete", "patch")
 HANDLER_ARGUMENTS = ("request", "req", "r")
 SCHEMA = "file string, kind string, name string, line int, caller string, detail string"

@@ -10,7 +10,7 @@ imports explain means the repository's last function of that name.
 A walk from handlers then reaches functions over at most DEPTH calls; those before a function's first dangerous call count, as
 the walk ends there. Nodes are functions of files, so functions of one name in several modules stay apart.
 
-Defined results: files that don't parse give nothing; a file given twice counts once; null contents are empty; calls of what no
+Defined results: files that don't parse, or have no path or no repository, give nothing; a file given twice counts once; null contents are empty; calls of what no
 table knows end there; a class stands for its ``__init__``; a tie between modules goes to the shorter path, then the first by name.
 """
 
@@ -197,6 +197,7 @@ def sink_of(called: Column, *, strict: bool = False) -> Column:
 def call_graph(files: DataFrame, *, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes (node, repo, file, name, line, handler), edges (caller, callee) and first dangerous calls (node, sink, called) of files (repo, file, content)."""
     said = files.select(F.col("repo").cast("string").alias("repo"), F.col("file").cast("string").alias("file"), F.col("content").cast("string").alias("content"))
+    said = said.where("repo is not null and file is not null")
     rows = written(said.mapInArrow(_parsed, _FACTS), "facts")
     node = lambda file, name: F.struct("repo", F.col(file).alias("file"), F.col(name).alias("name"))
     functions = rows.where("kind = 'function'").groupBy("repo", "file", "name").agg(F.max("line").alias("line"), F.max("handler").alias("handler"))

@@ -1,7 +1,7 @@
 """Rule packs: tables of patterns compiled into one projection over lines.
 
 A pack is data. Each pattern stands behind the texts that any match of it must hold, which are read off the pattern. All such
-texts of all packs are one index, which a batch of lines meets once; only patterns whose texts a line holds are tried, and only
+texts of all packs are one index, which a batch of lines meets once, equal lines as one; only patterns whose texts a line holds are tried, and only
 the numbers of the rules that hit are exploded. The first line of each file and rule is a grouped minimum.
 """
 
@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cindersift.functions.text import COMMENT_STARTS, is_comment
 from cindersift.schema import EXPLOITABILITY, looked_up  # noqa: F401
@@ -110,12 +112,7 @@ def needed(pattern: str) -> tuple[str, ...]:
     return tuple(sorted(found)) if found and all(len(w) >= 2 or not w.isalnum() and not w.isspace() for w in found) else ()
 
 
-def candidates(code: Column, rules: Sequence[Rule]) -> Column:
-    """Numbers (from 1) of the rules whose needed texts a line holds, ASCII letters of either case; none for a null line.
-
-    A batch of lines is searched for each text as one stretch of bytes; only texts that some line of it holds are looked for in
-    each line. So a line costs the few texts that occur around it, not all that any rule needs.
-    """
+def _finder(rules: Sequence[Rule]) -> Callable[[pa.Array], pa.Array]:
     words = {w: [n for n, r in enumerate(rules, 1) if w in needed(r.pattern)] for r in rules for w in needed(r.pattern)}
     known = [(w.encode(), numbers) for w, numbers in sorted(words.items())]
 
@@ -126,7 +123,40 @@ def candidates(code: Column, rules: Sequence[Rule]) -> Column:
         some = [(w, numbers) for w, numbers in known if w in whole]
         return pa.array([sorted({n for w, numbers in some if w in r for n in numbers}) for r in low], pa.list_(pa.int32()))
 
-    return F.arrow_udf(found, "array<int>")(code)
+    return found
+
+
+def candidates(code: Column, rules: Sequence[Rule]) -> Column:
+    """Numbers (from 1) of the rules whose needed texts a line holds, ASCII letters of either case; none for a null line.
+
+    A batch of lines is searched for each text as one stretch of bytes; only texts that some line of it holds are looked for in
+    each line. So a line costs the few texts that occur around it, not all that any rule needs.
+    """
+    return F.arrow_udf(_finder(rules), "array<int>")(code)
+
+
+def _gathered(rules: Sequence[Rule]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each batch (line, packs, rest of the row) a row for every distinct line of the same packs: with its candidates and all places it stands at."""
+    found = _finder(rules)
+
+    def numbered(column: pa.Array) -> tuple[np.ndarray, int]:
+        coded = column.dictionary_encode()
+        return pc.fill_null(coded.indices, len(coded.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary) + 1
+
+    def gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            code, packs, rest = b.columns
+            (lines, _), (kinds, n) = numbered(code), numbered(packs)
+            _, first, inverse = np.unique(lines * n + kinds, return_index=True, return_inverse=True)
+            order = np.argsort(inverse, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(inverse))]).astype(np.int32)
+            one, of = code.take(pa.array(first)), packs.take(pa.array(first))
+            looked = pc.if_else(pc.match_substring(of, "1"), one, pa.scalar(None, one.type))
+            yield pa.RecordBatch.from_arrays([one, of, found(looked), pa.ListArray.from_arrays(pa.array(ends), rest.take(pa.array(order)))], ["code", "__packs", "__of", "__places"])
+
+    return gathered
 
 
 def exploitable(r: Rule) -> float:
@@ -140,22 +170,24 @@ def reach(r: Rule) -> int:
 Packs = Sequence[tuple[Column | None, Sequence[Rule], tuple[str, ...]]]
 
 
-def marked(line_rows: DataFrame, packs: Packs, *, when: Column | None = None) -> DataFrame:
-    """Adds ``hits``: the numbers of the rules of (which rows, rules, comment starts) that a line matches, null without any, in one pass.
-
-    A rule doesn't look at lines that are comments to its pack, and no rule at rows for which ``when`` doesn't hold.
-    """
+def _met(line_rows: DataFrame, packs: Packs, when: Column | None) -> DataFrame:
+    """(code, __places, hits): the distinct lines of each batch with the numbers of the rules that they match, and where they stand."""
     starts = list(dict.fromkeys(s for _, _, s in packs if s))
     every = [r for _, own, _ in packs for r in own]
-    rows = line_rows.withColumn("__of", candidates(F.col("code") if when is None else F.when(when, F.col("code")), every))
+    # Which packs look at a row, a 0 or 1 for each: with the line's text it says all that decides what is found.
+    looks = [F.lit(True) if which is None else which for which, _, _ in packs]
+    flags = F.concat(*[F.when(x if when is None else when & x, "1").otherwise("0") for x in looks])
+    rest = [c for c in line_rows.columns if c != "code"]
+    rows = line_rows.select("code", flags.alias("__packs"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__rest"))
+    schema = T.StructType([T.StructField("code", T.StringType()), T.StructField("__packs", T.StringType()), T.StructField("__of", T.ArrayType(T.IntegerType())), T.StructField("__places", T.ArrayType(rows.schema["__rest"].dataType))])
+    rows = rows.mapInArrow(_gathered(every), schema)
     # What every rule looks at comes out of a generator: an expression would be worked out again for each rule.
     for i, s in enumerate(starts):
         rows = rows.select("*", F.inline(F.array(F.struct(is_comment(F.col("code"), s).alias(f"__c{i}")))))
     hits, number = [], 0
     always = any(not needed(r.pattern) for r in every)
-    for which, own, begins in packs:
-        pack = F.lit(True) if which is None else which
-        pack = pack if when is None else when & pack
+    for i, (_, own, begins) in enumerate(packs, 1):
+        pack = F.substring("__packs", i, 1) == "1"
         if begins:
             pack = pack & ~F.col(f"__c{starts.index(begins)}")
         for r in own:
@@ -168,7 +200,16 @@ def marked(line_rows: DataFrame, packs: Packs, *, when: Column | None = None) ->
     for i, name in zip(range(0, len(hits), GROUP), names):
         group = F.nullif(F.concat_ws(",", *hits[i : i + GROUP]), F.lit(""))
         rows = rows.select("*", F.inline(F.array(F.struct((group if always else F.when(F.size("__of") > 0, group)).alias(name)))))
-    return rows.select(*line_rows.columns, F.when(F.coalesce(*names).isNotNull(), F.concat_ws(",", *names)).alias("hits"))
+    return rows.select("code", "__places", F.when(F.coalesce(*names).isNotNull(), F.concat_ws(",", *names)).alias("hits"))
+
+
+def marked(line_rows: DataFrame, packs: Packs, *, when: Column | None = None) -> DataFrame:
+    """Adds ``hits``: the numbers of the rules of (which rows, rules, comment starts) that a line matches, null without any, in one pass.
+
+    A rule doesn't look at lines that are comments to its pack, and no rule at rows for which ``when`` doesn't hold. Lines that
+    a batch holds several times are matched once.
+    """
+    return _met(line_rows, packs, when).select("code", "hits", F.inline("__places")).select(*line_rows.columns, "hits")
 
 
 def told(rows: DataFrame, packs: Packs) -> DataFrame:
@@ -189,7 +230,9 @@ def told(rows: DataFrame, packs: Packs) -> DataFrame:
 
 def all_matches(line_rows: DataFrame, packs: Packs) -> DataFrame:
     """Every match of a rule of (which rows, rules, comment starts) on a line that is no comment to the pack, in one pass."""
-    return told(marked(line_rows, packs).where("hits is not null"), packs)
+    found = told(_met(line_rows, packs, None).where("hits is not null"), packs)
+    values = [c for c in found.columns if c not in ("code", "__places")]
+    return found.select("code", *values, F.inline("__places")).select(*line_rows.columns, *values)
 
 
 def matches(line_rows: DataFrame, rules: Sequence[Rule], *, starts: tuple[str, ...] = COMMENT_STARTS, rule_filter: str | None = None) -> DataFrame:

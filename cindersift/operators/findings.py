@@ -21,12 +21,14 @@ def layer_counts(findings: DataFrame, key: str = "scan_id") -> DataFrame:
 
 
 def _first_of(findings: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    """The first row of each key in an order of falling values, then by seq: a grouped minimum, combined before the shuffle."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in findings.columns])
-    named = [k.alias(f"__k{i}") for i, k in enumerate(keys)]
-    rank = F.struct(*[(-o).alias(f"o{i}") for i, o in enumerate(order)], F.col("seq").alias("s"))
-    # The rest of the row comes along but never decides, beyond rows equal in all that is asked for.
-    return findings.groupBy(*named).agg(F.min_by(whole, rank).alias("r")).select("r.*")
+    """The first row of each key in an order of falling values, then by seq: the one that none comes before.
+
+    Nearly every finding has a key of its own, so nothing is combined before the one shuffle; of the columns only those that are
+    asked for later travel, and rows are sorted after it alone.
+    """
+    # A number of the row would be cut before the shuffle too, behind a sort of whole partitions there.
+    before = F.lag(F.lit(True)).over(Window.partitionBy(*keys).orderBy(*[(-o).asc() for o in order], F.col("seq").asc()))
+    return findings.withColumn("__later", before).where("__later is null").drop("__later")
 
 
 def dedup_best(findings: DataFrame, key: str = "scan_id", *, strict: bool = False) -> DataFrame:

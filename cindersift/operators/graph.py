@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cindersift.storage import dropped, written
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that is not broadcast: what grows with the files goes from task to task, never over the driver."""
+    return df.hint("merge")
+
+
 def reached(starts: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
     """(start, node, depth): every node within ``depth`` edges of a start, once for each start, at its least depth.
 
@@ -19,8 +24,8 @@ def reached(starts: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
         seen = fronts[0]
         for f in fronts[1:]:
             seen = seen.union(f)
-        new = fronts[-1].join(edges, F.col("node") == F.col("caller")).select("start", F.col("callee").alias("node")).distinct()
-        front = written(new.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(d)), "walk")
+        new = fronts[-1].join(shuffled(edges), F.col("node") == F.col("caller")).select("start", F.col("callee").alias("node")).distinct()
+        front = written(new.join(shuffled(seen.select("start", "node")), ["start", "node"], "left_anti").withColumn("depth", F.lit(d)), "walk")
         if front.isEmpty():
             dropped(front)
             break

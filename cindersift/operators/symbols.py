@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cindersift.operators.graph import confidence, exploitability, reached
+from cindersift.operators.graph import confidence, exploitability, reached, shuffled as _shuffled
 from cindersift.schema import looked_up
 from cindersift.storage import dropped, written
 
@@ -157,17 +157,17 @@ def _resolved(targets: DataFrame, modules: DataFrame, symbols: DataFrame, aliase
         # Every cut between module and name.
         cut = left.select("*", F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("k"))
         cut = cut.select("repo", "target", "now", "k", F.array_join(F.slice(parts, F.lit(1), F.col("k")), ".").alias("module"), F.array_join(F.slice(parts, F.col("k") + 1, F.size(parts)), ".").alias("symbol"))
-        met = written(cut.join(modules, ["repo", "module"]).select("repo", "target", "k", "file", "symbol"), "imports")
-        hit = met.join(symbols, ["repo", "file", "symbol"]).groupBy("repo", "target").agg(F.max(F.struct("k", "file", "callee")).alias("m")).select("repo", "target", "m.file", "m.callee")
+        met = written(cut.join(_shuffled(modules), ["repo", "module"]).select("repo", "target", "k", "file", "symbol"), "imports")
+        hit = met.join(_shuffled(symbols), ["repo", "file", "symbol"]).groupBy("repo", "target").agg(F.max(F.struct("k", "file", "callee")).alias("m")).select("repo", "target", "m.file", "m.callee")
         hit = written(hit, "resolved")
         found.append(hit)
         if hop == HOPS:
             break
-        passed = met.join(hit.select("repo", "target"), ["repo", "target"], "left_anti").withColumn("head", F.substring_index("symbol", ".", 1))
-        named = passed.join(aliases.where("head <> '*'"), ["repo", "file", "head"])
+        passed = met.join(_shuffled(hit.select("repo", "target")), ["repo", "target"], "left_anti").withColumn("head", F.substring_index("symbol", ".", 1))
+        named = passed.join(_shuffled(aliases.where("head <> '*'")), ["repo", "file", "head"])
         rest = F.expr("substring(symbol, length(head) + 2)")
         named = named.select("repo", "target", "k", F.when(rest != "", F.concat_ws(".", "onto", rest)).otherwise(F.col("onto")).alias("now"))
-        starred = passed.join(aliases.where("head = '*'").drop("head"), ["repo", "file"]).select("repo", "target", "k", F.concat_ws(".", "onto", "symbol").alias("now"))
+        starred = passed.join(_shuffled(aliases.where("head = '*'").drop("head")), ["repo", "file"]).select("repo", "target", "k", F.concat_ws(".", "onto", "symbol").alias("now"))
         left = written(named.unionByName(starred).groupBy("repo", "target").agg(F.max(F.struct("k", "now")).alias("m")).select("repo", "target", "m.now").where(F.contains("now", F.lit("."))), "passed")
         if left.isEmpty():
             break
@@ -209,15 +209,15 @@ def call_graph(files: DataFrame, *, strict: bool = False) -> tuple[DataFrame, Da
     calls = rows.where("kind = 'call'").select("repo", "file", "name", "at", "text", F.col("target").alias("called")).distinct()
     sinks = calls.withColumn("sink", sink_of(F.col("called"), strict=strict)).where("sink is not null")
     sinks = written(sinks.groupBy("repo", "file", "name").agg(F.min(F.struct("at", "sink", "called")).alias("m")).select("repo", "file", "name", "m.*"), "sinks")
-    before = calls.join(sinks.select("repo", "file", "name", F.col("at").alias("stop")), ["repo", "file", "name"], "left").where("stop is null or at < stop")
+    before = calls.join(_shuffled(sinks.select("repo", "file", "name", F.col("at").alias("stop"))), ["repo", "file", "name"], "left").where("stop is null or at < stop")
     open_ = before.where("text is null")
     far = _resolved(open_.where(F.contains("called", F.lit("."))).select("repo", F.col("called").alias("target")).distinct(), modules, symbols, aliases).withColumnRenamed("target", "called")
     # The last definition of a bare name, by file and line.
     bare = functions.select("repo", F.substring_index("name", ".", -1).alias("called"), F.struct("file", "line", "name").alias("d")).groupBy("repo", "called").agg(F.max("d").alias("d")).select("repo", "called", F.col("d.file").alias("to_file"), F.col("d.name").alias("to_name"))
     caller = node("file", "name").alias("caller")
     inside = before.where("text is not null").select(caller, node("file", "text").alias("callee"))
-    across = open_.join(far.withColumnsRenamed({"file": "to_file"}), ["repo", "called"]).select(caller, node("to_file", "callee").alias("callee"))
-    loose = open_.where(~F.contains("called", F.lit("."))).join(bare, ["repo", "called"]).select(caller, node("to_file", "to_name").alias("callee"))
+    across = open_.join(_shuffled(far.withColumnsRenamed({"file": "to_file"})), ["repo", "called"]).select(caller, node("to_file", "callee").alias("callee"))
+    loose = open_.where(~F.contains("called", F.lit("."))).join(_shuffled(bare), ["repo", "called"]).select(caller, node("to_file", "to_name").alias("callee"))
     edges = written(inside.unionByName(across).unionByName(loose).distinct(), "edges")
     dropped(modules)
     return functions.select(node("file", "name").alias("node"), "repo", "file", "name", "line", "handler"), edges, sinks.select(node("file", "name").alias("node"), "sink", "called")
@@ -233,7 +233,7 @@ def findings(files: DataFrame, *, depth: int = DEPTH, strict: bool = False, each
     # Without a handler in the key, a walk's rows are as many as functions, not as handlers times functions.
     start = F.col("node") if each_handler else F.col("node.repo")
     seen = reached(handlers.select(start.alias("start"), "node"), edges, depth)
-    out = seen.join(sinks, "node").join(nodes.select("node", "line"), "node")
+    out = seen.join(_shuffled(sinks), "node").join(_shuffled(nodes.select("node", "line")), "node")
     end = F.substring_index("sink", ".", -1)
     handler = F.concat_ws(":", "start.file", "start.name") if each_handler else F.lit(None).cast("string")
     told = F.concat(F.lit("A request reaches '"), F.col("called"), F.lit("' in "), F.col("node.file"), F.lit(" over "), (F.col("depth") + 1).cast("string"), F.lit(" calls"))

@@ -39,13 +39,14 @@ def is_comment(code: Column, starts: tuple[str, ...] = COMMENT_STARTS) -> Column
 
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits of a text's characters."""
-    chars = F.split(text, "")
-    n = F.size(chars).cast("double")
 
-    def share(c: Column) -> Column:
-        return (n - F.size(F.array_remove(chars, c))) / n
+    def bits(chars: Column) -> Column:
+        n = F.size(chars).cast("double")
+        shares = F.transform(F.array_distinct(chars), lambda c: (n - F.size(F.array_remove(chars, c))) / n)
+        return F.aggregate(shares, F.lit(0.0), lambda s, p: s - p * F.log2(p))
 
-    return F.when(F.length(text) > 0, F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))).otherwise(0.0)
+    # The characters are a lambda's variable: as an expression, the text would be split again for each of them.
+    return F.when(F.length(text) > 0, F.element_at(F.transform(F.array(F.split(text, "")), bits), 1)).otherwise(0.0)
 
 
 def entropy_secrets(line_rows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterable, Iterator
-from functools import partial, reduce
+from functools import cache, partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -148,9 +148,12 @@ def _found(kinds: tuple[bool, ...]):
         schema = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]]) for c in FOUND.split(", ")])
         for b in batches:
             rows = []
+            # Equal contents of a batch, as empty or copied modules are, are parsed once.
+            met = cache(lambda content: [(k, x) for k in kinds for x in (legacy_semantic if k else semantic)(content)])
             for repo, file, content in zip(*(b.column(i).to_pylist() for i in range(3))):
-                lines = (content or "").split("\n")
-                for legacy, (rule, line, name) in ((k, x) for k in kinds for x in (legacy_semantic if k else semantic)(content or "")):
+                told = met(content or "")
+                lines = (content or "").split("\n") if told else []
+                for legacy, (rule, line, name) in told:
                     snippet = lines[line - 1].strip()[:200] if 0 < line <= len(lines) else ""
                     issue = f"{rule.replace('-', ' ')}: {name}"
                     if legacy:  # a detector that knows none of these

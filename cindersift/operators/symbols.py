@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -144,7 +145,9 @@ def facts(file: str, source: str) -> Iterator[tuple[str, str, int, int, str | No
 
 def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(repo, file, *x) for repo, file, source in zip(*(c.to_pylist() for c in b.columns)) for x in facts(file or "", source or "")]
+        # Equal files of a batch, of one path in several repositories, are parsed once.
+        met = cache(lambda file, source: list(facts(file, source)))
+        rows = [(repo, file, *x) for repo, file, source in zip(*(c.to_pylist() for c in b.columns)) for x in met(file or "", source or "")]
         for lo in range(0, len(rows), 65536):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + 65536]), FACTS)], schema=FACTS)
 

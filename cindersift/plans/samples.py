@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cindersift.operators import packs, rules, surface
 from cindersift.plans import scan
+from cindersift.storage import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -110,7 +111,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, file, content): a sample for every row of ``part``, in a folder of its own."""
     names, contents = (F.array(*map(F.lit, x)) for x in zip(*SAMPLES))
     at = (F.col("p_partkey") % len(SAMPLES) + 1).cast("int")
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.element_at(names, at).alias("name"), F.element_at(contents, at).alias("content"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), "p_partkey")
+    rows = rows.select("p_partkey", F.element_at(names, at).alias("name"), F.element_at(contents, at).alias("content"))
     return rows.select(F.concat(F.lit("r"), (F.col("p_partkey") % 10).cast("string")).alias("repo"), F.concat_ws("/", F.col("p_partkey").cast("string"), "name").alias("file"), "content")
 
 
@@ -144,7 +146,8 @@ PROJECTS = (
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, file, content): a project for every row of ``part``."""
     every = F.array(*[F.array(*[F.struct(F.lit(f).alias("file"), F.lit(c).alias("content")) for f, c in own]) for own, _ in PROJECTS])
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("repo"), (F.col("p_partkey") % len(PROJECTS) + 1).cast("int").alias("at"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), "p_partkey")
+    rows = rows.select(F.col("p_partkey").cast("string").alias("repo"), (F.col("p_partkey") % len(PROJECTS) + 1).cast("int").alias("at"))
     return rows.select("repo", F.inline(F.element_at(every, F.col("at"))))
 
 
